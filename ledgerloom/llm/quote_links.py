@@ -95,19 +95,16 @@ def threads(conversations: DataFrame) -> DataFrame:
     # branches start where a linked quote leads away from the turn before
     turns = rows.select(F.col("conv").alias("c"), (F.col("seq") + 1).alias("s"), F.col("turn").alias("previous"))
     rows = rows.join(turns, rows["conv"].eqNullSafe(F.col("c")) & (rows["seq"] == F.col("s")), "left").drop("c", "s")
-    rows = rows.withColumn("branch", F.col("target").isNotNull() & ~F.col("target").eqNullSafe(F.col("previous")))
-    starts = stored(rows.where("branch").select("conv", "turn", "target").distinct(), "branches")
-    thread = rows.groupBy("conv").agg(F.min("turn").alias("first"))
-    rows = rows.join(thread.withColumnRenamed("conv", "c"), rows["conv"].eqNullSafe(F.col("c"))).drop("c")
-    # the branch a message is on: the latest start at or before it, else the conversation's first turn
-    if starts.limit(1).count():
-        s = starts.groupBy("conv").agg(F.array_sort(F.collect_set("turn")).alias("starts"))
-        rows = rows.join(s.withColumnRenamed("conv", "c"), rows["conv"].eqNullSafe(F.col("c")), "left").drop("c")
-        rows = rows.withColumn("start", F.coalesce(F.array_max(F.filter("starts", lambda x: x <= F.col("turn"))), F.col("first"))).drop("starts")
-        home = starts.groupBy("conv", "turn").agg(F.max("target").alias("up"))
-        rows = rows.join(home.select(F.col("conv").alias("c"), F.col("turn").alias("t"), "up"), rows["conv"].eqNullSafe(F.col("c")) & (rows["start"] == F.col("t")), "left").drop("c", "t")
-    else:
-        rows = rows.withColumn("start", F.col("first")).withColumn("up", F.lit(None).cast("long"))
+    leads = F.when(F.col("target").isNotNull() & ~F.col("target").eqNullSafe(F.col("previous")), F.struct("seq", "turn", "target"))
+    rows = rows.withColumn("_b", F.floor(F.col("seq") / BLOCK)).withColumn("lead", leads)
+    # the branch a message is on is the latest start at or before it: inside its block of turns, else from earlier blocks
+    rows = rows.withColumn("own", F.last("lead", ignorenulls=True).over(Window.partitionBy("conv", "_b").orderBy("seq")))
+    blocks = rows.groupBy("conv", "_b").agg(F.max("lead").alias("lead"), F.min("turn").alias("first"))
+    ahead = Window.partitionBy("conv").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("conv").alias("c"), F.col("_b").alias("k"), F.last("lead", ignorenulls=True).over(ahead).alias("carried"), F.min("first").over(Window.partitionBy("conv")).alias("first"))
+    rows = rows.join(blocks, rows["conv"].eqNullSafe(F.col("c")) & (rows["_b"] == F.col("k"))).drop("c", "k", "_b", "lead")
+    branch = F.coalesce("own", "carried")
+    rows = rows.withColumn("start", F.coalesce(branch["turn"], F.col("first"))).withColumn("up", branch["target"])
     rows = rows.withColumn("root_turn", F.coalesce("up", "start")).withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1))
     rows = rows.withColumn("reply_to", F.coalesce("target", "previous"))
     rows = _numbered(rows, ("conv",), ("root_turn", "depth", "start", "turn"), ("role", "own_text"), "reply_order")
