@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .base import stored
+
 RING = 65536
 VIRTUAL = 64
 SEED = "ring-1"
@@ -34,15 +36,15 @@ def virtual_nodes(spark: SparkSession, shards: int, virtual: int = VIRTUAL, seed
     return at.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at")) - 1).alias("arc"), "shard", "at")
 
 
-def ring_positions(spark: SparkSession, shards: int) -> DataFrame:
+def ring_positions(nodes: DataFrame) -> DataFrame:
     """(pos, arc): the arc of each ring position; behind the last node the ring closes to arc 0."""
-    nodes = virtual_nodes(spark, shards)
-    marks = spark.range(RING, numPartitions=1).select(F.col("id").cast("int").alias("pos")).join(nodes.select(F.col("at").alias("pos"), "arc"), "pos", "left")
-    upward = Window.partitionBy(F.lit(0)).orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return marks.select("pos", F.coalesce(F.first("arc", ignorenulls=True).over(upward), F.lit(0)).alias("arc"))
+    along = Window.partitionBy(F.lit(0)).orderBy("arc")
+    ends = nodes.select("arc", (F.coalesce(F.lag("at").over(along), F.lit(-1)) + 1).alias("lo"), F.col("at").alias("hi"))
+    closing = nodes.agg((F.max("at") + 1).alias("lo")).where(F.col("lo") < RING).select(F.lit(0).alias("arc"), "lo", F.lit(RING - 1).alias("hi"))
+    return ends.unionByName(closing).select(F.explode(F.sequence("lo", "hi")).alias("pos"), "arc")
 
 
-def arc_pieces(spark: SparkSession, per_arc: DataFrame, shards: int) -> DataFrame:
+def arc_pieces(nodes: DataFrame, per_arc: DataFrame, shards: int) -> DataFrame:
     """(arc, pieces): which ranks of an arc go to which shard, and from which slot on. per_arc: (arc, n).
 
     Home documents first. A shard with room left offers it at its virtual nodes in equal parts. The overflow walks
@@ -54,19 +56,20 @@ def arc_pieces(spark: SparkSession, per_arc: DataFrame, shards: int) -> DataFram
     def before(of: str, within: Window) -> Column:
         return F.coalesce(F.sum(of).over(within.rowsBetween(*up_to_here)), F.lit(0))
 
-    nodes = virtual_nodes(spark, shards).join(per_arc, "arc", "left").fillna(0, ["n"]).withColumn("total", F.sum("n").over(one))
+    nodes = nodes.join(per_arc, "arc", "left").fillna(0, ["n"]).withColumn("total", F.sum("n").over(one))
     nodes = nodes.withColumn("room", (F.floor(F.col("total") / shards) + F.when(F.col("shard") < F.col("total") % shards, 1).otherwise(0)).cast("long"))
     by_shard = Window.partitionBy("shard")
     nodes = nodes.withColumn("slot0", F.least(before("n", by_shard.orderBy("arc")), F.col("room"))).withColumn("home", F.least(F.col("n"), F.col("room") - F.col("slot0")))
     nodes = nodes.withColumn("used", F.sum("home").over(by_shard)).withColumn("over", F.col("n") - F.col("home"))
     free, k = F.col("room") - F.col("used"), F.row_number().over(by_shard.orderBy("arc"))
+    nodes = stored(nodes, "ring-homes")
     nodes = nodes.withColumn("offer", (F.floor(free / F.count("*").over(by_shard)) + F.when(k <= free % F.count("*").over(by_shard), 1).otherwise(0)).cast("long"))
     nodes = nodes.withColumn("queue", F.sum(F.col("over") - F.col("offer")).over(one.orderBy("arc").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     nodes = nodes.withColumn("calm", F.min(F.struct("queue", "arc")).over(one)["arc"])
     nodes = nodes.withColumn("turn", F.when(F.col("arc") > F.col("calm"), 0).otherwise(1))
     round_ = ("turn", "arc")
     nodes = nodes.withColumn("from_", before("over", one.orderBy(*round_))).withColumn("to_", before("offer", one.orderBy(*round_))).withColumn("slot1", F.col("used") + before("offer", by_shard.orderBy(*round_)))
-    nodes = nodes.withColumn("ends", F.sum("over").over(one))
+    nodes = stored(nodes.withColumn("ends", F.sum("over").over(one)), "ring-walk")
     leaving = nodes.where("over > 0").select(F.col("from_").alias("x"), F.struct("arc", "home", "from_", "ends").alias("source"), F.lit(None).alias("place"))
     arriving = nodes.where("offer > 0").select(F.col("to_").alias("x"), F.lit(None).alias("source"), F.struct("shard", "slot1", "to_").alias("place"))
     marks = leaving.unionByName(arriving, allowMissingColumns=True).groupBy("x").agg(F.max("source").alias("source"), F.max("place").alias("place"))
@@ -87,9 +90,11 @@ def assign(docs: DataFrame, shards: int = 16, keep: tuple[str, ...] = ()) -> Dat
     rows = docs.select("doc_id", *keep, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(F.concat(F.lit(f"{SEED}:"), key).cast("binary")).alias("_h"))
     rows = rows.withColumn("pos", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     counts = docs.select(_position(F.concat(F.lit(f"{SEED}:"), key)).alias("pos")).groupBy("pos").agg(F.count("*").alias("c"))
-    ring = ring_positions(spark, shards).join(counts, "pos").withColumn("offset", F.coalesce(F.sum("c").over(Window.partitionBy("arc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    pieces = arc_pieces(spark, ring.groupBy("arc").agg(F.sum("c").alias("n")), shards)
-    plan = ring.join(pieces, "arc").select("pos", "offset", "pieces")
+    nodes = stored(virtual_nodes(spark, shards), "ring-nodes")
+    ring = ring_positions(nodes).join(counts, "pos").withColumn("offset", F.coalesce(F.sum("c").over(Window.partitionBy("arc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ring = stored(ring, "ring-positions")
+    pieces = arc_pieces(nodes, ring.groupBy("arc").agg(F.sum("c").alias("n")), shards)
+    plan = stored(ring.join(pieces, "arc").select("pos", "offset", "pieces"), "ring-plan")
     rank = F.row_number().over(Window.partitionBy("pos").orderBy("_h", "doc_id", "text_crc32", "size")) - 1
     got = rows.withColumn("_r", rank).join(plan, "pos").withColumn("_r", F.col("_r") + F.col("offset"))
     got = got.withColumn("_p", F.filter("pieces", lambda x: (x["lo"] <= F.col("_r")) & (F.col("_r") < x["hi"]))[0])
