@@ -6,10 +6,14 @@ of their prefixes: in one global order of all shingles, linked sets share one of
 The order puts shingles of many documents last (passages, group texts), so that lists stay short; which ones those are
 is counted over all documents. The boundary between light and heavy is where the modelled rows are fewest.
 
-Lists are never expanded into all pairs. Each list compares its members with one pivot; verified links merge members
-into classes, and only members of different classes are compared further, if sizes and the triangle inequality of the
-Jaccard distance (through the pivot) allow a link at all. Identical sets are one class from the start. So no link is
-lost and a group of thousands of near copies costs about one comparison a copy.
+Lists are never expanded into all pairs. A list's pivot is its least member; all lists with one pivot are merged into
+that pivot's neighbourhood, which is compared with the pivot first. Verified links merge members into classes. Then
+some members of each neighbourhood, about equally many however large it is, meet those of other classes. What is left
+meets in pairs: members of different classes of a neighbourhood, at least one of them outside the largest class.
+Before any text is read, sizes and a parity sketch must allow a link: every element that two sets don't share flips
+one of the sketch's bits, so a pair whose sketches differ in more bits than a link may differ in elements can't link.
+Identical sets are one class from the start. So no link is lost, and a group of thousands of near copies costs a few
+comparisons a copy.
 
 Lists of shingles are packed in buckets of about equal size (numpy inside tasks, Spark moves the buckets); those of
 frequent shingles go through grouped joins instead, which split hot keys.
@@ -22,16 +26,17 @@ behind all others for a class's id; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import _mix, batches, shingle_sets, stored
+from .base import _mix, batches, shingle_sets, stored, stored_in_small_batches
 
 #: Link if 100 * intersection >= 75 * union: numerator and denominator of the overlap of two sets, 3/7 of all.
 NUM, DEN = 3, 4
@@ -41,6 +46,12 @@ FREQUENT, MOST_FREQUENT = 24, 1 << 19
 #: Shingles counted: those with hashes in this share of the range. Others rank as rare wherever they occur.
 COUNTED = 0.5
 BUCKET_TOKENS = 3 << 20
+#: 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 32
+#: Members of a neighbourhood that meet all others before what is left meets in pairs.
+PIVOTS = 16
+#: Bytes of shingle sets that a verifying task keeps at hand.
+KEPT_SETS = 16 << 20
 MAX_LIGHT = 10
 
 
@@ -71,15 +82,48 @@ def _fingerprint(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    return _parity(s, 64 * SKETCH_WORDS).view(np.int64)
+
+
+def _wide(s: np.ndarray) -> bytes | None:
+    """A parity sketch of at least as many bits as elements, a power of two; None where the narrow one has as many."""
+    return _parity(s, 1 << (len(s) - 1).bit_length()).tobytes() if len(s) > 64 * SKETCH_WORDS else None
+
+
+def _may_match(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
+    """Whether wide sketches of sets with n elements together allow a link; the wider one is folded."""
+
+    def one(a: bytes | None, b: bytes | None, total: int) -> bool:
+        if a is None or b is None:
+            return True
+        p, q = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+        while len(q) > len(p):
+            q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+        return 7 * int(np.bitwise_count(p ^ q).sum()) <= total
+
+    return pd.Series([one(a, b, t) for a, b, t in zip(x, y, n, strict=True)], dtype=bool)
+
+
+def sketch_distance(a: str, b: str) -> Column:
+    """Bits in which two sketches differ: at most the elements in one of the sets only."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SKETCH_WORDS)])
+
+
 def set_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, ref): size of each document's set, and the fingerprint that equal sets share."""
+    """(doc_id, n, ref, the sketch's words): size of each document's set, and the fingerprint that equal sets share."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             sets = [s for _, part in batches(pdf["text"], lower=True) for s in shingle_sets(part, WIDTH)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": np.array([len(s) for s in sets], np.int64), "ref": np.array([_fingerprint(s) for s in sets], np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": np.array([len(s) for s in sets], np.int64), "ref": np.array([_fingerprint(s) for s in sets], np.int64), "words": [_sketch(s) for s in sets], "wide": [_wide(s) for s in sets]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, ref long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, ref long, words array<long>, wide binary")
 
 
 def _keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -249,13 +293,19 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             known: dict[int, np.ndarray] = {}
-
-            def of(ref: int, text: str, known: dict[int, np.ndarray] = known) -> np.ndarray:
-                if ref not in known:
-                    if len(known) > 2000:
+            room = KEPT_SETS
+
+            def of(ref: int, text: str) -> np.ndarray:
+                nonlocal room
+                got = known.get(ref)
+                if got is None:
+                    got = shingle_sets([text.encode().lower()], WIDTH)[0]
+                    if room < got.nbytes:
                         known.clear()
-                    known[ref] = shingle_sets([text.encode().lower()], WIDTH)[0]
-                return known[ref]
+                        room = KEPT_SETS
+                    known[ref] = got
+                    room -= got.nbytes
+                return got
 
             both, either = [], []
             for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
@@ -289,9 +339,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("ref"), F.col("v").alias("comp")).unionByName(roots)
 
 
-_SIZES = F.expr
-
-
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, both, either): verified links whose connected classes are those of all links between different sets."""
     lists = candidate_lists(docs, sets)
@@ -299,21 +346,44 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     reps = sets.where("n > 0 and doc_id is not null").groupBy("ref").agg(F.min("doc_id").alias("rep")).join(wanted, "ref")
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep").dropDuplicates(["ref"]) if _repeats(sets) else docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep")
     texts = stored(rows.select("ref", "text"), "candidates")
-    pivots = lists.groupBy("lid").agg(F.min(F.struct("ref", "n")).alias("p"))
-    against = lists.join(pivots, "lid").select("lid", F.col("p.ref").alias("a"), F.col("ref").alias("b"), "n", F.col("p.n").alias("pn"))
-    first = against.where("a <> b and 4 * least(n, pn) >= 3 * greatest(n, pn)").select("a", "b").distinct()
-    checked = stored(verified(first, texts), "pairs-1")
-    good = "100 * both >= 75 * either"
-    comp = stored(components(checked.where(good)), "classes-1")
-    placed = lists.join(comp, "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
-    open_ = placed.groupBy("lid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("ref").alias("a")).where("lo <> hi").select("lid", "a")
-    sim = checked.select("a", F.col("b").alias("ref"), (F.col("both") / F.col("either")).alias("sim"))
-    rest = placed.join(open_, "lid").join(sim, ["a", "ref"], "left").withColumn("sim", F.when(F.col("a") == F.col("ref"), F.lit(1.0)).otherwise(F.col("sim")))
-    rest = stored(rest.select("lid", "ref", "n", "comp", "sim"), "open-lists")
-    other = rest.select("lid", *[F.col(c).alias(f"{c}2") for c in ("ref", "n", "comp", "sim")])
-    more = rest.join(other, "lid").where("ref < ref2 and comp <> comp2 and 4 * least(n, n2) >= 3 * greatest(n, n2) and coalesce(abs(sim - sim2) <= 0.2500001, true)")
-    more = more.select(F.col("ref").alias("a"), F.col("ref2").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    return checked.unionByName(stored(verified(more, texts), "pairs-2")).where(good)
+    own = sets.where("n > 0").join(wanted, "ref", "left_semi").groupBy("ref").agg(*[F.min(c).alias(c) for c in ("n", "words", "wide")])
+    own = stored(own, "sketches")
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among pairs (a, b), each once, that sizes and sketches allow."""
+        x, y = (own.select(*[F.col(c).alias(side + c) for c in own.columns]) for side in ("x", "y"))
+        near = pairs.distinct().join(y, F.col("b") == F.col("yref")).join(x, F.col("a") == F.col("xref"))
+        near = near.where((4 * F.least("xn", "yn") >= 3 * F.greatest("xn", "yn")) & (7 * sketch_distance("xwords", "ywords") <= F.col("xn") + F.col("yn")))
+        near = near.where(F.pandas_udf(_may_match, "boolean")("xwide", "ywide", F.col("xn") + F.col("yn"))).select("a", "b")
+        return stored_in_small_batches(verified(near, texts).where("100 * both >= 75 * either"), name)
+
+    # a list's pivot is its least member, so all lists with one pivot are one neighbourhood that holds their pairs
+    pivots = lists.groupBy("lid").agg(F.min("ref").alias("a"))
+    around = stored(lists.join(pivots, "lid").select("a", F.col("ref").alias("b")).distinct(), "neighbourhoods")
+    found = checked(around.where("a <> b"), "links-1")
+
+    def open_rows(rows: DataFrame, name: str) -> DataFrame:
+        """rows (a, ref) of neighbourhoods with several classes: class, members, whether outside the largest class."""
+        comp = stored(components(found), "classes")
+        placed = rows.join(comp, "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
+        main = placed.groupBy("a", "comp").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("comp", F.col("c")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("members")).where("k > 1")
+        return stored(placed.join(main.select("a", "main", "members"), "a").withColumn("minor", F.col("comp") != F.col("main")).drop("main"), name)
+
+    def meet(left: DataFrame, right: DataFrame, once: str) -> DataFrame:
+        """Pairs (a, b) of different classes of a neighbourhood that sizes and sketches allow."""
+        x, y = (side.select("a", *[F.col(c).alias(k + c) for c in ("ref", "n", "comp", "minor", "pivot", "words")]) for k, side in (("x", left), ("y", right)))
+        pair = F.expr(f"xcomp <> ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn) and {once}")
+        got = x.join(y, "a").where(pair & (7 * sketch_distance("xwords", "ywords") <= F.col("xn") + F.col("yn")))
+        return got.select(F.least("xref", "yref").alias("a"), F.greatest("xref", "yref").alias("b"))
+
+    # about PIVOTS members of each open neighbourhood, by hash, meet the others: that leaves few classes of a large one
+    rest = open_rows(around.withColumnRenamed("b", "ref"), "open-1").join(own.drop("wide"), "ref")
+    rest = stored(rest.withColumn("pivot", F.pmod(F.xxhash64("ref"), F.ceil(F.col("members") / PIVOTS)) == 0), "open-1-sketches")
+    found = found.unionByName(checked(meet(rest.where("pivot"), rest, "(not ypivot or xref < yref)"), "links-2"))
+    # one side is outside the neighbourhood's largest class; of two such sides each pair comes once
+    rest = open_rows(rest.select("a", "ref", "n", "words", "pivot"), "open-2")
+    last = meet(rest.where("minor"), rest, "not (xpivot or ypivot) and (not yminor or xref < yref)")
+    return found.unionByName(checked(last, "links-3"))
 
 
 def _repeats(sets: DataFrame) -> bool:
