@@ -1,11 +1,417 @@
-"""All ledger queries with their SQL."""
+"""All ledger queries by name, each over its whole tables, with the same query as DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import scalar
+from .operators import asof, clusters, folds, graph, labels, risk, sequences, store
+from .plans import sql_surface, views
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: An address and an asset that the derived views hold at every scale.
+SUBJECT, ASSET = "u7", "purchase"
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ", ".join(parts) + " "
+
+
+_SUM = "CAST(sum(amount_raw) AS DECIMAL(38,0))"
+
+# --- scans and sinks
+
+
+@_query(_with(views.LEDGER) + "SELECT tx_hash, block, sender, recipient, amount_raw FROM ledger WHERE amount_raw >= 1000 AND block >= 10 AND kind = 'token' ORDER BY amount_raw DESC, tx_hash LIMIT 50 OFFSET 5")
+def src01_scan(spark: SparkSession, d: str) -> DataFrame:
+    q = store.Scan(chain=views.CHAIN, min_raw=1000, from_block=10, kinds=("token",), order="amount", limit=50, offset=5)
+    return store.scan(views.ledger(spark, d), q).select("tx_hash", "block", "sender", "recipient", "amount_raw")
+
+
+@_query(_with(views.LEDGER) + "SELECT count(*) AS n FROM ledger WHERE sender = 'u7' OR recipient = 'u7'")
+def src02_count(spark: SparkSession, d: str) -> DataFrame:
+    return store.count(views.ledger(spark, d), store.Scan(address=SUBJECT))
+
+
+@_query(_with(views.CLAIMS) + "SELECT * FROM claims WHERE address = 'u21'")
+def src03_claims(spark: SparkSession, d: str) -> DataFrame:
+    return labels.by_address(views.claims(spark, d), "u21")
+
+
+@_query(_with(views.LEDGER, "m AS (SELECT DISTINCT chain, ts // 3600 * 3600 AS ts FROM ledger)", "b AS (SELECT chain, ts, max(block) AS block FROM ledger GROUP BY ALL)") + "SELECT m.chain, m.ts, b.block AS found, b.ts AS found_at FROM m ASOF LEFT JOIN b ON m.chain = b.chain AND m.ts >= b.ts")
+def src23_block_at(spark: SparkSession, d: str) -> DataFrame:
+    ledger = views.ledger(spark, d)
+    return asof.block_at(ledger, ledger.select("chain", (F.floor(F.col("ts") / 3600) * 3600).alias("ts")).distinct())
+
+
+@_query(_with(views.KLINES) + "SELECT symbol, count(*) AS minutes, min(minute_no) AS first_minute, max(minute_no) AS last_minute FROM klines GROUP BY symbol")
+def src25_rate_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return asof.rate_coverage(views.klines(spark, d))
+
+
+@_query(_with(views.GAPPY) + "SELECT tx_hash, block FROM gappy WHERE block % 3 = 0 AND (block % 2 <> 0 OR sender IS NULL OR recipient IS NULL)")
+def snk01_new_transfers(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.gappy_ledger(spark, d)
+    return store.new_transfers(rows.where("block % 3 = 0"), rows.where("block % 2 = 0")).select("tx_hash", "block")
+
+
+@_query(_with(views.CLAIMS) + "SELECT address, source, label FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY observed_at DESC, source DESC) AS r FROM claims) WHERE r = 1")
+def snk03_latest(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.claims(spark, d).withColumn("at", F.struct("observed_at", "source"))
+    return store.latest(rows, ["address"], "at").select("address", "source", "label")
+
+
+@_query(_with(views.LEDGER) + f"SELECT symbol, CAST({_SUM} AS VARCHAR) AS total_raw FROM ledger GROUP BY symbol")
+def snk04_emitted(spark: SparkSession, d: str) -> DataFrame:
+    return sql_surface.emitted(views.ledger(spark, d).groupBy("symbol").agg(F.sum("amount_raw").cast(store.RAW).alias("total_raw")))
+
+
+# --- predicates
+
+_EDGES = f"""edges AS (SELECT chain, sender AS subject, recipient AS counterparty, asset, {_SUM} AS total_raw, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts,
+  arg_min(symbol, block) AS symbol FROM ledger WHERE sender IS NOT NULL AND recipient IS NOT NULL GROUP BY ALL)"""
+
+
+@_query(_with(views.LEDGER, _EDGES) + "SELECT count(*) FILTER (WHERE k) AS kept, count(*) FILTER (WHERE NOT k) AS dropped FROM (SELECT total_raw >= 500 AND (lower(coalesce(asset, '')) = 'purchase' OR lower(symbol) = 'purchase') AND last_ts >= 1704800000 AS k FROM edges)")
+def prd02_sift(spark: SparkSession, d: str) -> DataFrame:
+    return store.sift(store.edges(views.ledger(spark, d)), asset=ASSET, since=1704800000, min_raw=500)
+
+
+@_query(_with(views.LEDGER, _EDGES) + "SELECT subject, counterparty, asset, total_raw, total_raw < floor(max(total_raw) OVER (PARTITION BY subject, asset) * 0.2::DECIMAL(10,8)) AS dust FROM edges")
+def prd03_dust_floor(spark: SparkSession, d: str) -> DataFrame:
+    return store.dust_floor(store.edges(views.ledger(spark, d)), 0.2).select("subject", "counterparty", "asset", "total_raw", "dust")
+
+
+@_query(_with(views.LEDGER, views.CLAIMS, "h AS (SELECT DISTINCT address FROM claims WHERE category = 'mixer' AND confidence >= 3)") + "SELECT tx_hash, CASE WHEN sender IN (FROM h) THEN 'sender' ELSE 'recipient' END AS because FROM ledger WHERE sender IN (FROM h) OR recipient IN (FROM h)")
+def prd06_touching(spark: SparkSession, d: str) -> DataFrame:
+    return labels.touching(views.ledger(spark, d), views.claims(spark, d), "mixer").select("tx_hash", "because")
+
+
+@_query(_with(views.LEDGER, views.CLAIMS) + "SELECT tx_hash, CASE WHEN sender = 'u7' THEN recipient ELSE sender END AS other FROM ledger WHERE (sender = 'u7' OR recipient = 'u7') AND CASE WHEN sender = 'u7' THEN recipient ELSE sender END NOT IN (SELECT address FROM claims)")
+def prd08_unknown_counterparty(spark: SparkSession, d: str) -> DataFrame:
+    return labels.unknown_counterparty(views.ledger(spark, d), views.claims(spark, d), SUBJECT).select("tx_hash", "other")
+
+
+@_query(_with(views.UTXO, "i AS (SELECT txid, count(*) AS inputs FROM inputs GROUP BY 1)", "o AS (SELECT txid, max(c) AS equal FROM (SELECT txid, amount, count(*) AS c FROM outputs GROUP BY 1, 2) GROUP BY 1)") + "SELECT i.txid, inputs, coalesce(equal, 0) AS equal, inputs >= 3 AND coalesce(equal, 0) >= 2 AS coinjoin FROM i LEFT JOIN o ON i.txid = o.txid")
+def prd10_coinjoins(spark: SparkSession, d: str) -> DataFrame:
+    return graph.coinjoins(views.utxo_inputs(spark, d), views.utxo_outputs(spark, d), 2, 3)
+
+
+@_query(_with(views.LEDGER) + "SELECT 'large' AS watch, 'urgent' AS severity, block, tx_hash, log_index, amount_raw FROM ledger WHERE block > 5 AND block <= 5000 AND amount_raw > 20000 UNION ALL SELECT 'bought', 'info', block, tx_hash, log_index, amount_raw FROM ledger WHERE block > 5 AND block <= 5000 AND amount_raw > 5000 AND symbol = 'purchase'")
+def prd05_watches(spark: SparkSession, d: str) -> DataFrame:
+    return labels.evaluate(views.ledger(spark, d), [("large", "urgent", labels.amount_over(20000)), ("bought", "info", labels.amount_over(5000, ASSET))], 5, 5000)
+
+
+# --- joins
+
+
+@_query(_with(views.LEDGER, views.EXPANDED) + "SELECT chain, address FROM (SELECT chain, sender AS address FROM ledger UNION SELECT chain, recipient FROM ledger) WHERE address IS NOT NULL AND (chain, address) NOT IN (SELECT (chain, address) FROM expanded)")
+def j01_frontier(spark: SparkSession, d: str) -> DataFrame:
+    return store.frontier(views.ledger(spark, d), views.expanded(spark, d))
+
+
+@_query()
+def j02_match_withdrawals(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.match_withdrawals(views.pool_events(spark, d, "purchase"), views.pool_events(spark, d, "signup"))
+
+
+@_query(_with(views.POOLS) + "SELECT d.pool, d.tx, count(w.tx) AS anonymity_set FROM deposits d LEFT JOIN withdrawals w ON w.pool = d.pool AND (w.block, w.idx) > (d.block, d.idx) AND w.block - d.block <= 100 GROUP BY 1, 2")
+def j02_anonymity_sets(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.anonymity_sets(views.pool_events(spark, d, "purchase"), views.pool_events(spark, d, "signup"))
+
+
+@_query(_with(views.POOLS) + "SELECT d.address, d.tx AS deposit, arg_min(w.tx, w.block) AS withdrawal FROM deposits d JOIN withdrawals w ON w.address = d.address AND w.block > d.block GROUP BY 1, 2")
+def j03_address_reuse(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.address_reuse(views.pool_events(spark, d, "purchase"), views.pool_events(spark, d, "signup"))
+
+
+@_query(_with(views.LEDGER, views.POOLS, "a AS (SELECT DISTINCT address AS depositor FROM deposits)", "b AS (SELECT DISTINCT address AS receiver FROM withdrawals)") + """SELECT depositor, receiver, arg_min(tx_hash, block) AS tx_hash, count(DISTINCT tx_hash) AS n FROM (
+  SELECT depositor, receiver, block, tx_hash FROM ledger JOIN a ON sender = depositor JOIN b ON recipient = receiver WHERE sender <> recipient
+  UNION ALL SELECT depositor, receiver, block, tx_hash FROM ledger JOIN a ON recipient = depositor JOIN b ON sender = receiver WHERE sender <> recipient) GROUP BY 1, 2""")
+def j04_linked_by_transfer(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.linked_by_transfer(views.pool_events(spark, d, "purchase"), views.pool_events(spark, d, "signup"), views.ledger(spark, d))
+
+
+@_query(_with(views.LEDGER) + "SELECT a.tx_hash AS deposit, b.tx_hash AS payment FROM ledger a JOIN ledger b ON b.ts BETWEEN a.ts + 300 AND a.ts + 2700 AND b.amount_raw >= a.amount_raw * 0.94::DOUBLE AND b.amount_raw <= a.amount_raw WHERE a.symbol = 'purchase' AND b.symbol = 'signup'")
+def j06_payouts(spark: SparkSession, d: str) -> DataFrame:
+    ledger = views.ledger(spark, d)
+    ins = ledger.where("symbol = 'purchase'").select(F.col("tx_hash").alias("deposit"), F.col("ts").alias("at"), F.col("amount_raw").cast("double").alias("expected"))
+    outs = ledger.where("symbol = 'signup'").select(F.col("tx_hash").alias("payment"), F.col("ts").alias("paid_at"), F.col("amount_raw").cast("double").alias("paid"))
+    return asof.payouts(ins, outs).select("deposit", "payment")
+
+
+@_query(_with(views.DECIMALS, "m AS (SELECT DISTINCT token, block // 10 * 10 AS block FROM token_decimals)") + "SELECT m.token, m.block, t.decimals AS in_force, t.block AS in_force_at FROM m ASOF LEFT JOIN token_decimals t ON m.token = t.token AND m.block >= t.block")
+def j08_decimals_in_force(spark: SparkSession, d: str) -> DataFrame:
+    readings = views.token_decimals(spark, d)
+    asked = readings.select("token", (F.floor(F.col("block") / 10) * 10).alias("block")).distinct()
+    return asof.backward(asked, readings, "token", "block", "decimals", "in_force")
+
+
+_FIRST = """funders AS (SELECT recipient AS address, arg_min(sender, block) AS funder, arg_min(tx_hash, block) AS tx_hash, min(block) AS block, arg_min(amount_raw, block) AS amount_raw
+  FROM ledger WHERE sender IS NOT NULL AND recipient IS NOT NULL AND sender <> recipient GROUP BY 1)"""
+
+
+@_query(_with(views.LEDGER, _FIRST) + "SELECT a.funder, a.address AS a, b.address AS b FROM funders a JOIN funders b ON a.funder = b.funder AND a.address < b.address WHERE a.funder IN (SELECT funder FROM funders GROUP BY 1 HAVING count(*) <= 50) AND a.amount_raw > 0 AND b.amount_raw > 0 AND abs(a.block - b.block) <= 400 AND least(a.amount_raw, b.amount_raw)::DOUBLE >= greatest(a.amount_raw, b.amount_raw)::DOUBLE * 0.5::DOUBLE")
+def j09_batch_funded(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.batch_funded(clusters.first_funders(views.ledger(spark, d)), 400, 0.5)
+
+
+@_query()
+def j10_valued(spark: SparkSession, d: str) -> DataFrame:
+    return asof.valued(views.ledger(spark, d), views.klines(spark, d))
+
+
+@_query(_with(views.LEDGER, "a AS (SELECT DISTINCT sender, symbol FROM ledger WHERE block % 2 = 0)", "b AS (SELECT DISTINCT sender, symbol FROM ledger WHERE block % 3 = 0)") + "SELECT coalesce(a.sender, b.sender) AS sender, coalesce(a.symbol, b.symbol) AS symbol, CASE WHEN a.sender IS NULL THEN 'second' WHEN b.sender IS NULL THEN 'first' ELSE 'both' END AS seen_in FROM a FULL JOIN b ON a.sender = b.sender AND a.symbol = b.symbol")
+def j11_corroborate(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.ledger(spark, d)
+    return store.corroborate(rows.where("block % 2 = 0"), rows.where("block % 3 = 0"), ["sender", "symbol"])
+
+
+# --- aggregates
+
+
+@_query(_with(views.LEDGER, _EDGES) + "SELECT * FROM edges WHERE total_raw >= 100")
+def a01_edges(spark: SparkSession, d: str) -> DataFrame:
+    return store.edges(views.ledger(spark, d), min_total=100)
+
+
+@_query(_with(views.LEDGER) + f"SELECT sender, recipient, asset, symbol, chain, {_SUM} AS total_raw, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM ledger GROUP BY ALL HAVING sum(amount_raw) >= 100")
+def a02_flows(spark: SparkSession, d: str) -> DataFrame:
+    return store.flows(views.ledger(spark, d), min_total=100)
+
+
+@_query(_with(views.LEDGER) + "SELECT chain, asset, symbol, CAST(sum(amount_raw * 100000000000000000000::DECIMAL(38,0)) AS VARCHAR) AS total_raw, count(*) AS n FROM (SELECT * REPLACE (CAST(amount_raw AS DECIMAL(18,0)) AS amount_raw) FROM ledger) GROUP BY ALL")
+def a03_totals_by_asset(spark: SparkSession, d: str) -> DataFrame:
+    big = views.ledger(spark, d).withColumn("amount_raw", (F.col("amount_raw").cast("decimal(17,0)") * F.lit("100000000000000000000").cast("decimal(21,0)")).cast(store.RAW))
+    return store.totals_by_asset(big).withColumn("total_raw", F.col("total_raw").cast("string"))
+
+
+@_query(_with(views.LEDGER) + "SELECT address, other, count(*) AS n, count(DISTINCT coalesce(asset, symbol)) AS assets FROM (SELECT sender AS address, recipient AS other, asset, symbol FROM ledger UNION ALL SELECT recipient, sender, asset, symbol FROM ledger) GROUP BY 1, 2")
+def a04_counterparties(spark: SparkSession, d: str) -> DataFrame:
+    return store.counterparties(views.ledger(spark, d))
+
+
+@_query(_with(views.GAPPY, views.CLAIMS) + "SELECT count(*) AS transfers, count(DISTINCT chain) AS chains, min(ts) AS first_ts, max(ts) AS last_ts, (SELECT count(*) FROM (SELECT sender FROM gappy WHERE sender IS NOT NULL UNION SELECT recipient FROM gappy WHERE recipient IS NOT NULL)) AS addresses, (SELECT count(*) FROM claims) AS claims FROM gappy")
+def a05_stats(spark: SparkSession, d: str) -> DataFrame:
+    return store.stats(views.gappy_ledger(spark, d), views.claims(spark, d))
+
+
+@_query(_with(views.CLAIMS) + "SELECT category, source, count(*) AS n, count(*) FILTER (WHERE confidence <= 1) AS low_confidence FROM claims GROUP BY 1, 2")
+def a07_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return labels.histogram(views.claims(spark, d))
+
+
+@_query(_with(views.LEDGER, views.CLAIMS) + "SELECT count(*) AS addresses, count(*) FILTER (WHERE k) AS labelled, count(*) FILTER (WHERE NOT k) AS unlabelled FROM (SELECT address IN (SELECT address FROM claims) AS k FROM (SELECT sender AS address FROM ledger UNION SELECT recipient FROM ledger))")
+def a07_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return labels.coverage(store.addresses(views.ledger(spark, d)), views.claims(spark, d))
+
+
+@_query(_with(views.CLAIMS) + """SELECT address, label, category, confidence, source, n_claims, disputed FROM (SELECT *, count(*) OVER w AS n_claims,
+  (SELECT count(DISTINCT c.category) > 1 FROM claims c WHERE c.address = claims.address AND c.confidence >= 3 AND c.category <> 'sanctioned') AS disputed,
+  row_number() OVER (PARTITION BY address ORDER BY category = 'sanctioned' DESC, confidence DESC, category <> 'unknown' DESC, observed_at DESC, source DESC, label DESC) AS r FROM claims WINDOW w AS (PARTITION BY address)) WHERE r = 1""")
+def a11_merged_claims(spark: SparkSession, d: str) -> DataFrame:
+    return labels.merged(views.claims(spark, d))
+
+
+_SIDES = "sides AS (SELECT sender AS address, recipient AS other FROM ledger UNION ALL SELECT recipient, sender FROM ledger)"
+
+
+@_query(_with(views.LEDGER, _SIDES) + "SELECT address, count(DISTINCT other) AS degree FROM sides GROUP BY 1 HAVING count(DISTINCT other) > 25")
+def a13_hubs(spark: SparkSession, d: str) -> DataFrame:
+    return graph.hubs(views.ledger(spark, d))
+
+
+@_query(_with(views.LEDGER, _SIDES) + "SELECT address, count(DISTINCT other) AS peers FROM sides WHERE address <> other GROUP BY 1 HAVING count(DISTINCT other) >= 40")
+def a14_service_shaped(spark: SparkSession, d: str) -> DataFrame:
+    return graph.service_shaped(views.ledger(spark, d))
+
+
+@_query(_with(views.LEDGER, _FIRST) + "SELECT * FROM funders")
+def a15_first_funders(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.first_funders(views.ledger(spark, d))
+
+
+@_query(_with(views.LEDGER, _FIRST) + f"SELECT funder, count(DISTINCT address) AS size, {_SUM} AS funded_raw, min(address) AS first_address, count(DISTINCT address) > 50 AS service FROM funders GROUP BY 1")
+def a17_funder_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.funder_clusters(clusters.first_funders(views.ledger(spark, d)))
+
+
+@_query(_with(views.LEDGER, "p AS (SELECT * FROM ledger WHERE sender <> recipient)", "paid AS (SELECT recipient AS member, sum(amount_raw) AS from_seed FROM p WHERE sender = 'u7' GROUP BY 1)", "o AS (SELECT DISTINCT sender AS member, recipient AS hub FROM p WHERE recipient <> 'u7')") + "SELECT hub, count(*) AS fan_in, CAST(sum(from_seed) AS DECIMAL(38,0)) AS total_raw FROM paid JOIN o ON paid.member = o.member GROUP BY 1 HAVING count(*) >= 3")
+def a20_consolidation(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.consolidation(views.ledger(spark, d), SUBJECT)
+
+
+@_query()
+def a21_activity(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.activity(views.ledger(spark, d))
+
+
+@_query()
+def a27_contributors(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.contributors(views.ledger(spark, d), SUBJECT, "u3")
+
+
+@_query(_with(views.DISTRIBUTIONS, "s AS (SELECT recipient, CAST(floor(amount_raw * 10000 / sum(amount_raw) OVER (PARTITION BY tx)) AS BIGINT) AS bps FROM (SELECT * REPLACE (CAST(amount_raw AS BIGINT) AS amount_raw) FROM distributions))") + "SELECT recipient, count(*) AS appearances, CAST(floor(median(bps)) AS BIGINT) AS median_bps, max(bps) - min(bps) AS spread_bps, count(*) >= 4 AND floor(median(bps)) >= 5 AND max(bps) - min(bps) <= floor(median(bps)) * 0.05::DOUBLE AS stable FROM s GROUP BY 1")
+def a28_splits(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.splits(views.distributions(spark, d))
+
+
+@_query()
+def a30_pass_throughs(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.pass_throughs(views.ledger(spark, d))
+
+
+@_query("SELECT NULL::DECIMAL(38,0) AS total_raw, true AS mixed")
+def a35_unit_total(spark: SparkSession, d: str) -> DataFrame:
+    return store.unit_total(views.ledger(spark, d))
+
+
+# --- sequences
+
+_RUNS = """marked AS (SELECT *, row_number() OVER w AS pos, CASE WHEN amount_raw > lag(amount_raw) OVER w THEN 0 ELSE 1 END AS falls FROM hub WINDOW w AS (PARTITION BY sender, recipient, asset, decimals, symbol ORDER BY block)),
+isles AS (SELECT *, sum(falls) OVER (PARTITION BY sender, recipient, asset, decimals, symbol ORDER BY block) AS island FROM marked),
+runs AS (SELECT sender, recipient, asset, decimals, symbol, count(*) AS steps, min(pos) AS start, min(amount_raw) AS low, max(amount_raw) AS high FROM isles GROUP BY sender, recipient, asset, decimals, symbol, island),
+best AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY sender, recipient, asset, decimals, symbol ORDER BY steps DESC, start) AS r FROM runs) WHERE r = 1)"""
+
+
+@_query(_with(views.HUB, _RUNS) + "SELECT * FROM best")
+def w01_longest_runs(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.longest_runs(views.hub_ledger(spark, d))
+
+
+@_query()
+def w02_probes(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.probes(views.hub_ledger(spark, d))
+
+
+@_query()
+def w04_quiet_windows(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.quiet_windows(views.ledger(spark, d))
+
+
+@_query()
+def w05_trail(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.trail(views.ledger(spark, d))
+
+
+@_query(_with(views.LEDGER, _EDGES, "s AS (SELECT *, row_number() OVER (PARTITION BY subject, coalesce(asset, '') ORDER BY total_raw DESC, counterparty) AS rank, count(*) OVER (PARTITION BY subject, coalesce(asset, '')) AS group_size FROM edges)") + "SELECT subject, counterparty, asset, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY rank, group_size DESC, coalesce(asset, '')) AS place FROM s) WHERE place <= 5")
+def w06_strongest(spark: SparkSession, d: str) -> DataFrame:
+    return store.strongest(store.edges(views.ledger(spark, d)), 5).select("subject", "counterparty", "asset", "rank", "place")
+
+
+# --- folds and graphs
+
+
+def _seeds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(views.CHAIN, ASSET, SUBJECT, 50_000), (views.CHAIN, None, "u3", None)], "chain string, asset string, address string, amount long")
+
+
+@_query()
+def f01_taint(spark: SparkSession, d: str) -> DataFrame:
+    return folds.taint(views.ledger(spark, d), _seeds(spark))
+
+
+@_query()
+def f02_origins(spark: SparkSession, d: str) -> DataFrame:
+    return folds.origins(views.ledger(spark, d), SUBJECT)
+
+
+@_query()
+def g01_walk(spark: SparkSession, d: str) -> DataFrame:
+    return graph.walk(store.edges(views.ledger(spark, d)), spark.createDataFrame([(SUBJECT,)], "address string"))
+
+
+@_query()
+def g03_routes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.routes(views.ledger(spark, d), SUBJECT, "u3", max_hops=2, allow_hubs=True)
+
+
+@_query()
+def g05_layers(spark: SparkSession, d: str) -> DataFrame:
+    return graph.layers(store.edges(views.ledger(spark, d)), spark.createDataFrame([(SUBJECT,)], "address string"), 2)
+
+
+@_query()
+def g06_co_spend(spark: SparkSession, d: str) -> DataFrame:
+    return graph.co_spend(views.utxo_inputs(spark, d), views.utxo_outputs(spark, d))
+
+
+@_query()
+def g08_change_scores(spark: SparkSession, d: str) -> DataFrame:
+    return graph.change_scores(views.utxo_inputs(spark, d), views.utxo_outputs(spark, d))
+
+
+@_query()
+def g09_ancestry(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.ancestry(clusters.first_funders(views.ledger(spark, d)))
+
+
+@_query()
+def g10_backward_walk(spark: SparkSession, d: str) -> DataFrame:
+    return graph.backward_walk(store.edges(views.ledger(spark, d), "in"), SUBJECT, ASSET)
+
+
+# --- screening
+
+
+@_query()
+def r01_decisions(spark: SparkSession, d: str) -> DataFrame:
+    ledger = views.ledger(spark, d)
+    found = risk.exposures(store.edges(ledger, "in"), views.claims(spark, d), SUBJECT, ASSET)
+    item = F.struct("node", "hop", "share", "category", "confidence")
+    screens = found.agg(F.array_sort(F.collect_list(item)).alias("exposures")).withColumns({"address": F.lit(SUBJECT), "n_signals": F.lit(0), "complete": F.lit(True)})
+    return risk.decide(screens)
+
+
+@_query()
+def r02_shape_signals(spark: SparkSession, d: str) -> DataFrame:
+    return risk.shape_signals(views.ledger(spark, d))
+
+
+# --- scalar functions
+
+
+@_query("SELECT c_custkey, lower('0x' || upper(md5(c_name)) || substr(md5(c_name), 1, 8)) AS key, true AS valid FROM customer")
+def s01_address_key(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.lit("0x"), F.upper(F.md5(F.col("c_name").cast("binary"))), F.substring(F.md5(F.col("c_name").cast("binary")), 1, 8))
+    chain = F.lit(views.CHAIN)
+    return views.table(spark, d, "customer").select("c_custkey", scalar.address_key(chain, raw).alias("key"), scalar.valid_address(chain, raw).alias("valid"))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size < 2 THEN 0.0::DOUBLE ELSE 1 - exp(-(p_size::DOUBLE * (p_size - 1) / 2) / 4294967296.0::DOUBLE) END AS chance FROM part")
+def s02_collision_chance(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "part").select("p_partkey", scalar.collision_chance(F.col("p_size")).alias("chance"))
+
+
+@_query()
+def s03_human(spark: SparkSession, d: str) -> DataFrame:
+    return views.ledger(spark, d).select("tx_hash", scalar.human(F.col("amount_raw"), F.col("decimals")).alias("shown"))
+
+
+@_query()
+def s04_skeleton(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "part").select("p_partkey", scalar.skeleton(F.col("p_name")).alias("skeleton"), scalar.scripts(F.col("p_name")).alias("scripts"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
