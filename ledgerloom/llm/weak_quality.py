@@ -184,7 +184,7 @@ def fit_scorer(texts: pd.Series, shapes: pd.DataFrame, soft: np.ndarray, steps:
 def pattern_posteriors(voted: DataFrame) -> tuple[DataFrame, LabelModel]:
     """(votes, posterior) for each pattern that occurs, and the model. The patterns are bounded by the labellers."""
     rows = voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
-    patterns = np.array([r["votes"] for r in rows], dtype=int).reshape(len(rows), -1)
+    patterns = np.array([r["votes"] for r in rows], dtype=int).reshape(len(rows), len(rows[0]["votes"]) if rows else 1)
     model = fit_label_model(patterns, np.array([r["n"] for r in rows], dtype=float))
     post = model.posterior(patterns) if len(rows) else []
     spark = voted.sparkSession
@@ -206,7 +206,9 @@ def quality(docs: DataFrame) -> DataFrame:
     scorer = fit_scorer(pd.Series([r["text"] for r in rows], dtype=object), pd.DataFrame([r["_shape"].asDict() for r in rows]), np.array([r["posterior"] for r in rows]))
 
     def run(texts: pd.Series, shape: pd.DataFrame) -> pd.Series:
-        return pd.Series(scorer(texts, shape))
+        # some texts at a time: their features are held together
+        parts = [scorer(texts.iloc[k : k + 200].reset_index(drop=True), shape.iloc[k : k + 200]) for k in range(0, len(texts), 200)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     got = shaped.withColumn("score", F.pandas_udf(run, "double")(F.col("text"), F.col("_shape")))
     got = got.select("doc_id", "votes", "score").join(F.broadcast(table), "votes")
