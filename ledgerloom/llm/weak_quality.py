@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import batches, hash_words, stored
+from .base import batches, hash_words, stored_in_small_batches
 
 BITS = 16
 SHAPES = 8
@@ -194,7 +194,7 @@ def pattern_posteriors(voted: DataFrame) -> tuple[DataFrame, LabelModel]:
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, posterior (label model), score (linear scorer), keep: the mean of both is at least 1/2."""
     shaped = with_shape(docs.select("doc_id", "text")).withColumn("votes", votes(F.col("_shape")))
-    voted = stored(shaped.select("doc_id", "_shape", "votes", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t")), "votes")
+    voted = stored_in_small_batches(shaped.select("doc_id", "_shape", "votes", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t")), "votes")
     table, _ = pattern_posteriors(voted)
     soft = voted.join(F.broadcast(table), "votes")
     side = (F.col("posterior") >= 0.5).cast("int")
@@ -211,5 +211,5 @@ def quality(docs: DataFrame) -> DataFrame:
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     got = shaped.withColumn("score", F.pandas_udf(run, "double")(F.col("text"), F.col("_shape")))
-    got = got.select("doc_id", "votes", "score").join(F.broadcast(table), "votes")
+    got = stored_in_small_batches(got.select("doc_id", "votes", "score"), "scores").join(F.broadcast(table), "votes")
     return got.select("doc_id", "posterior", "score", ((F.col("posterior") + F.col("score")) / 2 >= KEEP).alias("keep"))
