@@ -6,6 +6,9 @@ the mix are seats: they go to sources by the highest quotients target / (2k + 1)
 turn, so every shard has integer quotas. The seats of a source take its blocks in a second seeded order, again from
 the front when all are taken, so a block is taken at most twice when targets stop at twice the size.
 
+`mix` gives the words that the seats take of each document, which may be part of one. `mixed_documents` takes documents
+whole and follows the sources' targets themselves, so the block length has no bearing on it.
+
 What is gathered in one place are the sources and the seats, never documents: positions of documents in their source's
 line come from running sums inside hash buckets plus the buckets' offsets, so a source with a third of all rows is
 spread like any other.
@@ -130,20 +133,28 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     return mix_plan(docs, seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def document_copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """(doc_id, skey, size, source_size, target, copies): how often the mix holds each document, whole. A source's line
+    is walked twice; a document is in while its middle is within the target, so that a source ends within half a
+    document of its target, however small it is and however large the others are."""
+    sized = stored(_sized(docs), "sizes")  # read three times below; the texts only here
+    targets = stored(with_targets(sized.groupBy("skey").agg(F.sum("size").alias("source_size"))), "targets")
+    places = positions(sized, seed).join(targets.select("skey", "source_size", "target"), "skey")
+    middle = F.col("start") + F.col("size") / F.lit(2.0)
+    copies = (middle <= F.col("target")).cast("int") + (middle + F.col("source_size") <= F.col("target")).cast("int")
+    return places.select("doc_id", "skey", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"))
+
+
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix as documents: a document taken whole once or twice is there as often, unchanged; what is taken of it
-    beyond whole copies is one more row, its first words joined by single spaces. Documents not taken go."""
-    plan = mix_plan(docs, seed).where("taken > 0").groupBy("doc_id", "size").agg(F.first("taken").alias("taken"))
-    rows = docs.withColumn("_size", n_words(F.col("text")))
-    rows = rows.join(plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_sz"), "taken"), F.expr("doc_id <=> _id and _size = _sz"))
-    copies = F.floor(F.col("taken") / F.col("_size")).cast("int")
-    rest = (F.col("taken") % F.col("_size")).cast("int")
-    parts = F.concat(F.array_repeat(F.lit(-1), copies), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("_part", F.explode(parts))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD_PATTERN})"), 1), F.lit(1), F.col("_part")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_part") < 0, F.col("text")).otherwise(cut))
-    rows = rows.withColumn("n_chars", F.when(F.col("_part") < 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(docs.columns)
+    """The mix as documents: each is there whole, unchanged, as often as it is taken (0, 1 or 2 times)."""
+    plan = document_copies(docs, seed)
+    # repeated rows of an id, size and source are counted off, so that each has its own place
+    plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "size", "skey").orderBy(F.desc("copies")))).where("copies > 0")
+    rows = docs.select("*", n_words(F.col("text")).alias("_size"), _source_key(F.col("source")).alias("_source"))
+    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_size", "_source").orderBy(F.xxhash64("text"))))
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_sz"), F.col("skey").alias("_skey"), "_nth", F.col("copies").alias("_copies"))
+    got = rows.join(plan, F.expr("doc_id <=> _id and _size = _sz and _source = _skey and _row = _nth"))
+    return got.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
 #: The same mix for DuckDB; the window over a whole source is fine there.

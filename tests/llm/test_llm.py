@@ -141,6 +141,21 @@ def test_mix_meets_its_targets(documents):
     assert (abs(by["taken"] - by["target"]) <= 0.02 * by["target"] + 100).all()
 
 
+def test_mixed_documents_are_whole_and_near_target(spark):
+    rows = [(i, "\n".join(f"w{i} {j}  x" for j in range(10 + i % 90)), "en", "hot", i) for i in range(2000)]
+    rows += [(5000 + i, f"small {i}\nsource", "en", f"tiny{i:03d}", i) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:3] + [(None, "a\nb", "en", None, 1)] * 2 + [(9000, None, "en", "hot", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    plan = apportion.document_copies(docs).toPandas()
+    assert plan["copies"].isin([0, 1, 2]).all()
+    plan["taken"] = plan["copies"] * plan["size"]
+    by = plan.assign(source=plan["skey"].map(str)).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
+    assert (abs(by["taken"] - by["target"]) <= by["most"] / 2 + 1e-6).all()
+    got = apportion.mixed_documents(docs).toPandas()
+    assert set(got["text"]) <= {r[1] for r in rows} | {"a\nb"}
+    assert len(got) == plan["copies"].sum()
+    assert got["source"].str.startswith("tiny").sum() == 120
+
+
 def test_ring_balances(documents):
     got = hash_ring.assign(documents).toPandas()
     counts = got["shard"].value_counts()
