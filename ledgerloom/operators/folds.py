@@ -21,13 +21,14 @@ POLICIES = ("fifo", "haircut", "poison")
 KEYS = ("chain", "asset")
 
 
-def reachable(ledger: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
-    """(chain, asset, address) that a seed's money can reach: payments at or after the earliest arrival, per asset."""
+def reachable(ledger: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(chain, asset, address) that a seed's money can reach: payments at or after the earliest arrival, per asset.
+    A round is one hop; they go on until nothing is new or earlier, which ends as both only move one way."""
     rows = ledger.where("sender is not null and recipient is not null and amount_raw > 0").select("chain", F.coalesce("asset", F.lit("")).alias("asset"), "sender", "recipient", F.coalesce("block", F.lit(0)).alias("block"))
     best = rows.groupBy("chain", "asset", "sender", "recipient").agg(F.max("block").alias("last"), F.min("block").alias("first"))
     seen = cut(seeds.select("chain", F.coalesce("asset", F.lit("")).alias("asset"), "address", F.lit(0).cast("long").alias("at")).distinct())
-    size = -1
-    for _ in range(most):
+    size = None
+    while True:
         step = seen.join(best, [seen["chain"] == best["chain"], seen["asset"] == best["asset"], seen["address"] == best["sender"], best["last"] >= seen["at"]]).select(seen["chain"], seen["asset"], F.col("recipient").alias("address"), F.greatest("first", "at").alias("at"))
         seen = cut(seen.unionByName(step).groupBy("chain", "asset", "address").agg(F.min("at").alias("at")))
         now = seen.agg(F.count("*"), F.sum("at")).first()

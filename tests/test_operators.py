@@ -40,6 +40,13 @@ def test_taint_job(spark):
     assert got == {(a, p): h for p in folds.POLICIES for a, h in (("a", 0), ("b", 10))}
 
 
+def test_taint_follows_long_relays(spark):
+    rows = ledger(spark, [(f"a{i}", f"a{i + 1}", 10, i + 1) for i in range(53)])
+    seeds = spark.createDataFrame([("c", "X", "a0", 10)], "chain string, asset string, address string, amount long")
+    got = {r.address: int(r.held) for r in folds.taint(rows, seeds, ("fifo",)).where("held > 0").collect()}
+    assert got == {"a53": 10}
+
+
 def test_routes_respect_time(spark):
     rows = ledger(spark, [("a", "x", 1, 10), ("x", "b", 1, 5), ("a", "y", 1, 10), ("y", "b", 1, 20)])
     assert [r.path for r in graph.routes(rows, "a", "b").collect()] == ["a>y>b"]
