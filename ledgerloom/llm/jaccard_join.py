@@ -12,15 +12,19 @@ some members of each neighbourhood, about equally many however large it is, meet
 meets in pairs: members of different classes of a neighbourhood, at least one of them outside the largest class.
 Before any text is read, sizes and a parity sketch must allow a link: every element that two sets don't share flips
 one of the sketch's bits, so a pair whose sketches differ in more bits than a link may differ in elements can't link.
-Identical sets are one class from the start. So no link is lost, and a group of thousands of near copies costs a few
-comparisons a copy.
+Identical sets are one class from the start, and only one text of each set is read after the first pass. So no link is
+lost, and a group of thousands of near copies costs a few comparisons a copy.
+
+Classes grow step by step: new links are first contracted to the classes they join, so later rounds see the few that
+cross. Joins inside the loops are merge joins by hint: small tables then don't pile up as broadcasts on the driver.
 
 Lists of shingles are packed in buckets of about equal size (numpy inside tasks, Spark moves the buckets); those of
 frequent shingles go through grouped joins instead, which split hot keys.
 
 Defined cases: null and empty texts have the empty set, which links with nothing and is its own class; a text of one
-to four words is one shingle; rows with the same id belong to one document in results; a null id is kept and ranks
-behind all others for a class's id; extra columns are ignored.
+to four words is one shingle; every row is a document, also where ids repeat (with the same or other texts), and ids
+alone link nothing; a null id is kept, its texts link like others, and it ranks behind all ids for a class's id (a class
+of null ids only has a null id); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,15 +40,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import _mix, batches, shingle_sets, stored, stored_in_small_batches
+from .base import WORD_PATTERN, _mix, batches, release, shingle_sets, stored, stored_in_small_batches
 
 #: Link if 100 * intersection >= 75 * union: numerator and denominator of the overlap of two sets, 3/7 of all.
 NUM, DEN = 3, 4
 WIDTH = 5
 #: A shingle in so many different sets is frequent; of those, the most frequent so many are ordered last.
 FREQUENT, MOST_FREQUENT = 24, 1 << 19
-#: Shingles counted: those with hashes in this share of the range. Others rank as rare wherever they occur.
-COUNTED = 0.5
 BUCKET_TOKENS = 3 << 20
 #: 64-bit words of a set's parity sketch.
 SKETCH_WORDS = 32
@@ -115,15 +117,40 @@ def sketch_distance(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SKETCH_WORDS)])
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, text): tid tells the texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
+
+
 def set_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, ref, the sketch's words): size of each document's set, and the fingerprint that equal sets share."""
+    """(doc_id, tid, n, ref, the sketches): size of each document's set, and the fingerprint that equal sets share."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             sets = [s for _, part in batches(pdf["text"], lower=True) for s in shingle_sets(part, WIDTH)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": np.array([len(s) for s in sets], np.int64), "ref": np.array([_fingerprint(s) for s in sets], np.int64), "words": [_sketch(s) for s in sets], "wide": [_wide(s) for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tid": pdf["tid"], "n": np.array([len(s) for s in sets], np.int64), "ref": np.array([_fingerprint(s) for s in sets], np.int64), "words": [_sketch(s) for s in sets], "wide": [_wide(s) for s in sets]})
+
+    return _rows(docs).mapInPandas(run, "doc_id long, tid long, n long, ref long, words array<long>, wide binary")
+
+
+def _first_row() -> Column:
+    """The least row of a group, null ids last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid"))
+
+
+def _matching(docs: DataFrame, chosen: DataFrame, sets: DataFrame) -> DataFrame:
+    """docs' rows that `chosen` (doc_id, tid, ...) names, one for each, with chosen's other columns."""
+    rest = [c for c in chosen.columns if c not in ("doc_id", "tid")]
+    named = chosen.select(F.col("doc_id").alias("_near_doc"), F.col("tid").alias("_near_tid"), *rest)
+    got = docs.join(named, (F.xxhash64(docs["text"]) == F.col("_near_tid")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_near_doc")))
+    twice = sets.groupBy("doc_id", "tid").count().where("count > 1").limit(1).count()
+    return got.dropDuplicates(["_near_doc", "_near_tid"]) if twice else got
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, ref long, words array<long>, wide binary")
+
+def one_text_each(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(ref, text): one text of each set that isn't empty, so copies cost nothing later."""
+    first = sets.where("n > 0").groupBy("ref").agg(_first_row().alias("r")).select("r.doc_id", "r.tid", "ref")
+    return _matching(docs.select("doc_id", "text"), first, sets).select("ref", "text")
 
 
 def _keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -144,17 +171,16 @@ def _packed(parts: list[np.ndarray], *columns: list[np.ndarray]) -> pd.DataFrame
     return pd.DataFrame(out)
 
 
-def frequent_shingles(docs: DataFrame, buckets: int) -> DataFrame:
-    """(key, df): shingles in at least FREQUENT documents' sets, of the counted share."""
-    most = np.uint64(int(COUNTED * ((1 << 64) - 1)))
+def frequent_shingles(texts: DataFrame, buckets: int) -> DataFrame:
+    """(key, df): shingles in at least FREQUENT different sets."""
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf in frames:
             for _, part in batches(pdf["text"], lower=True):
-                for s in {_fingerprint(x): x for x in shingle_sets(part, WIDTH)}.values():
-                    held.append(_keys(s[: np.searchsorted(s, most)], buckets))
-                    size += len(held[-1])
+                for s in shingle_sets(part, WIDTH):
+                    held.append(_keys(s, buckets))
+                    size += len(s)
                 if size > 1 << 20:
                     yield _packed(held)
                     held, size = [], 0
@@ -167,7 +193,7 @@ def frequent_shingles(docs: DataFrame, buckets: int) -> DataFrame:
         keep = n >= FREQUENT
         return pd.DataFrame({"key": t[at][keep].astype(np.int64) | int(pdf["bucket"].iloc[0]) << 32, "df": n[keep]})
 
-    return docs.select("text").mapInPandas(emit, "bucket int, tokens binary").groupBy("bucket").applyInPandas(count, "key long, df long")
+    return texts.select("text").mapInPandas(emit, "bucket int, tokens binary").groupBy("bucket").applyInPandas(count, "key long, df long")
 
 
 class _Order:
@@ -199,7 +225,7 @@ class _Order:
         return _keys(np.array(out, np.uint64), self.buckets)
 
 
-def _postings(docs: DataFrame, order: _Order, frequent: bool) -> DataFrame:
+def _postings(texts: DataFrame, order: _Order, frequent: bool) -> DataFrame:
     """Packed postings of rare shingles and subsets, or rows (key, ref, n) of frequent shingles."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,13 +237,8 @@ def _postings(docs: DataFrame, order: _Order, frequent: bool) -> DataFrame:
             return pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "ref": np.concatenate(refs) if refs else np.zeros(0, np.int64), "n": np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)})
 
         for pdf in frames:
-            seen: set[int] = set()  # copies in a batch count once
-            for _, part in batches(pdf["text"], lower=True):
-                for s in shingle_sets(part, WIDTH):
-                    ref = _fingerprint(s)
-                    if not len(s) or ref in seen:
-                        continue
-                    seen.add(ref)
+            for first, part in batches(pdf["text"], lower=True):
+                for ref, s in zip(pdf["ref"].iloc[first : first + len(part)], shingle_sets(part, WIDTH), strict=True):
                     got = np.zeros(0, np.int64)
                     if DEN * len(s) >= NUM * (order.light + 1):
                         got = order.prefix(s)[int(frequent)]
@@ -233,7 +254,7 @@ def _postings(docs: DataFrame, order: _Order, frequent: bool) -> DataFrame:
                     keys, refs, sizes, held = [], [], [], 0
         yield flush()
 
-    return docs.select("text").mapInPandas(run, "key long, ref long, n long" if frequent else "bucket int, tokens binary, refs binary, sizes binary")
+    return texts.mapInPandas(run, "key long, ref long, n long" if frequent else "bucket int, tokens binary, refs binary, sizes binary")
 
 
 LISTS = "lid long, ref long, n long"
@@ -269,22 +290,24 @@ def _short_lists(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lid": np.repeat(sign, size)[rows], "ref": r[rows], "n": n[rows].astype(np.int64)})
 
 
-def candidate_lists(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def candidate_lists(texts: DataFrame, sets: DataFrame) -> DataFrame:
     """(lid, ref, n): every linked pair of different sets is together in one list at least."""
+    small = {r["n"]: r["c"] for r in sets.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_TOKENS))
-    small = {r["n"]: r["c"] for r in sets.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    counted = frequent_shingles(docs, buckets)
+    counted = frequent_shingles(texts, buckets)
     top = counted.orderBy(F.desc("df"), "key").limit(MOST_FREQUENT).toPandas()  # bounded: 8 MB of keys
-    light = boundary(small, 1 + float((top["df"].astype(float) ** 2).sum()) / max(1.0, total * COUNTED))
+    light = boundary(small, 1 + float((top["df"].astype(float) ** 2).sum()) / max(1.0, total))
     order = _Order(top["key"].to_numpy(np.int64), buckets, light)
-    short = _postings(docs, order, False).groupBy("bucket").applyInPandas(_short_lists, LISTS)
+    short = _postings(texts, order, False).groupBy("bucket").applyInPandas(_short_lists, LISTS)
     if not len(top):
         return stored(short.dropDuplicates(["lid", "ref"]), "lists")
-    long = stored(_postings(docs, order, True).dropDuplicates(["key", "ref"]), "frequent-postings")
+    long = stored(_postings(texts, order, True).dropDuplicates(["key", "ref"]), "frequent-postings")
     kinds = long.groupBy("key").agg(F.bit_xor(F.xxhash64("ref")).alias("lid"), F.count("*").alias("c")).where("c > 1").groupBy("lid").agg(F.min("key").alias("key"))
-    long = long.join(kinds, "key").select("lid", "ref", "n")
-    return stored(short.unionByName(long).dropDuplicates(["lid", "ref"]), "lists")
+    whole = long.join(kinds.hint("merge"), "key").select("lid", "ref", "n")
+    lists = stored(short.unionByName(whole).dropDuplicates(["lid", "ref"]), "lists")
+    release(long)
+    return lists
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -322,15 +345,15 @@ def components(links: DataFrame) -> DataFrame:
     """(ref, comp) of all ends of links (a, b): comp is the least ref reachable. Alternating stars (Kiveris and
     others, 2014): rounds grow with the logarithm of the graph, rows stay below the number of links."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        large = both.join(least.hint("merge"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stored(small, "edges")
+        old, edges = edges, stored(small, "edges")
+        release(old)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
@@ -339,72 +362,90 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("ref"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, both, either): verified links whose connected classes are those of all links between different sets."""
-    lists = candidate_lists(docs, sets)
+def joined_classes(classes: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+    """classes (ref, comp) after more links: those that cross classes are contracted to the classes' ids first."""
+    if classes is None:
+        return stored(components(links), name)
+    a, b = (classes.select(F.col("ref").alias(k), F.col("comp").alias(f"{k}_comp")).hint("merge") for k in "ab")
+    ends = links.select("a", "b").join(a, "a", "left").join(b, "b", "left")
+    ends = ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).where("a <> b")
+    top = stored(components(ends), f"{name}-top")
+    fresh = top.join(classes.select("ref").hint("merge"), "ref", "left_anti")
+    moved = classes.join(top.select(F.col("ref").alias("comp"), F.col("comp").alias("new")).hint("merge"), "comp", "left")
+    out = stored(moved.select("ref", F.coalesce("new", "comp").alias("comp")).unionByName(fresh), name)
+    release(classes, top)
+    return out
+
+
+def linked_classes(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(ref, comp) of all sets that link with another one: the classes of all links between different sets."""
+    texts = stored(one_text_each(docs, sets), "texts")
+    lists = candidate_lists(texts, sets)
     wanted = lists.select("ref").distinct()
-    reps = sets.where("n > 0 and doc_id is not null").groupBy("ref").agg(F.min("doc_id").alias("rep")).join(wanted, "ref")
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep").dropDuplicates(["ref"]) if _repeats(sets) else docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep")
-    texts = stored(rows.select("ref", "text"), "candidates")
-    own = sets.where("n > 0").join(wanted, "ref", "left_semi").groupBy("ref").agg(*[F.min(c).alias(c) for c in ("n", "words", "wide")])
+    own = sets.where("n > 0").join(wanted.hint("merge"), "ref", "left_semi").groupBy("ref").agg(*[F.min(c).alias(c) for c in ("n", "words", "wide")])
     own = stored(own, "sketches")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         """The links among pairs (a, b), each once, that sizes and sketches allow."""
-        x, y = (own.select(*[F.col(c).alias(side + c) for c in own.columns]) for side in ("x", "y"))
+        x, y = (own.select(*[F.col(c).alias(side + c) for c in own.columns]).hint("merge") for side in ("x", "y"))
         near = pairs.distinct().join(y, F.col("b") == F.col("yref")).join(x, F.col("a") == F.col("xref"))
         near = near.where((4 * F.least("xn", "yn") >= 3 * F.greatest("xn", "yn")) & (7 * sketch_distance("xwords", "ywords") <= F.col("xn") + F.col("yn")))
-        near = near.where(F.pandas_udf(_may_match, "boolean")("xwide", "ywide", F.col("xn") + F.col("yn"))).select("a", "b")
-        return stored_in_small_batches(verified(near, texts).where("100 * both >= 75 * either"), name)
+        near = stored(near.where(F.pandas_udf(_may_match, "boolean")("xwide", "ywide", F.col("xn") + F.col("yn"))).select("a", "b"), f"{name}-pairs")
+        found = stored_in_small_batches(verified(near, texts).where("100 * both >= 75 * either").select("a", "b"), name)
+        release(near)
+        return found
 
     # a list's pivot is its least member, so all lists with one pivot are one neighbourhood that holds their pairs
     pivots = lists.groupBy("lid").agg(F.min("ref").alias("a"))
-    around = stored(lists.join(pivots, "lid").select("a", F.col("ref").alias("b")).distinct(), "neighbourhoods")
-    found = checked(around.where("a <> b"), "links-1")
+    around = stored(lists.join(pivots.hint("merge"), "lid").select("a", F.col("ref").alias("b")).distinct(), "neighbourhoods")
+    release(lists)
+    classes = joined_classes(None, checked(around.where("a <> b"), "links-1"), "classes-1")
 
-    def open_rows(rows: DataFrame, name: str) -> DataFrame:
+    def open_rows(rows: DataFrame) -> DataFrame:
         """rows (a, ref) of neighbourhoods with several classes: class, members, whether outside the largest class."""
-        comp = stored(components(found), "classes")
-        placed = rows.join(comp, "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
+        placed = rows.join(classes.hint("merge"), "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
         main = placed.groupBy("a", "comp").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("comp", F.col("c")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("members")).where("k > 1")
-        return stored(placed.join(main.select("a", "main", "members"), "a").withColumn("minor", F.col("comp") != F.col("main")).drop("main"), name)
+        return placed.join(main.select("a", "main", "members").hint("merge"), "a").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
 
     def meet(left: DataFrame, right: DataFrame, once: str) -> DataFrame:
         """Pairs (a, b) of different classes of a neighbourhood that sizes and sketches allow."""
         x, y = (side.select("a", *[F.col(c).alias(k + c) for c in ("ref", "n", "comp", "minor", "pivot", "words")]) for k, side in (("x", left), ("y", right)))
         pair = F.expr(f"xcomp <> ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn) and {once}")
-        got = x.join(y, "a").where(pair & (7 * sketch_distance("xwords", "ywords") <= F.col("xn") + F.col("yn")))
+        got = x.join(y.hint("merge"), "a").where(pair & (7 * sketch_distance("xwords", "ywords") <= F.col("xn") + F.col("yn")))
         return got.select(F.least("xref", "yref").alias("a"), F.greatest("xref", "yref").alias("b"))
 
     # about PIVOTS members of each open neighbourhood, by hash, meet the others: that leaves few classes of a large one
-    rest = open_rows(around.withColumnRenamed("b", "ref"), "open-1").join(own.drop("wide"), "ref")
-    rest = stored(rest.withColumn("pivot", F.pmod(F.xxhash64("ref"), F.ceil(F.col("members") / PIVOTS)) == 0), "open-1-sketches")
-    found = found.unionByName(checked(meet(rest.where("pivot"), rest, "(not ypivot or xref < yref)"), "links-2"))
+    rest = open_rows(around.withColumnRenamed("b", "ref")).join(own.drop("wide").hint("merge"), "ref")
+    rest = stored(rest.withColumn("pivot", F.pmod(F.xxhash64("ref"), F.ceil(F.col("members") / PIVOTS)) == 0), "open-1")
+    classes = joined_classes(classes, checked(meet(rest.where("pivot"), rest, "(not ypivot or xref < yref)"), "links-2"), "classes-2")
     # one side is outside the neighbourhood's largest class; of two such sides each pair comes once
-    rest = open_rows(rest.select("a", "ref", "n", "words", "pivot"), "open-2")
-    last = meet(rest.where("minor"), rest, "not (xpivot or ypivot) and (not yminor or xref < yref)")
-    return found.unionByName(checked(last, "links-3"))
+    left = stored(open_rows(rest.select("a", "ref", "n", "words", "pivot")), "open-2")
+    release(around, rest)
+    last = meet(left.where("minor"), left, "not (xpivot or ypivot) and (not yminor or xref < yref)")
+    classes = joined_classes(classes, checked(last, "links-3"), "classes-3")
+    release(left, own, texts)
+    return classes
 
 
-def _repeats(sets: DataFrame) -> bool:
-    """Whether some id has several rows; then a text's set may differ from its id's first one."""
-    n, distinct = sets.agg(F.count("doc_id"), F.approx_count_distinct("doc_id", 0.01)).first()
-    return distinct < 0.97 * n or sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(each document's set, (ref, comp, component_id, the class's least row) of each set that isn't empty)."""
+    sets = stored(set_table(docs), "sets")
+    classes = sets.where("n > 0").groupBy("ref").agg(_first_row().alias("row"), F.min("doc_id").alias("least")).join(linked_classes(docs, sets).hint("merge"), "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
+    whole = classes.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("row").alias("row"))
+    return sets, classes.select("ref", "comp").join(whole.hint("merge"), "comp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per document."""
-    sets = stored(set_table(docs), "sets")
-    found = stored(links(docs, sets), "links")
-    comp = components(found)
-    classes = sets.where("n > 0").groupBy("ref").agg(F.min("doc_id").alias("least")).join(comp, "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
-    ids = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_ref = classes.join(ids, "comp").select("ref", "component_id")
-    full = sets.where("n > 0").join(by_ref, "ref").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    sets, classes = _classified(docs)
+    full = sets.where("n > 0").join(classes.select("ref", "component_id").hint("merge"), "ref").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: of each class of near duplicates the document with the least id stays."""
-    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    """The pipeline's stage: of each class of near duplicates the document with the least id stays (one row of it);
+    documents without words stay."""
+    sets, classes = _classified(docs)
+    empty = F.coalesce(~docs["text"].rlike(WORD_PATTERN), F.lit(True))
+    kept = _matching(docs.where(~empty), classes.select("row.doc_id", "row.tid").distinct(), sets.where("n > 0"))
+    return kept.select([docs[c] for c in docs.columns]).unionByName(docs.where(empty))

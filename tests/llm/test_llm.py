@@ -123,6 +123,39 @@ def test_jaccard_join_in_a_dense_group(spark):
     assert got == brute_classes(rows)
 
 
+def by_rows(rows):
+    """Classes of rows (id, text) whose ids may repeat or be null: every row is a document."""
+    classes = brute_classes([(k, t) for k, (_, t) in enumerate(rows)])
+    members = defaultdict(list)
+    for k, (_, c) in classes.items():
+        members[c].append(rows[k][0])
+    least = {c: min((d for d in ids if d is not None), default=None) for c, ids in members.items()}
+    return sorted(((rows[k][0], n, least[c]) for k, (n, c) in classes.items()), key=str)
+
+
+def test_jaccard_join_with_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(4, a), (4, b), (5, f"{a} more"), (6, f"{b} more"), (9, c), (None, f"one {c}"), (None, d), (None, f"{d} x"), (4, a), (12, "x y"), (11, "x y"), (None, None), (3, ""), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()), key=str)
+    assert got == by_rows(rows)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(4, a), (4, b), (9, c), (None, d) if (None, d) in kept else (None, f"{d} x"), (11, "x y"), (None, None), (3, "")], key=str)
+
+
+def test_jaccard_join_with_a_passage_in_every_document(spark):
+    """A passage that all texts share has shingles all over the hash range; they must rank last and cost no list."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(i, f"{passage} " + " ".join(f"t{x}" for x in rng.integers(0, 10**6, rng.integers(5, 300)))) for i in range(300)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:40]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == brute_classes(rows)
+
+
 @pytest.mark.parametrize("name", ["op4_apportion", "op8_line_index"])
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
