@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import cut
-from .store import sides
+from ..plans.session import cut, release
+from .store import RAW, sides
 
 
 def degrees(ledger: DataFrame) -> DataFrame:
@@ -68,6 +68,29 @@ def routes(ledger: DataFrame, source: str, target: str, max_hops: int = 3, max_r
     return ranked.withColumn("truncated", F.max("rank").over(Window.partitionBy(F.lit(1))) > max_routes).where(F.col("rank") <= max_routes).select("rank", "hops", "carries", F.concat_ws(">", "nodes").alias("path"), "truncated")
 
 
+def span_routes(spans: DataFrame, source: str, target: str, max_hops: int = 3, most: int = 40) -> DataFrame:
+    """Simple paths over aggregated edges (source, target, first, last): an edge can be used if its last payment isn't
+    before the arrival, which it moves to its first payment if that is later. The best `most` possible paths by hops and
+    names, each with how many paths there are by names alone and how many of those time rules out."""
+    e = cut(spans.where("source <> target").groupBy("source", "target").agg(F.min("first").alias("first"), F.max("last").alias("last")))
+    near = [cut(e.where(F.col("target") == target).select(F.col("source").alias("node")).distinct())]
+    for _ in range(max_hops - 2):
+        near.append(cut(e.join(near[-1], F.col("target") == F.col("node"), "left_semi").select(F.col("source").alias("node")).union(near[-1]).distinct()))
+    paths = e.where(F.col("source") == source).select(F.array("source", "target").alias("nodes"), F.col("target").alias("end"), F.col("first").alias("at"), F.lit(True).alias("possible"))
+    found = None
+    for hop in range(1, max_hops + 1):
+        done = paths.where(F.col("end") == target)
+        found = done if found is None else found.unionByName(done)
+        if hop < max_hops:
+            alive = paths.where(F.col("end") != target).join(near[max_hops - hop - 1], F.col("end") == F.col("node"), "left_semi")
+            step = alive.join(e, F.col("end") == F.col("source")).where(~F.array_contains("nodes", F.col("target")))
+            paths = cut(step.select(F.array_append("nodes", F.col("target")).alias("nodes"), F.col("target").alias("end"), F.greatest("at", "first").alias("at"), (F.col("possible") & (F.col("last") >= F.col("at"))).alias("possible")))
+    found = cut(found.select((F.size("nodes") - 1).alias("hops"), F.concat_ws(">", "nodes").alias("path"), "at", "possible"))
+    counts = found.agg(F.count("*").alias("paths"), F.count_if(~F.col("possible")).alias("impossible"))
+    best = found.where("possible").orderBy("hops", "path").limit(most)
+    return best.crossJoin(F.broadcast(counts)).select("hops", "path", F.col("at").alias("arrival"), "paths", "impossible")  # counts is one row
+
+
 def layers(edges: DataFrame, seeds: DataFrame, most: int = 6) -> DataFrame:
     """Signed depth: levels against the payments count down, levels along them count up; nodes that only the second
     walk could reach through nodes of the first stay out of it."""
@@ -81,22 +104,33 @@ def layers(edges: DataFrame, seeds: DataFrame, most: int = 6) -> DataFrame:
     return seen
 
 
+def _tangled(edges: DataFrame) -> bool:
+    """Whether some node has two parents, or a parent and children."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").limit(1).count() > 0
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with v < u, distinct, as one star for each component: every other node u with the least node v. Alternating
+    stars (Kiveris and others, 2014): rounds grow with the logarithm of the graph, rows stay below the number of edges.
+    Its joins are merge joins by hint: small tables then don't pile up as broadcasts on the driver."""
+    edges = cut(edges, "edges")
+    while _tangled(edges):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u")
+        small = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        old, edges = edges, cut(small, "edges")
+        release(old)
+    return edges
+
+
 def connected(pairs: DataFrame) -> DataFrame:
-    """(node, component) of an undirected graph (a, b): the least node reachable, by alternating stars."""
-    e = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    """(node, component) of an undirected graph (a, b): the least node reachable."""
+    e = stars(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     alone = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).where("node is not null").distinct()
-    state = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        e = cut(joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            break
-        state = now
-    return alone.join(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
+    return alone.join(e.select(F.col("u").alias("node"), F.col("v").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
 
 
 def co_spend(inputs: DataFrame, outputs: DataFrame, equal_outputs: int = 5, min_inputs: int = 5) -> DataFrame:
@@ -131,21 +165,47 @@ def change_scores(inputs: DataFrame, outputs: DataFrame, tx_counts: DataFrame |
     rows = rows.withColumn("score", score)
     rows = rows.withColumn("best", F.max("score").over(w)).withColumn("n_best", F.sum((F.col("score") == F.col("best")).cast("int")).over(w))
     change = (F.col("n_out") == 1) | ((F.col("score") == F.col("best")) & (F.col("n_best") == 1) & (F.col("score") > 0))
-    return rows.select("txid", "idx", F.col("score").cast("int").alias("score"), change.alias("is_change"))
-
-
-def backward_walk(edges_in: DataFrame, subject: str, asset: str | None, hops: int = 3, service_degree: int = 40) -> DataFrame:
-    """Where an address's money came from: (node, hop, share). Shares multiply along edges (parent share times the
-    edge's part of all inflow); a node counts at its first reach; services end the walk. edges_in: subject receives
-    from counterparty."""
-    own = edges_in.where(F.col("asset").eqNullSafe(F.lit(asset)) & (F.col("subject") != F.col("counterparty")))
-    part = own.withColumn("part", F.col("total_raw").cast("double") / F.sum("total_raw").over(Window.partitionBy("subject")).cast("double")).select("subject", "counterparty", "part")
-    peers = edges_in.groupBy(F.col("subject").alias("node")).agg((F.count_distinct("counterparty") >= service_degree).alias("service"))
-    part = cut(part)
-    seen = cut(part.sparkSession.createDataFrame([(subject, 0, 1.0)], "node string, hop int, share double"))
-    for hop in range(1, hops + 1):
-        at = seen.where(F.col("hop") == hop - 1).join(peers.where("service"), "node", "left_anti") if hop > 1 else seen.where("hop = 0")
-        step = at.join(part, F.col("node") == F.col("subject")).groupBy(F.col("counterparty").alias("node")).agg(F.sum(F.col("share") * F.col("part")).alias("share"))
-        fresh = step.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hop"), "share")
-        seen = cut(seen.unionByName(fresh))
-    return seen.join(peers, "node", "left").select("node", "hop", F.round("share", 9).alias("share"), F.coalesce("service", F.lit(False)).alias("service"))
+    return rows.select("txid", "idx", "address", "amount", F.col("score").cast("int").alias("score"), change.alias("is_change"))
+
+
+def peers(edges_in: DataFrame) -> DataFrame:
+    """(node, peers): distinct counterparties of each address in either direction, itself not counted."""
+    both = edges_in.select(F.col("subject").alias("node"), F.col("counterparty").alias("other")).unionByName(edges_in.select(F.col("counterparty").alias("node"), F.col("subject").alias("other")))
+    return both.where("node <> other").groupBy("node").agg(F.count_distinct("other").alias("peers"))
+
+
+def backward_walk(edges_in: DataFrame, subjects: DataFrame, hops: int = 4, service_degree: int = 40, dust: float = 1e-6, terminal: DataFrame | None = None, expanded: DataFrame | None = None) -> DataFrame:
+    """Where the money of each subject came from, in one asset: (root, node, hop, share, stopped).
+
+    A subject's own funders are at hop 0. Shares multiply along edges (the parent's share times the edge's part of what
+    the parent took in, without dust); an address counts at its first reach, by way of the parent with the largest share
+    (the least name at a tie). `stopped` says why a walk ends there: "service" (many peers, or listed in terminal),
+    "unreachable" (not in expanded, where that is given), "hop_limit", or null: it was followed.
+    edges_in: subject receives from counterparty; subjects: (address, asset)."""
+    positive = edges_in.where("total_raw > 0 and subject <> counterparty").groupBy("subject", "counterparty", F.coalesce("asset", F.lit("")).alias("asset")).agg(F.sum("total_raw").cast(RAW).alias("raw"))
+    most = Window.partitionBy("subject", "asset")
+    kept = positive.withColumn("most", F.max("raw").over(most)).where(F.col("raw") >= F.floor(F.col("most") * F.lit(dust).cast("decimal(10,8)")))
+    part = kept.withColumn("part", F.col("raw").cast("double") / F.sum("raw").over(most).cast("double"))
+    part = cut(part.select(F.col("subject").alias("at"), "counterparty", F.col("asset").alias("of"), "part"))
+    stops = peers(edges_in).where(F.col("peers") >= service_degree).select("node")
+    if terminal is not None:
+        stops = stops.unionByName(terminal.select(F.col("address").alias("node")))
+    stops = cut(stops.distinct().withColumn("service", F.lit(True)))
+    known = None if expanded is None else cut(expanded.select(F.col("address").alias("node")).distinct().withColumn("known", F.lit(True)))
+    roots = subjects.select(F.col("address").alias("root"), F.coalesce("asset", F.lit("")).alias("asset"))
+    front = roots.select("root", "asset", F.col("root").alias("node"), F.lit(1.0).alias("share"))
+    seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(-1).alias("hop"), F.lit(1.0).alias("share"), F.lit(None).cast("string").alias("stopped")))
+    for hop in range(hops):
+        reach = front.join(part, (F.col("node") == F.col("at")) & (F.col("asset") == F.col("of")))
+        best = F.min_by(F.col("share") * F.col("part"), F.struct((-F.col("share")).alias("s"), F.col("node")))
+        fresh = reach.groupBy("root", "asset", F.col("counterparty").alias("to")).agg(best.alias("share")).withColumnRenamed("to", "node")
+        fresh = fresh.join(seen.select("root", "node"), ["root", "node"], "left_anti").join(stops, "node", "left")
+        unknown = F.lit(False)
+        if known is not None:
+            fresh = fresh.join(known, "node", "left")
+            unknown = F.col("known").isNull()
+        last = F.lit("hop_limit" if hop == hops - 1 else None).cast("string")
+        fresh = cut(fresh.select("root", "asset", "node", F.least(F.lit(1.0), "share").alias("share"), F.when(F.col("service"), "service").when(unknown, "unreachable").otherwise(last).alias("stopped")))
+        seen = cut(seen.unionByName(fresh.select("root", "node", F.lit(hop).alias("hop"), "share", "stopped")))
+        front = fresh.where("stopped is null").drop("stopped")
+    return seen.where("hop >= 0")
