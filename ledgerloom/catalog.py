@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import asof, clusters, folds, graph, labels, risk, sequences, store
+from .operators import asof, case_graph, clusters, folds, graph, holders, labels, peel, risk, sequences, store, tokens
 from .plans import sql_surface, views
+from .sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -103,9 +104,10 @@ def prd06_touching(spark: SparkSession, d: str) -> DataFrame:
     return labels.touching(views.ledger(spark, d), views.claims(spark, d), "mixer").select("tx_hash", "because")
 
 
-@_query(_with(views.LEDGER, views.CLAIMS) + "SELECT tx_hash, CASE WHEN sender = 'u7' THEN recipient ELSE sender END AS other FROM ledger WHERE (sender = 'u7' OR recipient = 'u7') AND CASE WHEN sender = 'u7' THEN recipient ELSE sender END NOT IN (SELECT address FROM claims)")
+@_query(_with(views.LEDGER, views.CLAIMS, "known AS (SELECT address FROM claims WHERE category <> 'unknown' AND confidence >= 3)") + "SELECT tx_hash, CASE WHEN sender = 'u7' THEN recipient ELSE sender END AS other FROM ledger WHERE (sender = 'u7' OR recipient = 'u7') AND CASE WHEN sender = 'u7' THEN recipient ELSE sender END NOT IN (SELECT address FROM known)")
 def prd08_unknown_counterparty(spark: SparkSession, d: str) -> DataFrame:
-    return labels.unknown_counterparty(views.ledger(spark, d), views.claims(spark, d), SUBJECT).select("tx_hash", "other")
+    known = views.claims(spark, d).where("category <> 'unknown' and confidence >= 3")
+    return labels.unknown_counterparty(views.ledger(spark, d), known, SUBJECT).select("tx_hash", "other")
 
 
 @_query(_with(views.UTXO, "i AS (SELECT txid, count(*) AS inputs FROM inputs GROUP BY 1)", "o AS (SELECT txid, max(c) AS equal FROM (SELECT txid, amount, count(*) AS c FROM outputs GROUP BY 1, 2) GROUP BY 1)") + "SELECT i.txid, inputs, coalesce(equal, 0) AS equal, inputs >= 3 AND coalesce(equal, 0) >= 2 AS coinjoin FROM i LEFT JOIN o ON i.txid = o.txid")
@@ -172,7 +174,7 @@ def j09_batch_funded(spark: SparkSession, d: str) -> DataFrame:
     return clusters.batch_funded(clusters.first_funders(views.ledger(spark, d)), 400, 0.5)
 
 
-@_query()
+@_query(_with(views.LEDGER, views.KLINES, "r AS (SELECT *, symbol || 'USDT' AS pair, ts // 60 AS minute_no FROM ledger)", "p AS (SELECT r.*, k.close_px AS p_px, k.minute_no AS p_at FROM r ASOF LEFT JOIN klines k ON r.pair = k.symbol AND r.minute_no >= k.minute_no)", "n AS (SELECT p.*, k.close_px AS n_px, k.minute_no AS n_at FROM p ASOF LEFT JOIN klines k ON p.pair = k.symbol AND p.minute_no <= k.minute_no)", "c AS (SELECT *, n_at IS NULL OR minute_no - p_at <= n_at - minute_no AS back FROM n)", "g AS (SELECT *, CASE WHEN back THEN p_px ELSE n_px END AS px, CASE WHEN back THEN minute_no - p_at ELSE n_at - minute_no END AS gap FROM c)", "f AS (SELECT *, CASE WHEN gap <= 120 THEN px END AS rate, CASE WHEN gap <= 120 THEN gap END AS rate_gap FROM g)", "w AS (SELECT *, CASE WHEN ts IS NULL THEN 'no time' WHEN symbol IS NULL THEN 'no symbol' WHEN rate IS NULL THEN 'no rate' WHEN rate_gap > 15 THEN 'rate too far' END AS refused FROM f)") + "SELECT tx_hash, symbol, amount_raw, rate, rate_gap, refused, CASE WHEN refused IS NULL THEN CAST(CAST(amount_raw AS DECIMAL(18,0)) * rate AS DECIMAL(38,4)) END AS value_raw FROM w")
 def j10_valued(spark: SparkSession, d: str) -> DataFrame:
     return asof.valued(views.ledger(spark, d), views.klines(spark, d))
 
@@ -257,12 +259,12 @@ def a20_consolidation(spark: SparkSession, d: str) -> DataFrame:
     return clusters.consolidation(views.ledger(spark, d), SUBJECT)
 
 
-@_query()
+@_query(_with(views.LEDGER, "d AS (SELECT sender, ts, ts % 86400 // 3600 AS hour, (ts // 86400 + 3) % 7 AS weekday FROM ledger WHERE sender IS NOT NULL AND ts IS NOT NULL)", "g AS (SELECT *, nullif(greatest(ts - lag(ts) OVER (PARTITION BY sender ORDER BY ts), 0), 0) AS gap FROM d)", "b AS (SELECT sender, count(*) AS samples, avg((weekday >= 5)::INT) AS weekend, avg(cos(hour * pi() / 12)) AS x, avg(sin(hour * pi() / 12)) AS y, CASE WHEN count(gap) >= 2 THEN stddev_pop(gap) / avg(gap) END AS cv FROM g GROUP BY 1)", "h AS (SELECT sender, CAST(hour AS INTEGER) AS peak_hour, row_number() OVER (PARTITION BY sender ORDER BY count(*) DESC, hour) AS r FROM d GROUP BY sender, hour)") + "SELECT b.sender, samples, peak_hour, round(weekend, 6) AS weekend_ratio, round((degrees(atan2(y, x)) / 15 + 24) % 24, 6) AS mean_hour, round(sqrt(x * x + y * y), 6) AS concentration, round(cv, 6) AS gap_cv FROM b JOIN h ON b.sender = h.sender AND r = 1")
 def a21_activity(spark: SparkSession, d: str) -> DataFrame:
     return sequences.activity(views.ledger(spark, d))
 
 
-@_query()
+@_query(_with(views.LEDGER, "p AS (SELECT * FROM ledger WHERE sender <> recipient)", "paid AS (SELECT sender AS address, CAST(sum(amount_raw) AS DECIMAL(38,0)) AS total_raw, count(*) AS n, count(DISTINCT coalesce(asset, '')) AS assets FROM p WHERE recipient = 'u7' GROUP BY 1)", "r1 AS (SELECT recipient AS address, min(ts) AS since FROM p WHERE sender = 'u3' GROUP BY 1)", *[f"r{k} AS (SELECT address, min(since) AS since FROM (SELECT * FROM r{k - 1} UNION ALL SELECT recipient, min(ts) FROM r{k - 1} JOIN p ON sender = address AND ts >= since GROUP BY 1) GROUP BY 1)" for k in (2, 3, 4)], "f AS (SELECT recipient AS address, sender AS funder FROM (SELECT *, row_number() OVER (PARTITION BY recipient ORDER BY ts, block, tx_hash) AS r FROM p) WHERE r = 1)", "tied AS (SELECT address FROM f WHERE funder IN (SELECT funder FROM f WHERE address = 'u3'))") + "SELECT address, total_raw, n, assets, CASE WHEN address = 'u3' THEN 'self' WHEN address IN (SELECT address FROM r4) THEN 'reachable' WHEN address IN (FROM tied) THEN 'co_funded' ELSE 'unlinked' END AS link FROM paid")
 def a27_contributors(spark: SparkSession, d: str) -> DataFrame:
     return clusters.contributors(views.ledger(spark, d), SUBJECT, "u3")
 
@@ -272,14 +274,15 @@ def a28_splits(spark: SparkSession, d: str) -> DataFrame:
     return sequences.splits(views.distributions(spark, d))
 
 
-@_query()
+@_query(_with(views.RELAYS, "i AS (SELECT recipient AS address, count(*) AS n, max(amount_raw) AS raw_in, max(block) AS at_in FROM relays GROUP BY 1)", "u AS (SELECT sender AS address, count(*) AS n, max(amount_raw) AS raw_out, max(block) AS at_out FROM relays GROUP BY 1)") + "SELECT i.address, 'USD' AS asset, CAST(raw_in AS DECIMAL(38,0)) AS raw_in, CAST(raw_out AS DECIMAL(38,0)) AS raw_out FROM i JOIN u ON i.address = u.address WHERE i.n = 1 AND u.n = 1 AND at_in < at_out AND raw_in > 0 AND raw_out <= raw_in AND (raw_in - raw_out) * 10000 <= raw_in * 100")
 def a30_pass_throughs(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.pass_throughs(views.ledger(spark, d))
+    return sequences.pass_throughs(views.relays(spark, d))
 
 
-@_query("SELECT NULL::DECIMAL(38,0) AS total_raw, true AS mixed")
+@_query(_with(views.LEDGER) + "SELECT CASE WHEN count(DISTINCT symbol) <= 1 THEN CAST(sum(amount_raw) AS DECIMAL(38,0)) END AS total_raw, count(DISTINCT symbol) > 1 AS mixed FROM ledger UNION ALL SELECT CASE WHEN count(DISTINCT symbol) <= 1 THEN CAST(sum(amount_raw) AS DECIMAL(38,0)) END, count(DISTINCT symbol) > 1 FROM ledger WHERE symbol = 'purchase'")
 def a35_unit_total(spark: SparkSession, d: str) -> DataFrame:
-    return store.unit_total(views.ledger(spark, d))
+    rows = views.ledger(spark, d)
+    return store.unit_total(rows).unionByName(store.unit_total(rows.where(F.col("symbol") == ASSET)))
 
 
 # --- sequences
@@ -290,22 +293,37 @@ runs AS (SELECT sender, recipient, asset, decimals, symbol, count(*) AS steps, m
 best AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY sender, recipient, asset, decimals, symbol ORDER BY steps DESC, start) AS r FROM runs) WHERE r = 1)"""
 
 
+_PROBES = _RUNS.replace("FROM hub WINDOW", "FROM keyed WINDOW") + """,
+heads AS (SELECT sender, recipient, asset, decimals, symbol, max(amount_raw) FILTER (WHERE pos = 1) AS opening, max(amount_raw) FILTER (WHERE pos > 1) AS later FROM marked GROUP BY ALL),
+kinds AS (SELECT b.*, opening, later, CASE WHEN steps >= 5 AND high >= low * 8 THEN 'escalation' WHEN later >= opening * 100 THEN 'test_then_commit' END AS kind
+  FROM best b JOIN heads h ON b.sender = h.sender AND b.recipient = h.recipient AND b.asset IS NOT DISTINCT FROM h.asset AND b.symbol = h.symbol AND b.decimals = h.decimals),
+probes AS (SELECT sender, recipient, asset, symbol, kind, CASE kind WHEN 'escalation' THEN steps ELSE 2 END AS steps, CASE kind WHEN 'escalation' THEN low ELSE opening END AS from_raw, CASE kind WHEN 'escalation' THEN high ELSE later END AS to_raw FROM kinds WHERE kind IS NOT NULL)"""
+_PROBES = "keyed AS (SELECT * FROM hub WHERE sender IS NOT NULL AND recipient IS NOT NULL AND amount_raw > 0), " + _PROBES
+_CHANGE = """used AS (SELECT address, count(DISTINCT txid) AS n_seen FROM outputs GROUP BY 1),
+usual AS (SELECT txid, script AS usual FROM (SELECT txid, script, row_number() OVER (PARTITION BY txid ORDER BY count(*) DESC, script DESC) AS r FROM outputs GROUP BY 1, 2) WHERE r = 1),
+s1 AS (SELECT o.*, i.address IS NOT NULL AS back, n_seen, usual, max(amount) OVER (PARTITION BY o.txid) AS top, count(*) OVER (PARTITION BY o.txid) AS n_out FROM outputs o LEFT JOIN inputs i ON o.txid = i.txid AND o.address = i.address JOIN used u ON o.address = u.address JOIN usual x ON o.txid = x.txid),
+s2 AS (SELECT *, sum((amount = top)::INT) OVER (PARTITION BY txid) AS n_top FROM s1),
+s3 AS (SELECT *, CAST(back::INT * 5 - (n_seen <= 1)::INT - 2 * (amount % 1000 = 0 AND amount >= 1000)::INT + 2 * (script = usual)::INT + 2 * (amount = top AND n_top = 1)::INT AS INTEGER) AS score FROM s2),
+s4 AS (SELECT *, max(score) OVER (PARTITION BY txid) AS best FROM s3),
+change AS (SELECT *, n_out = 1 OR (score = best AND score > 0 AND sum((score = best)::INT) OVER (PARTITION BY txid) = 1) AS is_change FROM s4)"""
+
+
 @_query(_with(views.HUB, _RUNS) + "SELECT * FROM best")
 def w01_longest_runs(spark: SparkSession, d: str) -> DataFrame:
     return sequences.longest_runs(views.hub_ledger(spark, d))
 
 
-@_query()
+@_query(_with(views.HUB, _PROBES) + "SELECT * FROM probes")
 def w02_probes(spark: SparkSession, d: str) -> DataFrame:
     return sequences.probes(views.hub_ledger(spark, d))
 
 
-@_query()
+@_query(_with(views.LEDGER, "h AS (SELECT sender, ts % 86400 // 3600 AS hour, count(*) AS n FROM ledger WHERE sender IS NOT NULL AND ts IS NOT NULL GROUP BY ALL)", "t AS (SELECT sender, sum(n) AS total FROM h GROUP BY 1)", "g AS (SELECT t.sender, pos, coalesce(n, 0) * 48 <= total AS quiet FROM t CROSS JOIN range(0, 48) AS x(pos) LEFT JOIN h ON h.sender = t.sender AND h.hour = pos % 24)", "i AS (SELECT *, pos - sum(quiet::INT) OVER (PARTITION BY sender ORDER BY pos) AS island FROM g)", "r AS (SELECT sender, count(*) AS hours, min(pos) AS start FROM i WHERE quiet GROUP BY sender, island)", "b AS (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY hours DESC, start) AS r FROM r)") + "SELECT sender, CAST(start % 24 AS INTEGER) AS quiet_from, hours AS quiet_hours FROM b WHERE r = 1 AND hours BETWEEN 3 AND 23")
 def w04_quiet_windows(spark: SparkSession, d: str) -> DataFrame:
     return sequences.quiet_windows(views.ledger(spark, d))
 
 
-@_query()
+@_query(_with(views.LEDGER, "m AS (SELECT sender AS address, recipient AS other, true AS outgoing, asset, amount_raw, block, tx_hash FROM ledger WHERE amount_raw > 0 UNION ALL SELECT recipient, sender, false, asset, amount_raw, block, tx_hash FROM ledger WHERE amount_raw > 0 AND sender <> recipient)") + "SELECT address, row_number() OVER (PARTITION BY address ORDER BY block, tx_hash, outgoing DESC) AS seq, outgoing, other, asset, amount_raw, amount_raw < floor(max(amount_raw) OVER (PARTITION BY address, asset) * 0.000001::DECIMAL(10,8)) AS minor FROM m")
 def w05_trail(spark: SparkSession, d: str) -> DataFrame:
     return sequences.trail(views.ledger(spark, d))
 
@@ -317,6 +335,28 @@ def w06_strongest(spark: SparkSession, d: str) -> DataFrame:
 
 # --- folds and graphs
 
+#: Payments of a route at most; and how many peers make a service in walks over the driver's dense ledger, where every
+#: recipient has more than the usual 40.
+ROUTE_HOPS, SERVICE = 4, 160
+
+
+def _walk_sql(hops: int = 4, degree: int = SERVICE) -> list[str]:
+    """The backward walk from roots(root, asset) as `seen`; terminal(node) ends walks, known(node) may be followed."""
+    out = [
+        "pos AS (SELECT recipient AS subject, sender AS counterparty, coalesce(asset, '') AS asset, CAST(sum(amount_raw) AS DECIMAL(38,0)) AS raw FROM ledger WHERE sender <> recipient GROUP BY ALL HAVING sum(amount_raw) > 0)",
+        "kept AS (SELECT * FROM (SELECT *, max(raw) OVER (PARTITION BY subject, asset) AS most FROM pos) WHERE raw >= floor(most * 0.000001::DECIMAL(10,8)))",
+        "part AS (SELECT subject, counterparty, asset, raw::DOUBLE / (sum(raw) OVER (PARTITION BY subject, asset))::DOUBLE AS part FROM kept)",
+        f"stops AS (SELECT node FROM (SELECT sender AS node, recipient AS other FROM ledger UNION SELECT recipient, sender FROM ledger) WHERE node <> other GROUP BY 1 HAVING count(*) >= {degree} UNION SELECT node FROM terminal)",
+        "front0 AS (SELECT root, asset, root AS node, 1.0::DOUBLE AS share FROM roots)", "seen0 AS (SELECT root, root AS node, -1 AS hop, 1.0::DOUBLE AS share, NULL::VARCHAR AS stopped FROM roots)",
+    ]
+    for k in range(1, hops + 1):
+        last = "'hop_limit'" if k == hops else "NULL"
+        out.append(f"reach{k} AS (SELECT root, f.asset, counterparty AS node, f.share * part AS s, row_number() OVER (PARTITION BY root, counterparty ORDER BY f.share DESC, f.node) AS r FROM front{k - 1} f JOIN part p ON f.node = p.subject AND f.asset = p.asset)")
+        out.append(f"fresh{k} AS (SELECT root, asset, node, least(1.0::DOUBLE, s) AS share, CASE WHEN node IN (SELECT node FROM stops) THEN 'service' WHEN node NOT IN (SELECT node FROM known) THEN 'unreachable' ELSE {last} END AS stopped FROM reach{k} x WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM seen{k - 1} y WHERE y.root = x.root AND y.node = x.node))")
+        out.append(f"seen{k} AS (SELECT * FROM seen{k - 1} UNION ALL SELECT root, node, {k - 1}, share, stopped FROM fresh{k})")
+        out.append(f"front{k} AS (SELECT root, asset, node, share FROM fresh{k} WHERE stopped IS NULL)")
+    return [*out, f"seen AS (SELECT * FROM seen{hops} WHERE hop >= 0)"]
+
 
 def _seeds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(views.CHAIN, ASSET, SUBJECT, 50_000), (views.CHAIN, None, "u3", None)], "chain string, asset string, address string, amount long")
@@ -332,66 +372,304 @@ def f02_origins(spark: SparkSession, d: str) -> DataFrame:
     return folds.origins(views.ledger(spark, d), SUBJECT)
 
 
-@_query()
+@_query(_with(views.LEDGER, "e AS (SELECT sender AS s, recipient AS c, row_number() OVER (PARTITION BY sender ORDER BY count(*) DESC, recipient) AS r FROM ledger GROUP BY 1, 2)", "l1 AS (SELECT DISTINCT c AS node FROM e WHERE s = 'u7' AND r <= 10 AND c <> 'u7')", "l2 AS (SELECT DISTINCT c AS node FROM e WHERE s IN (FROM l1) AND r <= 10 AND c <> 'u7' AND c NOT IN (FROM l1))", "w AS (SELECT 'u7' AS node, 0 AS level UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2)") + "SELECT node, level, level < 2 AS expanded, node IN (SELECT s FROM e WHERE r > 10) AS truncated FROM w")
 def g01_walk(spark: SparkSession, d: str) -> DataFrame:
     return graph.walk(store.edges(views.ledger(spark, d)), spark.createDataFrame([(SUBJECT,)], "address string"))
 
 
-@_query()
+@_query(_with(views.LEDGER, "p AS (SELECT sender, recipient, ts, amount_raw, tx_hash FROM ledger WHERE sender <> recipient)", "s1 AS (SELECT [sender, recipient] AS nodes, [tx_hash] AS txs, recipient AS fin, ts AS since, amount_raw AS carries FROM p WHERE sender = 'u7')", *[f"s{k} AS (SELECT list_append(nodes, p.recipient) AS nodes, list_append(txs, p.tx_hash) AS txs, p.recipient AS fin, p.ts AS since, least(carries, p.amount_raw) AS carries FROM s{k - 1} JOIN p ON fin = p.sender AND p.ts >= since WHERE fin <> 'u3' AND NOT list_contains(nodes, p.recipient){' AND p.recipient = ' + chr(39) + 'u3' + chr(39) if k == ROUTE_HOPS else ''})" for k in range(2, ROUTE_HOPS + 1)], "f AS (" + " UNION ALL ".join(f"SELECT txs, nodes, carries FROM s{k} WHERE fin = 'u3'" for k in range(1, ROUTE_HOPS + 1)) + ")", "b AS (SELECT *, len(txs) AS hops, row_number() OVER (ORDER BY len(txs), carries DESC, txs) AS rank FROM f)") + "SELECT CAST(rank AS INTEGER) AS rank, CAST(hops AS INTEGER) AS hops, carries, array_to_string(nodes, '>') AS path, (SELECT count(*) FROM f) > 20 AS truncated FROM b WHERE rank <= 20")
 def g03_routes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.routes(views.ledger(spark, d), SUBJECT, "u3", max_hops=2, allow_hubs=True)
+    return graph.routes(views.ledger(spark, d), SUBJECT, "u3", max_hops=ROUTE_HOPS, allow_hubs=True)
 
 
-@_query()
+@_query("WITH RECURSIVE " + ", ".join((views.LEDGER, "pairs AS (SELECT DISTINCT sender AS s, recipient AS c FROM ledger)", "b(node, n) AS (SELECT 'u7', 0 UNION SELECT s, n + 1 FROM b JOIN pairs ON c = node WHERE n < 6)", "f(node, n) AS (SELECT 'u7', 0 UNION SELECT c, n + 1 FROM f JOIN pairs ON s = node WHERE n < 6 AND c NOT IN (SELECT node FROM b))")) + " SELECT node, CAST(-min(n) AS INTEGER) AS layer FROM b GROUP BY 1 UNION ALL SELECT node, CAST(min(n) AS INTEGER) FROM f WHERE n > 0 GROUP BY 1")
 def g05_layers(spark: SparkSession, d: str) -> DataFrame:
-    return graph.layers(store.edges(views.ledger(spark, d)), spark.createDataFrame([(SUBJECT,)], "address string"), 2)
+    return graph.layers(store.edges(views.ledger(spark, d)), spark.createDataFrame([(SUBJECT,)], "address string"))
 
 
-@_query()
+@_query("WITH RECURSIVE " + ", ".join((views.UTXO, "i AS (SELECT txid, count(*) AS n FROM inputs GROUP BY 1)", "q AS (SELECT txid, max(c) AS equal FROM (SELECT txid, amount, count(*) AS c FROM outputs GROUP BY 1, 2) GROUP BY 1)", "own AS (SELECT * FROM inputs WHERE txid NOT IN (SELECT i.txid FROM i JOIN q ON i.txid = q.txid WHERE n >= 5 AND equal >= 5))", "e AS (SELECT DISTINCT address AS a, min(address) OVER (PARTITION BY txid) AS b FROM own)", "both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e)", "r(node, m) AS (SELECT a, a FROM both_ways UNION SELECT b, m FROM r JOIN both_ways ON node = a)")) + " SELECT node, min(m) AS component FROM r GROUP BY 1")
 def g06_co_spend(spark: SparkSession, d: str) -> DataFrame:
     return graph.co_spend(views.utxo_inputs(spark, d), views.utxo_outputs(spark, d))
 
 
-@_query()
+@_query(_with(views.UTXO, _CHANGE) + "SELECT txid, idx, score, is_change FROM change")
 def g08_change_scores(spark: SparkSession, d: str) -> DataFrame:
-    return graph.change_scores(views.utxo_inputs(spark, d), views.utxo_outputs(spark, d))
+    return graph.change_scores(views.utxo_inputs(spark, d), views.utxo_outputs(spark, d)).drop("address", "amount")
 
 
-@_query()
+@_query(_with(views.LEDGER, _FIRST, "a1 AS (SELECT address, funder AS ancestor, [address, funder] AS line FROM funders)", *[f"a{k} AS (SELECT a.address, f.funder AS ancestor, list_append(line, f.funder) AS line FROM a{k - 1} a JOIN funders f ON a.ancestor = f.address WHERE NOT list_contains(line, f.funder))" for k in (2, 3)]) + "SELECT address, ancestor, 1 AS generation FROM a1 UNION ALL SELECT address, ancestor, 2 FROM a2 UNION ALL SELECT address, ancestor, 3 FROM a3")
 def g09_ancestry(spark: SparkSession, d: str) -> DataFrame:
     return clusters.ancestry(clusters.first_funders(views.ledger(spark, d)))
 
 
-@_query()
+@_query(_with(views.LEDGER, "roots AS (SELECT DISTINCT recipient AS root, 'purchase' AS asset FROM ledger)", "terminal AS (SELECT NULL::VARCHAR AS node WHERE false)", "known AS (SELECT DISTINCT sender AS node FROM ledger)", *_walk_sql()) + "SELECT root, node, hop, round(share, 9) AS share, stopped FROM seen")
 def g10_backward_walk(spark: SparkSession, d: str) -> DataFrame:
-    return graph.backward_walk(store.edges(views.ledger(spark, d), "in"), SUBJECT, ASSET)
+    ledger = views.ledger(spark, d)
+    roots = ledger.select(F.col("recipient").alias("address"), F.lit(ASSET).alias("asset")).distinct()
+    got = graph.backward_walk(store.edges(ledger, "in"), roots, service_degree=SERVICE, expanded=ledger.select(F.col("sender").alias("address")))
+    return got.withColumn("share", F.round("share", 9))
 
 
 # --- screening
 
+_SIGNALS = (
+    "moves AS (SELECT sender AS address, true AS outgoing FROM ledger UNION ALL SELECT recipient, false FROM ledger)",
+    "shape AS (SELECT address, count(*) AS n, count(*) FILTER (WHERE outgoing) AS outs, count(*) FILTER (WHERE NOT outgoing) AS ins FROM moves GROUP BY 1)",
+    "flags AS (SELECT address, n, ins > 0 AND outs > 0 AND n <= 20 AS fresh_address, ins >= 5 AND outs <= 2 AS consolidation, address IN (SELECT sender FROM probes UNION SELECT recipient FROM probes) AS probing, false AS impersonation FROM shape)",
+    "signals AS (SELECT *, fresh_address::INT + consolidation::INT + probing::INT + impersonation::INT AS n_signals FROM flags)",
+)
+_SCREENED = (
+    _PROBES.replace("FROM hub", "FROM ledger"), *_SIGNALS,
+    "labelled AS (SELECT address AS node, category, confidence FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY category = 'sanctioned' DESC, confidence DESC, category <> 'unknown' DESC, observed_at DESC, source DESC, label DESC) AS r FROM claims) WHERE r = 1)",
+    "inflow AS (SELECT recipient AS root, coalesce(asset, '') AS asset, sum(amount_raw)::DOUBLE AS raw FROM ledger WHERE amount_raw > 0 GROUP BY ALL)",
+    "roots AS (SELECT root, asset FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY raw DESC, asset) AS r FROM inflow) WHERE r = 1)",
+    "terminal AS (SELECT node FROM labelled WHERE category IN ('cex', 'dex', 'bridge', 'mixer', 'service'))", "known AS (SELECT address AS node FROM expanded)", *_walk_sql(),
+    "reached AS (SELECT s.*, category, confidence FROM seen s LEFT JOIN (SELECT * FROM labelled WHERE category <> 'unknown') b ON s.node = b.node)",
+    "facts AS (SELECT root, count(category) AS n_exposures, coalesce(sum(share) FILTER (WHERE category IS NOT NULL), 0) AS total, count(*) FILTER (WHERE category IS NULL AND stopped IS NOT NULL) = 0 AS complete, coalesce(bool_or(category = 'sanctioned' AND hop = 0), false) AS c1, coalesce(bool_or(category = 'sanctioned'), false) AS c2, coalesce(bool_or(category = 'mixer' AND share >= 0.05::DOUBLE), false) AS c4, coalesce(bool_or(category IN ('illicit', 'scam') AND confidence >= 3), false) AS c5, coalesce(bool_or(category = 'cex' AND hop = 0), false) AS c8 FROM reached GROUP BY 1)",
+    "screens AS (SELECT r.root AS address, coalesce(n_exposures, 0) AS n_exposures, coalesce(total, 0) AS total, coalesce(complete, true) AS complete, coalesce(c1, false) AS c1, coalesce(c2, false) AS c2, coalesce(c4, false) AS c4, coalesce(c5, false) AS c5, coalesce(c8, false) AS c8, coalesce(n_signals, 0) AS n_signals FROM roots r LEFT JOIN facts f ON r.root = f.root LEFT JOIN signals g ON r.root = g.address)",
+    "ruled AS (SELECT *, CASE WHEN c1 THEN 'sanctioned-direct' WHEN c2 THEN 'sanctioned-indirect' WHEN c4 THEN 'mixer-material' WHEN c5 THEN 'illicit-well-sourced' WHEN NOT complete THEN 'incomplete' WHEN n_signals > 0 AND n_exposures = 0 THEN 'shape-only' WHEN c8 THEN 'exchange-only' ELSE 'default' END AS rule FROM screens)",
+    "decided AS (SELECT *, CASE rule WHEN 'sanctioned-direct' THEN 'reject' WHEN 'sanctioned-indirect' THEN 'escalate' WHEN 'mixer-material' THEN 'enhanced_kyc' WHEN 'illicit-well-sourced' THEN 'escalate' WHEN 'exchange-only' THEN 'allow' ELSE 'hold' END AS action FROM ruled)",
+)
+
+
+def _screens(spark: SparkSession, d: str) -> DataFrame:
+    """A screen of every address that took money in, in its dominant asset."""
+    ledger = views.ledger(spark, d)
+    edges_in = store.edges(ledger, "in")
+    return risk.screen(edges_in, views.claims(spark, d), risk.dominant_assets(edges_in), risk.shape_signals(ledger), views.expanded(spark, d), service_degree=SERVICE)
 
-@_query()
+
+@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, *_SCREENED) + "SELECT address, rule, CASE WHEN action = 'allow' AND NOT complete THEN 'hold' WHEN action = 'reject' AND n_exposures = 0 THEN 'escalate' ELSE action END AS action FROM decided")
 def r01_decisions(spark: SparkSession, d: str) -> DataFrame:
-    ledger = views.ledger(spark, d)
-    found = risk.exposures(store.edges(ledger, "in"), views.claims(spark, d), SUBJECT, ASSET)
-    item = F.struct("node", "hop", "share", "category", "confidence")
-    screens = found.agg(F.array_sort(F.collect_list(item)).alias("exposures")).withColumns({"address": F.lit(SUBJECT), "n_signals": F.lit(0), "complete": F.lit(True)})
-    return risk.decide(screens)
+    return risk.decide(_screens(spark, d))
 
 
-@_query()
+@_query(_with(views.LEDGER, _PROBES.replace("FROM hub", "FROM ledger"), *_SIGNALS) + "SELECT * FROM signals")
 def r02_shape_signals(spark: SparkSession, d: str) -> DataFrame:
     return risk.shape_signals(views.ledger(spark, d))
 
 
+# --- operators of a case: graph aggregates, holders, tokens, peel chains, imports
+
+
+@_query(_with(views.LEDGER, _FIRST) + "SELECT funder, count(*) AS funded FROM funders GROUP BY 1")
+def a18_funding_graph(spark: SparkSession, d: str) -> DataFrame:
+    return holders.funding_graph(clusters.first_funders(views.ledger(spark, d)))
+
+
+@_query(_with(views.RELAYS, "m AS (SELECT DISTINCT recipient FROM relays WHERE recipient LIKE 'm%')", "n AS (SELECT recipient AS address, count(DISTINCT sender) AS senders FROM relays GROUP BY 1)", "ow AS (SELECT sender AS address, count(DISTINCT recipient) FILTER (WHERE recipient IN (FROM m)) AS services, count(*) FILTER (WHERE recipient NOT IN (FROM m)) AS others FROM relays GROUP BY 1)") + "SELECT n.address, senders, services FROM n JOIN ow ON n.address = ow.address WHERE senders BETWEEN 1 AND 5 AND others = 0")
+def a19_deposit_addresses(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.relays(spark, d)
+    return clusters.deposit_addresses(rows, rows.where("recipient like 'm%'").select(F.col("recipient").alias("address")).distinct())
+
+
+@_query(_with(views.RELAYS, "f AS (SELECT recipient AS address, sender AS funder FROM relays WHERE recipient LIKE 'r%')", "g AS (SELECT address, min(address) OVER (PARTITION BY funder) AS holder FROM f)") + "SELECT address, holder, count(*) OVER (PARTITION BY holder) AS size FROM g")
+def g08_holders(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.relays(spark, d)
+    return holders.holders(rows.where("recipient like 'r%'").select(F.col("recipient").alias("address")), rows)
+
+
+_VERDICT = "CASE WHEN symbol IN ('USDC', 'ETH') THEN CASE WHEN (symbol = 'USDC' AND asset = '0xa0b86991c6218b36c1d19d4a2e9eb0ce3606eb48') OR (symbol = 'ETH' AND asset IS NULL) THEN 'genuine' ELSE 'forged' END WHEN symbol IN ('UЅDC', 'ЕТН') THEN 'lookalike' WHEN symbol = 'ÜBER' THEN 'unknown-script' ELSE 'unlisted' END"
+
+
+@_query(_with(views.TOKENS) + f"SELECT coalesce(asset, '') AS contract, symbol, count(*) AS transfers, {_VERDICT} AS verdict, CASE WHEN {_VERDICT} = 'forged' THEN symbol WHEN symbol = 'UЅDC' THEN 'USDC' WHEN symbol = 'ЕТН' THEN 'ETH' ELSE '' END AS resembles FROM tokens GROUP BY ALL")
+def a23_impersonation(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.inspected(views.tokens(spark, d)).drop("chain")
+
+
+@_query(_with(views.TOKENS) + f"SELECT DISTINCT coalesce(asset, '') AS contract FROM tokens WHERE asset IS NULL OR {_VERDICT} = 'genuine'")
+def a24_trusted_assets(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.trusted_assets(views.tokens(spark, d)).select("contract")
+
+
+_SEEN = """moved AS (SELECT sender AS address, recipient AS other, true AS outgoing, asset IS NULL OR asset = '0xa0b86991c6218b36c1d19d4a2e9eb0ce3606eb48' AS ok, amount_raw, ts FROM tokens UNION ALL SELECT recipient, sender, false, false, amount_raw, ts FROM tokens),
+seen AS (SELECT address, other, count(*) FILTER (WHERE outgoing AND ok) AS sent, count(*) FILTER (WHERE outgoing AND NOT ok) AS sent_untrusted, count(*) FILTER (WHERE NOT outgoing) AS received, count(*) FILTER (WHERE amount_raw = 0) AS zero_value, count(*) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM moved WHERE address <> other GROUP BY 1, 2)"""
+
+
+@_query(_with(views.TOKENS, _SEEN) + "SELECT * FROM seen")
+def a25_sightings(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.tokens(spark, d)
+    return tokens.sightings(rows, tokens.trusted_assets(rows))
+
+
+@_query(_with(views.TOKENS, _SEEN, "b AS (SELECT *, CASE WHEN other LIKE '0x%' THEN substr(other, 3) ELSE other END AS body FROM seen)", "g AS (SELECT address, substr(body, 1, 4) AS prefix, right(body, 4) AS suffix, count(*) AS members, count(*) FILTER (WHERE sent > 0) AS paid, CAST(sum(sent_untrusted) AS BIGINT) AS claimed, min(other) FILTER (WHERE sent > 0) AS one FROM b WHERE length(body) >= 8 GROUP BY ALL HAVING count(*) > 1)") + "SELECT address, prefix, suffix, members, paid, claimed, paid = 1 AS decidable, CASE WHEN paid = 1 THEN one END AS meant FROM g")
+def a26_lookalikes(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.tokens(spark, d)
+    return tokens.lookalikes(tokens.sightings(rows, tokens.trusted_assets(rows)))
+
+
+@_query("WITH RECURSIVE " + ", ".join((views.UTXO, _CHANGE, "t AS (SELECT txid, max(idx) FILTER (WHERE is_change) AS change_idx, max(address) FILTER (WHERE is_change) AS address, count(*) FILTER (WHERE NOT is_change AND amount >= 1500) AS peeled, CAST(coalesce(sum(amount) FILTER (WHERE NOT is_change AND amount >= 1500), 0) AS BIGINT) AS peeled_raw FROM change GROUP BY 1)", "h AS (SELECT t.*, i.txid AS nxt FROM t ASOF LEFT JOIN inputs i ON t.address = i.address AND t.txid < i.txid)", "c(start, depth, txid) AS (SELECT txid, 0, txid FROM h UNION ALL SELECT start, depth + 1, nxt FROM c JOIN h ON c.txid = h.txid WHERE nxt IS NOT NULL AND depth < 9)")) + " SELECT start, depth, c.txid, change_idx, peeled, peeled_raw, CASE WHEN change_idx IS NULL THEN 'contested' WHEN nxt IS NULL THEN 'unspent' WHEN depth = 9 THEN 'max_depth' END AS stopped FROM c JOIN h ON c.txid = h.txid")
+def st05_peel_chains(spark: SparkSession, d: str) -> DataFrame:
+    outputs = views.utxo_outputs(spark, d)
+    return peel.peel_chains(outputs.select("txid"), views.utxo_inputs(spark, d), outputs, min_peel=1500)
+
+
+@_query(_with(views.LEDGER, "e AS (SELECT sender AS s, recipient AS t, min(ts) AS f, max(ts) AS l FROM ledger WHERE sender <> recipient GROUP BY 1, 2)", "p1 AS (SELECT [s, t] AS nodes, t AS fin, f AS since, true AS ok FROM e WHERE s = 'u7')", *[f"p{k} AS (SELECT list_append(nodes, t) AS nodes, t AS fin, greatest(since, f) AS since, ok AND l >= since AS ok FROM p{k - 1} JOIN e ON fin = s WHERE fin <> 'u3' AND NOT list_contains(nodes, t))" for k in (2, 3)], "a AS (" + " UNION ALL ".join(f"SELECT {k} AS hops, array_to_string(nodes, '>') AS path, since, ok FROM p{k} WHERE fin = 'u3'" for k in (1, 2, 3)) + ")") + "SELECT hops, path, since AS arrival, (SELECT count(*) FROM a) AS paths, (SELECT count(*) FROM a WHERE NOT ok) AS impossible FROM a WHERE ok ORDER BY hops, path LIMIT 40")
+def g04_span_routes(spark: SparkSession, d: str) -> DataFrame:
+    spans = store.edges(views.ledger(spark, d)).select(F.col("subject").alias("source"), F.col("counterparty").alias("target"), F.col("first_ts").alias("first"), F.col("last_ts").alias("last"))
+    return graph.span_routes(spans, SUBJECT, "u3")
+
+
+def _case_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of two overlapping walks, folded."""
+    rows = views.ledger(spark, d)
+    each = [store.edges(rows.where(part)).select("chain", F.col("subject").alias("source"), F.col("counterparty").alias("target"), "asset", "symbol", F.lit(2).alias("decimals"), "total_raw", "n", "first_ts", "last_ts") for part in ("block % 2 = 0", "block % 2 = 1")]
+    return case_graph.folded_edges(*each)
+
+
+_CASE = f"case_edges AS (SELECT chain, sender AS source, recipient AS target, asset, symbol, 2 AS decimals, {_SUM} AS total_raw, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM ledger GROUP BY ALL)"
+
+
+@_query(_with(views.LEDGER, _CASE) + "SELECT source, target, asset, total_raw, CAST(n AS BIGINT) AS n, first_ts, last_ts FROM case_edges")
+def a10_folded_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _case_edges(spark, d).select("source", "target", "asset", "total_raw", "n", "first_ts", "last_ts")
+
+
+@_query(_with(views.LEDGER) + f"SELECT asset, symbol, 2 AS decimals, {_SUM} AS total_raw, count(*) AS n FROM ledger GROUP BY asset, symbol")
+def a08_graph_totals(spark: SparkSession, d: str) -> DataFrame:
+    return case_graph.totals(_case_edges(spark, d))
+
+
+def _case_nodes(spark: SparkSession, d: str) -> DataFrame:
+    c = views.claims(spark, d)
+    rows = c.select("address", "label", F.when(F.col("source") == "crm", F.col("category")).alias("category"), "confidence", F.lit(False).alias("expanded"))
+    seen = views.expanded(spark, d).select("address", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("category"), F.lit(0).alias("confidence"), F.lit(True).alias("expanded"))
+    return case_graph.merged_nodes(rows.unionByName(seen))
+
+
+_NODES = """n AS (SELECT address, label, CASE source WHEN 'crm' THEN category END AS category, confidence, false AS expanded FROM claims UNION ALL SELECT address, NULL, NULL, 0, true FROM expanded),
+nl AS (SELECT address, label, confidence AS c, count(*) OVER (PARTITION BY address, confidence) AS ties, row_number() OVER (PARTITION BY address ORDER BY confidence DESC) AS r FROM n WHERE label IS NOT NULL),
+nc AS (SELECT address, category, confidence AS c, row_number() OVER (PARTITION BY address ORDER BY confidence DESC) AS r FROM n WHERE category IS NOT NULL),
+nodes AS (SELECT a.address, nl.label, nc.category, coalesce(least(nl.c, nc.c), nl.c, nc.c) AS confidence, a.expanded, coalesce(nl.ties, 0) AS ties FROM (SELECT address, bool_or(expanded) AS expanded FROM n GROUP BY 1) a LEFT JOIN nl ON a.address = nl.address AND nl.r = 1 LEFT JOIN nc ON a.address = nc.address AND nc.r = 1)"""
+
+
+@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, _NODES) + "SELECT address, category, CAST(confidence AS INTEGER) AS confidence, expanded FROM nodes")
+def a12_merged_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _case_nodes(spark, d).select("address", "category", "confidence", "expanded")
+
+
+@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, _NODES, _CASE) + "SELECT count(*) AS nodes, count(*) FILTER (WHERE NOT expanded) AS frontier, count(*) FILTER (WHERE label IS NULL) AS unlabelled, count(*) FILTER (WHERE label IS NOT NULL AND confidence >= 3) AS high_confidence, count(*) FILTER (WHERE category = 'sanctioned') AS sanctioned, (SELECT count(*) FROM case_edges) AS edges FROM nodes")
+def a09_graph_summary(spark: SparkSession, d: str) -> DataFrame:
+    return case_graph.summary(_case_nodes(spark, d), _case_edges(spark, d))
+
+
+@_query(_with(views.TOKENS) + f"SELECT coalesce(asset, '') AS contract, symbol, count(DISTINCT (sender, recipient)) AS edges, count(*) AS transfers, {_VERDICT} AS verdict FROM tokens GROUP BY asset, symbol")
+def a36_assets(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.tokens(spark, d)
+    return case_graph.assets(rows.groupBy("chain", "sender", "recipient", "asset", "symbol").agg(F.count("*").alias("n")))
+
+
+@_query("SELECT md5(body) AS family, count(*) AS members, min(p_partkey) AS first FROM (SELECT p_partkey, md5(p_brand) || md5(p_type) AS body FROM part) GROUP BY body")
+def a31_code_families(spark: SparkSession, d: str) -> DataFrame:
+    h = lambda c: F.md5(F.col(c).cast("string").cast("binary"))
+    code = F.concat(F.lit("0x"), h("p_brand"), F.upper(h("p_type")), h("p_partkey"), F.lit("0010"))  # 16 bytes of metadata and their length
+    rows = views.table(spark, d, "part").select("p_partkey", scalar.code_family(code).alias("family"))
+    return rows.groupBy("family").agg(F.count("*").alias("members"), F.min("p_partkey").alias("first"))
+
+
+@_query(_with(views.LABELS) + "SELECT ord, address, label, category, confidence, problem FROM labels_in")
+def f22_coerced_labels(spark: SparkSession, d: str) -> DataFrame:
+    return labels.coerced(views.label_import(spark, d), "list@1", most_confidence=3, keep=("ord",)).select("ord", "address", "label", "category", "confidence", "problem")
+
+
+@_query(_with(views.CLAIMS, views.LABELS, "ok AS (SELECT *, lower(address) AS a, lower(label) AS l FROM labels_in WHERE problem IS NULL)", "f AS (SELECT *, row_number() OVER w AS nth, first_value(category) OVER w AS was FROM ok WINDOW w AS (PARTITION BY a, l ORDER BY ord))") + "SELECT ord, CASE WHEN nth > 1 THEN CASE WHEN was = category THEN 'duplicate' ELSE 'conflict' END WHEN category <> 'sanctioned' AND EXISTS (SELECT 1 FROM claims c WHERE lower(c.address) = a AND c.category <> 'sanctioned' AND c.category <> f.category) THEN 'conflict' ELSE 'insert' END AS action FROM f")
+def set04_import_plan(spark: SparkSession, d: str) -> DataFrame:
+    rows = labels.coerced(views.label_import(spark, d), "list@1", most_confidence=3, keep=("ord",)).where("problem is null")
+    return labels.import_plan(rows, views.claims(spark, d)).select("ord", "action")
+
+
+@_query(_with(views.CLAIMS) + "SELECT address, CASE WHEN bool_or(source = 'list') AND NOT bool_or(source = 'crm' AND confidence >= 2) THEN 'added' ELSE 'removed' END AS change FROM claims GROUP BY 1 HAVING bool_or(source = 'list') <> bool_or(source = 'crm' AND confidence >= 2)")
+def set03_difference(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.claims(spark, d)
+    return labels.difference(rows.where("source = 'crm' and confidence >= 2"), rows.where("source = 'list'"))
+
+
+@_query(_with(views.CLAIMS) + "SELECT address, source FROM claims WHERE source = 'crm' OR confidence > 2")
+def snk02_new_claims(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.claims(spark, d).withColumn("analyst", F.lit(None).cast("string"))
+    return labels.new_claims(rows.unionByName(rows), rows.where("source = 'list' and confidence <= 2")).select("address", "source")
+
+
+@_query(_with(views.CLAIMS) + "SELECT category AS entity, min(confidence) AS floor, count(DISTINCT address) AS members FROM claims GROUP BY 1")
+def a34_floors(spark: SparkSession, d: str) -> DataFrame:
+    return labels.floor_of(views.claims(spark, d).withColumnRenamed("category", "entity"))
+
+
+@_query(_with(views.LEDGER, views.CLAIMS, "best AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY confidence DESC, source DESC, label DESC, category DESC) AS r FROM claims WHERE chain IS NULL OR chain = 'eip155:1')") + "SELECT l.tx_hash, l.recipient, b.label, b.category, b.confidence FROM ledger l LEFT JOIN best b ON l.recipient = b.address AND r = 1")
+def j05_labelled(spark: SparkSession, d: str) -> DataFrame:
+    return labels.labelled_transfers(views.ledger(spark, d), views.claims(spark, d)).drop("chain")
+
+
+@_query(_with(views.LEDGER) + "SELECT tx_hash, CASE WHEN sender = 'u7' THEN recipient ELSE sender END IN ('u3', 'u5', 'u11') AS listed, concat_ws('; ', CASE WHEN CASE WHEN sender = 'u7' THEN recipient ELSE sender END IN ('u3', 'u5', 'u11') THEN 'listed' END, CASE WHEN amount_raw > 20000 THEN 'large' END) AS reasons, CASE WHEN sender = 'u7' THEN recipient ELSE sender END IN ('u3', 'u5', 'u11') AND amount_raw > 20000 AS both_hold FROM ledger WHERE sender = 'u7' OR recipient = 'u7'")
+def prd07_combined_watches(spark: SparkSession, d: str) -> DataFrame:
+    listed = labels.counterparty_in(SUBJECT, ("u3", "u5", "u11"))
+    tests = (("listed", listed), ("large", labels.amount_over(20000)))
+    rows = store.scan(views.ledger(spark, d), store.Scan(address=SUBJECT))
+    return rows.select("tx_hash", listed.alias("listed"), labels.any_of(*tests)[1].alias("reasons"), labels.all_of(*tests)[0].alias("both_hold"))
+
+
+@_query("WITH c AS (SELECT o_orderpriority AS source, o_totalprice AS expected, o_totalprice * (1 - (o_orderkey % 5)::DOUBLE / 100) AS paid FROM orders WHERE o_totalprice <> 0), p AS (SELECT source, (expected - paid) * 100.0::DOUBLE / expected AS pct FROM c) SELECT source, round(avg(pct), 6) AS mean_pct, round(max(pct) - min(pct), 6) AS spread_pct, count(*) AS n, max(pct) - min(pct) < 0.2 AS consistent FROM p GROUP BY 1")
+def a29_calibration(spark: SparkSession, d: str) -> DataFrame:
+    o = views.table(spark, d, "orders")
+    return asof.calibration(o.select(F.col("o_orderpriority").alias("source"), F.col("o_totalprice").alias("expected"), (F.col("o_totalprice") * (1 - (F.col("o_orderkey") % 5).cast("double") / 100)).alias("paid")))
+
+
+@_query("WITH h AS (SELECT l_orderkey AS subject, l_partkey AS hypothesis, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2) SELECT subject, hypothesis, row_number() OVER w AS rank, coalesce(score - lead(score) OVER w < 1.0, false) AS contested FROM h WINDOW w AS (PARTITION BY subject ORDER BY score DESC, hypothesis)")
+def w06_ranked_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("subject"), F.col("l_partkey").alias("hypothesis")).agg(F.max("l_quantity").alias("score"))
+    return sequences.ranked_hypotheses(rows).drop("score")
+
+
+@_query("SELECT user_id, arg_max(event_type, event_id) AS status, count(*) AS events FROM events GROUP BY 1")
+def w07_last_status(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.last_status(views.table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+@_query(_with(views.LEDGER) + "SELECT tx_hash, amount_raw FROM ledger")
+def src21_decoded_logs(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.ledger(spark, d)
+    topic = lambda c: F.concat(F.lit("0x"), F.lpad(F.hex(F.substring(c, 2, 20).cast("long")), 64, "0"))
+    data = F.concat(F.lit("0x"), F.lpad(F.hex(F.col("amount_raw").cast("long")), 64, "0"))
+    found = rows.select("chain", "tx_hash", "log_index", F.lit("0xABC").alias("address"), F.array(F.lit(logs.TRANSFER), topic("sender"), topic("recipient")).alias("topics"), data.alias("data"), "block")
+    return logs.transfers(found).select("tx_hash", "amount_raw")
+
+
+@_query(_with(views.LEDGER) + "SELECT tx_hash, amount_raw FROM ledger WHERE block % 7 <> 0 AND amount_raw > 0 AND block % 3 = 0 UNION ALL SELECT tx_hash, amount_raw FROM ledger WHERE block % 7 <> 0 AND block % 3 = 0 AND kind = 'token'")
+def prd01_value_movements(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.ledger(spark, d)
+    txs = rows.where("block % 3 = 0").select("tx_hash", "sender", "recipient", "amount_raw", (F.col("block") % 7 == 0).alias("reverted"))
+    return logs.value_movements(txs, rows.where("kind = 'token'")).select("tx_hash", "amount_raw")
+
+
+@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, *_SCREENED) + "SELECT address, complete, n_exposures = 0 AND n_signals > 0 AS unattributed, complete AND n_exposures = 0 AND n_signals = 0 AS clean, round(least(1.0::DOUBLE, total), 6) AS total_share FROM screens")
+def r03_screen_properties(spark: SparkSession, d: str) -> DataFrame:
+    return risk.properties(_screens(spark, d)).withColumn("total_share", F.round("total_share", 6))
+
+
+@_query()
+def r04_counterfactuals(spark: SparkSession, d: str) -> DataFrame:
+    return risk.counterfactuals(_screens(spark, d))
+
+
+@_query()
+def st03_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """The tainted share of what addresses took in, under each policy."""
+    rows = views.ledger(spark, d)
+    took = rows.groupBy("chain", F.coalesce("asset", F.lit("")).alias("asset"), F.col("recipient").alias("address")).agg(F.sum("amount_raw").cast(store.RAW).alias("balance"))
+    return folds.agreement(folds.taint(rows, _seeds(spark)), took)
+
+
 # --- scalar functions
 
 
-@_query("SELECT c_custkey, lower('0x' || upper(md5(c_name)) || substr(md5(c_name), 1, 8)) AS key, true AS valid FROM customer")
+@_query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lower('0x' || md5(c_name) || substr(md5(c_name), 1, 8)) WHEN 1 THEN 'bc1q' || md5(c_name) WHEN 2 THEN '0x' || lpad(substr(md5(c_name), 1, 12), 64, '0') ELSE '1' || md5(c_name) END AS key, c_custkey % 4 = 0 OR c_custkey % 4 = 2 OR (c_custkey % 4 = 1 AND NOT regexp_matches(md5(c_name), '[1bio]')) OR (c_custkey % 4 = 3 AND NOT contains(md5(c_name), '0')) AS valid FROM customer")
 def s01_address_key(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("0x"), F.upper(F.md5(F.col("c_name").cast("binary"))), F.substring(F.md5(F.col("c_name").cast("binary")), 1, 8))
-    chain = F.lit(views.CHAIN)
-    return views.table(spark, d, "customer").select("c_custkey", scalar.address_key(chain, raw).alias("key"), scalar.valid_address(chain, raw).alias("valid"))
+    h = F.md5(F.col("c_name").cast("binary"))
+    kind = F.col("c_custkey") % 4
+    raw = F.when(kind == 0, F.concat(F.lit("0x"), F.upper(h), F.substring(h, 1, 8))).when(kind == 1, F.concat(F.lit("BC1Q"), F.upper(h))).when(kind == 2, F.concat(F.lit("0x"), F.upper(F.substring(h, 1, 12)))).otherwise(F.concat(F.lit("1"), h))
+    chain = F.when(kind == 0, F.lit(views.CHAIN)).when(kind == 2, F.lit("sui:mainnet")).otherwise(F.lit("bip122:main"))
+    key = scalar.address_key(chain, raw)
+    return views.table(spark, d, "customer").select("c_custkey", key.alias("key"), scalar.valid_address(chain, key).alias("valid"))
 
 
 @_query("SELECT p_partkey, CASE WHEN p_size < 2 THEN 0.0::DOUBLE ELSE 1 - exp(-(p_size::DOUBLE * (p_size - 1) / 2) / 4294967296.0::DOUBLE) END AS chance FROM part")
@@ -399,14 +677,32 @@ def s02_collision_chance(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "part").select("p_partkey", scalar.collision_chance(F.col("p_size")).alias("chance"))
 
 
-@_query()
+@_query(_with(views.LEDGER) + "SELECT tx_hash, format('{:,}', CAST(amount_raw AS BIGINT) // 100) || CASE WHEN CAST(amount_raw AS BIGINT) % 100 = 0 THEN '' ELSE '.' || rtrim(lpad((CAST(amount_raw AS BIGINT) % 100)::VARCHAR, 2, '0'), '0') END AS shown FROM ledger")
 def s03_human(spark: SparkSession, d: str) -> DataFrame:
     return views.ledger(spark, d).select("tx_hash", scalar.human(F.col("amount_raw"), F.col("decimals")).alias("shown"))
 
 
-@_query()
+@_query("SELECT p_partkey, p_name AS skeleton, CASE WHEN regexp_matches(p_name, '[aeo]') THEN 'CYRILLIC' || CASE WHEN regexp_matches(p_name, '[b-df-np-zA-Z]') THEN ',LATIN' ELSE '' END ELSE 'LATIN' END AS scripts FROM part")
 def s04_skeleton(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "part").select("p_partkey", scalar.skeleton(F.col("p_name")).alias("skeleton"), scalar.scripts(F.col("p_name")).alias("scripts"))
+    name = F.translate("p_name", "aeo", "аео")  # letters of another writing system that look alike
+    return views.table(spark, d, "part").select("p_partkey", scalar.skeleton(name).alias("skeleton"), F.concat_ws(",", scalar.scripts(name)).alias("scripts"))
+
+
+@_query("SELECT c_custkey, '0x' || lower(md5(c_name) || substr(md5(c_name), 1, 8)) AS folded, true AS valid, '41' || md5(c_name) || substr(md5(c_name), 1, 8) AS tron FROM customer")
+def s05_checksums(spark: SparkSession, d: str) -> DataFrame:
+    h = F.md5(F.col("c_name").cast("binary"))
+    body = F.concat(h, F.substring(h, 1, 8))
+    mixed = scalar.checksummed(F.concat(F.lit("0x"), body))
+    there = scalar.base58_of_hex(F.concat(F.lit("41"), body))
+    return views.table(spark, d, "customer").select("c_custkey", F.lower(mixed).alias("folded"), scalar.valid_checksum(mixed).alias("valid"), scalar.hex_of_base58(there).alias("tron"))
+
+
+@_query("SELECT c_custkey, c_name AS memo, CAST(c_custkey * 100 + 5 AS DECIMAL(38,0)) AS parsed, CASE WHEN c_custkey % 3 = 0 THEN 'eip155:1' WHEN c_custkey % 3 = 1 THEN 'eip155:' || c_custkey ELSE NULL END AS chain, 1.0::DOUBLE / factorial((c_custkey % 10)::INT) AS chance, CASE c_custkey % 4 WHEN 3 THEN '' WHEN 2 THEN 'probably ' WHEN 1 THEN 'possibly ' ELSE 'speculatively ' END || c_name AS said FROM customer")
+def s06_texts(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    chain = F.when(key % 3 == 0, " Ethereum").when(key % 3 == 1, key.cast("string")).otherwise("some chain")
+    amount = F.concat(key.cast("string"), F.lit(".05"))
+    return views.table(spark, d, "customer").select("c_custkey", scalar.memo_text(F.base64(F.col("c_name").cast("binary"))).alias("memo"), scalar.parse_amount(amount, F.lit(2)).alias("parsed"), scalar.chain_id(chain).alias("chain"), scalar.rising_chance(key % 10).alias("chance"), scalar.qualified(F.col("c_name"), key % 4).alias("said"))
 
 
 def queries() -> dict[str, Query]:

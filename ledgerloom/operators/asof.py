@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import WIDTH, carried, carried_back
+
+
+def _laid_out(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> tuple[DataFrame, Column]:
+    """Both sides' rows, readings before rows at the same moment, and what a reading is."""
+    a = left.withColumns({"_left": F.lit(1), "_r": F.lit(None).cast(right.schema[value].dataType)})
+    b = right.where(F.col(at).isNotNull()).select(key, at, F.col(value).alias("_r"), F.lit(0).alias("_left"))
+    return a.unionByName(b, allowMissingColumns=True), F.when(F.col("_left") == 0, F.struct(F.col(at).alias("at"), F.col("_r").alias("v")))
+
 
-def backward(left: DataFrame, right: DataFrame, key: str, at: str, value: str, name: str, not_before: int | None = None) -> DataFrame:
-    """left with the value of right's latest row of the same key at or before `at`, and its time. One sort per key."""
-    a = left.withColumn("_left", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
-    b = right.select(key, at, F.col(value).alias("_v"), F.lit(0).alias("_left"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(at, "_left").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("_left") == 0, F.struct(F.col(at).alias("at"), F.col("_v").alias("v"))), ignorenulls=True).over(w)
-    got = both.withColumn("_s", seen).where("_left = 1")
+def backward(left: DataFrame, right: DataFrame, key: str, at: str, value: str, name: str, width: int = WIDTH) -> DataFrame:
+    """left with the value of right's latest row of the same key at or before `at`, and its time. Readings are carried
+    along buckets of time, so a key is not one task."""
+    both, reading = _laid_out(left, right, key, at, value)
+    got = carried(both, [key], [at, "_left"], reading, "_s", width).where("_left = 1")
     return got.select(*left.columns, F.col("_s.v").alias(name), F.col("_s.at").alias(f"{name}_at"))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, at: str, value: str, name: str, within: int) -> DataFrame:
-    """left with the nearest reading of the same key within a distance (the earlier one at a tie), and the distance."""
-    a = left.withColumn("_left", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
-    b = right.select(key, at, F.col(value).alias("_v"), F.lit(0).alias("_left"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    reading = F.when(F.col("_left") == 0, F.struct(F.col(at).alias("at"), F.col("_v").alias("v")))
-    w = Window.partitionBy(key)
-    both = both.withColumn("_p", F.last(reading, ignorenulls=True).over(w.orderBy(at, "_left").rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_n", F.first(reading, ignorenulls=True).over(w.orderBy(at, F.desc("_left")).rowsBetween(0, Window.unboundedFollowing)))
+def nearest(left: DataFrame, right: DataFrame, key: str, at: str, value: str, name: str, within: int, width: int = WIDTH) -> DataFrame:
+    """left with the nearest reading of the same key within a distance (the earlier one at a tie), and the distance. Rows
+    without a moment or key have no reading."""
+    both, reading = _laid_out(left, right, key, at, value)
+    # at the same moment readings come after rows here, so that the next one includes them
+    both = carried(both, [key], [at, "_left"], reading, "_p", width).withColumn("_late", 1 - F.col("_left"))
+    both = carried_back(both, [key], [at, "_late"], reading, "_n", width)
     back, ahead = F.col(at) - F.col("_p.at"), F.col("_n.at") - F.col(at)
     pick = F.when(F.col("_n").isNull() | (back <= ahead), F.col("_p")).otherwise(F.col("_n"))
     got = both.where("_left = 1").withColumn("_s", pick).withColumn("_g", F.abs(F.col(at) - F.col("_s.at")))
@@ -69,13 +75,17 @@ def calibration(cases: DataFrame) -> DataFrame:
 
 def payouts(deposits: DataFrame, payments: DataFrame, window: tuple[int, int] = (300, 2700), discount: tuple[float, float] = (0.0, 6.0)) -> DataFrame:
     """Payments that can answer a deposit: in a time band after it and in a discount band below the expected amount.
-    Time is bucketed by the band's length, so each deposit meets two buckets instead of all payments."""
+    Time is bucketed by the band's length and amounts by the band's ratio (logarithms), so each deposit meets the
+    payments of two buckets of time and about two of amounts instead of all payments."""
     span = window[1]
-    d = deposits.withColumn("_b", F.explode(F.array(F.floor((F.col("at") + window[0]) / span), F.floor((F.col("at") + window[0]) / span) + 1)))
-    p = payments.withColumn("_b", F.floor(F.col("paid_at") / span))
-    got = d.join(p, "_b").where((F.col("paid_at") >= F.col("at") + window[0]) & (F.col("paid_at") <= F.col("at") + window[1]))
     low, high = F.col("expected") * (1 - discount[1] / 100), F.col("expected") * (1 - discount[0] / 100)
-    return got.where((F.col("paid") >= low) & (F.col("paid") <= high)).drop("_b")
+    step = max(1e-6, math.log((1 - discount[0] / 100) / max(1e-9, 1 - discount[1] / 100)))
+    d = deposits.where("expected > 0").withColumn("_b", F.explode(F.array(F.floor((F.col("at") + window[0]) / span), F.floor((F.col("at") + window[0]) / span) + 1)))
+    # a bucket's edge may lie on either side of a rounded logarithm, so the range is a little wider than the band
+    d = d.withColumn("_a", F.explode(F.sequence(F.floor(F.ln(low) / step - 1e-6), F.floor(F.ln(high) / step + 1e-6))))
+    p = payments.where("paid > 0").withColumns({"_b": F.floor(F.col("paid_at") / span), "_a": F.floor(F.ln("paid") / step)})
+    got = d.join(p, ["_b", "_a"]).where((F.col("paid_at") >= F.col("at") + window[0]) & (F.col("paid_at") <= F.col("at") + window[1]))
+    return got.where((F.col("paid") >= low) & (F.col("paid") <= high)).drop("_b", "_a")
 
 
 def payout_score(payer_txs: Column, recipient_txs: Column, outputs: Column, discount_pct: Column) -> Column:

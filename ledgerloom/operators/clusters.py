@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import cut
+from .ordered import carried_back, running_max_before, running_sum
 from .store import RAW
 
 PAYMENT = "sender is not null and recipient is not null and sender <> recipient"
@@ -48,10 +50,12 @@ def ancestry(funders: DataFrame, services: DataFrame | None = None, depth: int =
     return out.drop("line")
 
 
-def batch_funded(funders: DataFrame, blocks: int = 25, ratio: float = 0.9, service_degree: int = 50) -> DataFrame:
+def batch_funded(funders: DataFrame, blocks: int = 25, ratio: float = 0.9, service_degree: int | None = 50) -> DataFrame:
     """Pairs with the same first funder, within a few blocks, with nearly the same amount. Blocks are bucketed by the
     window, so pairs are sought in neighbouring buckets only; services' addresses are left out first."""
-    few = funders.where("amount_raw > 0").join(funder_clusters(funders, service_degree).where("not service").select("funder"), "funder", "left_semi")
+    few = funders.where("amount_raw > 0")
+    if service_degree is not None:
+        few = few.join(funder_clusters(funders, service_degree).where("not service").select("funder"), "funder", "left_semi")
     a = few.withColumn("k", F.floor(F.col("block") / blocks))
     b = few.withColumn("k", F.explode(F.array(F.floor(F.col("block") / blocks) - 1, F.floor(F.col("block") / blocks), F.floor(F.col("block") / blocks) + 1)))
     got = a.alias("a").join(b.alias("b"), (F.col("a.funder") == F.col("b.funder")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.address") < F.col("b.address")))
@@ -76,7 +80,7 @@ def consolidation(ledger: DataFrame, seed: str, min_fan_in: int = 3) -> DataFram
     return paid.join(on, "member").groupBy("hub").agg(F.count("*").alias("fan_in"), F.sum("from_seed").cast(RAW).alias("total_raw")).where(F.col("fan_in") >= min_fan_in)
 
 
-def contributors(ledger: DataFrame, target: str, subject: str, max_hops: int = 3) -> DataFrame:
+def contributors(ledger: DataFrame, target: str, subject: str, max_hops: int = 4) -> DataFrame:
     """Who paid into a target, how much, and how each is tied to a subject: itself, reachable from it by payments in
     time order, funded by the same first funder, or not at all. Sums mix assets; `assets` says how many."""
     own = ledger.where(PAYMENT)
@@ -97,48 +101,58 @@ def contributors(ledger: DataFrame, target: str, subject: str, max_hops: int = 3
 # --- mixer pools
 
 
+def _counted(deposits: DataFrame, withdrawals: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(deposits with `before`: withdrawals of their pool up to them, and `anonymity_set`: those in the window behind
+    them; withdrawals with their `place` in the pool's order). Running counts over both in one order: no deposit meets
+    a withdrawal in a join."""
+    d = deposits.select("pool", "tx", "block", "idx", F.lit(0).alias("w"), F.col("block").alias("p"), F.lit(0).alias("late"), F.lit(1).alias("own"))
+    ends = deposits.select("pool", "tx", "block", "idx", F.lit(0).alias("w"), (F.col("block") + window).alias("p"), F.lit(1).alias("late"), F.lit(0).alias("own"))
+    w = withdrawals.select("pool", "tx", "block", "idx", F.lit(1).alias("w"), F.col("block").alias("p"), F.lit(0).alias("late"), F.lit(0).alias("own"))
+    rows = running_sum(d.unionByName(ends).unionByName(w), ["pool"], ["p", "late", "idx", "own", "tx"], F.col("w"), "c")
+    rows = cut(rows)
+    sets = rows.where("w = 0").groupBy("pool", "tx", "block", "idx").agg(F.max(F.when(F.col("own") == 1, F.col("c"))).alias("before"), F.max(F.when(F.col("late") == 1, F.col("c"))).alias("until"))
+    return sets.select("pool", "tx", "block", "idx", "before", (F.col("until") - F.col("before")).alias("anonymity_set")), rows.where("w = 1").select("pool", F.col("c").alias("place"), F.col("tx").alias("withdrawal"), F.col("block").alias("out_block"))
+
+
 def anonymity_sets(deposits: DataFrame, withdrawals: DataFrame, window: int = 100) -> DataFrame:
-    """Per deposit how many withdrawals of its pool follow within the window, by running counts over both in order:
-    no deposit meets a withdrawal in a join."""
-    d = deposits.select("pool", "tx", "block", "idx", F.lit(0).alias("w"), F.col("block").alias("p"), F.lit(2).alias("o"))
-    ends = deposits.select("pool", "tx", "block", "idx", F.lit(0).alias("w"), (F.col("block") + window).alias("p"), F.lit(3).alias("o"))
-    w = withdrawals.select("pool", "tx", "block", "idx", F.lit(1).alias("w"), F.col("block").alias("p"), F.lit(1).alias("o"))
-    order = Window.partitionBy("pool").orderBy("p", F.when(F.col("o") == 3, 1).otherwise(0), "idx", F.when(F.col("o") == 2, 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, 0)
-    counted = d.unionByName(ends).unionByName(w).withColumn("c", F.sum("w").over(order)).where("w = 0")
-    return counted.groupBy("pool", "tx").agg((F.max(F.when(F.col("o") == 3, F.col("c"))) - F.max(F.when(F.col("o") == 2, F.col("c")))).alias("anonymity_set"))
+    """Per deposit how many withdrawals of its pool follow within the window."""
+    return _counted(deposits, withdrawals, window)[0].select("pool", "tx", "anonymity_set")
 
 
 def match_withdrawals(deposits: DataFrame, withdrawals: DataFrame, window: int = 100, max_set: int = 5) -> DataFrame:
     """Each deposit with the earliest unclaimed later withdrawal of its pool, in deposit order; deposits with too many
-    candidates are refused. The claims of a pool depend on each other, so a pool is one group; pools run apart."""
+    candidates are refused. Refused ones go first, so each of the others has max_set candidates at most, found by their
+    places in the pool's order. Claims depend on each other only along deposits whose candidates overlap: such a chain
+    is one group, and chains run apart."""
     schema = "pool long, deposit string, withdrawal string, gap long, anonymity_set int, confidence string"
+    sets, places = _counted(deposits, withdrawals, window)
+    kept = sets.where(F.col("anonymity_set").between(1, max_set)).withColumn("last", F.col("before") + F.col("anonymity_set"))
+    kept = running_max_before(kept, ["pool"], ["block", "idx", "tx"], F.col("last"), "reached")
+    starts = F.when(F.col("before") >= F.coalesce("reached", F.lit(0)), 1).otherwise(0)
+    kept = running_sum(kept, ["pool"], ["block", "idx", "tx"], starts, "chain")
+    pairs = kept.withColumn("place", F.explode(F.sequence(F.col("before") + 1, F.col("last")))).join(places, ["pool", "place"])
 
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "idx", "tx"])
-        ins, outs = pdf[pdf["w"] == 0], pdf[pdf["w"] == 1].reset_index(drop=True)
-        taken, rows = set(), []
-        keys = list(zip(outs["block"], outs["idx"], strict=True))
-        for r in ins.itertuples():
-            fit = [i for i, (b, x) in enumerate(keys) if (b, x) > (r.block, r.idx) and b - r.block <= window]
-            free = [i for i in fit if i not in taken]
-            if not free or len(fit) > max_set:
+        pdf = pdf.sort_values(["block", "idx", "tx", "place"])
+        taken, done, rows = set(), None, []
+        for r in pdf.itertuples():
+            if r.tx == done or r.place in taken:
                 continue
-            taken.add(free[0])
-            sure = "medium" if len(fit) <= 1 else "low" if len(fit) <= 3 else "speculative"
-            rows.append((r.pool, r.tx, outs["tx"][free[0]], keys[free[0]][0] - r.block, len(fit), sure))
+            taken.add(r.place)
+            done = r.tx
+            sure = "medium" if r.anonymity_set <= 1 else "low" if r.anonymity_set <= 3 else "speculative"
+            rows.append((r.pool, r.tx, r.withdrawal, r.out_block - r.block, r.anonymity_set, sure))
         return pd.DataFrame(rows, columns=["pool", "deposit", "withdrawal", "gap", "anonymity_set", "confidence"])
 
-    both = deposits.withColumn("w", F.lit(0)).unionByName(withdrawals.withColumn("w", F.lit(1)))
-    return both.groupBy("pool").applyInPandas(claim, schema)
+    return pairs.groupBy("pool", "chain").applyInPandas(claim, schema)
 
 
 def address_reuse(deposits: DataFrame, withdrawals: DataFrame) -> DataFrame:
     """Deposits whose own address withdraws later: the earliest such withdrawal, found by carrying the next
     withdrawal of the address backwards."""
     both = deposits.withColumn("w", F.lit(0)).unionByName(withdrawals.withColumn("w", F.lit(1)))
-    ahead = Window.partitionBy("address").orderBy("block", "idx", "w", "tx").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("w") == 1, F.struct("block", "idx", "tx")), ignorenulls=True).over(ahead)
-    return both.withColumn("n", nxt).where("w = 0 and n is not null and (n.block > block or n.idx > idx)").select("address", F.col("tx").alias("deposit"), F.col("n.tx").alias("withdrawal"))
+    both = carried_back(both, ["address"], ["block", "idx", "w", "tx"], F.when(F.col("w") == 1, F.struct("block", "idx", "tx")), "n")
+    return both.where("w = 0 and n is not null and (n.block > block or n.idx > idx)").select("address", F.col("tx").alias("deposit"), F.col("n.tx").alias("withdrawal"))
 
 
 def linked_by_transfer(deposits: DataFrame, withdrawals: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Ordered folds over transfers: taint forwards under three policies, origins backwards.
 
-What an address holds of an asset is a queue of lots, so the order of all transfers of an asset matters and an asset
-is the unit of parallel work (`applyInPandas` by chain and asset). Only transfers that touch an address reachable from
-the seeds can change the answer; the others are removed by joins before the fold, which is what keeps a hot asset small.
+What an address holds of an asset is a queue of lots, so transfers of an asset between addresses that are connected by
+them must be folded in order. Transfers that a seed's money can't reach are removed by joins first; what is left falls
+apart into connected components, and a component of a chain and asset is the unit of parallel work (`applyInPandas`).
 Amounts are Python integers inside the fold: exact at any size.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import cut
+from .graph import connected
 
 POLICIES = ("fifo", "haircut", "poison")
 KEYS = ("chain", "asset")
@@ -38,17 +39,60 @@ def reachable(ledger: DataFrame, seeds: DataFrame) -> DataFrame:
     return seen.select("chain", "asset", "address")
 
 
-def _relevant(ledger: DataFrame, seeds: DataFrame) -> DataFrame:
-    near = reachable(ledger, seeds)
+def _touching(ledger: DataFrame, near: DataFrame) -> DataFrame:
+    """Transfers with an end in `near` (chain, asset, address), each row once, equal ones as often as they occur."""
     rows = ledger.where("sender is not null and recipient is not null and amount_raw > 0").withColumn("asset", F.coalesce("asset", F.lit("")))
-    a = rows.join(near.withColumnRenamed("address", "sender"), [*KEYS, "sender"], "left_semi")
-    b = rows.join(near.withColumnRenamed("address", "recipient"), [*KEYS, "recipient"], "left_semi")
-    return a.unionByName(b).distinct()
+    marked = rows
+    for end in ("sender", "recipient"):
+        hit = near.select(*[F.col(c).alias(f"_{c}") for c in KEYS], F.col("address").alias("_address"), F.lit(True).alias(f"_{end}"))
+        marked = marked.join(hit, [F.col(c) == F.col(f"_{c}") for c in KEYS] + [F.col(end) == F.col("_address")], "left").drop("_chain", "_asset", "_address")
+    return marked.where("_sender or _recipient").drop("_sender", "_recipient")
+
+
+def _in_components(rows: DataFrame) -> DataFrame:
+    """rows (chain, asset, sender, recipient, ...) with `part`: the connected component of their ends."""
+    node = lambda end: F.concat_ws("\x01", "chain", "asset", end)
+    parts = connected(rows.where("recipient is not null").select(node("sender").alias("a"), node("recipient").alias("b")))
+    named = parts.select(F.col("node").alias("_node"), F.col("component").alias("part"))
+    return rows.join(named, node("sender") == F.col("_node"), "left").drop("_node")
 
 
 TAINT = "chain string, asset string, address string, policy string, held decimal(38,0), touched decimal(38,0), unresolved decimal(38,0)"
 
 
+def _spend(queue: deque[list[int]], amount: int, policy: str) -> int:
+    """Take an amount (at most what the queue holds) from the front of a queue of lots [amount, dirty]; how much of it
+    counts as dirty. Under haircut the share of all that is held moves, rounded down, while each lot gives its own share,
+    rounded down: the difference is lost to rounding. Under poison all of it is dirty if anything held is."""
+    total, dirty = sum(x[0] for x in queue), sum(x[1] for x in queue)
+    moved, left = 0, amount
+    while left and queue:
+        size, bad = queue[0]
+        part = min(left, size)
+        gives = bad * part // size if policy == "haircut" else min(bad, part)
+        moved += gives
+        left -= part
+        if part == size:
+            queue.popleft()
+        else:
+            queue[0] = [size - part, bad - gives]
+    if policy == "haircut":
+        return amount * dirty // total if total else 0
+    return (amount if dirty else 0) if policy == "poison" else moved
+
+
+def _receive(queue: deque[list[int]], amount: int, dirty: int, policy: str) -> int:
+    """Add a lot; how much of it is dirty. Under poison dirty money makes all that lies there dirty, and clean money that
+    arrives at a dirty address becomes so."""
+    if policy == "poison":
+        if dirty:
+            for lot in queue:
+                lot[1] = lot[0]
+        dirty = amount if dirty or any(lot[1] for lot in queue) else 0
+    queue.append([amount, min(dirty, amount)])
+    return queue[-1][1]
+
+
 def fold_taint(rows: list[tuple[str, str, int]], seeds: dict[str, int | None], policy: str, opening: dict[str, int] | None = None) -> dict[str, tuple[int, int, int]]:
     """{address: (tainted money held, tainted money that ever arrived, money spent beyond the known balance)} after
     (sender, recipient, amount) in order. A seed with an amount starts with one tainted lot behind its opening
@@ -57,63 +101,51 @@ def fold_taint(rows: list[tuple[str, str, int]], seeds: dict[str, int | None], p
     touched: dict[str, int] = {}
     lacking: dict[str, int] = {}
     for address, amount in (opening or {}).items():
-        lots.setdefault(address, deque()).append([amount, 0])
+        if amount > 0:
+            lots.setdefault(address, deque()).append([amount, 0])
     for address, amount in seeds.items():
-        if amount is not None:
+        if amount:
             lots.setdefault(address, deque()).append([amount, amount])
     for sender, recipient, amount in rows:
         if sender in seeds and seeds[sender] is None:
             moved = amount
         else:
-            queue, moved, left = lots.setdefault(sender, deque()), 0, amount
-            if policy == "fifo":
-                while left and queue:
-                    size, dirty = queue[0]
-                    part = min(left, size)
-                    bad = dirty if part == size else min(dirty, part)
-                    moved += bad
-                    left -= part
-                    if part == size:
-                        queue.popleft()
-                    else:
-                        queue[0] = [size - part, dirty - bad]
-            else:
-                total, dirty = sum(x[0] for x in queue), sum(x[1] for x in queue)
-                part = min(left, total)
-                left -= part
-                if total:
-                    moved = dirty * part // total if policy == "haircut" else (part if dirty else 0)
-                kept = total - part
-                queue.clear()
-                if kept:
-                    queue.append([kept, kept if policy == "poison" and dirty else max(0, dirty - moved)])
-            if left:
-                lacking[sender] = lacking.get(sender, 0) + left
-        lots.setdefault(recipient, deque()).append([amount, moved])
-        if moved:
-            touched[recipient] = touched.get(recipient, 0) + moved
+            queue = lots.setdefault(sender, deque())
+            known = min(amount, sum(x[0] for x in queue))
+            moved = _spend(queue, known, policy)
+            if amount > known:
+                lacking[sender] = lacking.get(sender, 0) + amount - known
+        dirty = _receive(lots.setdefault(recipient, deque()), amount, moved, policy)
+        if dirty:
+            touched[recipient] = touched.get(recipient, 0) + dirty
     held = {a: sum(x[1] for x in q) for a, q in lots.items()}
     return {a: (held.get(a, 0), touched.get(a, 0), lacking.get(a, 0)) for a in {*held, *touched, *lacking}}
 
 
-def taint(ledger: DataFrame, seeds: DataFrame, policies: tuple[str, ...] = POLICIES) -> DataFrame:
-    """Tainted money by address, asset and policy. seeds: (chain, asset, address, amount or null for all it sends)."""
-    rows = _relevant(ledger, seeds).select(*KEYS, "sender", "recipient", F.col("amount_raw").cast("string").alias("amount"), F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("log_index", F.lit(0)).alias("log_index"), "tx_hash", F.lit(False).alias("seed"))
-    start = seeds.select("chain", F.coalesce("asset", F.lit("")).alias("asset"), F.col("address").alias("sender"), F.lit(None).cast("string").alias("recipient"), F.col("amount").cast("string").alias("amount"), F.lit(0).cast("long").alias("block"), F.lit(0).alias("log_index"), F.lit("").alias("tx_hash"), F.lit(True).alias("seed"))
+def _moves(rows: DataFrame) -> DataFrame:
+    return rows.select(*KEYS, "sender", "recipient", F.col("amount_raw").cast("string").alias("amount"), F.coalesce("block", F.lit(0)).cast("long").alias("block"), F.coalesce("log_index", F.lit(0)).alias("log_index"), "tx_hash", F.lit("move").alias("kind"))
+
+
+def taint(ledger: DataFrame, seeds: DataFrame, policies: tuple[str, ...] = POLICIES, opening: DataFrame | None = None) -> DataFrame:
+    """Tainted money by address, asset and policy. seeds: (chain, asset, address, amount or null for all it sends);
+    opening: (chain, asset, address, amount) held before the first transfer."""
+    rows = _moves(_touching(ledger, reachable(ledger, seeds)))
+    for kind, given in (("seed", seeds), ("opening", opening)):
+        if given is not None:
+            rows = rows.unionByName(given.select("chain", F.coalesce("asset", F.lit("")).alias("asset"), F.col("address").alias("sender"), F.lit(None).cast("string").alias("recipient"), F.col("amount").cast("string").alias("amount"), F.lit(0).cast("long").alias("block"), F.lit(0).alias("log_index"), F.lit("").alias("tx_hash"), F.lit(kind).alias("kind")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf[pdf["seed"]]
-        start = {a: None if n is None or n != n else int(n) for a, n in zip(first["sender"], first["amount"], strict=True)}
-        moves = pdf[~pdf["seed"]].sort_values(["block", "log_index", "tx_hash"], kind="stable")
+        start = {kind: {a: None if n is None or n != n else int(n) for a, n in zip(own["sender"], own["amount"], strict=True)} for kind in ("seed", "opening") for own in [pdf[pdf["kind"] == kind]]}
+        moves = pdf[pdf["kind"] == "move"].sort_values(["block", "log_index", "tx_hash"], kind="stable")
         each = [(s, r, int(a)) for s, r, a in zip(moves["sender"], moves["recipient"], moves["amount"], strict=True)]
         out = []
         for policy in policies:
-            for address, numbers in fold_taint(each, start, policy).items():
+            for address, numbers in fold_taint(each, start["seed"], policy, start["opening"]).items():
                 if numbers[0] or numbers[1]:
                     out.append((pdf["chain"].iloc[0], pdf["asset"].iloc[0], address, policy, *map(Decimal, numbers)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in TAINT.split(", ")])
 
-    return rows.unionByName(start).groupBy(*KEYS).applyInPandas(fold, TAINT)
+    return _in_components(cut(rows)).groupBy(*KEYS, "part").applyInPandas(fold, TAINT)
 
 
 def agreement(tainted: DataFrame, balances: DataFrame) -> DataFrame:
@@ -160,13 +192,11 @@ def origins(ledger: DataFrame, target: str, amount: int | None = None) -> DataFr
     turned = ledger.select("chain", "asset", F.col("recipient").alias("sender"), F.col("sender").alias("recipient"), "amount_raw", (-F.coalesce("block", F.lit(0))).alias("block"))
     assets = ledger.where(F.col("recipient") == target).select("chain", "asset").distinct().select("chain", "asset", F.lit(target).alias("address"))
     near = reachable(turned.withColumn("block", F.lit(0).cast("long")), assets)
-    rows = ledger.where("sender is not null and recipient is not null and amount_raw > 0").withColumn("asset", F.coalesce("asset", F.lit("")))
-    rows = rows.join(near.withColumnRenamed("address", "recipient"), [*KEYS, "recipient"], "left_semi").unionByName(rows.join(near.withColumnRenamed("address", "sender"), [*KEYS, "sender"], "left_semi")).distinct()
+    rows = _moves(_touching(ledger, near))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["block", "log_index", "tx_hash"], kind="stable")
         got = fold_origins([(s, r, int(a)) for s, r, a in zip(pdf["sender"], pdf["recipient"], pdf["amount"], strict=True)], target, amount)
         return pd.DataFrame([(pdf["chain"].iloc[0], pdf["asset"].iloc[0], o, Decimal(n)) for o, n in got.items()], columns=["chain", "asset", "origin", "amount_raw"])
 
-    each = rows.select(*KEYS, "sender", "recipient", F.col("amount_raw").cast("string").alias("amount"), F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("log_index", F.lit(0)).alias("log_index"), "tx_hash")
-    return each.groupBy(*KEYS).applyInPandas(fold, schema)
+    return _in_components(cut(rows)).groupBy(*KEYS, "part").applyInPandas(fold, schema)

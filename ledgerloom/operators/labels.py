@@ -6,9 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HIGH = 3
-#: Fixed vocabularies: spellings in imported files and what they mean.
-CATEGORY_ALIASES = {"exchange": "cex", "automobile": "cex", "tumbler": "mixer", "building": "mixer", "fraud": "scam", "furniture": "scam", "bridge": "bridge", "machinery": "bridge"}
-CONFIDENCE_WORDS = {"speculative": 0, "low": 1, "medium": 2, "high": 3, "certain": 4}
+#: Fixed vocabularies: spellings in imported files and what they mean, and the headers that name each field.
+CATEGORY_ALIASES = {
+    "exchange": "cex", "cex": "cex", "centralized exchange": "cex", "dex": "dex", "decentralized exchange": "dex", "bridge": "bridge", "mixer": "mixer", "tumbler": "mixer",
+    "sanctioned": "sanctioned", "sanction": "sanctioned", "ofac": "sanctioned", "sdn": "sanctioned", "illicit": "illicit", "scam": "illicit", "phishing": "illicit", "hack": "illicit", "exploit": "illicit",
+    "token": "token", "contract": "contract", "service": "service",
+}
+CONFIDENCE_WORDS = {"certain": 4, "confirmed": 4, "high": 3, "medium": 2, "med": 2, "low": 1, "speculative": 0, "guess": 0, "unconfirmed": 0}
+METHOD_WORDS = {"list": "list", "label": "label", "nametag": "label", "onchain": "onchain", "on-chain": "onchain", "heuristic": "heuristic", "inference": "inference", "inferred": "inference", "manual": "manual"}
+COLUMNS = {
+    "address": ("address", "addr", "wallet", "account", "entity_address"),
+    "label": ("label", "name", "tag", "entity", "nametag", "description"),
+    "category": ("category", "type", "kind", "entity_type", "class"),
+    "confidence": ("confidence", "certainty", "score"),
+    "chain": ("chain", "network", "chain_id", "blockchain"),
+    "rationale": ("rationale", "reason", "note", "notes", "evidence", "comment"),
+    "method": ("method", "how", "basis"),
+    "observed_at": ("observed_at", "date", "timestamp", "seen", "first_seen"),
+}
 
 
 def applies(claim_chain: Column, chain: Column) -> Column:
@@ -58,24 +73,60 @@ def _mapped(col: Column, table: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.lower(F.trim(col))]
 
 
-def coerced(rows: DataFrame, default_confidence: int = 2) -> DataFrame:
-    """Imported all-text rows (wallet, name, type, certainty) as claims; `problem` says why a row can't be one."""
-    known = _mapped(F.col("type"), CATEGORY_ALIASES)
-    sure = F.coalesce(_mapped(F.col("certainty"), CONFIDENCE_WORDS), F.expr("try_cast(certainty as int)"), F.lit(default_confidence))
-    address = F.trim("wallet")
-    problem = F.when(F.coalesce(address, F.lit("")) == "", "no address").when(F.coalesce(F.trim("name"), F.lit("")) == "", "no label").when(~sure.between(0, 4), "bad confidence")
-    return rows.select(address.alias("address"), F.trim("name").alias("label"), F.coalesce(known, F.lit("unknown")).alias("category"), sure.cast("int").alias("confidence"), problem.alias("problem"))
+def coerced(rows: DataFrame, source: str, default_confidence: int = 2, default_method: str = "list", most_confidence: int = 4, chain: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Imported all-text rows as claims, by header aliases without regard to case; `problem` says why a row can't be
+    one. A confidence above what the source may say is lowered to that; an unknown category is `unknown`."""
+    have = {c.strip().lower(): c for c in rows.columns}
+
+    def field(name: str) -> Column:
+        """The first alias that has a value in the row."""
+        named = [F.nullif(F.trim(F.col(f"`{have[a]}`").cast("string")), F.lit("")) for a in COLUMNS[name] if a in have]
+        return F.coalesce(*named) if named else F.lit(None).cast("string")
+
+    sure_text, method_text, when = field("confidence"), field("method"), field("observed_at")
+    sure = F.when(sure_text.isNull(), F.lit(default_confidence)).otherwise(F.coalesce(_mapped(sure_text, CONFIDENCE_WORDS), sure_text.try_cast("int")))
+    method = F.when(method_text.isNull(), F.lit(default_method)).otherwise(_mapped(method_text, METHOD_WORDS))
+    moment = F.coalesce(when.try_cast("long"), F.unix_timestamp(when.try_cast("timestamp")))
+    place = F.coalesce(field("chain"), F.lit(chain))
+    problem = (
+        F.when(field("address").isNull(), "no address").when(field("label").isNull(), "no label").when(sure.isNull() | ~sure.between(0, 4), "bad confidence")
+        .when(method.isNull(), "bad method").when(when.isNotNull() & moment.isNull(), "bad date").when(place.isNotNull() & ~place.rlike(CHAIN_ID), "bad chain")
+    )
+    lowered = F.least(sure, F.lit(most_confidence)).cast("int")
+    return rows.select(
+        field("address").alias("address"), field("label").alias("label"), place.alias("chain"), F.coalesce(_mapped(field("category"), CATEGORY_ALIASES), F.lit("unknown")).alias("category"),
+        lowered.alias("confidence"), method.alias("method"), field("rationale").alias("rationale"), moment.alias("observed_at"), F.lit(source).alias("source"), problem.alias("problem"), *keep,
+    )
+
+
+#: Fixed: a chain as namespace and reference.
+CHAIN_ID = r"^[-a-z0-9]{3,8}:[-_a-zA-Z0-9]{1,32}$"
 
 
 def import_plan(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """Per row: insert, duplicate (same address and label before it, or stored, with the same category) or conflict."""
-    key = [F.lower("address").alias("address"), F.lower("label").alias("label")]
-    old = existing.groupBy(*key).agg(F.min("category").alias("stored"))
-    w = Window.partitionBy(F.lower("address"), F.lower("label")).orderBy("ord")
-    got = rows.withColumn("first_category", F.first("category").over(w)).withColumn("nth", F.row_number().over(w))
-    got = got.join(old.withColumnsRenamed({"address": "_a", "label": "_l"}), (F.lower("address") == F.col("_a")) & (F.lower("label") == F.col("_l")), "left").drop("_a", "_l")
-    base = F.coalesce("stored", F.when(F.col("nth") > 1, F.col("first_category")))
-    return got.withColumn("action", F.when(base.isNull(), "insert").when(base == F.col("category"), "duplicate").otherwise("conflict")).drop("stored", "nth", "first_category")
+    """Claims (with `ord`, their place in the file) with an action each. The key is address and label without case, and
+    the chain: a key's first row is an insert, later ones with its category duplicates, with another one conflicts. An
+    insert whose category differs from a stored claim's of the same address is a conflict too, unless either of them is
+    a sanction: that is added, never disputed."""
+    w = Window.partitionBy(F.lower("address"), F.lower("label"), F.coalesce("chain", F.lit(""))).orderBy("ord")
+    got = rows.withColumns({"_first": F.first("category").over(w), "_nth": F.row_number().over(w)})
+    old = existing.where("category <> 'sanctioned'").groupBy(F.lower("address").alias("_a")).agg(F.collect_set("category").alias("_stored"))
+    got = got.join(old, F.lower("address") == F.col("_a"), "left").drop("_a")
+    clash = (F.col("category") != "sanctioned") & F.exists(F.coalesce("_stored", F.array().cast("array<string>")), lambda x: x != F.col("category"))
+    inside = F.when(F.col("_first") == F.col("category"), "duplicate").otherwise("conflict")
+    return got.withColumn("action", F.when(F.col("_nth") > 1, inside).when(clash, "conflict").otherwise("insert")).drop("_first", "_nth", "_stored")
+
+
+def new_claims(incoming: DataFrame, existing: DataFrame, key: tuple[str, ...] = ("address", "source", "label", "analyst")) -> DataFrame:
+    """Claims that an idempotent write adds: one for each key that isn't stored; null parts of a key are equal."""
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    return incoming.dropDuplicates(list(key)).alias("a").join(existing.select(*key).distinct().alias("b"), same, "left_anti")
+
+
+def difference(before: DataFrame, after: DataFrame, key: str = "address") -> DataFrame:
+    """(key, change): what a newer version of a list adds and removes."""
+    a, b = before.select(key).distinct(), after.select(key).distinct()
+    return b.join(a, key, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, key, "left_anti").withColumn("change", F.lit("removed")))
 
 
 # --- watches: predicates over transfers, and their evaluation over a range of blocks
@@ -93,6 +144,28 @@ def touching(ledger: DataFrame, claims: DataFrame, category: str, min_confidence
     return rows.where("_s or _r").withColumn("because", F.when(F.col("_s"), "sender").otherwise("recipient")).drop("_s", "_r")
 
 
+def _other(subject: str) -> Column:
+    return F.when(F.col("sender") == subject, F.col("recipient")).otherwise(F.col("sender"))
+
+
+def counterparty_in(subject: str, addresses: tuple[str, ...]) -> Column:
+    """Transfers of a subject with one of these addresses."""
+    return ((F.col("sender") == subject) | (F.col("recipient") == subject)) & _other(subject).isin(*addresses)
+
+
+def any_of(*tests: tuple[str, Column]) -> tuple[Column, Column]:
+    """(whether one of the named tests holds, the names of those that do, joined by "; ")."""
+    names = F.concat_ws("; ", *[F.when(t, F.lit(n)) for n, t in tests])
+    return names != "", names
+
+
+def all_of(*tests: tuple[str, Column]) -> tuple[Column, Column]:
+    out = F.lit(True)
+    for _, t in tests:
+        out = out & F.coalesce(t, F.lit(False))
+    return out, F.when(out, F.lit("; ".join(n for n, _ in tests)))
+
+
 def unknown_counterparty(ledger: DataFrame, claims: DataFrame, subject: str) -> DataFrame:
     other = F.when(F.col("sender") == subject, F.col("recipient")).otherwise(F.col("sender"))
     rows = ledger.where((F.col("sender") == subject) | (F.col("recipient") == subject)).withColumn("other", other)

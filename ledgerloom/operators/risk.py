@@ -2,45 +2,98 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import backward_walk
 from .labels import merged
+from .sequences import probes
 from .store import sides
 
-
-def exposures(edges_in: DataFrame, claims: DataFrame, subject: str, asset: str | None, hops: int = 3, service_degree: int = 40) -> DataFrame:
-    """Labelled sources of an address's money: (node, hop, share, category, confidence, label)."""
-    reached = backward_walk(edges_in, subject, asset, hops, service_degree).where("hop > 0")
-    return reached.join(merged(claims).withColumnRenamed("address", "node"), "node").where("category <> 'unknown'").select("node", "hop", "share", "category", "confidence", "label")
-
-
-def shape_signals(ledger: DataFrame, few: int = 20) -> DataFrame:
-    """What an address's rows alone say: fresh (in and out, hardly used), consolidation (many in, few out)."""
-    moves = sides(ledger).groupBy("address").agg(F.count("*").alias("n"), F.count_if("outgoing").alias("outs"), F.count_if(~F.col("outgoing")).alias("ins"), F.count_distinct(F.when(~F.col("outgoing"), F.col("other"))).alias("from_"), F.count_distinct(F.when(F.col("outgoing"), F.col("other"))).alias("to_"))
-    return moves.select("address", "n", ((F.col("ins") > 0) & (F.col("outs") > 0) & (F.col("n") <= few)).alias("fresh_address"), ((F.col("from_") >= 5) & (F.col("to_") <= 2)).alias("consolidation"))
+#: Fixed: categories at which a walk ends, as what lies behind them is pooled with other people's money.
+TERMINAL = ("cex", "dex", "bridge", "mixer", "service")
+EXPOSURE = "node string, hop int, share double, category string, confidence int"
+
+
+def dominant_assets(edges_in: DataFrame, decimals: DataFrame | None = None) -> DataFrame:
+    """(address, asset): the asset in which an address took in the largest quantity in display units; the least name at
+    a tie. decimals: (asset, decimals), 0 where unknown."""
+    rows = edges_in.where("total_raw > 0").groupBy("subject", F.coalesce("asset", F.lit("")).alias("asset")).agg(F.sum("total_raw").cast("double").alias("raw"))
+    if decimals is not None:
+        rows = rows.join(decimals.select(F.coalesce("asset", F.lit("")).alias("asset"), "decimals"), "asset", "left")
+        rows = rows.withColumn("raw", F.col("raw") / F.pow(F.lit(10.0), F.coalesce("decimals", F.lit(0))))
+    order = Window.partitionBy("subject").orderBy(F.desc("raw"), "asset")
+    return rows.withColumn("r", F.row_number().over(order)).where("r = 1").select(F.col("subject").alias("address"), F.when(F.col("asset") != "", F.col("asset")).alias("asset"))
+
+
+def screen(edges_in: DataFrame, claims: DataFrame, subjects: DataFrame, signals: DataFrame | None = None, expanded: DataFrame | None = None, hops: int = 4, service_degree: int = 40) -> DataFrame:
+    """One row per subject (address, asset): exposures (labelled addresses that its money came through), how many
+    behavioural signals there are, and whether the screen is complete: no walk ends at an address of which nothing is
+    known (a service, one never followed, or the hop limit)."""
+    best = merged(claims).select(F.col("address").alias("node"), "category", "confidence")
+    terminal = best.where(F.col("category").isin(*TERMINAL)).select(F.col("node").alias("address"))
+    reached = backward_walk(edges_in, subjects, hops, service_degree, terminal=terminal, expanded=expanded)
+    reached = reached.join(best.where("category <> 'unknown'"), "node", "left")
+    item = F.struct("node", "hop", "share", "category", "confidence")
+    found = reached.groupBy(F.col("root").alias("address")).agg(F.array_sort(F.collect_list(F.when(F.col("category").isNotNull(), item))).alias("exposures"), F.count_if(F.col("category").isNull() & F.col("stopped").isNotNull()).alias("gaps"))
+    got = subjects.select("address").join(found, "address", "left")
+    if signals is not None:
+        got = got.join(signals.select("address", "n_signals"), "address", "left")
+    else:
+        got = got.withColumn("n_signals", F.lit(None).cast("int"))
+    none = F.array().cast(f"array<struct<{EXPOSURE.replace(' ', ':').replace(',:', ',')}>>")
+    return got.select("address", F.coalesce("exposures", none).alias("exposures"), F.coalesce("n_signals", F.lit(0)).cast("int").alias("n_signals"), (F.coalesce("gaps", F.lit(0)) == 0).alias("complete"))
+
+
+def properties(screens: DataFrame) -> DataFrame:
+    """What a screen says at a glance: complete; unattributed (signals, but no exposure); clean (complete, no exposure,
+    no signal); the exposures' shares together, at most 1."""
+    none = F.size("exposures") == 0
+    total = F.least(F.lit(1.0), F.aggregate("exposures", F.lit(0.0), lambda acc, x: acc + x["share"]))
+    return screens.select("address", "complete", (none & (F.col("n_signals") > 0)).alias("unattributed"), (F.col("complete") & none & (F.col("n_signals") == 0)).alias("clean"), F.round(total, 9).alias("total_share"))
+
+
+def shape_signals(ledger: DataFrame, forged: DataFrame | None = None, few: int = 20) -> DataFrame:
+    """What an address's rows alone say: fresh (in and out, hardly used), consolidation (many payments in, few out),
+    probing (either end of a probe), impersonation (a forged asset touches it; forged: (asset)), and how many hold."""
+    moves = sides(ledger)
+    counts = moves.groupBy("address").agg(F.count("*").alias("n"), F.count_if("outgoing").alias("outs"), F.count_if(~F.col("outgoing")).alias("ins"))
+    ends = probes(ledger)
+    ends = ends.select(F.col("sender").alias("address")).union(ends.select("recipient")).distinct().withColumn("probing", F.lit(True))
+    got = counts.join(ends, "address", "left")
+    if forged is not None:
+        hit = moves.join(forged.select("asset").distinct(), "asset", "left_semi").select("address").distinct().withColumn("impersonation", F.lit(True))
+        got = got.join(hit, "address", "left")
+    else:
+        got = got.withColumn("impersonation", F.lit(False))
+    got = got.select("address", "n", ((F.col("ins") > 0) & (F.col("outs") > 0) & (F.col("n") <= few)).alias("fresh_address"), ((F.col("ins") >= 5) & (F.col("outs") <= 2)).alias("consolidation"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("probing", "impersonation")])
+    names = ("fresh_address", "consolidation", "probing", "impersonation")
+    return got.withColumn("n_signals", sum((F.col(c).cast("int") for c in names), F.lit(0)))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """First match wins. An exposure condition with only a confidence is no condition."""
+    """First match wins. Conditions on an exposure hold for one exposure together; only a confidence is no condition."""
 
     name: str
     action: str
-    category: str | None = None
+    categories: tuple[str, ...] = ()
+    role: str | None = None
     max_hops: int | None = None
     min_share: float | None = None
     min_confidence: int | None = None
     signals: bool = False
+    unattributed: bool = False
     incomplete: bool = False
 
     def on_exposure(self, x: Column) -> Column | None:
         tests = []
-        if self.category is not None:
-            tests.append(x["category"] == self.category)
+        if self.categories:
+            tests.append(x["category"].isin(*self.categories))
+        if self.role is not None:
+            tests.append(x["role"] == self.role)
         if self.max_hops is not None:
             tests.append(x["hop"] <= self.max_hops)
         if self.min_share is not None:
@@ -54,34 +107,47 @@ class Rule:
             out = out & t
         return out
 
-    def holds(self) -> Column:
-        """Over columns exposures (array of structs), n_signals, complete."""
+    def holds(self, roles: bool) -> Column:
+        """Over columns exposures (array of structs, with roles or without), n_signals, complete."""
         out = F.lit(False)
-        if self.category is not None or self.max_hops is not None or self.min_share is not None:
+        if (self.categories or self.role or self.max_hops is not None or self.min_share is not None) and (roles or not self.role):
             out = out | F.exists("exposures", lambda x: self.on_exposure(x))
         if self.signals:
             out = out | (F.col("n_signals") > 0)
+        if self.unattributed:
+            out = out | ((F.col("n_signals") > 0) & (F.size("exposures") == 0))
         if self.incomplete:
             out = out | ~F.col("complete")
         return out
 
 
+def rule_of(record: dict) -> Rule:
+    """A rule out of a configuration file's record; a condition that isn't known is refused, as ignoring it would widen
+    the rule."""
+    unknown = set(record) - {f.name for f in fields(Rule)}
+    if unknown:
+        raise ValueError(f"unknown conditions: {', '.join(sorted(unknown))}")
+    return Rule(**{k: tuple(v) if k == "categories" else v for k, v in record.items()})
+
+
 #: Fixed: the starter policy's rules in order.
 STARTER = (
-    Rule("sanctioned_direct", "reject", "sanctioned", max_hops=0),
-    Rule("sanctioned", "escalate", "sanctioned"),
-    Rule("mixer", "enhanced_kyc", "mixer", min_share=0.05),
-    Rule("scam", "escalate", "scam", min_confidence=3),
+    Rule("sanctioned-direct", "reject", ("sanctioned",), max_hops=0),
+    Rule("sanctioned-indirect", "escalate", ("sanctioned",)),
+    Rule("attacker-role", "escalate", role="attacker"),
+    Rule("mixer-material", "enhanced_kyc", ("mixer",), min_share=0.05),
+    Rule("illicit-well-sourced", "escalate", ("illicit", "scam"), min_confidence=3),
     Rule("incomplete", "hold", incomplete=True),
-    Rule("signals", "hold", signals=True),
-    Rule("exchange", "allow", "cex", max_hops=0),
+    Rule("shape-only", "hold", unattributed=True),
+    Rule("exchange-only", "allow", ("cex",), max_hops=0),
 )
 
 
 def decide(screens: DataFrame, rules: tuple[Rule, ...] = STARTER, default: str = "hold") -> DataFrame:
     """The first rule that holds, with floors: an incomplete screen is never allowed, and nothing irreversible
     happens without an exposure."""
-    matched = F.coalesce(*[F.when(r.holds(), F.struct(F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"))) for r in rules], F.struct(F.lit("default").alias("rule"), F.lit(default).alias("action")))
+    roles = "role" in screens.schema["exposures"].dataType.elementType.names
+    matched = F.coalesce(*[F.when(r.holds(roles), F.struct(F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"))) for r in rules], F.struct(F.lit("default").alias("rule"), F.lit(default).alias("action")))
     got = screens.withColumn("m", matched)
     action = F.when((F.col("m.action") == "allow") & ~F.col("complete"), "hold").when((F.col("m.action") == "reject") & (F.size("exposures") == 0), "escalate").otherwise(F.col("m.action"))
     return got.select("address", F.col("m.rule").alias("rule"), action.alias("action"))

@@ -1,8 +1,9 @@
 """A read-only SQL surface over named views, with a capped result.
 
-The guard refuses anything but one query: literals and comments are taken out first, then the statement's first word
-must be a reading one and no writing or file-reading word may be left. The session setting
-`spark.sql.runSQLOnFiles=false` is the second boundary for queries on paths.
+The guard refuses anything but one query. One scan takes literals, comments and quoted names out together, so that none of
+them can hide another; what is left must be one statement that starts with a reading word, without writing phrases, file
+formats as schemas or functions that reach into the JVM. `sql` then has Spark parse it and refuses any command in the
+plan, and queries on files by path are switched off while it is analysed.
 """
 
 from __future__ import annotations
@@ -12,41 +13,101 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed: words that may start a statement, and words that may not occur outside literals.
+#: Fixed: words that may start a statement, phrases that change something, and functions that leave the engine.
 LEADS = ("select", "with", "from", "values", "show", "describe", "explain")
-REFUSED = ("insert", "update", "delete", "merge", "drop", "create", "alter", "truncate", "copy", "load", "cache", "uncache", "refresh", "set", "reset", "use", "grant", "revoke", "call", "add", "install", "attach", "detach", "import", "export", "msck", "analyze", "asof", "read_files", "reflect", "java_method")
+WRITES = r"\b(insert\s+(into|overwrite)|merge\s+into|delete\s+from|drop\s+(table|view|database|schema|function)|create\s+(or\s+replace|table|view|temporary|external|database|schema|function)|alter\s+(table|view|database|schema)|truncate\s+table|copy\s+into|load\s+data|cache\s+table|refresh\s+table)\b"
+REACHING = r"\b(reflect|java_method|try_reflect|read_files)\s*\("
+FORMATS = r"\b(parquet|csv|json|orc|text|avro|xml|binaryfile|delta|iceberg|hudi)\s*\.\s*q?`"
 
 
 class RefusedSql(ValueError):
     pass
 
 
+def _bare(query: str) -> str:
+    """The statement with literals as '', quoted names as `` and comments as blanks. Comments in brackets may nest."""
+    out, i, n = [], 0, len(query)
+    while i < n:
+        c, two = query[i], query[i : i + 2]
+        if two == "--":
+            end = query.find("\n", i)
+            i = n if end < 0 else end
+            out.append(" ")
+        elif two == "/*":
+            depth, i = 1, i + 2
+            while depth and i < n:
+                if query[i : i + 2] == "/*":
+                    depth, i = depth + 1, i + 2
+                elif query[i : i + 2] == "*/":
+                    depth, i = depth - 1, i + 2
+                else:
+                    i += 1
+            if depth:
+                raise RefusedSql("a comment isn't closed")
+            out.append(" ")
+        elif c in "'\"`":
+            i += 1
+            while i < n and query[i] != c:
+                i += 2 if query[i] == "\\" and c != "`" else 1
+            if i >= n:
+                raise RefusedSql("a literal or name isn't closed")
+            i += 1  # a doubled quote starts the next literal at once
+            out.append("``" if c == "`" else "''")
+        else:
+            out.append(c)
+            i += 1
+    return "".join(out)
+
+
 def guard(query: str) -> str:
-    text = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"", "''", query)
-    if re.search(r"['\"]", text.replace("''", "")):
-        raise RefusedSql("a literal isn't closed")
-    text = re.sub(r"/\*.*?\*/|--[^\n]*", " ", text, flags=re.S)
+    text = _bare(query).lower()
     parts = [p for p in text.split(";") if p.strip()]
     if len(parts) != 1:
         raise RefusedSql("exactly one statement is allowed")
-    words = re.findall(r"[a-z_]+", parts[0].lower())
-    if not words or words[0] not in LEADS:
+    words = re.findall(r"[a-z_]+", parts[0])
+    if not words or words[0] not in LEADS or not re.match(r"[\s(]*[a-z]", parts[0]):
         raise RefusedSql("only reading statements are allowed")
-    bad = next((w for w in words if w in REFUSED), None)
+    bad = re.search(WRITES, parts[0]) or re.search(REACHING, parts[0])
     if bad:
-        raise RefusedSql(f"refused word: {bad}")
-    if re.search(r"\b(parquet|csv|json|orc|text|avro|xml|binaryfile)\s*\.\s*`", parts[0].lower()):
+        raise RefusedSql(f"refused: {bad.group(0)}")
+    if re.search(FORMATS, parts[0]):
         raise RefusedSql("files can't be read by path")
     return query.rstrip().rstrip(";")
 
 
+def _commands(spark: SparkSession, query: str) -> list[str]:
+    """Names of the nodes in the parsed statement that do something other than read."""
+    jvm = spark._jvm
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    kinds = [loader.loadClass(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+    todo, found = [spark._jsparkSession.sessionState().sqlParser().parsePlan(query)], []
+    while todo:
+        node = todo.pop()
+        if any(k.isInstance(node) for k in kinds):
+            found.append(node.nodeName())
+        for inner in (node.children(), node.innerChildren()):
+            todo += [x for x in (inner.apply(i) for i in range(inner.size())) if hasattr(x, "innerChildren")]
+    return found
+
+
 def register(views: dict[str, DataFrame]) -> None:
     for name, df in views.items():
         df.createOrReplaceTempView(name)
 
 
 def sql(spark: SparkSession, query: str, args: dict | None = None) -> DataFrame:
-    return spark.sql(guard(query), args=args or {})
+    text = guard(query)
+    if not re.match(r"[\s(]*(show|describe|explain)\b", _bare(text).lower()):
+        bad = _commands(spark, text)
+        if bad:
+            raise RefusedSql(f"refused: {', '.join(bad)}")
+    key = "spark.sql.runSQLOnFiles"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return spark.sql(text, args=args or {})
+    finally:
+        spark.conf.set(key, before)
 
 
 def sql_limited(spark: SparkSession, query: str, limit: int, args: dict | None = None) -> tuple[list, bool]:
