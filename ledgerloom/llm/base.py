@@ -6,16 +6,16 @@ prefix-sum polynomial, so no Python loop runs per word.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import cut as stored
+from ..plans.session import release as release  # noqa: PLC0414
+
 #: Fixed by the corpus contracts: the separators of words, and what is stripped from lines.
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -27,35 +27,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a local session (tests) gets a
-    temporary one; a cluster has none that all its machines see, so there it is an error."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def stored_in_small_batches(df: DataFrame, name: str, most: str = "8m") -> DataFrame:
     """`stored`, with Arrow batches of few bytes: for rows that carry texts, so that a task holds little at a time."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -72,6 +43,18 @@ def bucket_of_id(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def bounded_sample(rows: DataFrame, group: str, key: str, size: str, most: int, most_bytes: int) -> DataFrame:
+    """At most `most` rows of each group, by ascending `key` (a hash), whose sizes sum to at most most_bytes, with their
+    rank `nth`; equal rows count once. Only rows with keys below a threshold are ranked: it follows from the group's
+    count and leaves a few more than needed, so that no group is sorted in one place however large it is."""
+    counts = rows.groupBy(group).agg(F.count("*").alias("_all"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * most + 200) / F.col("_all"))
+    near = rows.join(counts, group).where(F.pmod(key, F.lit(1 << 30)) < share * (1 << 30)).select(rows.columns).distinct()
+    order = Window.partitionBy(group).orderBy(F.pmod(key, F.lit(1 << 30)), key, *[c for c in rows.columns if c not in (group, key)])
+    ranked = near.withColumns({"nth": F.row_number().over(order), "_sum": F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return ranked.where((F.col("nth") <= most) & (F.col("_sum") <= most_bytes)).drop("_sum")
+
+
 def utf8(text: object) -> bytes:
     """The text as UTF-8; null (None or NaN) is empty."""
     return text.encode("utf-8") if isinstance(text, str) else b""
