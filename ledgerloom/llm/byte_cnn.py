@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bucket_of_id, utf8
+from .base import bounded_sample, bucket_of_id, utf8
 
 WINDOW = 192
 WIDTHS = (2, 3, 4, 5)
@@ -61,7 +61,7 @@ def to_windows(data: bytes) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[str], seed: int = 7) -> ByteCNN:
-    """Adam on the windows' cross entropy, labels weighted to equal shares."""
+    """Adam on the cross entropy of each text's first window, labels weighted to equal shares."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     wide, total = max(WIDTHS), FILTERS * len(WIDTHS)
@@ -80,10 +80,8 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> ByteCNN:
         return ByteCNN([], **p)
     xs, ys = [], []
     for text, label in zip(texts, labels, strict=True):
-        w = to_windows(utf8(text))
-        take = np.linspace(0, len(w) - 1, min(SAMPLE_WINDOWS, len(w))).astype(int)
-        xs.append(w[np.unique(take)])
-        ys += [names.index(label)] * len(np.unique(take))
+        xs.append(to_windows(utf8(text))[:1])
+        ys.append(names.index(label))
     x, y = np.concatenate(xs), np.array(ys)
     weight = (len(y) / len(names) / np.bincount(y, minlength=len(names)))[y].astype(np.float32)
     m, v, t = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
@@ -122,12 +120,14 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> ByteCNN:
 
 
 def training_sample(docs: DataFrame, train: Column, per_label: int = SAMPLE_PER_LABEL) -> list[tuple[str, str]]:
-    """At most per_label labelled texts of each language, chosen by a hash of the id: bounded, and alike in reruns.
-    The limit works inside each task first, so a frequent language is not gathered in one place."""
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)).alias("o"), F.col("doc_id").alias("tie"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "tie", "text"))
-    got = rows.withColumn("r", rank).where(F.col("r") <= per_label).orderBy("lang", "r").select("text", "lang")
-    return [(r["text"], r["lang"]) for r in got.collect()]
+    """At most per_label labelled texts of each language, chosen by a hash of the id; of each, SAMPLE_WINDOWS pieces from
+    its start to its end, a window long. Bounded in rows and bytes, and alike in reruns; a frequent language is not
+    gathered in one place."""
+    n = F.greatest(F.length("text") - F.lit(WINDOW), F.lit(0))
+    pieces = F.array_distinct(F.array(*[F.substr("text", (F.floor(n * k / max(1, SAMPLE_WINDOWS - 1)) + 1).cast("int"), F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)]))
+    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)).alias("key"), F.lit(0).alias("bytes"), pieces.alias("pieces"))
+    got = bounded_sample(rows, "lang", "key", "bytes", per_label, 1).orderBy("lang", "nth").select(F.explode("pieces").alias("piece"), "lang")
+    return [(r["piece"], r["lang"]) for r in got.collect()]
 
 
 PREDICTED = "lang_pred string, score double"
@@ -172,8 +172,8 @@ def predict(docs: DataFrame, model: ByteCNN, text: str = "text") -> DataFrame:
 
     score_udf = F.pandas_udf(scores, PREDICTED)
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    got = docs.withColumn("_p", score_udf(F.col(text)))
-    return got.withColumns({"lang_pred": F.when(letters, F.col("_p.lang_pred")).otherwise("und"), "score": F.when(letters, F.col("_p.score")).otherwise(F.lit(0.0))}).drop("_p")
+    got = docs.select(F.struct(*docs.columns).alias("row"), letters.alias("letters"), score_udf(F.col(text)).alias("found"))
+    return got.select("row.*", F.when(F.col("letters"), F.col("found.lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), F.col("found.score")).otherwise(F.lit(0.0)).alias("score"))
 
 
 def fit_on(docs: DataFrame) -> ByteCNN:
@@ -183,7 +183,7 @@ def fit_on(docs: DataFrame) -> ByteCNN:
 
 
 def accept(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """The pipeline's stage: documents without a language, or without a clear one, go."""
-    model = fit_on(docs)
-    scored = predict(docs.withColumnRenamed("lang_pred", "_lang_pred").withColumnRenamed("score", "_score") if {"lang_pred", "score"} & {*docs.columns} else docs, model)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select([F.col(c) for c in ("doc_id", "text", "lang", "source", "n_chars")])
+    """The pipeline's stage: documents without a language, or without a clear one, go; the others keep all columns."""
+    kept = docs.select(F.struct(*docs.columns).alias("whole"), "text")
+    scored = predict(kept, fit_on(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return scored.select("whole.*")
