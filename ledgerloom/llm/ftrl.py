@@ -9,7 +9,8 @@ Fitted on a bounded sample of labelled rows (documented parameters), scored on a
 
 Defined cases: null and empty texts have no features and get the intercept's score; rows without a label train
 nothing; without labels of both kinds every score is the labels' mean (0 without labels); equal texts, equal scores;
-repeated labels count as often; extra columns are ignored.
+equal labels of an id count once, different ones both; repeated rows of an id are one text; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,16 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batches, bucket_of_id, hash_words
+from .base import batches, bounded_sample, bucket_of_id, hash_words
 
 BITS = 20
 #: Unigrams also count by their first bytes, so that a stem is known in words that the sample lacks.
 STEMS = (5, 7)
 #: Labelled texts of each class that the fit sees at most.
 SAMPLE_PER_CLASS = 3000
+#: Bytes of a text that may be in the sample, and of all sampled texts of a class.
+TEXT_BYTES, CLASS_BYTES = 1 << 16, 12 << 20
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 6.0, 0.1, 5
 THRESHOLD = 0.7
 
@@ -72,7 +75,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> SparseWeights:
     for _, run in batches(texts, lower=True):
         keys, counts = features(run)
         doc = keys >> np.uint64(BITS)
-        slots = (keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        slots = (keys & np.uint64((1 << BITS) - 1)).astype(np.int32)
         rows += np.split(slots, np.searchsorted(doc, np.arange(1, len(counts))))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
@@ -94,13 +97,19 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> SparseWeights:
     return SparseWeights(kept, every[kept], float(every[-1]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train: Column, per_class: int = SAMPLE_PER_CLASS) -> list[tuple[str, int]]:
-    """At most per_class labelled texts of each class, by a hash of the id: bounded, and alike in reruns. The labels
-    are cut first, so that only the sample's texts are gathered."""
-    rank = F.row_number().over(Window.partitionBy(column).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), "doc_id"))
-    few = labels.where(train & F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", column).withColumn("r", rank).where(F.col("r") <= per_class)
-    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(column, "r", "text").select(F.coalesce("text", F.lit("")).alias("text"), column)
-    return [(r[0], int(r[1])) for r in got.collect()]
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train: Column, per_class: int = SAMPLE_PER_CLASS, class_bytes: int = CLASS_BYTES) -> list[tuple[str, int]]:
+    """At most per_class labelled texts of each class and class_bytes bytes of them, by a hash of the id; texts above
+    TEXT_BYTES are left out. Bounded, and alike in reruns. Labels are cut first, then ids with sizes, then texts come."""
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(5))
+    known = labels.where(train & F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
+    few = bounded_sample(known.select("doc_id", column, key.alias("key"), F.lit(0).alias("bytes")), column, "key", "bytes", 4 * per_class, 1)
+    tid = F.xxhash64(docs["text"])
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), tid.alias("tid")).where(F.col("bytes") <= TEXT_BYTES)
+    few = bounded_sample(sized.join(F.broadcast(few.select("doc_id", column, "key")), "doc_id"), column, "key", "bytes", per_class, class_bytes)
+    chosen = few.select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"), column, "nth")
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (tid == F.col("_tid")))
+    got = got.select(column, "nth", F.coalesce("text", F.lit("")).alias("text")).distinct().orderBy(column, "nth", "text")
+    return [(r["text"], int(r[column])) for r in got.collect()]
 
 
 def score(docs: DataFrame, model: SparseWeights, name: str = "score") -> DataFrame:
