@@ -18,20 +18,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .base import batches, hash_words, stored_in_small_batches
+from .base import batches, bounded_sample, hash_words, stored_in_small_batches
 
 BITS = 16
 SHAPES = 8
 #: Texts that the scorer is fitted on at most, from each side of posterior 1/2.
 SAMPLE_PER_SIDE = 1500
+#: Bytes of a text that may be in that sample, and of all sampled texts of a side.
+TEXT_BYTES, SIDE_BYTES = 1 << 16, 12 << 20
 ROUNDS = 60
 KEEP = 0.5
 
 
-SHAPE = "chars long, letters long, upper long, symbols long, shouts long, words long, distinct long, sentences long"
+SHAPE = "chars long, letters long, upper long, symbols long, shouts long, words long, distinct long, sentences long, bytes long"
 _CLASSES = np.zeros((6, 256), dtype=np.int64)
 for _i in range(256):
     _c = chr(_i)
@@ -47,7 +49,7 @@ for _i in range(256):
 
 def shapes(texts: pd.Series) -> pd.DataFrame:
     """What the labellers look at, counted over each whole text."""
-    out = np.zeros((len(texts), 8), dtype=np.int64)
+    out = np.zeros((len(texts), 9), dtype=np.int64)
     for first, run in batches(texts):
         h, n = hash_words([x.lower() for x in run])
         ends = np.cumsum(n)
@@ -57,6 +59,7 @@ def shapes(texts: pd.Series) -> pd.DataFrame:
         for k in range(6):
             out[first : first + len(run), k if k < 5 else 7] = np.bincount(doc[_CLASSES[k][buf] > 0], minlength=len(run))
         out[first : first + len(run), 5] = n
+        out[first : first + len(run), 8] = lengths
         out[first : first + len(run), 6] = [len(np.unique(h[e - c : e])) for e, c in zip(ends, n, strict=True)]
     return pd.DataFrame(out, columns=[x.split()[0] for x in SHAPE.split(", ")])
 
@@ -191,19 +194,24 @@ def pattern_posteriors(voted: DataFrame) -> tuple[DataFrame, LabelModel]:
     return spark.createDataFrame([(list(map(int, p)), float(q)) for p, q in zip(patterns, post, strict=True)], "votes array<int>, posterior double"), model
 
 
+def training_rows(docs: DataFrame, soft: DataFrame, most: int = SAMPLE_PER_SIDE, most_bytes: int = SIDE_BYTES) -> list[Row]:
+    """(text, _shape, posterior) of at most `most` texts of each side of posterior 1/2, by a hash of the text; texts
+    above TEXT_BYTES are left out. soft: (doc_id, _t, _shape, posterior)."""
+    side = (F.col("posterior") >= 0.5).cast("int")
+    rows = soft.select(side.alias("side"), F.xxhash64("_t", F.lit(9)).alias("key"), F.col("_shape.bytes").alias("bytes"), "doc_id", "_t", "_shape", "posterior").where(F.col("bytes") <= TEXT_BYTES)
+    few = bounded_sample(rows, "side", "key", "bytes", most, most_bytes).select(F.col("doc_id").alias("_id"), F.col("_t").alias("_u"), "_shape", "posterior", "nth")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = keyed.join(F.broadcast(few), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("_u")))
+    return got.select("doc_id", "text", "_shape", "posterior", "nth").distinct().orderBy("posterior", "nth", "doc_id").collect()
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, posterior (label model), score (linear scorer), keep: the mean of both is at least 1/2."""
     shaped = with_shape(docs.select("doc_id", "text")).withColumn("votes", votes(F.col("_shape")))
     voted = stored_in_small_batches(shaped.select("doc_id", "_shape", "votes", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t")), "votes")
     table, _ = pattern_posteriors(voted)
-    soft = voted.join(F.broadcast(table), "votes")
-    side = (F.col("posterior") >= 0.5).cast("int")
-    rank = F.row_number().over(Window.partitionBy(side).orderBy(F.xxhash64("_t", F.lit(9)), "doc_id"))
-    few = soft.withColumn("_r", rank).where(F.col("_r") <= SAMPLE_PER_SIDE).select("doc_id", "_t", "_shape", "posterior", "_r")
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
-    sample = keyed.join(F.broadcast(few.withColumnRenamed("doc_id", "_id")), (F.col("_id").eqNullSafe(F.col("doc_id"))) & (keyed["_t"] == few["_t"])).orderBy("posterior", "_r", "doc_id")
-    rows = sample.select("text", "_shape", "posterior").collect()
-    scorer = fit_scorer(pd.Series([r["text"] for r in rows], dtype=object), pd.DataFrame([r["_shape"].asDict() for r in rows]), np.array([r["posterior"] for r in rows]))
+    rows = training_rows(docs, voted.join(F.broadcast(table), "votes"))
+    scorer = fit_scorer(pd.Series([r["text"] for r in rows], dtype=object), pd.DataFrame([r["_shape"].asDict() for r in rows], columns=[x.split()[0] for x in SHAPE.split(", ")]), np.array([r["posterior"] for r in rows]))
 
     def run(texts: pd.Series, shape: pd.DataFrame) -> pd.Series:
         # some texts at a time: their features are held together
