@@ -23,6 +23,8 @@ from .base import stored
 RING = 65536
 VIRTUAL = 64
 SEED = "ring-1"
+#: Documents of one ring position are ranked in so many parts, by their texts, so that one id's rows are split.
+PARTS = 16
 
 
 def _position(of: Column) -> Column:
@@ -88,14 +90,17 @@ def assign(docs: DataFrame, shards: int = 16, keep: tuple[str, ...] = ()) -> Dat
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select("doc_id", *keep, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(F.concat(F.lit(f"{SEED}:"), key).cast("binary")).alias("_h"))
-    rows = rows.withColumn("pos", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
-    counts = docs.select(_position(F.concat(F.lit(f"{SEED}:"), key)).alias("pos")).groupBy("pos").agg(F.count("*").alias("c"))
+    rows = rows.withColumns({"pos": F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"), "part": F.pmod("text_crc32", F.lit(PARTS))})
+    parts = docs.select(_position(F.concat(F.lit(f"{SEED}:"), key)).alias("pos"), F.pmod(F.crc32(text.cast("binary")), F.lit(PARTS)).alias("part")).groupBy("pos", "part").agg(F.count("*").alias("c"))
+    within = Window.partitionBy("pos").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = stored(parts.withColumn("ahead", F.coalesce(F.sum("c").over(within), F.lit(0))), "ring-parts")
+    counts = parts.groupBy("pos").agg(F.sum("c").alias("c"))
     nodes = stored(virtual_nodes(spark, shards), "ring-nodes")
     ring = ring_positions(nodes).join(counts, "pos").withColumn("offset", F.coalesce(F.sum("c").over(Window.partitionBy("arc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ring = stored(ring, "ring-positions")
     pieces = arc_pieces(nodes, ring.groupBy("arc").agg(F.sum("c").alias("n")), shards)
-    plan = stored(ring.join(pieces, "arc").select("pos", "offset", "pieces"), "ring-plan")
-    rank = F.row_number().over(Window.partitionBy("pos").orderBy("_h", "doc_id", "text_crc32", "size")) - 1
-    got = rows.withColumn("_r", rank).join(plan, "pos").withColumn("_r", F.col("_r") + F.col("offset"))
+    plan = stored(ring.join(pieces, "arc").join(parts, "pos").select("pos", "part", (F.col("offset") + F.col("ahead")).alias("offset"), "pieces"), "ring-plan")
+    rank = F.row_number().over(Window.partitionBy("pos", "part").orderBy("_h", "doc_id", "text_crc32", "size")) - 1
+    got = rows.withColumn("_r", rank).join(plan, ["pos", "part"]).withColumn("_r", F.col("_r") + F.col("offset"))
     got = got.withColumn("_p", F.filter("pieces", lambda x: (x["lo"] <= F.col("_r")) & (F.col("_r") < x["hi"]))[0])
     return got.select("doc_id", *keep, "size", "text_crc32", F.lit("rows").alias("law"), F.col("_p.shard").alias("shard"), (F.col("_p.slot") + F.col("_r") - F.col("_p.lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
