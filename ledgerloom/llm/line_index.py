@@ -73,6 +73,8 @@ class PerfectHash:
     def build(cls, keys: np.ndarray, gamma: float = 2.0) -> PerfectHash:
         levels: list[np.ndarray] = []
         while len(keys):
+            if len(levels) > 200:  # ends with likelihood one long before, unless two keys are equal
+                raise ValueError(f"{len(keys)} keys aren't distinct")
             size = max(8, int(gamma * len(keys)))
             at = _slot(keys, len(levels), size)
             alone = np.bincount(at.astype(np.int64), minlength=size) == 1
@@ -132,7 +134,7 @@ def probe(index: pd.DataFrame, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarr
 def _in_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-size // chunk_bytes)))))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // chunk_bytes)))))
 
 
 def line_index(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_keys: int = SHARD_KEYS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
