@@ -2,8 +2,8 @@
 
 `mux` packs bytes into 188-byte packets: program tables (PAT, PMT) before every random-access point, one elementary
 stream of timestamped packets (PES), continuity counters and clock references. `demux` reads any such stream back:
-it checks the tables' CRC-32, the counters and the sync bytes, reassembles the elementary packets and lists
-timestamps with random-access points. Damage is counted, never raised: lost packets, bad tables and a stream without
+it checks the tables' CRC-32, the counters and the sync bytes, reassembles table sections and elementary packets over
+as many packets as they take (a packet sent twice counts once), and lists timestamps with random-access points. Damage is counted, never raised: lost packets, bad tables and a stream without
 a program give their counts and whatever payload is left.
 
 Defined cases: null or empty bytes mux to a stream with tables and no elementary packet; null media demuxes as empty.
@@ -108,15 +108,42 @@ class Demuxed:
     pts: list[int] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)  # indexes into pts
 
+    def timestamps(self) -> list[dict]:
+        points = set(self.random_access)
+        return [{"pts": p, "random": i in points} for i, p in enumerate(self.pts)]
 
-def _table(data: np.ndarray) -> bytes | None:
-    """The section in a table packet's payload; None if damaged."""
-    raw = data.tobytes()
-    at = 1 + raw[0] if raw else 0
-    if len(raw) < at + 8:
-        return None
-    end = at + 3 + (int.from_bytes(raw[at + 1 : at + 3], "big") & 0x0FFF)
-    return raw[at : end - 4] if end <= len(raw) and end - at >= 12 and table_crc(raw[at:end]) == 0 else None
+
+def _sections(parts: list[tuple[bool, bytes]]) -> tuple[list[bytes], int]:
+    """(intact sections without their CRC, damaged ones) of a table's packets (starts a section, payload) in order. A
+    section may go on over packets, and a packet may end one and start others."""
+    good, bad, held, open_ = [], 0, b"", False
+
+    def take() -> None:
+        nonlocal bad, held, open_
+        while len(held) >= 3 and held[0] != 0xFF:  # 0xFF is stuffing
+            n = 3 + (int.from_bytes(held[1:3], "big") & 0x0FFF)
+            if len(held) < n:
+                return
+            if n >= 12 and table_crc(held[:n]) == 0:
+                good.append(held[: n - 4])
+            else:
+                bad += 1
+            held = held[n:]
+        open_ = 0 < len(held) < 3 and held[0] != 0xFF
+
+    for starts, data in parts:
+        if starts and data:
+            at = 1 + data[0]
+            if open_:
+                held += data[1:at]
+                take()
+                bad += open_
+            held, open_ = data[at:], True
+            take()
+        elif open_:
+            held += data
+            take()
+    return good, bad + (open_ and bool(held))
 
 
 def demux(media: bytes | None) -> Demuxed:
@@ -135,10 +162,20 @@ def demux(media: bytes | None) -> Demuxed:
     carries = (control & 1 != 0) & (begin <= PACKET)
     flags = np.where(adapted & (rows[:, 4] > 0), rows[:, 5], 0)
 
+    columns = np.arange(PACKET)
+    repeats = np.zeros(len(rows), dtype=bool)
+    for of in np.unique(pid[carries]):  # a packet may come twice in a row: the second carries nothing new
+        own = np.flatnonzero((pid == of) & carries)
+        a, b = own[:-1], own[1:]
+        same = ((rows[a] == rows[b]) | (columns < begin[b][:, None])).all(axis=1) & (begin[a] == begin[b]) & (counter[a] == counter[b])
+        same[1:] &= ~same[:-1]
+        repeats[b[same]] = True
+    carries = carries & ~repeats
+
     def tables(of: int) -> list[bytes]:
-        each = [_table(rows[i, begin[i] :]) for i in np.flatnonzero((pid == of) & start & carries)]
-        found.bad_tables += sum(x is None for x in each)
-        return list(dict.fromkeys(x for x in each if x is not None))
+        good, bad = _sections([(bool(start[i]), rows[i, begin[i] :].tobytes()) for i in np.flatnonzero((pid == of) & carries)])
+        found.bad_tables += bad
+        return list(dict.fromkeys(good))
 
     maps = {}
     for pat in tables(0):
@@ -161,7 +198,6 @@ def demux(media: bytes | None) -> Demuxed:
         if of not in streams or not len(own):
             continue
         first = np.flatnonzero(start[own])
-        columns = np.arange(PACKET)
         for a, b in zip(first, [*first[1:], len(own)], strict=True):
             part = own[a:b]
             pes = rows[part][columns >= begin[part][:, None]].tobytes()
@@ -203,7 +239,7 @@ def padded(text: str | None, multiple: int = 576) -> bytes:
     return data + b"\xff" * (max(1, -(-len(data) // multiple)) * multiple - len(data))
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, first_pts long, last_pts long, n_random_access int"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<struct<pts:long,random:boolean>>"
 
 
 def text_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", multiple: int = 576) -> DataFrame:
@@ -219,7 +255,8 @@ def text_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mult
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Read stored media back, one row per stream: digests of payload and stream, timestamps, random access."""
+    """Read stored media back, one row per stream: digests of payload and stream, and its timestamps, each with whether
+    it is a random-access point."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -228,13 +265,13 @@ def media_features(media: DataFrame) -> DataFrame:
                 raw = bytes(raw) if raw is not None else b""
                 x = demux(raw)
                 feature = f"packets={x.packets} programs={x.programs} units={len(x.pts)} random={len(x.random_access)} span={x.pts[-1] - x.pts[0] if x.pts else 0} errors={x.counter_errors + x.lost_sync + x.bad_tables}"
-                rows.append((doc_id, n, len(x.payload), hashlib.sha256(x.payload).hexdigest(), zlib.crc32(x.payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, x.pts[0] if x.pts else None, x.pts[-1] if x.pts else None, len(x.random_access)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")]).astype({"doc_id": "Int64", "first_pts": "Int64", "last_pts": "Int64"})
+                rows.append((doc_id, n, len(x.payload), hashlib.sha256(x.payload).hexdigest(), zlib.crc32(x.payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, x.timestamps()))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")]).astype({"doc_id": "Int64"})
 
     return media.mapInPandas(read, FEATURES)
 
 
-def random_access_table(media: Column) -> Column:
-    """array<struct<pts, random>> of a media column, for joins and seeks."""
-    x = demux_column(media)
-    return F.transform(x["pts"], lambda p, i: F.struct(p.alias("pts"), F.array_contains(x["random_access"], i.cast("long")).alias("random")))
+def random_access_points(features: DataFrame) -> DataFrame:
+    """(doc_id, unit, pts): where decoding can start, one row a point, for seeks and joins by time."""
+    each = features.select("doc_id", F.posexplode("timestamps").alias("unit", "at"))
+    return each.where("at.random").select("doc_id", "unit", "at.pts")
