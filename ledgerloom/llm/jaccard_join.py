@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import stars
 from .base import WORD_PATTERN, _mix, batches, release, shingle_sets, stored, stored_in_small_batches
 
 #: Link if 100 * intersection >= 75 * union: numerator and denominator of the overlap of two sets, 3/7 of all.
@@ -341,23 +342,25 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return b.join(texts.select(F.col("ref").alias("a"), F.col("text").alias("ta")), "a").mapInPandas(run, "a long, b long, both long, either long")
 
 
+def _small_stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) of each batch as stars (u, v): what is connected inside a batch hangs on its least member."""
+    for pdf in frames:
+        nodes, at = np.unique(pdf[["a", "b"]].to_numpy(np.int64).T.ravel(), return_inverse=True)
+        a, b = at[: len(pdf)], at[len(pdf) :]
+        root, old = np.arange(len(nodes)), None
+        while old is None or (root != old).any():
+            old, low = root, np.minimum(root[a], root[b])
+            root = root.copy()
+            np.minimum.at(root, old[a], low)
+            np.minimum.at(root, old[b], low)
+            root = root[root]
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pd.DataFrame({"u": nodes[moved], "v": nodes[root[moved]]})
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(ref, comp) of all ends of links (a, b): comp is the least ref reachable. Alternating stars (Kiveris and
-    others, 2014): rounds grow with the logarithm of the graph, rows stay below the number of links."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    while state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least.hint("merge"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u")
-        small = joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        old, edges = edges, stored(small, "edges")
-        release(old)
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            break
-        state = now
+    """(ref, comp) of all ends of links (a, b): comp is the least ref reachable."""
+    edges = stars(links.select("a", "b").where("a <> b").mapInPandas(_small_stars, "u long, v long").distinct())
     roots = edges.select(F.col("v").alias("ref"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("ref"), F.col("v").alias("comp")).unionByName(roots)
 
@@ -366,6 +369,8 @@ def joined_classes(classes: DataFrame | None, links: DataFrame, name: str) -> Da
     """classes (ref, comp) after more links: those that cross classes are contracted to the classes' ids first."""
     if classes is None:
         return stored(components(links), name)
+    if links.isEmpty():
+        return classes
     a, b = (classes.select(F.col("ref").alias(k), F.col("comp").alias(f"{k}_comp")).hint("merge") for k in "ab")
     ends = links.select("a", "b").join(a, "a", "left").join(b, "b", "left")
     ends = ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).where("a <> b")
