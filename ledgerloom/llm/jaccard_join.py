@@ -296,17 +296,17 @@ def candidate_lists(texts: DataFrame, sets: DataFrame) -> DataFrame:
     small = {r["n"]: r["c"] for r in sets.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_TOKENS))
-    counted = frequent_shingles(texts, buckets)
+    counted = stored_in_small_batches(frequent_shingles(texts, buckets), "frequent")
     top = counted.orderBy(F.desc("df"), "key").limit(MOST_FREQUENT).toPandas()  # bounded: 8 MB of keys
     light = boundary(small, 1 + float((top["df"].astype(float) ** 2).sum()) / max(1.0, total))
     order = _Order(top["key"].to_numpy(np.int64), buckets, light)
     short = _postings(texts, order, False).groupBy("bucket").applyInPandas(_short_lists, LISTS)
     if not len(top):
-        return stored(short.dropDuplicates(["lid", "ref"]), "lists")
-    long = stored(_postings(texts, order, True).dropDuplicates(["key", "ref"]), "frequent-postings")
+        return stored_in_small_batches(short.dropDuplicates(["lid", "ref"]), "lists")
+    long = stored_in_small_batches(_postings(texts, order, True).dropDuplicates(["key", "ref"]), "frequent-postings")
     kinds = long.groupBy("key").agg(F.bit_xor(F.xxhash64("ref")).alias("lid"), F.count("*").alias("c")).where("c > 1").groupBy("lid").agg(F.min("key").alias("key"))
     whole = long.join(kinds.hint("merge"), "key").select("lid", "ref", "n")
-    lists = stored(short.unionByName(whole).dropDuplicates(["lid", "ref"]), "lists")
+    lists = stored_in_small_batches(short.unionByName(whole).dropDuplicates(["lid", "ref"]), "lists")
     release(long)
     return lists
 
@@ -434,7 +434,7 @@ def linked_classes(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(each document's set, (ref, comp, component_id, the class's least row) of each set that isn't empty)."""
-    sets = stored(set_table(docs), "sets")
+    sets = stored_in_small_batches(set_table(docs), "sets")
     classes = sets.where("n > 0").groupBy("ref").agg(_first_row().alias("row"), F.min("doc_id").alias("least")).join(linked_classes(docs, sets).hint("merge"), "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
     whole = classes.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("row").alias("row"))
     return sets, classes.select("ref", "comp").join(whole.hint("merge"), "comp")
