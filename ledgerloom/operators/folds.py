@@ -15,28 +15,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import cut
+from ..plans.session import cut, release
 from .graph import connected
 
 POLICIES = ("fifo", "haircut", "poison")
 KEYS = ("chain", "asset")
 
 
+#: Hops that are followed before what was reached is written and compared.
+HOPS_A_ROUND = 4
+
+
 def reachable(ledger: DataFrame, seeds: DataFrame) -> DataFrame:
     """(chain, asset, address) that a seed's money can reach: payments at or after the earliest arrival, per asset.
-    A round is one hop; they go on until nothing is new or earlier, which ends as both only move one way."""
-    rows = ledger.where("sender is not null and recipient is not null and amount_raw > 0").select("chain", F.coalesce("asset", F.lit("")).alias("asset"), "sender", "recipient", F.coalesce("block", F.lit(0)).alias("block"))
-    best = rows.groupBy("chain", "asset", "sender", "recipient").agg(F.max("block").alias("last"), F.min("block").alias("first"))
-    seen = cut(seeds.select("chain", F.coalesce("asset", F.lit("")).alias("asset"), "address", F.lit(0).cast("long").alias("at")).distinct())
-    size = None
+    Rounds of a few hops go on until nothing is new or earlier, which ends as both only move one way."""
+    rows = ledger.where("sender is not null and recipient is not null and amount_raw > 0").select("chain", F.coalesce("asset", F.lit("")).alias("asset"), "sender", "recipient", F.coalesce("block", F.lit(0)).cast("long").alias("block"))
+    best = rows.groupBy("chain", "asset", F.col("sender").alias("address"), "recipient").agg(F.max("block").alias("last"), F.min("block").alias("first"))
+    ends = best.select(*KEYS, F.col("recipient").alias("address")).unionByName(seeds.select("chain", F.coalesce("asset", F.lit("")).alias("asset"), "address")).distinct()
+    stays = ends.select(*KEYS, "address", F.col("address").alias("recipient"), F.lit((1 << 63) - 1).alias("last"), F.lit(0).cast("long").alias("first"))
+    best = cut(best.where("address <> recipient").unionByName(stays), "pairs")
+    seen = cut(seeds.select("chain", F.coalesce("asset", F.lit("")).alias("asset"), "address", F.lit(0).cast("long").alias("at")).distinct(), "reached")
+    state = None
     while True:
-        step = seen.join(best, [seen["chain"] == best["chain"], seen["asset"] == best["asset"], seen["address"] == best["sender"], best["last"] >= seen["at"]]).select(seen["chain"], seen["asset"], F.col("recipient").alias("address"), F.greatest("first", "at").alias("at"))
-        seen = cut(seen.unionByName(step).groupBy("chain", "asset", "address").agg(F.min("at").alias("at")))
         now = seen.agg(F.count("*"), F.sum("at")).first()
-        if now == size:
-            break
-        size = now
-    return seen.select("chain", "asset", "address")
+        if now == state:
+            return seen.select("chain", "asset", "address")
+        state, more = now, seen
+        for _ in range(HOPS_A_ROUND):
+            step = more.join(best, [*KEYS, "address"]).where("last >= at").select(*KEYS, F.col("recipient").alias("address"), F.greatest("first", "at").alias("at"))
+            more = step.groupBy(*KEYS, "address").agg(F.min("at").alias("at"))
+        old, seen = seen, cut(more, "reached")
+        release(old)
 
 
 def _touching(ledger: DataFrame, near: DataFrame) -> DataFrame:
