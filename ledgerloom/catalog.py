@@ -659,6 +659,57 @@ def st03_agreement(spark: SparkSession, d: str) -> DataFrame:
     return folds.agreement(folds.taint(rows, _seeds(spark)), took)
 
 
+@_query(_with(views.LEDGER, "f AS (SELECT *, row_number() OVER (PARTITION BY recipient ORDER BY ts, block, tx_hash) AS r FROM ledger WHERE sender <> recipient)") + "SELECT recipient AS address, sender AS funder FROM f WHERE r = 1")
+def a16_first_funders_by_time(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.first_funders_by_time(views.ledger(spark, d))
+
+
+@_query(_with(views.LEDGER, "g AS (SELECT sender, ts - lag(ts) OVER (PARTITION BY sender ORDER BY ts) AS gap FROM ledger)") + "SELECT sender, count(*) AS gaps, min(gap) AS least, max(gap) AS most, CAST(sum(gap) AS BIGINT) AS total FROM g WHERE gap > 0 GROUP BY 1")
+def w03_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.gaps(views.ledger(spark, d))
+
+
+@_query(_with(views.LEDGER, "a AS (SELECT sender AS address, count(*) AS seen FROM ledger GROUP BY 1)") + "SELECT address, CASE WHEN CAST(substr(address, 2) AS BIGINT) % 7 <> 0 THEN CAST(substr(address, 2) AS BIGINT) % 5 <> 0 END AS complete FROM a")
+def prd15_completeness(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.ledger(spark, d)
+    key = F.substring("address", 2, 20).cast("long")
+    nonces = rows.groupBy(F.col("sender").alias("address")).agg(F.count("*").alias("n")).select("address", F.when(key % 7 != 0, F.col("n") + (key % 5 == 0).cast("int")).alias("nonce"))
+    return sequences.completeness(rows, nonces)
+
+
+@_query(_with(views.LEDGER) + f"SELECT sender, recipient, asset, symbol, {_SUM} AS total_raw, count(*) AS n FROM ledger GROUP BY ALL ORDER BY total_raw DESC, sender, recipient, asset NULLS FIRST, symbol LIMIT 25")
+def l03_top_flows(spark: SparkSession, d: str) -> DataFrame:
+    return store.flows(views.ledger(spark, d), limit=25).select("sender", "recipient", "asset", "symbol", "total_raw", "n")
+
+
+@_query(_with(views.KLINES) + "SELECT a.minute_no, round(CAST(a.close_px AS DOUBLE) / CAST(b.close_px AS DOUBLE), 6) AS rate, 'via USDT' AS derivation FROM klines a JOIN klines b ON a.minute_no = b.minute_no WHERE a.symbol = 'purchaseUSDT' AND b.symbol = 'viewUSDT'")
+def f27_cross_rates(spark: SparkSession, d: str) -> DataFrame:
+    return asof.cross_rate(views.klines(spark, d), "purchase", "view").withColumn("rate", F.round(F.col("rate").cast("double"), 6))
+
+
+@_query("SELECT page_id, len(list_distinct(regexp_extract_all(html, 'https?://[^\\s\"''<>]+'))) AS n_urls FROM pages")
+def f16_urls(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "pages").select("page_id", scalar.urls_in(F.col("html")).cast("long").alias("n_urls"))
+
+
+@_query("SELECT DISTINCT quiet_from, quiet_hours, CAST((round_even(3 - (quiet_from + quiet_hours / 2.0::DOUBLE), 0)::INT + 36) % 24 - 12 AS INTEGER) AS utc_offset, CASE WHEN 2 + greatest(0, round_even((quiet_hours - 8) / 2.0::DOUBLE, 0)::INT) <= 6 THEN 2 + greatest(0, round_even((quiet_hours - 8) / 2.0::DOUBLE, 0)::INT) END AS band FROM (SELECT CAST(p_partkey % 24 AS INTEGER) AS quiet_from, CAST(3 + p_size % 21 AS INTEGER) AS quiet_hours FROM part)")
+def f14_utc_offsets(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.table(spark, d, "part").select((F.col("p_partkey") % 24).cast("int").alias("quiet_from"), (3 + F.col("p_size") % 21).cast("int").alias("quiet_hours")).distinct()
+    return rows.select("*", scalar.utc_offset(F.col("quiet_from"), F.col("quiet_hours")).alias("utc_offset"), scalar.offset_band(F.col("quiet_hours")).alias("band"))
+
+
+@_query(_with(views.LEDGER, views.CLAIMS, "a AS (SELECT sender AS address FROM ledger UNION SELECT recipient FROM ledger)", "best AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY category = 'sanctioned' DESC, confidence DESC, category <> 'unknown' DESC, observed_at DESC, source DESC, label DESC) AS r, count(*) OVER (PARTITION BY address) AS n_claims FROM claims WHERE source = 'list')") + "SELECT a.address, b.category, b.confidence, coalesce(b.n_claims, 0) AS n_claims, 2::BIGINT AS consulted, 1::BIGINT AS failed, CASE WHEN b.category = 'sanctioned' THEN true END AS sanctioned, false AS cleared FROM a LEFT JOIN best b ON a.address = b.address AND b.r = 1")
+def r05_resolved(spark: SparkSession, d: str) -> DataFrame:
+    sources = spark.createDataFrame([("list", False), ("crm", True)], "source string, failed boolean")
+    return labels.resolved(store.addresses(views.ledger(spark, d)), views.claims(spark, d), sources)
+
+
+@_query(_with(views.RELAYS, "e AS (SELECT CASE WHEN tx_hash LIKE 'in%' THEN 'a' ELSE 'b' END AS chain, sender, recipient FROM relays)", "x AS (SELECT chain, sender AS address FROM e UNION SELECT chain, recipient FROM e)") + "SELECT address, count(*) AS n_chains, string_agg(chain, ',' ORDER BY chain) AS chains FROM x GROUP BY 1")
+def g12_chain_presence(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.relays(spark, d)
+    return clusters.chain_presence(rows.withColumn("chain", F.when(F.col("tx_hash").startswith("in"), "a").otherwise("b")))
+
+
 # --- scalar functions
 
 

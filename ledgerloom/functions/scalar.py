@@ -304,3 +304,34 @@ def stamped(confidence: Column, most: int) -> Column:
 def code_family(code: Column) -> Column:
     """What contracts of one code share: the hash of the body without its metadata; null without code."""
     return F.when(F.length(F.regexp_replace(F.coalesce(code, F.lit("")), "^0x", "")) > 0, F.md5(code_body(code).cast("binary")))
+
+
+def created_address(deployer: Column, nonce: Column) -> Column:
+    """The address of the contract that an account creates with a nonce: Keccak of both, length-prefixed."""
+
+    def one(account: str, n: int) -> str:
+        count = b"" if n == 0 else n.to_bytes((n.bit_length() + 7) // 8)
+        number = count if n and n < 0x80 else bytes([0x80 + len(count)]) + count
+        body = b"\x94" + bytes.fromhex(account.lower().removeprefix("0x")) + number
+        return "0x" + keccak256(bytes([0xC0 + len(body)]) + body)[12:].hex()
+
+    def run(accounts: pd.Series, nonces: pd.Series) -> pd.Series:
+        good = accounts.str.fullmatch("0x[0-9a-fA-F]{40}").fillna(False) & nonces.notna()
+        return pd.Series([one(a, int(n)) if ok else None for a, n, ok in zip(accounts, nonces, good, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(deployer, nonce)
+
+
+def urls_in(text: Column) -> Column:
+    return F.size(urls(F.coalesce(text, F.lit(""))))
+
+
+def utc_offset(quiet_from: Column, quiet_hours: Column) -> Column:
+    """The whole-hour offset at which the middle of a quiet stretch is three at night, from -12 to 11 (half to even)."""
+    return (F.pmod(F.bround(3 - (quiet_from + quiet_hours / 2.0)).cast("int") + 12, F.lit(24)) - 12).cast("int")
+
+
+def offset_band(quiet_hours: Column) -> Column:
+    """Hours that the offset may be off on either side; null where that is more than 6, as it says nothing then."""
+    band = 2 + F.greatest(F.lit(0), F.bround((quiet_hours - 8) / 2.0).cast("int"))
+    return F.when(band <= 6, band)

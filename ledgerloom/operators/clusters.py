@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import created_address
 from ..plans.session import cut
 from .ordered import carried_back, running_max_before, running_sum
 from .store import RAW
@@ -98,6 +99,20 @@ def contributors(ledger: DataFrame, target: str, subject: str, max_hops: int = 4
     return got.select("address", "total_raw", "n", "assets", link.alias("link"))
 
 
+def deployments(deployers: DataFrame, contracts: DataFrame, search: int = 256) -> DataFrame:
+    """(deployer, nonce, contract): which of the contracts (address) each deployer (address) created, by its first
+    nonces."""
+    tried = deployers.select(F.col("address").alias("deployer")).distinct().withColumn("nonce", F.explode(F.sequence(F.lit(0), F.lit(search - 1))))
+    tried = tried.withColumn("contract", created_address(F.col("deployer"), F.col("nonce")))
+    return tried.join(contracts.select(F.lower("address").alias("contract")).distinct(), "contract").select("deployer", "nonce", "contract")
+
+
+def chain_presence(ledger: DataFrame) -> DataFrame:
+    """(address, chains, first_block): on how many chains each address occurs, and which."""
+    ends = ledger.select("chain", F.col("sender").alias("address")).union(ledger.select("chain", "recipient")).where("address is not null").distinct()
+    return ends.groupBy("address").agg(F.count("*").alias("n_chains"), F.array_join(F.array_sort(F.collect_set("chain")), ",").alias("chains"))
+
+
 # --- mixer pools
 
 

@@ -55,6 +55,19 @@ def labelled_transfers(ledger: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.groupBy(*keep).agg(F.max("c").alias("c")).select("chain", "tx_hash", "recipient", F.col("c.label").alias("label"), F.col("c.category").alias("category"), F.col("c.confidence").alias("confidence"))
 
 
+def resolved(addresses: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """Per address what all consulted sources (source, failed) say together: the primary claim, how many claims, how many
+    sources failed, and whether it is sanctioned: true if any says so, unknown (null) if one failed, else false. Only
+    `false` clears an address."""
+    used = claims.join(sources.where("not failed").select("source"), "source", "left_semi")
+    best = merged(used).select("address", "label", "category", "confidence", "n_claims")
+    listed = used.where("category = 'sanctioned'").select("address").distinct().withColumn("_listed", F.lit(True))
+    asked = sources.agg(F.count("*").alias("consulted"), F.count_if("failed").alias("failed"))
+    got = addresses.select("address").distinct().join(best, "address", "left").join(listed, "address", "left").crossJoin(F.broadcast(asked))  # asked is one row
+    sanctioned = F.when(F.col("_listed"), True).when(F.col("failed") == 0, False)
+    return got.select("address", "category", "confidence", F.coalesce("n_claims", F.lit(0)).alias("n_claims"), "consulted", "failed", sanctioned.alias("sanctioned"), (~F.coalesce(sanctioned, F.lit(True))).alias("cleared"))
+
+
 def coverage(addresses: DataFrame, claims: DataFrame) -> DataFrame:
     marked = addresses.join(claims.select("address").distinct().withColumn("known", F.lit(True)), "address", "left")
     return marked.agg(F.count("*").alias("addresses"), F.count_if("known").alias("labelled"), F.count_if(F.col("known").isNull()).alias("unlabelled"))

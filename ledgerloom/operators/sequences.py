@@ -65,6 +65,19 @@ def activity(ledger: DataFrame) -> DataFrame:
     return base.join(peak, "sender").select("sender", "samples", "peak_hour", F.round("weekend", 6).alias("weekend_ratio"), F.round(mean, 6).alias("mean_hour"), F.round(F.hypot("x", "y"), 6).alias("concentration"), F.round("gap_cv", 6).alias("gap_cv"))
 
 
+def gaps(ledger: DataFrame) -> DataFrame:
+    """Per sender the positive gaps between its payments in time: how many, the smallest, the largest, their sum."""
+    w = Window.partitionBy("sender").orderBy("ts")
+    rows = ledger.where("sender is not null and ts is not null").select("sender", (F.col("ts") - F.lag("ts").over(w)).alias("gap")).where("gap > 0")
+    return rows.groupBy("sender").agg(F.count("*").alias("gaps"), F.min("gap").alias("least"), F.max("gap").alias("most"), F.sum("gap").alias("total"))
+
+
+def completeness(sent: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(address, complete): whether as many payments were seen as the account's nonce counts; null where it is unknown."""
+    seen = sent.groupBy(F.col("sender").alias("address")).agg(F.count("*").alias("seen"))
+    return accounts.join(seen, "address", "left").select("address", (F.col("nonce") == F.coalesce("seen", F.lit(0))).alias("complete"))
+
+
 def quiet_windows(ledger: DataFrame) -> DataFrame:
     """Per sender the longest circular stretch of hours at or below half the mean, of 3 to 23 hours."""
     hours = ledger.where("sender is not null and ts is not null").groupBy("sender", F.floor(F.pmod(F.col("ts"), F.lit(86400)) / 3600).cast("int").alias("hour")).agg(F.count("*").alias("n"))

@@ -381,6 +381,21 @@ def test_hashes_and_encodings(spark):
     assert one(scalar.coin_type, "0x2::sui::SUI") == ["0x" + "0" * 63 + "2::sui::SUI"]
 
 
+def test_contracts_of_a_deployer(spark):
+    account, made = "0x6ac7ea33f8831ea9dcc53393aaa88b25a785dbf0", ["0xcd234a471b72ba2f1ccf0a70fcaba648a5eecd8d", "0x343c43a37d37dff08ae8c4a11544c718abb4fcf8"]
+    contracts = spark.createDataFrame([(x,) for x in [*made, "0x" + "1" * 40]], "address string")
+    got = clusters.deployments(spark.createDataFrame([(account,), ("bad",)], "address string"), contracts, 8).collect()
+    assert {(r.nonce, r.contract) for r in got} == {(0, made[0]), (1, made[1])}
+
+
+def test_sources_that_fail_clear_nobody(spark):
+    claims = spark.createDataFrame([("a", "L", "sanctioned", 4, "x", 1), ("b", "M", "cex", 3, "x", 1)], "address string, label string, category string, confidence int, source string, observed_at long")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "address string")
+    for failed, want in ((True, {"a": (True, False), "b": (None, False), "c": (None, False)}), (False, {"a": (True, False), "b": (False, True), "c": (False, True)})):
+        sources = spark.createDataFrame([("x", False), ("y", failed)], "source string, failed boolean")
+        assert {r.address: (r.sanctioned, r.cleared) for r in labels.resolved(asked, claims, sources).collect()} == want
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Context:
         master = "spark://host:7077"
