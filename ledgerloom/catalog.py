@@ -150,7 +150,7 @@ def j04_linked_by_transfer(spark: SparkSession, d: str) -> DataFrame:
     return clusters.linked_by_transfer(views.pool_events(spark, d, "purchase"), views.pool_events(spark, d, "signup"), views.ledger(spark, d))
 
 
-@_query(_with(views.LEDGER) + "SELECT a.tx_hash AS deposit, b.tx_hash AS payment FROM ledger a JOIN ledger b ON b.ts BETWEEN a.ts + 300 AND a.ts + 2700 AND b.amount_raw >= a.amount_raw * 0.94::DOUBLE AND b.amount_raw <= a.amount_raw WHERE a.symbol = 'purchase' AND b.symbol = 'signup'")
+@_query(_with(views.LEDGER) + "SELECT a.tx_hash AS deposit, b.tx_hash AS payment FROM ledger a JOIN ledger b ON b.ts BETWEEN a.ts + 300 AND a.ts + 2700 AND b.amount_raw >= a.amount_raw * 0.94::DOUBLE AND b.amount_raw <= a.amount_raw WHERE a.symbol = 'purchase' AND b.symbol = 'signup' AND a.amount_raw > 0")
 def j06_payouts(spark: SparkSession, d: str) -> DataFrame:
     ledger = views.ledger(spark, d)
     ins = ledger.where("symbol = 'purchase'").select(F.col("tx_hash").alias("deposit"), F.col("ts").alias("at"), F.col("amount_raw").cast("double").alias("expected"))
