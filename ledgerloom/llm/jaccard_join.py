@@ -6,18 +6,12 @@ of their prefixes: in one global order of all shingles, linked sets share one of
 The order puts shingles of many documents last (passages, group texts), so that lists stay short; which ones those are
 is counted over all documents. The boundary between light and heavy is where the modelled rows are fewest.
 
-Lists are never expanded into all pairs. A list's pivot is its least member; all lists with one pivot are merged into
-that pivot's neighbourhood, which is compared with the pivot first. Verified links merge members into classes. Then
-some members of each neighbourhood, about equally many however large it is, meet those of other classes. What is left
-meets in pairs: members of different classes of a neighbourhood, at least one of them outside the largest class.
-Before any text is read, sizes and a parity sketch must allow a link: every element that two sets don't share flips
-one of the sketch's bits, so a pair whose sketches differ in more bits than a link may differ in elements can't link.
+Lists are never expanded into all pairs: near_classes merges them into neighbourhoods and finds the classes. Before any
+text is read, sizes and a parity sketch must allow a link: every element that two sets don't share flips one of the
+sketch's bits, so a pair whose sketches differ in more bits than a link may differ in elements can't link.
 Identical sets are one class from the start, and only one text of each set is read after the first pass. So no link is
 lost, and a group of thousands of near copies costs a few comparisons a copy.
 
-Classes grow step by step: new links are first contracted to the classes they join, so later rounds see the few that
-cross. Joins inside the loops are merge joins by hint: small tables then don't pile up as broadcasts on the driver.
-
 Lists of shingles are packed in buckets of about equal size (numpy inside tasks, Spark moves the buckets); those of
 frequent shingles go through grouped joins instead, which split hot keys.
 
@@ -40,8 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import stars
-from .base import WORD_PATTERN, _mix, batches, release, shingle_sets, stored, stored_in_small_batches
+from .base import _mix, batches, release, shingle_sets, stored, stored_in_small_batches
+from .near_classes import Link, documents_of, fingerprint, least_of_each, linked_classes, one_text_each, told_apart, with_classes
 
 #: Link if 100 * intersection >= 75 * union: numerator and denominator of the overlap of two sets, 3/7 of all.
 NUM, DEN = 3, 4
@@ -51,10 +45,6 @@ FREQUENT, MOST_FREQUENT = 24, 1 << 19
 BUCKET_TOKENS = 3 << 20
 #: 64-bit words of a set's parity sketch.
 SKETCH_WORDS = 32
-#: Members of a neighbourhood that meet all others before what is left meets in pairs.
-PIVOTS = 16
-#: Bytes of shingle sets that a verifying task keeps at hand.
-KEPT_SETS = 16 << 20
 MAX_LIGHT = 10
 
 
@@ -81,10 +71,6 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
     return min(range(MAX_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
-def _fingerprint(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-
-
 def _parity(s: np.ndarray, bits: int) -> np.ndarray:
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8))
@@ -118,40 +104,15 @@ def sketch_distance(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SKETCH_WORDS)])
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, text): tid tells the texts of one id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
-
-
 def set_table(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, n, ref, the sketches): size of each document's set, and the fingerprint that equal sets share."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             sets = [s for _, part in batches(pdf["text"], lower=True) for s in shingle_sets(part, WIDTH)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tid": pdf["tid"], "n": np.array([len(s) for s in sets], np.int64), "ref": np.array([_fingerprint(s) for s in sets], np.int64), "words": [_sketch(s) for s in sets], "wide": [_wide(s) for s in sets]})
-
-    return _rows(docs).mapInPandas(run, "doc_id long, tid long, n long, ref long, words array<long>, wide binary")
-
-
-def _first_row() -> Column:
-    """The least row of a group, null ids last."""
-    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid"))
-
-
-def _matching(docs: DataFrame, chosen: DataFrame, sets: DataFrame) -> DataFrame:
-    """docs' rows that `chosen` (doc_id, tid, ...) names, one for each, with chosen's other columns."""
-    rest = [c for c in chosen.columns if c not in ("doc_id", "tid")]
-    named = chosen.select(F.col("doc_id").alias("_near_doc"), F.col("tid").alias("_near_tid"), *rest)
-    got = docs.join(named, (F.xxhash64(docs["text"]) == F.col("_near_tid")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_near_doc")))
-    twice = sets.groupBy("doc_id", "tid").count().where("count > 1").limit(1).count()
-    return got.dropDuplicates(["_near_doc", "_near_tid"]) if twice else got
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tid": pdf["tid"], "n": np.array([len(s) for s in sets], np.int64), "ref": np.array([fingerprint(s) for s in sets], np.int64), "words": [_sketch(s) for s in sets], "wide": [_wide(s) for s in sets]})
 
-
-def one_text_each(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(ref, text): one text of each set that isn't empty, so copies cost nothing later."""
-    first = sets.where("n > 0").groupBy("ref").agg(_first_row().alias("r")).select("r.doc_id", "r.tid", "ref")
-    return _matching(docs.select("doc_id", "text"), first, sets).select("ref", "text")
+    return told_apart(docs).mapInPandas(run, "doc_id long, tid long, n long, ref long, words array<long>, wide binary")
 
 
 def _keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -183,18 +144,26 @@ def frequent_shingles(texts: DataFrame, buckets: int) -> DataFrame:
                     held.append(_keys(s, buckets))
                     size += len(s)
                 if size > 1 << 20:
-                    yield _packed(held)
+                    yield counted(held)
                     held, size = [], 0
-        yield _packed(held)
+        yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pd.DataFrame:
+        """A task's own counts: a shingle of many sets travels once for each million shingles, not once for each set."""
+        keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return _packed([keys], [n.astype(np.int32)])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["tokens"]]))
+        t = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["tokens"]])
+        n = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["refs"]])
+        order = np.argsort(t, kind="stable")
+        t = t[order]
         at = np.flatnonzero(np.diff(t.astype(np.int64), prepend=-1))
-        n = np.diff(np.append(at, len(t)))
+        n = np.add.reduceat(n[order], at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
         keep = n >= FREQUENT
         return pd.DataFrame({"key": t[at][keep].astype(np.int64) | int(pdf["bucket"].iloc[0]) << 32, "df": n[keep]})
 
-    return texts.select("text").mapInPandas(emit, "bucket int, tokens binary").groupBy("bucket").applyInPandas(count, "key long, df long")
+    return texts.select("text").mapInPandas(emit, "bucket int, tokens binary, refs binary").groupBy("bucket").applyInPandas(count, "key long, df long")
 
 
 class _Order:
@@ -311,146 +280,32 @@ def candidate_lists(texts: DataFrame, sets: DataFrame) -> DataFrame:
     return lists
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, both, either) of pairs (a, b): exact sizes of intersection and union."""
+def _may_link_columns() -> Column:
+    return 7 * sketch_distance("xwords", "ywords") <= F.col("xn") + F.col("yn")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            known: dict[int, np.ndarray] = {}
-            room = KEPT_SETS
-
-            def of(ref: int, text: str) -> np.ndarray:
-                nonlocal room
-                got = known.get(ref)
-                if got is None:
-                    got = shingle_sets([text.encode().lower()], WIDTH)[0]
-                    if room < got.nbytes:
-                        known.clear()
-                        room = KEPT_SETS
-                    known[ref] = got
-                    room -= got.nbytes
-                return got
-
-            both, either = [], []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-                x, y = of(a, ta), of(b, tb)
-                both.append(len(np.intersect1d(x, y, assume_unique=True)))
-                either.append(len(x) + len(y) - both[-1])
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "both": np.array(both, np.int64), "either": np.array(either, np.int64)})
-
-    b = pairs.join(texts.select(F.col("ref").alias("b"), F.col("text").alias("tb")), "b")
-    return b.join(texts.select(F.col("ref").alias("a"), F.col("text").alias("ta")), "a").mapInPandas(run, "a long, b long, both long, either long")
-
-
-def _small_stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links (a, b) of each batch as stars (u, v): what is connected inside a batch hangs on its least member."""
-    for pdf in frames:
-        nodes, at = np.unique(pdf[["a", "b"]].to_numpy(np.int64).T.ravel(), return_inverse=True)
-        a, b = at[: len(pdf)], at[len(pdf) :]
-        root, old = np.arange(len(nodes)), None
-        while old is None or (root != old).any():
-            old, low = root, np.minimum(root[a], root[b])
-            root = root.copy()
-            np.minimum.at(root, old[a], low)
-            np.minimum.at(root, old[b], low)
-            root = root[root]
-        moved = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pd.DataFrame({"u": nodes[moved], "v": nodes[root[moved]]})
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(ref, comp) of all ends of links (a, b): comp is the least ref reachable."""
-    edges = stars(links.select("a", "b").where("a <> b").mapInPandas(_small_stars, "u long, v long").distinct())
-    roots = edges.select(F.col("v").alias("ref"), F.col("v").alias("comp")).distinct()
-    return edges.select(F.col("u").alias("ref"), F.col("v").alias("comp")).unionByName(roots)
-
-
-def joined_classes(classes: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
-    """classes (ref, comp) after more links: those that cross classes are contracted to the classes' ids first."""
-    if classes is None:
-        return stored(components(links), name)
-    if links.isEmpty():
-        return classes
-    a, b = (classes.select(F.col("ref").alias(k), F.col("comp").alias(f"{k}_comp")).hint("merge") for k in "ab")
-    ends = links.select("a", "b").join(a, "a", "left").join(b, "b", "left")
-    ends = ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).where("a <> b")
-    top = stored(components(ends), f"{name}-top")
-    fresh = top.join(classes.select("ref").hint("merge"), "ref", "left_anti")
-    moved = classes.join(top.select(F.col("ref").alias("comp"), F.col("comp").alias("new")).hint("merge"), "comp", "left")
-    out = stored(moved.select("ref", F.coalesce("new", "comp").alias("comp")).unionByName(fresh), name)
-    release(classes, top)
-    return out
-
-
-def linked_classes(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(ref, comp) of all sets that link with another one: the classes of all links between different sets."""
-    texts = stored(one_text_each(docs, sets), "texts")
-    lists = candidate_lists(texts, sets)
-    wanted = lists.select("ref").distinct()
-    own = sets.where("n > 0").join(wanted.hint("merge"), "ref", "left_semi").groupBy("ref").agg(*[F.min(c).alias(c) for c in ("n", "words", "wide")])
-    own = stored(own, "sketches")
-
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        """The links among pairs (a, b), each once, that sizes and sketches allow."""
-        x, y = (own.select(*[F.col(c).alias(side + c) for c in own.columns]).hint("merge") for side in ("x", "y"))
-        near = pairs.distinct().join(y, F.col("b") == F.col("yref")).join(x, F.col("a") == F.col("xref"))
-        near = near.where((4 * F.least("xn", "yn") >= 3 * F.greatest("xn", "yn")) & (7 * sketch_distance("xwords", "ywords") <= F.col("xn") + F.col("yn")))
-        near = stored(near.where(F.pandas_udf(_may_match, "boolean")("xwide", "ywide", F.col("xn") + F.col("yn"))).select("a", "b"), f"{name}-pairs")
-        found = stored_in_small_batches(verified(near, texts).where("100 * both >= 75 * either").select("a", "b"), name)
-        release(near)
-        return found
-
-    # a list's pivot is its least member, so all lists with one pivot are one neighbourhood that holds their pairs
-    pivots = lists.groupBy("lid").agg(F.min("ref").alias("a"))
-    around = stored(lists.join(pivots.hint("merge"), "lid").select("a", F.col("ref").alias("b")).distinct(), "neighbourhoods")
-    release(lists)
-    classes = joined_classes(None, checked(around.where("a <> b"), "links-1"), "classes-1")
-
-    def open_rows(rows: DataFrame) -> DataFrame:
-        """rows (a, ref) of neighbourhoods with several classes: class, members, whether outside the largest class."""
-        placed = rows.join(classes.hint("merge"), "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
-        main = placed.groupBy("a", "comp").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("comp", F.col("c")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("members")).where("k > 1")
-        return placed.join(main.select("a", "main", "members").hint("merge"), "a").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
-
-    def meet(left: DataFrame, right: DataFrame, once: str) -> DataFrame:
-        """Pairs (a, b) of different classes of a neighbourhood that sizes and sketches allow."""
-        x, y = (side.select("a", *[F.col(c).alias(k + c) for c in ("ref", "n", "comp", "minor", "pivot", "words")]) for k, side in (("x", left), ("y", right)))
-        pair = F.expr(f"xcomp <> ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn) and {once}")
-        got = x.join(y.hint("merge"), "a").where(pair & (7 * sketch_distance("xwords", "ywords") <= F.col("xn") + F.col("yn")))
-        return got.select(F.least("xref", "yref").alias("a"), F.greatest("xref", "yref").alias("b"))
-
-    # about PIVOTS members of each open neighbourhood, by hash, meet the others: that leaves few classes of a large one
-    rest = open_rows(around.withColumnRenamed("b", "ref")).join(own.drop("wide").hint("merge"), "ref")
-    rest = stored(rest.withColumn("pivot", F.pmod(F.xxhash64("ref"), F.ceil(F.col("members") / PIVOTS)) == 0), "open-1")
-    classes = joined_classes(classes, checked(meet(rest.where("pivot"), rest, "(not ypivot or xref < yref)"), "links-2"), "classes-2")
-    # one side is outside the neighbourhood's largest class; of two such sides each pair comes once
-    left = stored(open_rows(rest.select("a", "ref", "n", "words", "pivot")), "open-2")
-    release(around, rest)
-    last = meet(left.where("minor"), left, "not (xpivot or ypivot) and (not yminor or xref < yref)")
-    classes = joined_classes(classes, checked(last, "links-3"), "classes-3")
-    release(left, own, texts)
-    return classes
+
+def _wide_may_link() -> Column:
+    return F.pandas_udf(_may_match, "boolean")("xwide", "ywide", F.col("xn") + F.col("yn"))
+
+
+LINK = Link(WIDTH, 75, ("words",), _may_link_columns, ("wide",), _wide_may_link)
 
 
 def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(each document's set, (ref, comp, component_id, the class's least row) of each set that isn't empty)."""
+    """(each document's set, the class of each set that isn't empty)."""
     sets = stored_in_small_batches(set_table(docs), "sets")
-    classes = sets.where("n > 0").groupBy("ref").agg(_first_row().alias("row"), F.min("doc_id").alias("least")).join(linked_classes(docs, sets).hint("merge"), "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
-    whole = classes.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("row").alias("row"))
-    return sets, classes.select("ref", "comp").join(whole.hint("merge"), "comp")
+    texts = stored(one_text_each(docs, sets), "texts")
+    linked = linked_classes(candidate_lists(texts, sets), sets, texts, LINK)
+    release(texts)
+    return sets, with_classes(sets, linked)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per document."""
-    sets, classes = _classified(docs)
-    full = sets.where("n > 0").join(classes.select("ref", "component_id").hint("merge"), "ref").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return documents_of(*_classified(docs))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: of each class of near duplicates the document with the least id stays (one row of it);
     documents without words stay."""
-    sets, classes = _classified(docs)
-    empty = F.coalesce(~docs["text"].rlike(WORD_PATTERN), F.lit(True))
-    kept = _matching(docs.where(~empty), classes.select("row.doc_id", "row.tid").distinct(), sets.where("n > 0"))
-    return kept.select([docs[c] for c in docs.columns]).unionByName(docs.where(empty))
+    return least_of_each(docs, *_classified(docs))

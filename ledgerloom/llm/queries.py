@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import apportion, byte_cnn, fill_in_middle, ftrl, hash_ring, jaccard_join, latent_search, line_index, quote_links, transport_stream, weak_quality
+from . import apportion, byte_cnn, fill_in_middle, ftrl, hash_ring, hyper_min_hash, jaccard_join, latent_search, line_index, quote_links, transport_stream, weak_quality
 from .base import bucket_of_id, load
 
 
@@ -57,8 +57,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(load(spark, sf_dir, "documents"))
 
 
+def op13_hyper_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper_min_hash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_transport_stream, op2_byte_cnn, op3_weak_quality, op4_apportion, op5_jaccard_join, op6_quote_links, op7_hash_ring, op8_line_index, op9_ftrl, op10_latent_search, op12_fill_in_middle)
+    each = (op1_transport_stream, op2_byte_cnn, op3_weak_quality, op4_apportion, op5_jaccard_join, op6_quote_links, op7_hash_ring, op8_line_index, op9_ftrl, op10_latent_search, op12_fill_in_middle, op13_hyper_min_hash)
     return {f.__name__: f for f in each}
 
 
