@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import apportion, byte_cnn, fill_in_middle, ftrl, hash_ring, hyper_min_hash, jaccard_join, latent_search, line_index, quote_links, transport_stream, weak_quality
+from . import apportion, byte_cnn, fill_in_middle, ftrl, hash_ring, hyper_min_hash, jaccard_join, latent_search, line_index, quote_links, structure_repair, transport_stream, weak_quality
 from .base import bucket_of_id, load
 
 
@@ -53,6 +53,10 @@ def op10_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_search.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repaired_report(load(spark, sf_dir, "conversations"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(load(spark, sf_dir, "documents"))
 
@@ -62,9 +66,9 @@ def op13_hyper_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_transport_stream, op2_byte_cnn, op3_weak_quality, op4_apportion, op5_jaccard_join, op6_quote_links, op7_hash_ring, op8_line_index, op9_ftrl, op10_latent_search, op12_fill_in_middle, op13_hyper_min_hash)
+    each = (op1_transport_stream, op2_byte_cnn, op3_weak_quality, op4_apportion, op5_jaccard_join, op6_quote_links, op7_hash_ring, op8_line_index, op9_ftrl, op10_latent_search, op11_structure_repair, op12_fill_in_middle, op13_hyper_min_hash)
     return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_apportion": apportion.SQL, "op8_line_index": line_index.SQL, "op12_fill_in_middle": fill_in_middle.SQL}
+    return {"op4_apportion": apportion.SQL, "op8_line_index": line_index.SQL, "op11_structure_repair": structure_repair.SQL, "op12_fill_in_middle": fill_in_middle.SQL}
