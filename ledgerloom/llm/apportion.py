@@ -89,14 +89,21 @@ def _order(of: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), of).cast("binary"))
 
 
-def positions(sized: DataFrame, seed: str = SEED) -> DataFrame:
-    """sized(doc_id, skey, size, ...) with `start`: words before the document in its source's line."""
-    rows = sized.withColumn("_o", _order(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)).withColumn("_b", F.substring("_o", 1, 3))
-    inside = Window.partitionBy("skey", "_b").orderBy("_o", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_s", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    buckets = sized.select("skey", F.substring(_order(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed), 1, 3).alias("_b"), "size").groupBy("skey", "_b").agg(F.sum("size").alias("_n"))
+def _document_order(seed: str) -> Column:
+    """Place of a document in its source's line: by id and text, so that documents without an id, or of one id, are spread
+    like others."""
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return _order(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text), seed)
+
+
+def positions(sized: DataFrame) -> DataFrame:
+    """sized(doc_id, skey, size, order) with `start`: words before the document in its source's line."""
+    rows = sized.withColumn("_b", F.substring("order", 1, 3))
+    inside = Window.partitionBy("skey", "_b").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = rows.groupBy("skey", "_b").agg(F.sum("size").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.partitionBy("skey").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(buckets.select("skey", "_b", offset.alias("_before")), ["skey", "_b"]).withColumn("start", F.col("_s") + F.col("_before")).drop("_o", "_b", "_s", "_before")
+    rows = rows.withColumn("_s", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return rows.join(buckets.select("skey", "_b", offset.alias("_before")), ["skey", "_b"]).withColumn("start", F.col("_s") + F.col("_before")).drop("_b", "_s", "_before")
 
 
 def _n_blocks() -> Column:
@@ -131,18 +138,18 @@ def block_table(targets: DataFrame, quotas: DataFrame, seed: str = SEED) -> Data
     return rows.select("skey", "source_size", "target", "block", "n", "b", "take1", "take2", "before", shards.alias("shards"))
 
 
-def _sized(docs: DataFrame, *keep: str) -> DataFrame:
-    return docs.select("doc_id", _source_key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size"), *keep)
+def _sized(docs: DataFrame, seed: str) -> DataFrame:
+    return docs.select("doc_id", _source_key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size"), _document_order(seed).alias("order"))
 
 
 def mix_plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """(doc_id, skey, size, start, source_size, target, taken, shards): each document's place and words in the mix, and
     the shards that take the block it starts in."""
-    sized = stored(_sized(docs), "sizes")  # read four times below; the texts only here
+    sized = stored(_sized(docs, seed), "sizes")  # read four times below; the texts only here
     targets = stored(with_targets(sized.groupBy("skey").agg(F.sum("size").alias("source_size"))), "targets")
     blocks = stored(block_table(targets, shard_quotas(seats(targets)), seed), "blocks")
     lines = targets.select("skey", "block", _n_blocks().alias("n"))
-    got = positions(sized, seed).withColumn("end", F.col("start") + F.col("size")).join(lines, "skey")
+    got = positions(sized).withColumn("end", F.col("start") + F.col("size")).join(lines, "skey")
     for side in ("start", "end"):
         # a document without words at the end of the line starts behind the last block: it belongs to that one
         got = got.withColumn("b", F.least(F.floor(F.col(side) / F.col("block")).cast("long"), F.col("n") - 1))
@@ -158,32 +165,33 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def document_copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """(doc_id, skey, size, source_size, target, copies): how often the mix holds each document, whole. A source's blocks
+    """(doc_id, skey, size, order, source_size, target, copies): how often the mix holds each document, whole. A source's blocks
     are walked twice in their seeded order, each with the documents that start in it and their whole sizes; a document
     is in while its middle is within the target, so that a source ends within half a document of its target, however
     small it is and however large the others are."""
-    sized = stored(_sized(docs), "sizes")  # read four times below; the texts only here
+    sized = stored(_sized(docs, seed), "sizes")  # read four times below; the texts only here
     targets = stored(with_targets(sized.groupBy("skey").agg(F.sum("size").alias("source_size"))), "targets")
     lines = targets.select("skey", "source_size", "target", "block", _n_blocks().alias("n"))
-    places = positions(sized, seed).join(lines, "skey")
+    places = positions(sized).join(lines, "skey")
     places = stored(places.withColumn("b", F.least(F.floor(F.col("start") / F.col("block")).cast("long"), F.col("n") - 1)), "places")
     whole = places.groupBy("skey", "b").agg(F.sum("size").alias("words"), F.min("start").alias("first")).withColumn("rank", _block_rank(seed))
     ahead = F.coalesce(F.sum("words").over(Window.partitionBy("skey").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     got = places.join(whole.select("skey", "b", "first", ahead.alias("ahead")), ["skey", "b"])
     middle = F.col("ahead") + F.col("start") - F.col("first") + F.col("size") / F.lit(2.0)
     copies = (middle <= F.col("target")).cast("int") + (middle + F.col("source_size") <= F.col("target")).cast("int")
-    return got.select("doc_id", "skey", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"))
+    return got.select("doc_id", "skey", "size", "order", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix as documents: each is there whole, unchanged, as often as it is taken (0, 1 or 2 times)."""
     plan = document_copies(docs, seed)
-    # repeated rows of an id, size and source are counted off, so that each has its own place
-    plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "size", "skey").orderBy(F.desc("copies")))).where("copies > 0")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", n_words(F.col("text")).alias("size"), _source_key(F.col("source")).alias("skey"), F.xxhash64("text").alias("tid"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "size", "skey").orderBy("tid")))
-    plan = plan.select(*[F.col(c).alias(f"p_{c}") for c in ("doc_id", "size", "skey", "nth", "copies")])
-    got = rows.join(plan, F.expr("doc_id <=> p_doc_id and size = p_size and skey = p_skey and nth = p_nth"))
+    # repeated rows of an id, text and source are counted off, so that each has its own place
+    same = Window.partitionBy("order", "skey")
+    plan = plan.where("size > 0").withColumn("nth", F.row_number().over(same.orderBy(F.desc("copies")))).where("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), n_words(F.col("text")).alias("size"), _document_order(seed).alias("order"), _source_key(F.col("source")).alias("skey"))
+    rows = rows.where("size > 0").withColumn("nth", F.row_number().over(same.orderBy("size")))
+    plan = plan.select(*[F.col(c).alias(f"p_{c}") for c in ("order", "skey", "nth", "copies")])
+    got = rows.join(plan, F.expr("order = p_order and skey = p_skey and nth = p_nth"))
     return got.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("p_copies")))).select("row.*")
 
 
@@ -191,7 +199,8 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS name,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents),
 src AS (SELECT none, name, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL),
 weighed AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY none, encode(name)) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
@@ -215,7 +224,7 @@ owned AS (SELECT t.*, coalesce(list_filter(shares, lambda x: x.first <= rank AND
   FROM takes t LEFT JOIN shares s ON t.none = s.none AND t.name = s.name),
 sums AS (SELECT *, concat_ws(',', CASE WHEN take1 > 0 THEN owner1::VARCHAR END, CASE WHEN take2 > 0 THEN owner2::VARCHAR END) AS shards,
   coalesce(sum(take1 + take2) OVER (PARTITION BY none, name ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM owned),
-places AS (SELECT doc_id, none, name, size, coalesce(sum(size) OVER (PARTITION BY none, name ORDER BY md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sized),
+places AS (SELECT doc_id, none, name, size, coalesce(sum(size) OVER (PARTITION BY none, name ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sized),
 bounds AS (SELECT p.*, source_size, target, block, greatest(1, ceil(source_size / block))::BIGINT AS n FROM places p JOIN target t ON p.none = t.none AND p.name = t.name)
 SELECT doc_id, p.size, p.source_size, p.target, s.shards,
   ((e.before + least(p.start + p.size - e.b * p.block, e.take1) + least(p.start + p.size - e.b * p.block, e.take2))

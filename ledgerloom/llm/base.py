@@ -45,14 +45,18 @@ def bucket_of_id(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def sample_threshold(most: int, rows: Column) -> Column:
+    """Below it lie about twice `most` of so many rows' hashes modulo 2**30, however many rows there are."""
+    return F.greatest(F.lit(1.0), F.least(F.lit(1.0), F.lit(2.0 * most + 200) / rows) * (1 << 30))
+
+
 def bounded_sample(rows: DataFrame, group: str, key: str, size: str, most: int, most_bytes: int) -> DataFrame:
     """At most `most` rows of each group, by ascending `key` (a hash), whose sizes sum to at most most_bytes, with their
     rank `nth`; equal rows count once. Only rows with keys below a threshold are ranked: it follows from the group's
     count and leaves a few more than needed, so that no group is sorted in one place however large it is. The counts of
     the MAX_GROUPS largest groups go to all tasks, so rows move only after the threshold; other groups give no rows."""
     counts = rows.groupBy(group).agg(F.count("*").alias("_all")).orderBy(F.desc("_all"), group).limit(MAX_GROUPS)
-    share = F.least(F.lit(1.0), F.lit(2.0 * most + 200) / F.col("_all"))
-    near = rows.join(F.broadcast(counts), group).where(F.pmod(key, F.lit(1 << 30)) < share * (1 << 30)).select(rows.columns).distinct()
+    near = rows.join(F.broadcast(counts), group).where(F.pmod(key, F.lit(1 << 30)) < sample_threshold(most, F.col("_all"))).select(rows.columns).distinct()
     order = Window.partitionBy(group).orderBy(F.pmod(key, F.lit(1 << 30)), key, *[c for c in rows.columns if c not in (group, key)])
     ranked = near.withColumns({"nth": F.row_number().over(order), "_sum": F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))})
     return ranked.where((F.col("nth") <= most) & (F.col("_sum") <= most_bytes)).drop("_sum")

@@ -31,6 +31,8 @@ MIN_DOCS = 3
 #: About so many bytes of text in a chunk of documents, and distinct keys in a shard of the index.
 CHUNK_BYTES = 6 << 20
 SHARD_KEYS = 200_000
+#: Shards at most that answer in slices.
+MOST_HOT = 10_000
 NO_ID = -(1 << 63)
 
 _M = np.uint64(0x9FB21C651E98DF25)
@@ -131,10 +133,13 @@ def probe(index: pd.DataFrame, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarr
     return np.where(found, counts[at], 0).astype(np.int64), np.where(found, last[at], 0)
 
 
-def _in_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+def _in_chunks(docs: DataFrame, chunk_bytes: int, min_chars: int) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // chunk_bytes)))))
+    n = F.lit(max(1, -(-size // chunk_bytes)))
+    # a text too short for any key asks nothing, so it may be dealt anywhere: equal empty rows aren't one chunk
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < min_chars
+    return rows.withColumn("chunk", F.when(short, F.floor(F.rand(7) * n)).otherwise(F.pmod(F.xxhash64("doc_id", "text"), n)))
 
 
 def line_index(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_keys: int = SHARD_KEYS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +152,7 @@ def line_index(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_keys: int
             got = got.groupby(["chunk", "hi", "lo"], sort=False)["last"].agg(["size", "max"]).reset_index()
             yield pd.DataFrame({"chunk": got["chunk"], "hi": got["hi"].to_numpy().view(np.int64), "lo": got["lo"].to_numpy().view(np.int64), "n": got["size"].astype("int64"), "last": got["max"]})
 
-    found = _in_chunks(docs, chunk_bytes).mapInPandas(distinct, "chunk long, hi long, lo long, n long, last long")
+    found = _in_chunks(docs, chunk_bytes, min_chars).mapInPandas(distinct, "chunk long, hi long, lo long, n long, last long")
     per_chunk = stored(found.groupBy("chunk", "hi", "lo").agg(F.sum("n").alias("n"), F.max("last").alias("last")), "line-keys")
     keys = per_chunk.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     shards = max(1, -(-per_chunk.count() // shard_keys))
@@ -156,6 +161,18 @@ def line_index(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_keys: int
     return per_chunk.select("chunk", shard.alias("shard"), "hi", "lo"), index
 
 
+def _sliced(asked: DataFrame, index: DataFrame, shard_keys: int, most_hot: int = MOST_HOT) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `slice`: a shard that is asked far more than it has keys (a line that all chunks hold asks once a
+    chunk) answers in several slices, each with a copy of its arrays, which is smaller than the slice's questions. So many
+    shards at most are hot that their list can go to all tasks; any other gets 1 / most_hot of all questions at most."""
+    each = asked.groupBy("shard").agg(F.count("*").alias("n"))
+    bound = max(4 * shard_keys, (each.agg(F.sum("n")).first()[0] or 0) // most_hot)
+    hot = F.broadcast(each.where(F.col("n") > bound).select("shard", F.ceil(F.col("n") / bound).alias("slices")))
+    slices = F.coalesce("slices", F.lit(1))
+    dealt = asked.join(hot, "shard", "left").withColumn("slice", F.pmod(F.xxhash64("chunk"), slices)).drop("slices")
+    return dealt, index.join(hot, "shard", "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("slices")
+
+
 DEDUPED = "doc_id long, n_lines long, n_dropped long, kept_text string"
 
 
@@ -167,7 +184,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
         n, last = probe(arrays, questions["hi"].to_numpy(np.int64).view(np.uint64), questions["lo"].to_numpy(np.int64).view(np.uint64))
         return pd.DataFrame({"chunk": questions["chunk"], "hi": questions["hi"], "lo": questions["lo"], "last": last})[n >= min_docs]
 
-    common = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(answer, "chunk long, hi long, lo long, last long")
+    asked, index = _sliced(asked, index, shard_keys)
+    common = asked.groupBy("shard", "slice").cogroup(index.groupBy("shard", "slice")).applyInPandas(answer, "chunk long, hi long, lo long, last long")
     out = "kept_sha256" if digest else "kept_text"
 
     def drop(rows: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +198,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
             got.append((None if none else doc, len(lines), len(lines) - len(kept), hashlib.sha256(data).hexdigest() if digest else data.decode()))
         return pd.DataFrame(got, columns=["doc_id", "n_lines", "n_dropped", out]).astype({"doc_id": "Int64"})
 
-    return _in_chunks(docs, chunk_bytes).groupBy("chunk").cogroup(common.groupBy("chunk")).applyInPandas(drop, DEDUPED.replace("kept_text", out))
+    return _in_chunks(docs, chunk_bytes, min_chars).groupBy("chunk").cogroup(common.groupBy("chunk")).applyInPandas(drop, DEDUPED.replace("kept_text", out))
 
 
 SQL = r"""
@@ -188,7 +206,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text,
 l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
 k AS (SELECT r, doc_id, line, i, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 c AS (SELECT key, count(DISTINCT r) AS n, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3),
-j AS (SELECT k.r, k.doc_id, k.line, k.i, c.key IS NULL OR c.last = k.doc_id AS keep FROM k LEFT JOIN c ON k.key = c.key)
+j AS (SELECT k.r, k.doc_id, k.line, k.i, c.key IS NULL OR c.last IS NOT DISTINCT FROM k.doc_id AS keep FROM k LEFT JOIN c ON k.key = c.key)
 SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE NOT keep)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keep), '')) AS kept_sha256
 FROM j GROUP BY r

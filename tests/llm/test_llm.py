@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import apportion, byte_cnn, ftrl, hash_ring, jaccard_join, latent_search, line_index, queries, quote_links, transport_stream, weak_quality
-from ledgerloom.llm.base import bounded_sample, crc_fold
+from ledgerloom.llm.base import bounded_sample, crc_fold, sample_threshold
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, n long, ref string"
@@ -206,6 +206,15 @@ def test_mix_meets_its_targets(documents):
     assert (abs(by["taken"] - by["target"]) <= 0.5 + 1e-6).all()
 
 
+def test_documents_without_an_id_are_spread_over_buckets(spark):
+    rows = [(None, f"text {i} of a source", "hot") for i in range(4000)] + [(5, f"text {i} of one id", "hot") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    buckets = apportion._sized(docs, apportion.SEED).groupBy("doc_id", F.substring("order", 1, 3)).count()
+    assert buckets.groupBy("doc_id").agg(F.max("count").alias("most")).where("most > 12").count() == 0
+    plan = apportion.document_copies(docs)
+    assert apportion.mixed_documents(docs).count() == plan.agg(F.sum("copies")).first()[0]
+
+
 def test_mix_meets_the_targets_of_tiny_sources_beside_a_hot_one(spark):
     rows = [(i, "w " * (50 + i % 90), "hot") for i in range(3000)] + [(10_000 + i, "a b c " * (1 + i % 5), f"tiny{i:03d}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -480,6 +489,45 @@ def test_bounded_sample(spark):
         assert sorted(got[g]) == want
 
 
+def test_fit_sample_is_bounded_at_any_size(spark):
+    rows = [(1, "same row " * 20)] * 10_000 + [(i, f"text {i} " * (1 + i % 50)) for i in range(9000)] + [(None, "x" * (1 << 19))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.text for r in latent_search.fit_sample(docs).collect()]
+    assert 0.9 * latent_search.SAMPLE_DOCS < len(got) <= latent_search.SAMPLE_DOCS and got.count("same row " * 20) <= 1
+    few = [r.text for r in latent_search.fit_sample(docs, most_bytes=20_000).collect()]
+    assert 0 < sum(map(len, few)) <= 20_000 and "x" * (1 << 19) not in few
+    for n in (10, 3_000_000_000, 10**13):
+        below = spark.range(1).select(sample_threshold(2000, F.lit(n))).first()[0]
+        assert n * below / (1 << 30) >= min(n, 4000)
+
+
+def test_a_line_in_all_chunks_is_answered_in_slices(spark):
+    """A line that every document holds asks once a chunk; no slice answers far more than others, and nothing changes."""
+    rows = [(i, "a line that every document holds\n" + "\n".join(f"own line {i} {k} of this text" for k in range(3))) for i in range(3000)]
+    docs = spark.createDataFrame(rows + [(None, None)] * 500, "doc_id long, text string")
+    asked, index = line_index.line_index(docs, chunk_bytes=200, shard_keys=50)
+    dealt, arrays = line_index._sliced(asked, index, 50)
+    sizes = [r[0] for r in dealt.groupBy("shard", "slice").count().select("count").collect()]
+    assert asked.groupBy("shard").count().agg(F.max("count")).first()[0] > 1000 and max(sizes) <= 400
+    assert arrays.select("shard", "slice").distinct().count() == arrays.count() >= len(sizes)
+    whole = sorted(map(str, line_index.dedup_lines(docs).collect()))
+    assert sorted(map(str, line_index.dedup_lines(docs, chunk_bytes=200, shard_keys=50).collect())) == whole
+    chunks = line_index._in_chunks(docs, 200, 20).where("text is null").groupBy("chunk").count()
+    assert chunks.agg(F.max("count")).first()[0] < 50
+
+
+def test_lines_sql_agrees_on_null_ids(spark, tmp_path):
+    line = "a line of more than twenty characters"
+    rows = [(None, line), (None, f"x\n{line}"), (None, f"{line}\ny"), (3, "z"), (4, None), (None, "another line of twenty characters"), (6, "another line of twenty characters"), (6, "another line of twenty characters")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(line_index.SQL)
+    names = [c[0] for c in want.description]
+    got = queries.op8_line_index(spark, str(tmp_path)).select(names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
 def test_quality_equals_its_parts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     voted = weak_quality.with_shape(docs).select("doc_id", weak_quality.votes(F.col("_shape")).alias("votes")).collect()
@@ -522,10 +570,10 @@ def test_toxicity_threshold_and_ties(spark, odd):
 
 
 def brute_copies(rows, weights=(5, 2, 1), share=1.5, cap=2):
-    """How often each document (id, source, size) is taken, from the description alone. Distinct ids."""
+    """How often each document (id, source, size, text) is taken, from the description alone. Distinct ids."""
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     size = Counter()
-    for _, source, n in rows:
+    for _, source, n, _ in rows:
         size[source] += n
     order = sorted(size, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
@@ -544,7 +592,7 @@ def brute_copies(rows, weights=(5, 2, 1), share=1.5, cap=2):
     out = {}
     for s in order:
         line, at, n = defaultdict(list), 0, max(1, -(-size[s] // block))
-        for d, _, words in sorted((r for r in rows if r[1] == s), key=lambda r: (md5(f"mix-1:{r[0]}"), r[0])):
+        for d, _, words, _ in sorted((r for r in rows if r[1] == s), key=lambda r: (md5(f"mix-1:{r[0]}:{md5(r[3] or '')}"), r[0])):
             line[min(at // block, n - 1)].append((d, words))
             at += words
         walked = 0
@@ -560,7 +608,7 @@ def test_copies_equal_brute_force(spark, documents, monkeypatch):
     for blocks in (apportion.BLOCKS, 50):
         monkeypatch.setattr(apportion, "BLOCKS", blocks)
         docs = documents.select("doc_id", "text", F.when(F.col("doc_id") % 17 != 0, F.col("source")).alias("source"))
-        rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()]
+        rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.text) for r in docs.collect()]
         got = {r.doc_id: r.copies for r in apportion.document_copies(docs).collect()}
         assert got == brute_copies(rows)
 
@@ -612,7 +660,7 @@ def test_stage_decontamination(spark, stage_docs):
 def test_stage_mixing(spark, stage_docs):
     some = stage_docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
     got = corpus_pipeline.mixing(spark, some, DIR)
-    sizes = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in some.collect()]
+    sizes = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.text) for r in some.collect()]
     copies = brute_copies(sizes)
     assert got.columns == some.columns and stage_rows(got) == sorted((tuple(r) for r in some.collect() for _ in range(copies[r.doc_id])), key=str)
     whole = corpus_pipeline.mixing(spark, stage_docs, DIR)
