@@ -5,8 +5,8 @@ of its leading zeros (6 bits) and the MANTISSA bits behind the first one. Two se
 Jaccard similarity, and by collision of registers besides. BANDS bands of ROWS registers each name a list of sets. A pair
 that links (0.85) shares no band with a chance of (1 - 0.85^5)^32 = 7e-9. The estimate before verification takes the
 expected collisions of two sets of these sizes out of the share of agreeing buckets; pairs below FLOOR, 5 standard
-deviations under 0.85 at least, are not read. In front of it stands one bit of each register, compared in the JVM.
-What passes is confirmed on the whole sets. Lists aren't expanded into pairs: near_classes merges them into neighbourhoods.
+deviations under 0.85 at least, are not read. In front of it a parity sketch bounds the difference of two sets from below
+in the JVM, which tells the many pairs a little under the threshold apart. What passes is confirmed on the whole sets. Lists aren't expanded into pairs: near_classes merges them into neighbourhoods.
 
 Sets of any size fill all buckets, so short texts are found as surely as long ones. Equal sets are one class from the
 start, and one text of each different set is read after the first pass.
@@ -19,7 +19,7 @@ null id ranks behind all ids for a class's id (a class of null ids only has a nu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,16 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import _mix, batches, release, shingle_sets, stored, stored_in_small_batches
-from .near_classes import Link, documents_of, fingerprint, least_of_each, linked_classes, one_text_each, told_apart, with_classes
+from .near_classes import Link, documents_of, fingerprint, least_of_each, linked_classes, one_text_each, parity_words, sketch_distance, told_apart, with_classes
 
 WIDTH, PERCENT = 3, 85
 #: Buckets of a sketch, in bands of rows; mantissa bits of a register.
 BANDS, ROWS = 32, 5
 BUCKETS = BANDS * ROWS
 MANTISSA = 10
-#: Pairs estimated below this similarity aren't read; and the most low bits that may differ (a pair at 0.85 differs in 12
-#: of 160 on average, standard deviation 3.3).
-FLOOR, MOST_BITS = 0.65, 40
+#: Pairs estimated below this similarity aren't read.
+FLOOR = 0.65
 #: Shingles hashed at once.
 STEP = 1 << 17
 
@@ -93,33 +92,25 @@ def _estimated(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Ser
     return pd.Series(estimate((a == b).sum(axis=1), n.to_numpy(), m.to_numpy()), dtype=float)
 
 
-def _low_bits(regs: np.ndarray) -> np.ndarray:
-    """(sets, words) the lowest bit of each register, packed in 64-bit words."""
-    packed = np.packbits((regs & 1).astype(np.uint8), axis=1)
-    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.int64)
-
-
 def set_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, n, ref, registers, bits): size of each document's set, the fingerprint that equal sets share, and the
-    sketch; null registers where the set is empty."""
+    """(doc_id, tid, n, ref, registers, words): size of each document's set, the fingerprint that equal sets share, and the
+    sketches; null where the set is empty."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            n, ref, regs, bits = [], [], [], []
+            n, ref, regs, words = [], [], [], []
             for _, part in batches(pdf["text"], lower=True):
                 sets = shingle_sets(part, WIDTH)
                 n += [len(s) for s in sets]
                 ref += [fingerprint(s) for s in sets]
                 full = [s for s in sets if len(s)]
                 got = sketches(full) if full else np.zeros((0, BUCKETS), np.uint16)
-                rows = iter(zip(got, _low_bits(got), strict=True)) if full else iter(())
-                for s in sets:
-                    r, b = next(rows) if len(s) else (None, None)
-                    regs.append(None if r is None else r.tobytes())
-                    bits.append(b)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tid": pdf["tid"], "n": np.array(n, np.int64), "ref": np.array(ref, np.int64), "registers": regs, "bits": bits})
+                rows = iter(got)
+                regs += [next(rows).tobytes() if len(s) else None for s in sets]
+                words += [parity_words(s) if len(s) else None for s in sets]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tid": pdf["tid"], "n": np.array(n, np.int64), "ref": np.array(ref, np.int64), "registers": regs, "words": words})
 
-    return told_apart(docs).mapInPandas(run, "doc_id long, tid long, n long, ref long, registers binary, bits array<long>")
+    return told_apart(docs).mapInPandas(run, "doc_id long, tid long, n long, ref long, registers binary, words array<long>")
 
 
 def band_lists(sets: DataFrame) -> DataFrame:
@@ -134,16 +125,16 @@ def band_lists(sets: DataFrame) -> DataFrame:
     return lists
 
 
-def _bits_allow() -> Column:
-    words = range(-(-BUCKETS // 64))
-    return reduce(lambda a, b: a + b, [F.bit_count(F.get("xbits", F.lit(k)).bitwiseXOR(F.get("ybits", F.lit(k)))) for k in words]) <= MOST_BITS
+def _parity_allows() -> Column:
+    """Of x + y elements at 0.85 at most 3 / 37 are in one of the sets only."""
+    return 37 * sketch_distance("xwords", "ywords") <= 3 * (F.col("xn") + F.col("yn"))
 
 
 def _estimate_allows() -> Column:
     return F.pandas_udf(_estimated, "double")("xregisters", "yregisters", "xn", "yn") >= FLOOR
 
 
-LINK = Link(WIDTH, PERCENT, ("bits",), _bits_allow, ("registers",), _estimate_allows)
+LINK = Link(WIDTH, PERCENT, ("words",), _parity_allows, ("registers",), _estimate_allows)
 
 
 def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

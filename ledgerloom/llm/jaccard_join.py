@@ -24,7 +24,6 @@ of null ids only has a null id); extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import _mix, batches, release, shingle_sets, stored, stored_in_small_batches
-from .near_classes import Link, documents_of, fingerprint, least_of_each, linked_classes, one_text_each, told_apart, with_classes
+from .near_classes import SKETCH_WORDS, Link, documents_of, fingerprint, least_of_each, linked_classes, one_text_each, parity, parity_words, sketch_distance, told_apart, with_classes
 
 #: Link if 100 * intersection >= 75 * union: numerator and denominator of the overlap of two sets, 3/7 of all.
 NUM, DEN = 3, 4
@@ -43,8 +42,6 @@ WIDTH = 5
 #: A shingle in so many different sets is frequent; of those, the most frequent so many are ordered last.
 FREQUENT, MOST_FREQUENT = 24, 1 << 19
 BUCKET_TOKENS = 3 << 20
-#: 64-bit words of a set's parity sketch.
-SKETCH_WORDS = 32
 MAX_LIGHT = 10
 
 
@@ -71,18 +68,9 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
     return min(range(MAX_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
-def _parity(s: np.ndarray, bits: int) -> np.ndarray:
-    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8))
-
-
-def _sketch(s: np.ndarray) -> np.ndarray:
-    return _parity(s, 64 * SKETCH_WORDS).view(np.int64)
-
-
 def _wide(s: np.ndarray) -> bytes | None:
     """A parity sketch of at least as many bits as elements, a power of two; None where the narrow one has as many."""
-    return _parity(s, 1 << (len(s) - 1).bit_length()).tobytes() if len(s) > 64 * SKETCH_WORDS else None
+    return parity(s, 1 << (len(s) - 1).bit_length()).tobytes() if len(s) > 64 * SKETCH_WORDS else None
 
 
 def _may_match(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
@@ -99,18 +87,13 @@ def _may_match(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(a, b, t) for a, b, t in zip(x, y, n, strict=True)], dtype=bool)
 
 
-def sketch_distance(a: str, b: str) -> Column:
-    """Bits in which two sketches differ: at most the elements in one of the sets only."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SKETCH_WORDS)])
-
-
 def set_table(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, n, ref, the sketches): size of each document's set, and the fingerprint that equal sets share."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             sets = [s for _, part in batches(pdf["text"], lower=True) for s in shingle_sets(part, WIDTH)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tid": pdf["tid"], "n": np.array([len(s) for s in sets], np.int64), "ref": np.array([fingerprint(s) for s in sets], np.int64), "words": [_sketch(s) for s in sets], "wide": [_wide(s) for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tid": pdf["tid"], "n": np.array([len(s) for s in sets], np.int64), "ref": np.array([fingerprint(s) for s in sets], np.int64), "words": [parity_words(s) for s in sets], "wide": [_wide(s) for s in sets]})
 
     return told_apart(docs).mapInPandas(run, "doc_id long, tid long, n long, ref long, words array<long>, wide binary")
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ from .base import WORD_PATTERN, release, shingle_sets, stored, stored_in_small_b
 PIVOTS = 16
 #: Bytes of shingle sets that a verifying task keeps at hand.
 KEPT_SETS = 16 << 20
+#: 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 32
 
 
 @dataclass(frozen=True)
@@ -50,6 +53,21 @@ def fingerprint(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def parity_words(s: np.ndarray) -> np.ndarray:
+    """A parity sketch: each element that two sets don't share flips one of its bits."""
+    return parity(s, 64 * SKETCH_WORDS).view(np.int64)
+
+
+def sketch_distance(a: str, b: str) -> Column:
+    """Bits in which two sketches differ: at most the elements in one of the sets only."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SKETCH_WORDS)])
+
+
 def told_apart(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, text): tid tells the texts of one id apart."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
