@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar
-from .operators import asof, case_graph, clusters, folds, graph, holders, labels, peel, risk, sequences, store, tokens
+from .operators import asof, case_graph, clusters, folds, graph, holders, labels, lots, peel, risk, sequences, store, tokens
 from .plans import sql_surface, views
 from .sources import logs
 
@@ -337,7 +337,7 @@ def w06_strongest(spark: SparkSession, d: str) -> DataFrame:
 
 #: Payments of a route at most; and how many peers make a service in walks over the driver's dense ledger, where every
 #: recipient has more than the usual 40.
-ROUTE_HOPS, SERVICE = 4, 160
+ROUTE_HOPS, SERVICE = 5, 160
 
 
 def _walk_sql(hops: int = 4, degree: int = SERVICE) -> list[str]:
@@ -367,9 +367,36 @@ def f01_taint(spark: SparkSession, d: str) -> DataFrame:
     return folds.taint(views.ledger(spark, d), _seeds(spark))
 
 
-@_query()
+def _axis_sql(start: str = "", endless: str = "false") -> list[str]:
+    """Receipts and payments of each asset and address as intervals `i` of cumulative sums; `f`: which receipt funds which
+    payment. Payments are numbered by `r` within their asset; start: rows of `e` from before the first payment."""
+    by = "PARTITION BY asset, address ORDER BY r, incoming ROWS UNBOUNDED PRECEDING"
+    return [
+        "p AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY block) AS r FROM (SELECT coalesce(asset, '') AS asset, sender, recipient, CAST(amount_raw AS BIGINT) AS a, block, tx_hash FROM ledger WHERE sender IS NOT NULL AND recipient IS NOT NULL AND amount_raw > 0))",
+        f"e AS (SELECT asset, sender AS address, 0 AS incoming, a, r, tx_hash FROM p WHERE NOT ({endless}) UNION ALL SELECT asset, recipient, 1, a, r, tx_hash FROM p{start})",
+        f"s AS (SELECT *, sum(a * incoming) OVER ({by}) AS ins, sum(a * (1 - incoming)) OVER ({by}) AS outs FROM e)",
+        f"m AS (SELECT *, greatest(0, -min(ins - outs) OVER ({by})) AS lacking FROM s)",
+        "i AS (SELECT asset, address, incoming, a, r, tx_hash, CAST(lacking AS BIGINT) AS lacking, CAST(CASE WHEN incoming = 1 THEN ins - a + lacking ELSE outs - a END AS BIGINT) AS lo FROM m)",
+        "f AS (SELECT x.asset, x.r AS child, y.r AS parent, x.tx_hash AS payment, y.tx_hash AS receipt, greatest(x.lo, y.lo) - x.lo AS pos, greatest(x.lo, y.lo) - y.lo AS lo, least(x.lo + x.a, y.lo + y.a) - y.lo AS hi FROM i x JOIN i y ON x.asset = y.asset AND x.address = y.address AND x.lo < y.lo + y.a AND y.lo < x.lo + x.a WHERE x.incoming = 0 AND y.incoming = 1)",
+    ]
+
+
+@_query(_with(views.LEDGER, *_axis_sql()) + "SELECT asset, payment, receipt, CAST(hi - lo AS DECIMAL(38,0)) AS amount_raw FROM f")
+def st01_funding(spark: SparkSession, d: str) -> DataFrame:
+    return lots.funded_by(views.ledger(spark, d)).select("asset", "payment", "receipt", "amount_raw")
+
+
+_SEEDED = _axis_sql(" UNION ALL SELECT 'purchase', 'u7', 1, 50000, 0, ''", "asset = '' AND sender = 'u3'")
+
+
+@_query("WITH RECURSIVE " + ", ".join((views.LEDGER, *_SEEDED, "g AS (SELECT asset, child, list({'p': parent, 'lo': lo, 'hi': hi}) AS es FROM f GROUP BY 1, 2)", "q AS (SELECT p.asset, p.r, CASE WHEN p.asset = '' AND sender = 'u3' THEN a END AS fixed, coalesce(es, []) AS es FROM p LEFT JOIN g ON p.asset = g.asset AND p.r = g.child)", "t AS (SELECT asset, 0::BIGINT AS r, [CASE WHEN asset = 'purchase' THEN 50000 ELSE 0 END::BIGINT] AS d FROM (SELECT DISTINCT asset FROM p) UNION ALL SELECT t.asset, q.r, list_append(d, coalesce(fixed, list_sum(list_transform(es, lambda x: greatest(0, least(d[x.p + 1], x.hi) - x.lo))), 0)::BIGINT) FROM t JOIN q ON t.asset = q.asset AND q.r = t.r + 1)", "z AS (SELECT asset, unnest(d) AS dirty, unnest(range(len(d))) AS r FROM (SELECT asset, arg_max(d, r) AS d FROM t GROUP BY 1))", "sp AS (SELECT asset, address, max(lo + a) FILTER (WHERE incoming = 0) AS spent, max(lacking) AS unresolved FROM i GROUP BY 1, 2)", "h AS (SELECT i.asset, i.address, sum(dirty - least(dirty, greatest(0, coalesce(spent, 0) - lo))) AS held, coalesce(sum(dirty) FILTER (WHERE i.r > 0), 0) AS touched, any_value(unresolved) AS unresolved FROM i JOIN z ON i.asset = z.asset AND i.r = z.r JOIN sp ON i.asset = sp.asset AND i.address = sp.address WHERE incoming = 1 GROUP BY 1, 2)")) + " SELECT asset, address, CAST(held AS DECIMAL(38,0)) AS held, CAST(touched AS DECIMAL(38,0)) AS touched, CAST(unresolved AS DECIMAL(38,0)) AS unresolved FROM h WHERE held > 0 OR touched > 0")
+def st01_fifo_taint(spark: SparkSession, d: str) -> DataFrame:
+    return lots.taint(views.ledger(spark, d), _seeds(spark)).select("asset", "address", "held", "touched", "unresolved")
+
+
+@_query("WITH RECURSIVE " + ", ".join((views.LEDGER, *_axis_sql(), "k AS (SELECT *, lacking - coalesce(lag(lacking) OVER (PARTITION BY asset, address ORDER BY r, incoming), 0) AS lack FROM i)", "b AS (SELECT asset, coalesce(max(lo + a) FILTER (WHERE incoming = 0), 0) AS spent FROM i WHERE address = 'u7' GROUP BY 1)", "w AS (SELECT i.asset, r, greatest(0, spent - lo) AS lo, a AS hi FROM i JOIN b ON i.asset = b.asset WHERE address = 'u7' AND incoming = 1 AND lo + a > spent UNION ALL SELECT f.asset, parent, f.lo + greatest(w.lo, pos) - pos, f.lo + least(w.hi, pos + f.hi - f.lo) - pos FROM w JOIN f ON f.asset = w.asset AND f.child = w.r AND w.lo < pos + f.hi - f.lo AND pos < w.hi)")) + " SELECT k.asset, k.address AS origin, CAST(sum(least(w.hi, a) - greatest(w.lo, a - lack)) AS DECIMAL(38,0)) AS amount_raw FROM w JOIN k ON k.asset = w.asset AND k.r = w.r AND incoming = 0 AND lack > 0 AND w.hi > a - lack GROUP BY 1, 2")
 def f02_origins(spark: SparkSession, d: str) -> DataFrame:
-    return folds.origins(views.ledger(spark, d), SUBJECT)
+    return folds.origins(views.ledger(spark, d), SUBJECT).select("asset", "origin", "amount_raw")
 
 
 @_query(_with(views.LEDGER, "e AS (SELECT sender AS s, recipient AS c, row_number() OVER (PARTITION BY sender ORDER BY count(*) DESC, recipient) AS r FROM ledger GROUP BY 1, 2)", "l1 AS (SELECT DISTINCT c AS node FROM e WHERE s = 'u7' AND r <= 10 AND c <> 'u7')", "l2 AS (SELECT DISTINCT c AS node FROM e WHERE s IN (FROM l1) AND r <= 10 AND c <> 'u7' AND c NOT IN (FROM l1))", "w AS (SELECT 'u7' AS node, 0 AS level UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2)") + "SELECT node, level, level < 2 AS expanded, node IN (SELECT s FROM e WHERE r > 10) AS truncated FROM w")

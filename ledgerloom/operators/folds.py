@@ -1,21 +1,23 @@
-"""Ordered folds over transfers: taint forwards under three policies, origins backwards.
+"""Taint forwards under three policies, origins backwards. First in, first out is taken over intervals (lots.py).
 
-What an address holds of an asset is a queue of lots, so transfers of an asset between addresses that are connected by
-them must be folded in order. Transfers that a seed's money can't reach are removed by joins first; what is left falls
+Under haircut and poison a payment depends on all that is held then, so transfers of an asset between addresses that are
+connected by them must be folded in order. Transfers that a seed's money can't reach are removed by joins first; what is left falls
 apart into connected components, and a component of a chain and asset is the unit of parallel work (`applyInPandas`).
 Amounts are Python integers inside the fold: exact at any size.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections import defaultdict, deque
 from decimal import Decimal
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import cut, release
+from . import lots
 from .graph import connected
 
 POLICIES = ("fifo", "haircut", "poison")
@@ -69,65 +71,81 @@ def _in_components(rows: DataFrame) -> DataFrame:
 TAINT = "chain string, asset string, address string, policy string, held decimal(38,0), touched decimal(38,0), unresolved decimal(38,0)"
 
 
-def _spend(queue: deque[list[int]], amount: int, policy: str) -> int:
-    """Take an amount (at most what the queue holds) from the front of a queue of lots [amount, dirty]; how much of it
-    counts as dirty. Under haircut the share of all that is held moves, rounded down, while each lot gives its own share,
-    rounded down: the difference is lost to rounding. Under poison all of it is dirty if anything held is."""
-    total, dirty = sum(x[0] for x in queue), sum(x[1] for x in queue)
-    moved, left = 0, amount
-    while left and queue:
-        size, bad = queue[0]
-        part = min(left, size)
-        gives = bad * part // size if policy == "haircut" else min(bad, part)
-        moved += gives
-        left -= part
-        if part == size:
-            queue.popleft()
-        else:
-            queue[0] = [size - part, bad - gives]
-    if policy == "haircut":
-        return amount * dirty // total if total else 0
-    return (amount if dirty else 0) if policy == "poison" else moved
+class _Queue:
+    """Lots [amount, dirty] in order, with their sums, so that a payment costs the lots it empties and no more."""
 
+    __slots__ = ("dirty", "lots", "total")
 
-def _receive(queue: deque[list[int]], amount: int, dirty: int, policy: str) -> int:
-    """Add a lot; how much of it is dirty. Under poison dirty money makes all that lies there dirty, and clean money that
-    arrives at a dirty address becomes so."""
-    if policy == "poison":
-        if dirty:
-            for lot in queue:
-                lot[1] = lot[0]
-        dirty = amount if dirty or any(lot[1] for lot in queue) else 0
-    queue.append([amount, min(dirty, amount)])
-    return queue[-1][1]
+    def __init__(self) -> None:
+        self.lots: deque[list[int]] = deque()
+        self.total = self.dirty = 0
+
+    def append(self, amount: int, dirty: int) -> None:
+        self.lots.append([amount, dirty])
+        self.total += amount
+        self.dirty += dirty
+
+    def spend(self, amount: int, policy: str) -> int:
+        """Take an amount (at most what is held) from the front; how much of it counts as dirty. Under haircut the share of
+        all that is held moves, rounded down, while each lot gives its own share, rounded down: the difference is lost to
+        rounding. Under poison all of it is dirty if anything held is."""
+        total, dirty, moved, left = self.total, self.dirty, 0, amount
+        while left and self.lots:
+            size, bad = self.lots[0]
+            part = min(left, size)
+            gives = bad * part // size if policy == "haircut" else min(bad, part)
+            moved += gives
+            left -= part
+            if part == size:
+                self.lots.popleft()
+                self.dirty -= bad
+            else:
+                self.lots[0] = [size - part, bad - gives]
+                self.dirty -= gives
+            self.total -= part
+        if policy == "haircut":
+            return amount * dirty // total if total else 0
+        return (amount if dirty else 0) if policy == "poison" else moved
+
+    def receive(self, amount: int, dirty: int, policy: str) -> int:
+        """Add a lot; how much of it is dirty. Under poison dirty money makes all that lies there dirty (each lot once), and
+        clean money that arrives at a dirty address becomes so."""
+        if policy == "poison":
+            if dirty and self.dirty < self.total:
+                for lot in self.lots:
+                    lot[1] = lot[0]
+                self.dirty = self.total
+            dirty = amount if dirty or self.dirty else 0
+        dirty = min(dirty, amount)
+        self.append(amount, dirty)
+        return dirty
 
 
 def fold_taint(rows: list[tuple[str, str, int]], seeds: dict[str, int | None], policy: str, opening: dict[str, int] | None = None) -> dict[str, tuple[int, int, int]]:
     """{address: (tainted money held, tainted money that ever arrived, money spent beyond the known balance)} after
     (sender, recipient, amount) in order. A seed with an amount starts with one tainted lot behind its opening
     balance; a seed without one taints all it sends."""
-    lots: dict[str, deque[list[int]]] = {}
+    held_by: dict[str, _Queue] = defaultdict(_Queue)
     touched: dict[str, int] = {}
     lacking: dict[str, int] = {}
     for address, amount in (opening or {}).items():
         if amount > 0:
-            lots.setdefault(address, deque()).append([amount, 0])
+            held_by[address].append(amount, 0)
     for address, amount in seeds.items():
         if amount:
-            lots.setdefault(address, deque()).append([amount, amount])
+            held_by[address].append(amount, amount)
     for sender, recipient, amount in rows:
         if sender in seeds and seeds[sender] is None:
             moved = amount
         else:
-            queue = lots.setdefault(sender, deque())
-            known = min(amount, sum(x[0] for x in queue))
-            moved = _spend(queue, known, policy)
+            known = min(amount, held_by[sender].total)
+            moved = held_by[sender].spend(known, policy)
             if amount > known:
                 lacking[sender] = lacking.get(sender, 0) + amount - known
-        dirty = _receive(lots.setdefault(recipient, deque()), amount, moved, policy)
+        dirty = held_by[recipient].receive(amount, moved, policy)
         if dirty:
             touched[recipient] = touched.get(recipient, 0) + dirty
-    held = {a: sum(x[1] for x in q) for a, q in lots.items()}
+    held = {a: q.dirty for a, q in held_by.items()}
     return {a: (held.get(a, 0), touched.get(a, 0), lacking.get(a, 0)) for a in {*held, *touched, *lacking}}
 
 
@@ -137,7 +155,15 @@ def _moves(rows: DataFrame) -> DataFrame:
 
 def taint(ledger: DataFrame, seeds: DataFrame, policies: tuple[str, ...] = POLICIES, opening: DataFrame | None = None) -> DataFrame:
     """Tainted money by address, asset and policy. seeds: (chain, asset, address, amount or null for all it sends);
-    opening: (chain, asset, address, amount) held before the first transfer."""
+    opening: (chain, asset, address, amount) held before the first transfer. First in, first out is taken over intervals
+    (lots.py), which spreads one asset over many tasks; haircut and poison depend on all that is held at each payment and
+    are folded in order."""
+    by_lots = [lots.taint(ledger, seeds, opening)] if "fifo" in policies else []
+    folded = [_folded(ledger, seeds, tuple(p for p in policies if p != "fifo"), opening)] if set(policies) - {"fifo"} else []
+    return reduce(DataFrame.unionByName, by_lots + folded)
+
+
+def _folded(ledger: DataFrame, seeds: DataFrame, policies: tuple[str, ...], opening: DataFrame | None) -> DataFrame:
     rows = _moves(_touching(ledger, reachable(ledger, seeds)))
     for kind, given in (("seed", seeds), ("opening", opening)):
         if given is not None:
@@ -166,46 +192,4 @@ def agreement(tainted: DataFrame, balances: DataFrame) -> DataFrame:
     return by.withColumn("spread", spread).withColumn("unanimous", spread == 0)
 
 
-def fold_origins(rows: list[tuple[str, str, int]], target: str, amount: int | None = None) -> dict[str, int]:
-    """{furthest sender inside the window: amount} of what the target holds, newest lots first up to an amount."""
-    lots: dict[str, deque[list]] = {}
-    for sender, recipient, n in rows:
-        queue, left = lots.setdefault(sender, deque()), n
-        arrive = lots.setdefault(recipient, deque()) if recipient != sender else deque()
-        while left and queue:
-            part = min(left, queue[0][0])
-            arrive.append([part, queue[0][1]])
-            queue[0][0] -= part
-            left -= part
-            if not queue[0][0]:
-                queue.popleft()
-        if left:
-            arrive.append([left, sender])
-        if recipient == sender:
-            queue.extend(arrive)
-    out: dict[str, int] = {}
-    left = amount
-    for size, origin in reversed(lots.get(target, ())):
-        part = size if left is None else min(size, left)
-        if part:
-            out[origin] = out.get(origin, 0) + part
-        left = None if left is None else left - part
-        if left == 0:
-            break
-    return out
-
-
-def origins(ledger: DataFrame, target: str, amount: int | None = None) -> DataFrame:
-    """Where the money that a target holds came from, per asset."""
-    schema = "chain string, asset string, origin string, amount_raw decimal(38,0)"
-    turned = ledger.select("chain", "asset", F.col("recipient").alias("sender"), F.col("sender").alias("recipient"), "amount_raw", (-F.coalesce("block", F.lit(0))).alias("block"))
-    assets = ledger.where(F.col("recipient") == target).select("chain", "asset").distinct().select("chain", "asset", F.lit(target).alias("address"))
-    near = reachable(turned.withColumn("block", F.lit(0).cast("long")), assets)
-    rows = _moves(_touching(ledger, near))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "log_index", "tx_hash"], kind="stable")
-        got = fold_origins([(s, r, int(a)) for s, r, a in zip(pdf["sender"], pdf["recipient"], pdf["amount"], strict=True)], target, amount)
-        return pd.DataFrame([(pdf["chain"].iloc[0], pdf["asset"].iloc[0], o, Decimal(n)) for o, n in got.items()], columns=["chain", "asset", "origin", "amount_raw"])
-
-    return _in_components(cut(rows)).groupBy(*KEYS, "part").applyInPandas(fold, schema)
+origins = lots.origins

@@ -40,29 +40,42 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_node: int = 10)
     return seen.join(over, "node", "left").select("node", "level", (F.col("level") < depth).alias("expanded"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
-def routes(ledger: DataFrame, source: str, target: str, max_hops: int = 3, max_routes: int = 20, hub_degree: int = 25, allow_hubs: bool = False) -> DataFrame:
+def latest_departures(rows: DataFrame, target: str, hops: int) -> list[DataFrame]:
+    """For 1 to `hops` payments left: (node, latest), the last moment at which a payment may leave a node so that later ones
+    still reach the target in time. Stored."""
+    tables = [cut(rows.where(F.col("recipient") == target).groupBy(F.col("sender").alias("node")).agg(F.max("ts").alias("latest")), "departures")]
+    for _ in range(hops - 1):
+        step = rows.join(tables[-1], (F.col("recipient") == F.col("node")) & (F.col("ts") <= F.col("latest")))
+        both = step.select(F.col("sender").alias("node"), F.col("ts").alias("latest")).unionByName(tables[-1])
+        tables.append(cut(both.groupBy("node").agg(F.max("latest").alias("latest")), "departures"))
+    return tables
+
+
+def routes(ledger: DataFrame, source: str, target: str, max_hops: int = 5, max_routes: int = 20, hub_degree: int = 25, allow_hubs: bool = False) -> DataFrame:
     """Simple paths whose payments don't go back in time, best first: fewer hops, then the larger smallest amount.
 
-    Every level keeps only ends from which the target can still be reached, hubs don't pass anything on, and the
-    answer is the best max_routes with `truncated` set if there were more."""
+    Hubs don't pass anything on. A payment is followed only if from its recipient the target can still be reached, in time
+    and with the hops left: the table of latest departures says so exactly, but for paths that cross themselves. Since fewer
+    hops are better, levels end as soon as more than max_routes are found; the answer is the best max_routes, with
+    `truncated` set if there were more."""
     rows = ledger.where("sender is not null and recipient is not null and sender <> recipient and ts is not null").select("sender", "recipient", "ts", "amount_raw", "tx_hash")
     if not allow_hubs:
         blocked = hubs(ledger, hub_degree).where(~F.col("address").isin(source, target)).select("address")
         rows = rows.join(blocked, rows["sender"] == blocked["address"], "left_anti")
-    rows = cut(rows)
-    near = [cut(rows.where(F.col("recipient") == target).select(F.col("sender").alias("node")).distinct())]
-    for _ in range(max_hops - 2):
-        near.append(cut(rows.join(near[-1], F.col("recipient") == F.col("node"), "left_semi").select(F.col("sender").alias("node")).union(near[-1]).distinct()))
+    rows = cut(rows, "payments")
+    left = latest_departures(rows, target, max_hops - 1) if max_hops > 1 else []
     paths = rows.where(F.col("sender") == source).select(F.array("sender", "recipient").alias("nodes"), F.array("tx_hash").alias("txs"), F.col("recipient").alias("end"), F.col("ts").alias("at"), F.col("amount_raw").alias("carries"))
     found = None
     for hop in range(1, max_hops + 1):
+        if hop < max_hops:  # what goes on is cut down before it is written
+            on = paths.where(F.col("end") != target).join(left[max_hops - hop - 1], F.col("end") == F.col("node")).where("at <= latest").drop("node", "latest")
+            paths = cut(on.unionByName(paths.where(F.col("end") == target)), "paths")
         done = paths.where(F.col("end") == target)
         found = done if found is None else found.unionByName(done)
-        if hop == max_hops:
+        if hop == max_hops or found.limit(max_routes + 1).count() > max_routes:
             break
-        alive = paths.where(F.col("end") != target).join(near[max_hops - hop - 1], F.col("end") == F.col("node"), "left_semi")
-        step = alive.join(rows, (F.col("end") == F.col("sender")) & (F.col("ts") >= F.col("at"))).where(~F.array_contains("nodes", F.col("recipient")))
-        paths = cut(step.select(F.array_append("nodes", F.col("recipient")).alias("nodes"), F.array_append("txs", F.col("tx_hash")).alias("txs"), F.col("recipient").alias("end"), F.col("ts").alias("at"), F.least("carries", "amount_raw").alias("carries")))
+        step = paths.where(F.col("end") != target).join(rows, (F.col("end") == F.col("sender")) & (F.col("ts") >= F.col("at"))).where(~F.array_contains("nodes", F.col("recipient")))
+        paths = step.select(F.array_append("nodes", F.col("recipient")).alias("nodes"), F.array_append("txs", F.col("tx_hash")).alias("txs"), F.col("recipient").alias("end"), F.col("ts").alias("at"), F.least("carries", "amount_raw").alias("carries"))
     best = found.select("txs", "nodes", F.size("txs").alias("hops"), "carries").orderBy("hops", F.desc("carries"), "txs").limit(max_routes + 1)
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy("hops", F.desc("carries"), "txs")))
     return ranked.withColumn("truncated", F.max("rank").over(Window.partitionBy(F.lit(1))) > max_routes).where(F.col("rank") <= max_routes).select("rank", "hops", "carries", F.concat_ws(">", "nodes").alias("path"), "truncated")
