@@ -337,7 +337,7 @@ def w06_strongest(spark: SparkSession, d: str) -> DataFrame:
 
 #: Payments of a route at most; and how many peers make a service in walks over the driver's dense ledger, where every
 #: recipient has more than the usual 40.
-ROUTE_HOPS, SERVICE = 5, 160
+ROUTE_HOPS, SERVICE = 5, 100
 
 
 def _walk_sql(hops: int = 4, degree: int = SERVICE) -> list[str]:
@@ -445,17 +445,30 @@ _SIGNALS = (
     "flags AS (SELECT address, n, ins > 0 AND outs > 0 AND n <= 20 AS fresh_address, ins >= 5 AND outs <= 2 AS consolidation, address IN (SELECT sender FROM probes UNION SELECT recipient FROM probes) AS probing, false AS impersonation FROM shape)",
     "signals AS (SELECT *, fresh_address::INT + consolidation::INT + probing::INT + impersonation::INT AS n_signals FROM flags)",
 )
+#: What the starter rules ask of a subject's exposures, without any, and the rules in order with their floors.
+_FACTS = "count(*) AS n_exposures, sum(share) AS total, bool_or(category = 'sanctioned' AND hop = 0) AS c1, bool_or(category = 'sanctioned') AS c2, bool_or(role IS NOT DISTINCT FROM 'attacker') AS c3, bool_or(category = 'mixer' AND share >= 0.05::DOUBLE) AS c4, bool_or(category IN ('illicit', 'scam') AND confidence >= 3) AS c5, bool_or(category = 'cex' AND hop = 0) AS c8"
+_NO_FACTS = "coalesce(n_exposures, 0) AS n_exposures, coalesce(total, 0) AS total, " + ", ".join(f"coalesce(c{k}, false) AS c{k}" for k in (1, 2, 3, 4, 5, 8))
+_RULE = "CASE WHEN c1 THEN 'sanctioned-direct' WHEN c2 THEN 'sanctioned-indirect' WHEN c3 THEN 'attacker-role' WHEN c4 THEN 'mixer-material' WHEN c5 THEN 'illicit-well-sourced' WHEN NOT complete THEN 'incomplete' WHEN n_signals > 0 AND n_exposures = 0 THEN 'shape-only' WHEN c8 THEN 'exchange-only' ELSE 'default' END"
+_ACTION = "CASE WHEN rule = 'sanctioned-direct' AND n_exposures > 0 THEN 'reject' WHEN rule IN ('sanctioned-direct', 'sanctioned-indirect', 'attacker-role', 'illicit-well-sourced') THEN 'escalate' WHEN rule = 'mixer-material' THEN 'enhanced_kyc' WHEN rule = 'exchange-only' AND complete THEN 'allow' ELSE 'hold' END"
 _SCREENED = (
     _PROBES.replace("FROM hub", "FROM ledger"), *_SIGNALS,
     "labelled AS (SELECT address AS node, category, confidence FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY category = 'sanctioned' DESC, confidence DESC, category <> 'unknown' DESC, observed_at DESC, source DESC, label DESC) AS r FROM claims) WHERE r = 1)",
     "inflow AS (SELECT recipient AS root, coalesce(asset, '') AS asset, sum(amount_raw)::DOUBLE AS raw FROM ledger WHERE amount_raw > 0 GROUP BY ALL)",
     "roots AS (SELECT root, asset FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY raw DESC, asset) AS r FROM inflow) WHERE r = 1)",
     "terminal AS (SELECT node FROM labelled WHERE category IN ('cex', 'dex', 'bridge', 'mixer', 'service'))", "known AS (SELECT address AS node FROM expanded)", *_walk_sql(),
-    "reached AS (SELECT s.*, category, confidence FROM seen s LEFT JOIN (SELECT * FROM labelled WHERE category <> 'unknown') b ON s.node = b.node)",
-    "facts AS (SELECT root, count(category) AS n_exposures, coalesce(sum(share) FILTER (WHERE category IS NOT NULL), 0) AS total, count(*) FILTER (WHERE category IS NULL AND stopped IS NOT NULL) = 0 AS complete, coalesce(bool_or(category = 'sanctioned' AND hop = 0), false) AS c1, coalesce(bool_or(category = 'sanctioned'), false) AS c2, coalesce(bool_or(category = 'mixer' AND share >= 0.05::DOUBLE), false) AS c4, coalesce(bool_or(category IN ('illicit', 'scam') AND confidence >= 3), false) AS c5, coalesce(bool_or(category = 'cex' AND hop = 0), false) AS c8 FROM reached GROUP BY 1)",
-    "screens AS (SELECT r.root AS address, coalesce(n_exposures, 0) AS n_exposures, coalesce(total, 0) AS total, coalesce(complete, true) AS complete, coalesce(c1, false) AS c1, coalesce(c2, false) AS c2, coalesce(c4, false) AS c4, coalesce(c5, false) AS c5, coalesce(c8, false) AS c8, coalesce(n_signals, 0) AS n_signals FROM roots r LEFT JOIN facts f ON r.root = f.root LEFT JOIN signals g ON r.root = g.address)",
-    "ruled AS (SELECT *, CASE WHEN c1 THEN 'sanctioned-direct' WHEN c2 THEN 'sanctioned-indirect' WHEN c4 THEN 'mixer-material' WHEN c5 THEN 'illicit-well-sourced' WHEN NOT complete THEN 'incomplete' WHEN n_signals > 0 AND n_exposures = 0 THEN 'shape-only' WHEN c8 THEN 'exchange-only' ELSE 'default' END AS rule FROM screens)",
-    "decided AS (SELECT *, CASE rule WHEN 'sanctioned-direct' THEN 'reject' WHEN 'sanctioned-indirect' THEN 'escalate' WHEN 'mixer-material' THEN 'enhanced_kyc' WHEN 'illicit-well-sourced' THEN 'escalate' WHEN 'exchange-only' THEN 'allow' ELSE 'hold' END AS action FROM ruled)",
+    "src AS (SELECT node, list(DISTINCT source) AS sources FROM claims c JOIN labelled l ON c.address = l.node AND c.category = l.category GROUP BY 1)", "roles AS (SELECT 'u' || c_custkey AS node, 'attacker' AS role FROM customer WHERE c_custkey % 25 = 0)",
+    "reached AS (SELECT s.*, category, confidence, sources, role FROM seen s LEFT JOIN (SELECT * FROM labelled WHERE category <> 'unknown') b ON s.node = b.node LEFT JOIN src ON s.node = src.node LEFT JOIN roles ON s.node = roles.node)",
+    "ends AS (SELECT root, count(*) FILTER (WHERE category IS NULL AND stopped IS NOT NULL) = 0 AS complete FROM reached GROUP BY 1)", "ex AS (SELECT root AS address, hop, share, category, confidence, sources, role FROM reached WHERE category IS NOT NULL)",
+    f"facts AS (SELECT address, {_FACTS} FROM ex GROUP BY 1)",
+    f"screens AS (SELECT r.root AS address, {_NO_FACTS}, coalesce(complete, true) AS complete, coalesce(n_signals, 0) AS n_signals FROM roots r LEFT JOIN facts f ON r.root = f.address LEFT JOIN ends e ON r.root = e.root LEFT JOIN signals g ON r.root = g.address)",
+    f"decided AS (SELECT *, {_ACTION} AS action FROM (SELECT *, {_RULE} AS rule FROM screens))",
+)
+_VARIANTS = (
+    f"names AS (SELECT address, unnest(list_filter([{', '.join(f"CASE WHEN {c} THEN '{c}' END" for c in risk.SIGNALS)}], lambda x: x IS NOT NULL)) AS what FROM signals)",
+    "variants AS (SELECT DISTINCT address, 'source' AS kind, unnest(sources) AS what FROM ex UNION ALL SELECT address, 'signal', what FROM names WHERE address IN (SELECT root FROM roots))",
+    f"vfacts AS (SELECT v.address, v.kind, v.what, {_FACTS} FROM variants v JOIN ex e ON e.address = v.address WHERE NOT (v.kind = 'source' AND len(e.sources) = 1 AND e.sources[1] = v.what) GROUP BY 1, 2, 3)",
+    f"vscreens AS (SELECT v.address, v.kind, v.what, {_NO_FACTS.replace('coalesce(', 'coalesce(f.')}, s.complete, s.n_signals - (v.kind = 'signal')::INT AS n_signals FROM variants v JOIN screens s ON s.address = v.address LEFT JOIN vfacts f ON f.address = v.address AND f.kind = v.kind AND f.what = v.what)",
+    f"vdecided AS (SELECT *, {_ACTION} AS action FROM (SELECT *, {_RULE} AS rule FROM vscreens))",
 )
 
 
@@ -463,17 +476,29 @@ def _screens(spark: SparkSession, d: str) -> DataFrame:
     """A screen of every address that took money in, in its dominant asset."""
     ledger = views.ledger(spark, d)
     edges_in = store.edges(ledger, "in")
-    return risk.screen(edges_in, views.claims(spark, d), risk.dominant_assets(edges_in), risk.shape_signals(ledger), views.expanded(spark, d), service_degree=SERVICE)
+    roles = views.table(spark, d, "customer").where("c_custkey % 25 = 0").select(F.lit(views.CHAIN).alias("chain"), F.concat(F.lit("u"), "c_custkey").alias("address"), F.lit("attacker").alias("role"))
+    return risk.screen(edges_in, views.claims(spark, d), risk.dominant_assets(edges_in), risk.shape_signals(ledger), views.expanded(spark, d), service_degree=SERVICE, roles=roles)
 
 
-@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, *_SCREENED) + "SELECT address, rule, CASE WHEN action = 'allow' AND NOT complete THEN 'hold' WHEN action = 'reject' AND n_exposures = 0 THEN 'escalate' ELSE action END AS action FROM decided")
+@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, *_SCREENED) + "SELECT 'eip155:1' AS chain, address, rule, action FROM decided")
 def r01_decisions(spark: SparkSession, d: str) -> DataFrame:
     return risk.decide(_screens(spark, d))
 
 
-@_query(_with(views.LEDGER, _PROBES.replace("FROM hub", "FROM ledger"), *_SIGNALS) + "SELECT * FROM signals")
+@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, *_SCREENED) + "SELECT root AS address, node, stopped FROM reached WHERE category IS NULL AND stopped IS NOT NULL")
+def r01_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return _screens(spark, d).select("address", F.explode("gaps").alias("g")).select("address", "g.node", "g.stopped")
+
+
+@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, *_SCREENED) + "SELECT address, node, hop, round(share, 9) AS share, category, confidence, role, array_to_string(list_sort(sources), ',') AS sources FROM (SELECT root AS address, node, hop, share, category, confidence, role, sources FROM reached WHERE category IS NOT NULL)")
+def r01_exposures(spark: SparkSession, d: str) -> DataFrame:
+    return _screens(spark, d).select("address", F.explode("exposures").alias("x")).select("address", "x.node", "x.hop", F.round("x.share", 9).alias("share"), "x.category", "x.confidence", "x.role", F.concat_ws(",", "x.sources").alias("sources"))
+
+
+@_query(_with(views.LEDGER, _PROBES.replace("FROM hub", "FROM ledger"), *(x.replace("false AS impersonation", "address IN (SELECT sender FROM ledger WHERE asset = 'error' AND block % 50 = 0 UNION SELECT recipient FROM ledger WHERE asset = 'error' AND block % 50 = 0) AS impersonation") for x in _SIGNALS)) + "SELECT 'eip155:1' AS chain, * FROM signals")
 def r02_shape_signals(spark: SparkSession, d: str) -> DataFrame:
-    return risk.shape_signals(views.ledger(spark, d))
+    rows = views.ledger(spark, d).withColumn("asset", F.when(F.expr("asset = 'error' and block % 50 = 0"), "forged").otherwise(F.col("asset")))
+    return risk.shape_signals(rows, rows.where("asset = 'forged'").select("chain", "asset")).drop("signals")
 
 
 # --- operators of a case: graph aggregates, holders, tokens, peel chains, imports
@@ -565,14 +590,14 @@ def _case_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NODES = """n AS (SELECT address, label, CASE source WHEN 'crm' THEN category END AS category, confidence, false AS expanded FROM claims UNION ALL SELECT address, NULL, NULL, 0, true FROM expanded),
-nl AS (SELECT address, label, confidence AS c, count(*) OVER (PARTITION BY address, confidence) AS ties, row_number() OVER (PARTITION BY address ORDER BY confidence DESC) AS r FROM n WHERE label IS NOT NULL),
-nc AS (SELECT address, category, confidence AS c, row_number() OVER (PARTITION BY address ORDER BY confidence DESC) AS r FROM n WHERE category IS NOT NULL),
+nl AS (SELECT address, label, confidence AS c, count(*) OVER (PARTITION BY address, confidence) AS ties, row_number() OVER (PARTITION BY address ORDER BY confidence DESC, label) AS r FROM n WHERE label IS NOT NULL),
+nc AS (SELECT address, category, confidence AS c, row_number() OVER (PARTITION BY address ORDER BY confidence DESC, category) AS r FROM n WHERE category IS NOT NULL),
 nodes AS (SELECT a.address, nl.label, nc.category, coalesce(least(nl.c, nc.c), nl.c, nc.c) AS confidence, a.expanded, coalesce(nl.ties, 0) AS ties FROM (SELECT address, bool_or(expanded) AS expanded FROM n GROUP BY 1) a LEFT JOIN nl ON a.address = nl.address AND nl.r = 1 LEFT JOIN nc ON a.address = nc.address AND nc.r = 1)"""
 
 
-@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, _NODES) + "SELECT address, category, CAST(confidence AS INTEGER) AS confidence, expanded FROM nodes")
+@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, _NODES) + "SELECT address, label, category, CAST(confidence AS INTEGER) AS confidence, expanded FROM nodes")
 def a12_merged_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _case_nodes(spark, d).select("address", "category", "confidence", "expanded")
+    return _case_nodes(spark, d).select("address", "label", "category", "confidence", "expanded")
 
 
 @_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, _NODES, _CASE) + "SELECT count(*) AS nodes, count(*) FILTER (WHERE NOT expanded) AS frontier, count(*) FILTER (WHERE label IS NULL) AS unlabelled, count(*) FILTER (WHERE label IS NOT NULL AND confidence >= 3) AS high_confidence, count(*) FILTER (WHERE category = 'sanctioned') AS sanctioned, (SELECT count(*) FROM case_edges) AS edges FROM nodes")
@@ -668,12 +693,12 @@ def prd01_value_movements(spark: SparkSession, d: str) -> DataFrame:
     return logs.value_movements(txs, rows.where("kind = 'token'")).select("tx_hash", "amount_raw")
 
 
-@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, *_SCREENED) + "SELECT address, complete, n_exposures = 0 AND n_signals > 0 AS unattributed, complete AND n_exposures = 0 AND n_signals = 0 AS clean, round(least(1.0::DOUBLE, total), 6) AS total_share FROM screens")
+@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, *_SCREENED) + "SELECT 'eip155:1' AS chain, address, complete, n_exposures = 0 AND n_signals > 0 AS unattributed, complete AND n_exposures = 0 AND n_signals = 0 AS clean, round(least(1.0::DOUBLE, total), 6) AS total_share FROM screens")
 def r03_screen_properties(spark: SparkSession, d: str) -> DataFrame:
     return risk.properties(_screens(spark, d)).withColumn("total_share", F.round("total_share", 6))
 
 
-@_query()
+@_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, *_SCREENED, *_VARIANTS) + "SELECT 'eip155:1' AS chain, v.address, v.kind, v.what AS without, d.action AS was, v.action AS becomes FROM vdecided v JOIN decided d ON v.address = d.address WHERE v.action <> d.action")
 def r04_counterfactuals(spark: SparkSession, d: str) -> DataFrame:
     return risk.counterfactuals(_screens(spark, d))
 

@@ -25,10 +25,10 @@ def merged_nodes(nodes: DataFrame) -> DataFrame:
     result is as sure as the least sure row that gave a field; a node is expanded if any row is."""
 
     def pick(field: str) -> Column:
-        return F.max_by(F.struct(F.col(field).alias("v"), F.col("confidence").alias("c")), F.when(F.col(field).isNotNull(), F.struct("confidence", (-F.hash(field).cast("long")).alias("h"), field)))
+        return F.min(F.when(F.col(field).isNotNull(), F.struct((-F.coalesce("confidence", F.lit(-1))).alias("s"), F.col(field).alias("v"))))
 
     got = nodes.groupBy("address").agg(pick("label").alias("l"), pick("category").alias("k"), F.bool_or("expanded").alias("expanded"))
-    sure = F.least(F.col("l.c"), F.col("k.c"))
+    sure = F.nullif(-F.greatest("l.s", "k.s"), F.lit(-1))
     return got.select("address", F.col("l.v").alias("label"), F.col("k.v").alias("category"), sure.alias("confidence"), "expanded")
 
 

@@ -47,12 +47,13 @@ def by_address(claims: DataFrame, address: str) -> DataFrame:
 
 
 def labelled_transfers(ledger: DataFrame, claims: DataFrame) -> DataFrame:
-    """Transfers with the best label of their recipient among claims that apply to the chain."""
-    best = claims.groupBy("address", "chain").agg(F.max(F.struct("confidence", "source", "label", "category")).alias("c"))
-    rows = ledger.join(best.withColumnsRenamed({"address": "recipient", "chain": "claim_chain"}), "recipient", "left")
-    rows = rows.where(F.col("c").isNull() | applies(F.col("claim_chain"), F.col("chain")))
-    keep = [c for c in ledger.columns if c != "c"]
-    return rows.groupBy(*keep).agg(F.max("c").alias("c")).select("chain", "tx_hash", "recipient", F.col("c.label").alias("label"), F.col("c.category").alias("category"), F.col("c.confidence").alias("confidence"))
+    """Each transfer with the best label of its recipient among claims that apply to the chain. Claims are ranked before
+    the joins, so equal transfers stay as many as they are."""
+    best = F.max(F.struct("confidence", "source", "label", "category"))
+    here = claims.where("chain is not null").groupBy(F.col("address").alias("recipient"), "chain").agg(best.alias("_here"))
+    anywhere = claims.where("chain is null").groupBy(F.col("address").alias("recipient")).agg(best.alias("_any"))
+    rows = ledger.join(here, ["recipient", "chain"], "left").join(anywhere, "recipient", "left").withColumn("_c", F.greatest("_here", "_any"))
+    return rows.select("chain", "tx_hash", "recipient", F.col("_c.label").alias("label"), F.col("_c.category").alias("category"), F.col("_c.confidence").alias("confidence"))
 
 
 def resolved(addresses: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The guard refuses anything but one query. One scan takes literals, comments and quoted names out together, so that none of
 them can hide another; what is left must be one statement that starts with a reading word, without writing phrases, file
-formats as schemas or functions that reach into the JVM. `sql` then has Spark parse it and refuses any command in the
-plan, and queries on files by path are switched off while it is analysed.
+formats as schemas or functions that reach into the JVM. `sql` then has Spark parse it and walks the plan and its
+expressions: only nodes that read, built-in functions that stay in the engine and relations of known databases may run.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 #: Fixed: words that may start a statement, phrases that change something, and functions that leave the engine.
 LEADS = ("select", "with", "from", "values", "show", "describe", "explain")
 WRITES = r"\b(insert\s+(into|overwrite)|merge\s+into|delete\s+from|drop\s+(table|view|database|schema|function)|create\s+(or\s+replace|table|view|temporary|external|database|schema|function)|alter\s+(table|view|database|schema)|truncate\s+table|copy\s+into|load\s+data|cache\s+table|refresh\s+table)\b"
-REACHING = r"\b(reflect|java_method|try_reflect|read_files)\s*\("
+REACHING_NAMES = ("reflect", "java_method", "try_reflect", "read_files")
+REACHING = rf"\b({'|'.join(REACHING_NAMES)})\s*\("
 FORMATS = r"\b(parquet|csv|json|orc|text|avro|xml|binaryfile|delta|iceberg|hudi)\s*\.\s*q?`"
 
 
@@ -46,9 +47,10 @@ def _bare(query: str) -> str:
                 raise RefusedSql("a comment isn't closed")
             out.append(" ")
         elif c in "'\"`":
+            raw = c != "`" and query[max(0, i - 1) : i].lower() == "r" and not re.match(r"[\w`]", query[max(0, i - 2) : i - 1])
             i += 1
-            while i < n and query[i] != c:
-                i += 2 if query[i] == "\\" and c != "`" else 1
+            while i < n and query[i] != c:  # in a raw literal a backslash is a backslash
+                i += 2 if query[i] == "\\" and c != "`" and not raw else 1
             if i >= n:
                 raise RefusedSql("a literal or name isn't closed")
             i += 1  # a doubled quote starts the next literal at once
@@ -75,18 +77,46 @@ def guard(query: str) -> str:
     return query.rstrip().rstrip(";")
 
 
-def _commands(spark: SparkSession, query: str) -> list[str]:
-    """Names of the nodes in the parsed statement that do something other than read."""
+def _refused(spark: SparkSession, query: str) -> list[str]:
+    """What the parsed statement holds that may not run: nodes that do something other than read, functions that aren't
+    built in or that reach into the JVM, files read by path, and an alias that stands where another engine has a join."""
     jvm = spark._jvm
     loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
-    kinds = [loader.loadClass(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
-    todo, found = [spark._jsparkSession.sessionState().sqlParser().parsePlan(query)], []
-    while todo:
-        node = todo.pop()
-        if any(k.isInstance(node) for k in kinds):
+    kind = lambda name: loader.loadClass(f"org.apache.spark.sql.catalyst.{name}")
+    writes = [kind(f"plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+    function, relation, alias = kind("analysis.UnresolvedFunction"), kind("analysis.UnresolvedRelation"), kind("plans.logical.SubqueryAlias")
+    table_function = kind("analysis.UnresolvedTableValuedFunction")
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    plans, found = [spark._jsparkSession.sessionState().sqlParser().parsePlan(query)], []
+
+    analysis = jvm.org.apache.spark.sql.catalyst.analysis
+    registries = [analysis.FunctionRegistry.builtin(), analysis.TableFunctionRegistry.builtin()]
+
+    def name_of(parts: list[str]) -> None:
+        name = jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(parts[0].lower())
+        if len(parts) > 1 or parts[0].lower() in REACHING_NAMES or not any(r.functionExists(name) for r in registries):
+            found.append(f"function {'.'.join(parts)}")
+
+    while plans:
+        node = plans.pop()
+        if any(k.isInstance(node) for k in writes):
             found.append(node.nodeName())
+        if alias.isInstance(node) and node.alias().lower() == "asof":
+            found.append("asof")
+        if table_function.isInstance(node):
+            name_of(each(node.name()))
+        if relation.isInstance(node):
+            parts = each(node.multipartIdentifier())
+            if len(parts) > 1 and not spark.catalog.databaseExists(parts[0]):
+                found.append(f"files of {parts[0]}")
+        todo = each(node.expressions())
+        while todo:
+            e = todo.pop()
+            if function.isInstance(e):
+                name_of(each(e.nameParts()))
+            todo += each(e.children())
         for inner in (node.children(), node.innerChildren()):
-            todo += [x for x in (inner.apply(i) for i in range(inner.size())) if hasattr(x, "innerChildren")]
+            plans += [x for x in each(inner) if hasattr(x, "innerChildren")]
     return found
 
 
@@ -98,16 +128,10 @@ def register(views: dict[str, DataFrame]) -> None:
 def sql(spark: SparkSession, query: str, args: dict | None = None) -> DataFrame:
     text = guard(query)
     if not re.match(r"[\s(]*(show|describe|explain)\b", _bare(text).lower()):
-        bad = _commands(spark, text)
+        bad = _refused(spark, text)
         if bad:
             raise RefusedSql(f"refused: {', '.join(bad)}")
-    key = "spark.sql.runSQLOnFiles"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        return spark.sql(text, args=args or {})
-    finally:
-        spark.conf.set(key, before)
+    return spark.sql(text, args=args or {})
 
 
 def sql_limited(spark: SparkSession, query: str, limit: int, args: dict | None = None) -> tuple[list, bool]:

@@ -178,14 +178,37 @@ def test_screen_starts_at_hop_zero_and_names_gaps(spark):
     rows = ledger(spark, [("bad", "s", 10, 1), ("far", "bad", 10, 2), ("ex", "t", 7, 3), ("who", "u", 5, 4)])
     claims = spark.createDataFrame([("bad", None, "L", "sanctioned", 4, "x", 1), ("ex", None, "E", "cex", 4, "x", 1)], "address string, chain string, label string, category string, confidence int, source string, observed_at long")
     edges = store.edges(rows, "in")
-    subjects = spark.createDataFrame([("s", "X"), ("t", "X"), ("u", "X"), ("v", "X")], "address string, asset string")
-    followed = spark.createDataFrame([("bad",), ("far",), ("ex",)], "address string")
+    chain = rows.first().chain
+    subjects = spark.createDataFrame([(chain, a, "X") for a in "stuv"], "chain string, address string, asset string")
+    followed = spark.createDataFrame([(chain, a) for a in ("bad", "far", "ex")], "chain string, address string")
     screens = risk.screen(edges, claims, subjects, expanded=followed)
     got = {r.address: ([(x.node, x.hop) for x in r.exposures], r.complete) for r in screens.collect()}
     assert got == {"s": ([("bad", 0)], True), "t": ([("ex", 0)], True), "u": ([], False), "v": ([], True)}
     assert {r.address: r.action for r in risk.decide(screens).collect()} == {"s": "reject", "t": "allow", "u": "hold", "v": "hold"}
-    drops = {(r.address, r.without): (r.was, r.becomes) for r in risk.counterfactuals(screens).collect()}
-    assert drops[("s", "sanctioned")] == ("reject", "hold") and drops[("t", "cex")] == ("allow", "hold")
+    assert {r.address: [(g.node, g.stopped) for g in r.gaps] for r in screens.where("size(gaps) > 0").collect()} == {"u": [("who", "unreachable")]}
+    drops = {(r.address, r.kind, r.without): (r.was, r.becomes) for r in risk.counterfactuals(screens).collect()}
+    assert drops == {("s", "source", "x"): ("reject", "hold"), ("t", "source", "x"): ("allow", "hold")}
+
+
+def test_chains_do_not_mix_in_a_screen(spark):
+    """One address on two chains: the other chain's history and claims say nothing; a claim without a chain holds on both."""
+    rows = ledger(spark, [("bad", "s", 10, 1)]).unionByName(ledger(spark, [("good", "s", 10, 2), ("mix", "s", 10, 3)]).withColumn("chain", F.lit("other:1")))
+    here = rows.first().chain
+    schema = "address string, chain string, label string, category string, confidence int, source string, observed_at long"
+    claims = spark.createDataFrame([("bad", here, "L", "sanctioned", 4, "x", 1), ("good", here, "G", "scam", 4, "x", 1), ("mix", None, "M", "mixer", 4, "y", 1), ("mix", "other:1", "M2", "mixer", 3, "z", 1)], schema)
+    subjects = spark.createDataFrame([(here, "s", "X"), ("other:1", "s", "X")], "chain string, address string, asset string")
+    got = {r.chain: [(x.node, x.category, x.sources) for x in r.exposures] for r in risk.screen(store.edges(rows, "in"), claims, subjects).collect()}
+    assert got == {here: [("bad", "sanctioned", ["x"])], "other:1": [("mix", "mixer", ["y", "z"])]}
+    signals = {r.chain: r.n for r in risk.shape_signals(rows).where("address = 's'").collect()}
+    assert signals == {here: 1, "other:1": 2}
+
+
+def test_a_source_counts_only_where_it_stands_alone(spark):
+    schema = "chain string, address string, exposures " + f"array<{risk.EXPOSURE}>, signals array<string>, complete boolean, n_signals int"
+    one = lambda category, *sources: ("n", 0, 1.0, category, 4, None, list(sources))
+    rows = [("c", "both", [one("sanctioned", "a", "b")], [], True, 0), ("c", "alone", [one("sanctioned", "a"), one("mixer", "b")], [], True, 0), ("c", "shape", [], ["probing"], True, 1), ("c", "shapes", [], ["probing", "fresh_address"], True, 2)]
+    got = {(r.address, r.kind, r.without, r.was, r.becomes) for r in risk.counterfactuals(spark.createDataFrame(rows, schema), default="allow").collect()}
+    assert got == {("alone", "source", "a", "reject", "enhanced_kyc"), ("shape", "signal", "probing", "hold", "allow")}
 
 
 def test_a_node_counts_at_its_first_reach(spark):
@@ -196,7 +219,7 @@ def test_a_node_counts_at_its_first_reach(spark):
 
 @pytest.mark.parametrize("bad", [
     "DELETE FROM t", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SELECT * FROM parquet.`/x`", "SELECT 'a", "WITH x AS (SELECT 1) -- '\n INSERT INTO t SELECT * FROM x -- '",
-    "SELECT 1 -- '\n UNION ALL SELECT * FROM parquet.`/x` -- '", "SELECT * FROM delta.`/x`", "SELECT /* ' */ 1 FROM json.`/x` /* ' */", "SELECT 1 /* open", "SELECT reflect('java.lang.System', 'exit', 0)", "SET a = b", "FROM t INSERT OVERWRITE u SELECT *",
+    "SELECT 1 -- '\n UNION ALL SELECT * FROM parquet.`/x` -- '", "SELECT * FROM delta.`/x`", "SELECT /* ' */ 1 FROM json.`/x` /* ' */", "SELECT 1 /* open", "SELECT reflect('java.lang.System', 'exit', 0)", "SET a = b", "FROM t INSERT OVERWRITE u SELECT *", r"SELECT r'\' AS a UNION ALL SELECT java_method('java.lang.System', 'getProperty', 'user.home') -- '",
 ])
 def test_guard_refuses(bad):
     with pytest.raises(sql_surface.RefusedSql):
@@ -211,6 +234,9 @@ def test_guard_allows(good):
 def test_sql_runs_and_refuses_what_spark_parses_as_a_command(spark, tmp_path):
     spark.range(3).createOrReplaceTempView("numbers")
     assert sql_surface.sql(spark, "SELECT sum(id) AS s FROM numbers WHERE id IN (SELECT id FROM numbers WHERE id > 0)").first().s == 3
+    for bad in ("SELECT * FROM numbers ASOF JOIN numbers b ON numbers.id = b.id", "SELECT `reflect`('java.lang.System', 'currentTimeMillis')", "SELECT 1 WHERE EXISTS (SELECT `java_method`('java.lang.System', 'gc'))", "SELECT * FROM text . `x`"):
+        with pytest.raises(sql_surface.RefusedSql):
+            sql_surface.sql(spark, bad)
     assert sql_surface.sql_limited(spark, "SELECT id FROM numbers ORDER BY id", 2) == ([(0,), (1,)], True)
     spark.range(2).write.parquet(str(tmp_path / "files"))
     for bad in (f"SELECT * FROM parquet . `{tmp_path}/files`", f"SELECT * FROM `parquet`.`{tmp_path}/files`", "FROM numbers INSERT INTO other SELECT id"):
