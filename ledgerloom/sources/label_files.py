@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.labels import COLUMNS
+
 BAD = "_malformed"
 
 
@@ -31,10 +33,12 @@ def from_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    """(m: map, raw) as columns: the keys that occur, which a label list has few of."""
-    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("m"))).distinct().limit(1000).collect())
+    """(m: map, raw) as columns: the fields that `labels.coerced` knows by any of their headers, whatever else there is."""
+    names = sorted({n for known in COLUMNS.values() for n in known})
+    entries = F.map_entries("m")
+    value = lambda n: F.try_element_at(F.filter(entries, lambda e: F.lower(F.trim(e["key"])) == n), F.lit(1))["value"]
     bad = F.when(F.col("m").isNull() | (F.size("m") == 0), F.col("raw")).alias(BAD)
-    return rows.select(*[F.col("m")[n].alias(n) for n in names], bad)
+    return rows.select(*[value(n).alias(n) for n in names], bad)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
