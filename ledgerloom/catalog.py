@@ -11,6 +11,7 @@ from .functions import scalar
 from .operators import asof, case_graph, clusters, folds, graph, holders, labels, lots, peel, risk, sequences, store, tokens
 from .plans import sql_surface, views
 from .sources import logs
+from .streaming import watches
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -297,7 +298,7 @@ _PROBES = _RUNS.replace("FROM hub WINDOW", "FROM keyed WINDOW") + """,
 heads AS (SELECT sender, recipient, asset, decimals, symbol, max(amount_raw) FILTER (WHERE pos = 1) AS opening, max(amount_raw) FILTER (WHERE pos > 1) AS later FROM marked GROUP BY ALL),
 kinds AS (SELECT b.*, opening, later, CASE WHEN steps >= 5 AND high >= low * 8 THEN 'escalation' WHEN later >= opening * 100 THEN 'test_then_commit' END AS kind
   FROM best b JOIN heads h ON b.sender = h.sender AND b.recipient = h.recipient AND b.asset IS NOT DISTINCT FROM h.asset AND b.symbol = h.symbol AND b.decimals = h.decimals),
-probes AS (SELECT sender, recipient, asset, symbol, kind, CASE kind WHEN 'escalation' THEN steps ELSE 2 END AS steps, CASE kind WHEN 'escalation' THEN low ELSE opening END AS from_raw, CASE kind WHEN 'escalation' THEN high ELSE later END AS to_raw FROM kinds WHERE kind IS NOT NULL)"""
+probes AS (SELECT *, CASE WHEN steps >= 5 OR to_raw >= from_raw * 100 THEN 2 ELSE 1 END AS confidence FROM (SELECT sender, recipient, asset, symbol, kind, CASE kind WHEN 'escalation' THEN steps ELSE 2 END AS steps, CASE kind WHEN 'escalation' THEN low ELSE opening END AS from_raw, CASE kind WHEN 'escalation' THEN high ELSE later END AS to_raw FROM kinds WHERE kind IS NOT NULL))"""
 _PROBES = "keyed AS (SELECT * FROM hub WHERE sender IS NOT NULL AND recipient IS NOT NULL AND amount_raw > 0), " + _PROBES
 _CHANGE = """used AS (SELECT address, count(DISTINCT txid) AS n_seen FROM outputs GROUP BY 1),
 usual AS (SELECT txid, script AS usual FROM (SELECT txid, script, row_number() OVER (PARTITION BY txid ORDER BY count(*) DESC, script DESC) AS r FROM outputs GROUP BY 1, 2) WHERE r = 1),
@@ -814,3 +815,85 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+# --- sources and indicators over rows that Spark derives from the tables
+
+
+@_query("WITH n AS (SELECT l_orderkey AS tx, l_linenumber AS position, 's' || l_suppkey AS owner, l_returnflag AS coin, CAST(round(l_extendedprice * 100) AS BIGINT) * CASE WHEN l_linenumber % 5 = 4 THEN -1 ELSE 1 END AS amount FROM lineitem), s AS (SELECT o_orderkey AS tx, 'c' || o_custkey AS subject, 700 AS gas FROM orders), m AS (SELECT n.tx, subject, coin, -sum(amount) - CASE coin WHEN 'A' THEN gas ELSE 0 END AS amount, 100 + ascii(coin) AS first, gas FROM n JOIN s ON n.tx = s.tx GROUP BY n.tx, subject, coin, gas), d AS (SELECT *, CASE WHEN coin = 'A' AND amount < 0 THEN amount + gas ELSE amount END AS net FROM m), o AS (SELECT n.tx, subject, n.coin, owner, first, net, min({'p': position, 'a': abs(n.amount)}) AS c FROM n JOIN d ON n.tx = d.tx AND n.coin = d.coin WHERE net <> 0 AND n.amount <> 0 AND (n.amount > 0) = (net < 0) GROUP BY ALL) SELECT tx, CAST(row_number() OVER (PARTITION BY tx ORDER BY first, c.p, c.a, owner) - 1 AS INTEGER) AS index, CASE WHEN net < 0 THEN subject ELSE owner END AS sender, CASE WHEN net < 0 THEN owner ELSE subject END AS recipient, c.a AS amount_raw, CASE WHEN coin <> 'A' THEN coin END AS asset, CASE WHEN coin = 'A' THEN 'native' ELSE 'token' END AS kind FROM o")
+def src22_paired_changes(spark: SparkSession, d: str) -> DataFrame:
+    items, orders = views.table(spark, d, "lineitem"), views.table(spark, d, "orders")
+    sign = F.when(F.col("l_linenumber") % 5 == 4, -1).otherwise(1)
+    given = items.select(F.col("l_orderkey").alias("tx"), F.col("l_linenumber").cast("long").alias("position"), F.concat(F.lit("s"), "l_suppkey").alias("owner"), F.col("l_returnflag").alias("coin"), (F.round(F.col("l_extendedprice") * 100).cast("long") * sign).alias("amount"))
+    subjects = orders.select(F.col("o_orderkey").alias("tx"), F.concat(F.lit("c"), "o_custkey").alias("subject"), F.lit(700).cast("long").alias("gas"))
+    gas = F.when(F.col("coin") == "A", F.col("gas")).otherwise(F.lit(0))
+    own = given.join(subjects, "tx").groupBy("tx", "subject", "coin", "gas").agg(F.sum("amount").alias("sum")).select("tx", (100 + F.ascii("coin")).cast("long").alias("position"), F.col("subject").alias("owner"), "coin", (-F.col("sum") - gas).alias("amount"))
+    return logs.paired_changes(given.unionByName(own), subjects, "A")
+
+
+@_query(_with(views.LEDGER, views.CLAIMS, "u AS (SELECT *, chain || '|' || coalesce(asset, '') || '|' || symbol || '|' || decimals AS unit FROM ledger)") + f"SELECT CASE GROUPING_ID(unit, chain) WHEN 1 THEN 'asset' WHEN 2 THEN 'chain' ELSE 'ledger' END AS panel, coalesce(unit, chain, '') AS key, count(*) AS n, CASE WHEN GROUPING_ID(unit, chain) = 1 THEN {_SUM} END AS total_raw, min(ts) AS first_ts, max(ts) AS last_ts FROM u GROUP BY GROUPING SETS ((unit), (chain), ()) UNION ALL SELECT 'category', category, count(*), NULL, NULL, NULL FROM claims GROUP BY 2 UNION ALL SELECT 'source', source, count(*), NULL, NULL, NULL FROM claims GROUP BY 2 UNION ALL SELECT 'low confidence', '', count(*), NULL, NULL, NULL FROM claims WHERE confidence <= 1 UNION ALL SELECT 'claims', '', count(*), NULL, NULL, NULL FROM claims")
+def a07_panels(spark: SparkSession, d: str) -> DataFrame:
+    return store.panels(views.ledger(spark, d), views.claims(spark, d))
+
+
+_HOST = "'10.' || (user_id % 300) || '.0.' || (event_id % 256)"
+
+
+@_query(f"SELECT DISTINCT event_id, kind, value FROM (SELECT event_id, 'ipv4' AS kind, {_HOST} AS value FROM events WHERE user_id % 300 <= 255 UNION ALL SELECT event_id, 'ipv4', '192.168.1.' || (event_id % 99) FROM events WHERE event_id % 4 = 0 UNION ALL SELECT event_id, 'url', 'https://h' || user_id || '.example/x' FROM events UNION ALL SELECT event_id, 'port', CAST(1000 + event_id % 7 AS VARCHAR) FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, 'port', 'p' || (event_id % 5) FROM events WHERE event_id % 3 <> 0)")
+def f16_indicators(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of two kinds: a JSON document with ports and hosts at several depths, and every third one broken."""
+    e = views.table(spark, d, "events")
+    host = F.concat(F.lit("10."), F.col("user_id") % 300, F.lit(".0."), F.col("event_id") % 256)
+    deep = F.struct(F.concat(F.lit("from "), host).alias("note"), F.struct((1000 + F.col("event_id") % 7).alias("exportPort"), F.array(F.struct(F.concat(F.lit("p"), F.col("event_id") % 5).alias("PORT"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("192.168.1."), F.col("event_id") % 99)).alias("peer"))).alias("more")).alias("service"), F.concat(F.lit("https://h"), "user_id", F.lit(".example/x")).alias("at"), F.col("value").alias("weight"))
+    text = F.concat(F.to_json(deep), F.when(F.col("event_id") % 3 == 0, " and so on").otherwise(""))
+    return scalar.indicators(e.select("event_id", text.alias("text")), "text", "event_id")
+
+
+@_query("SELECT '0x' || repeat('0', 39) || (user_id % 5) AS pool, 'tx' || event_id AS tx, event_id AS block, event_id % 3 AS idx, '0x' || lpad(lower(printf('%x', user_id)), 40, 'a') AS address FROM events WHERE event_type = 'signup' AND event_id % 11 <> 0")
+def f20_withdrawals(spark: SparkSession, d: str) -> DataFrame:
+    """Raw logs, whose numbers are hexadecimal in some blocks and decimal in others; some are cut off, some of another kind."""
+    e = views.table(spark, d, "events")
+    word = F.concat(F.lit("F" * 24), F.lpad(F.upper(F.hex("user_id")), 40, "A"))
+    data = F.concat(F.lit("0x"), F.when(F.col("event_id") % 11 == 0, F.substring(word, 1, 60)).otherwise(word), F.lit("0" * 64))
+    block = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("0x"), F.lower(F.hex("event_id")))).otherwise(F.col("event_id").cast("string"))
+    data = F.when(F.col("event_id") % 11 == 0, F.substring(data, 1, 62)).otherwise(data)
+    topic = F.when(F.col("event_type") == "signup", logs.WITHDRAWAL).otherwise(logs.TRANSFER)
+    found = e.select(F.concat(F.lit("tx"), "event_id").alias("tx_hash"), (F.col("event_id") % 3).cast("string").alias("log_index"), F.concat(F.lit("0x" + "0" * 39), F.col("user_id") % 5).alias("address"), F.array(topic).alias("topics"), data.alias("data"), block.alias("block"))
+    return logs.withdrawals(found)
+
+
+@_query(_with(views.LEDGER, "t AS (SELECT address, count(*) AS txs FROM (SELECT sender AS address FROM ledger UNION ALL SELECT recipient FROM ledger) GROUP BY 1)", "m AS (SELECT a.tx_hash AS deposit, b.tx_hash AS payment, b.ts, (a.amount_raw::DOUBLE - b.amount_raw::DOUBLE) * 100.0::DOUBLE / a.amount_raw::DOUBLE AS pct, p.txs AS payer_txs, r.txs - 60 AS recipient_txs, b.block % 4 AS outputs FROM ledger a JOIN ledger b ON b.ts BETWEEN a.ts + 300 AND a.ts + 2700 AND b.amount_raw >= a.amount_raw * 0.94::DOUBLE AND b.amount_raw <= a.amount_raw JOIN t p ON b.sender = p.address JOIN t r ON b.recipient = r.address WHERE a.symbol = 'purchase' AND b.symbol = 'signup' AND a.amount_raw > 0 AND b.block % 9 <> 0)", "s AS (SELECT *, CASE WHEN payer_txs >= 10000 THEN 5.0 WHEN payer_txs BETWEEN 0 AND 3 THEN -3.0 ELSE 0.0 END + CASE WHEN recipient_txs BETWEEN 0 AND 2 THEN 3.0 ELSE 0.0 END + CASE WHEN outputs = 2 THEN 1.5 ELSE 0.0 END + CASE WHEN pct BETWEEN 0 AND 5 THEN 2.0 ELSE 0.0 END AS score FROM m)") + "SELECT deposit, payment, CAST(rank AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score, round(pct, 6) AS discount_pct FROM (SELECT *, row_number() OVER (PARTITION BY deposit ORDER BY score DESC, ts, payment) AS rank FROM s) WHERE rank <= 5")
+def j06_ranked_payouts(spark: SparkSession, d: str) -> DataFrame:
+    ledger = views.ledger(spark, d)
+    txs = store.sides(ledger).groupBy("address").agg(F.count("*").alias("txs"))
+    ins = ledger.where("symbol = 'purchase'").select(F.col("tx_hash").alias("deposit"), F.col("ts").alias("at"), F.col("amount_raw").cast("double").alias("expected"))
+    outs = ledger.where("symbol = 'signup'").join(txs.select(F.col("address").alias("sender"), F.col("txs").alias("payer_txs")), "sender").join(txs.select(F.col("address").alias("recipient"), (F.col("txs") - 60).alias("recipient_txs")), "recipient")
+    outs = outs.select(F.col("tx_hash").alias("payment"), F.col("ts").alias("paid_at"), F.col("amount_raw").cast("double").alias("paid"), "payer_txs", "recipient_txs", (F.col("block") % 4).alias("outputs"), (F.col("block") % 9 == 0).alias("is_change"))
+    return asof.ranked_payouts(ins, outs)
+
+
+@_query("WITH m AS (SELECT 'u' || (props->>'k') AS address, 'u' || user_id AS signer FROM events) SELECT address, count(*) FILTER (WHERE signer = address) AS own, count(*) FILTER (WHERE signer <> address) AS injected, coalesce(array_to_string(list_sort(list(DISTINCT signer) FILTER (WHERE signer <> address)), ','), '') AS injectors FROM m GROUP BY 1")
+def f17_memo_feeds(spark: SparkSession, d: str) -> DataFrame:
+    memos = views.ledger(spark, d).select(F.col("recipient").alias("address"), F.col("sender").alias("signer"))
+    return labels.memo_feeds(memos).withColumn("injectors", F.concat_ws(",", "injectors"))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN substr(md5(event_id::VARCHAR), 1, 8) END AS selector, CASE WHEN event_id % 3 <> 0 AND event_id % 7 <> 0 THEN round(CAST(round(value * 100) AS DOUBLE) / (event_id % 7), 9) END AS ratio, CASE event_id % 6 WHEN 0 THEN 'p2tr' WHEN 1 THEN 'p2wpkh' WHEN 2 THEN 'p2wsh' WHEN 3 THEN 'p2pkh' WHEN 4 THEN 'p2sh' END AS kind FROM events")
+def f_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Function selectors of call data, ratios of amounts of one unit, and kinds of Bitcoin addresses."""
+    e, n = views.table(spark, d, "events"), F.col("event_id")
+    digest = F.md5(n.cast("string").cast("binary"))
+    data = F.concat(F.lit("0x"), F.when(n % 10 == 0, "12").otherwise(F.upper(digest)))
+    address = F.concat(F.element_at(F.array(*map(F.lit, ("bc1p", "bc1q", "bc1q", "1", "3", "x"))), (n % 6 + 1).cast("int")), F.when(n % 6 == 1, F.concat(digest, F.lit("qqqqqq"))).otherwise(F.concat(digest, digest)))
+    ratio = scalar.amount_ratio(F.round(F.col("value") * 100), n % 7, n % 3 != 0)
+    return e.select("event_id", scalar.selector(data).alias("selector"), F.round(ratio, 9).alias("ratio"), scalar.bitcoin_kind(address).alias("kind"))
+
+
+_WATCHED = _with(views.LEDGER, "h AS (SELECT 'large' AS watch, * FROM ledger WHERE amount_raw > 20000 UNION ALL SELECT 'bought', * FROM ledger WHERE amount_raw > 5000 AND symbol = 'purchase')", "r AS (SELECT * FROM h WHERE block > CASE watch WHEN 'large' THEN 300 ELSE 0 END)", "c AS (SELECT watch, count(*) AS n FROM r GROUP BY 1)")
+
+
+@_query(_WATCHED + "SELECT watch, chain, 'event' AS kind, block, tx_hash, log_index, 1 AS n FROM r WHERE watch IN (SELECT watch FROM c WHERE n <= 900) UNION ALL SELECT watch, 'eip155:1', 'refused', (SELECT max(block) FROM ledger), NULL, NULL, n FROM c WHERE n > 900")
+def str03_runner_round(spark: SparkSession, d: str) -> DataFrame:
+    at = spark.createDataFrame([("large", views.CHAIN, 300)], "watch string, chain string, block long")
+    tests = [("large", "urgent", labels.amount_over(20000)), ("bought", "info", labels.amount_over(5000, ASSET))]
+    return watches.run_once(views.ledger(spark, d), tests, at, limit=900)[0]

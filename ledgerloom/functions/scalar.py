@@ -8,9 +8,11 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import cut
+
 
 def address_key(chain: Column, raw: Column) -> Column:
     """The join key of an address: what a chain compares addresses by. Base58 chains keep their case."""
@@ -87,6 +89,29 @@ def urls(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(https?://[^\s\"'<>]+)"), 1))
 
 
+def indicators(rows: DataFrame, text: str, key: str, depth: int = 32) -> DataFrame:
+    """(key, kind, value): distinct IPv4 addresses, URLs and ports of each row's text. JSON texts are also read as a
+    structure, level by level to any depth up to `depth`: what stands under a name that contains `port` is a port, and
+    strings are searched for addresses. Other texts have no ports."""
+    spark = rows.sparkSession
+    plain = rows.select(key, F.explode(F.concat(F.transform(ipv4(F.col(text)), lambda x: F.struct(F.lit("ipv4").alias("kind"), x.alias("value"))), F.transform(urls(F.col(text)), lambda x: F.struct(F.lit("url").alias("kind"), x.alias("value"))))).alias("i")).select(key, "i.*")
+    # in brackets, as a parser takes what stands behind a document for no fault: one document is a list of one
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    level = rows.select(key, alone.alias("a"), F.lit("").alias("name")).where("size(a) = 1").select(key, F.col("a")[0].alias("v"), "name")
+    out = plain
+    for _ in range(depth):
+        inner = level.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("_pos", "_key", "_value"))
+        level = cut(inner.select(key, F.col("_value").alias("v"), F.coalesce("_key", "name").alias("name")), "json-level")
+        if level.isEmpty():
+            break
+        leaves = level.where(~F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")).select(key, "name", F.schema_of_variant("v").alias("type"), F.try_variant_get("v", "$", "string").alias("s"))
+        port = F.lower("name").contains("port") & F.col("type").isin("BIGINT", "STRING")
+        out = out.unionByName(leaves.where(port).select(key, F.lit("port").alias("kind"), F.col("s").alias("value")))
+        found = leaves.where(~port & (F.col("type") == "STRING")).select(key, F.explode(ipv4(F.col("s"))).alias("value"))
+        out = out.unionByName(found.select(key, F.lit("ipv4").alias("kind"), "value"))
+    return out.distinct()
+
+
 def qualified(label: Column, confidence: Column) -> Column:
     word = F.when(confidence >= 3, "").when(confidence == 2, "probably ").when(confidence == 1, "possibly ").otherwise("speculatively ")
     return F.concat(word, label)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import WIDTH, carried, carried_back
@@ -92,3 +92,20 @@ def payout_score(payer_txs: Column, recipient_txs: Column, outputs: Column, disc
     """Evidence for one payment, by fixed weights."""
     one = F.when(payer_txs >= 10000, 5.0).when(payer_txs.between(0, 3), -3.0).otherwise(0.0)
     return one + F.when(recipient_txs.between(0, 2), 3.0).otherwise(0.0) + F.when(outputs == 2, 1.5).otherwise(0.0) + F.when(discount_pct.between(0, 5), 2.0).otherwise(0.0)
+
+
+def calibrated_band(cases: DataFrame, tolerance: float = 0.5) -> tuple[float, float]:
+    """The band of discounts, in percent, to search for a service's payouts: its mean over known cases (expected, paid),
+    which are one row here, and a tolerance on both sides."""
+    mean = cases.where("expected <> 0").agg(F.avg((F.col("expected") - F.col("paid")) * 100.0 / F.col("expected"))).first()[0]
+    return (0.0, 6.0) if mean is None else (mean - tolerance, mean + tolerance)
+
+
+def ranked_payouts(deposits: DataFrame, payments: DataFrame, top: int = 5, **band: tuple) -> DataFrame:
+    """The best payouts of each deposit, by evidence. payments also have payer_txs, recipient_txs (null: unknown), outputs
+    and is_change: what is change pays nobody. Equal evidence: the earlier payment, then its name."""
+    found = payouts(deposits, payments.where("not is_change"), **band)
+    pct = (F.col("expected") - F.col("paid")) * 100.0 / F.col("expected")
+    found = found.withColumns({"discount_pct": pct, "score": payout_score(F.col("payer_txs"), F.col("recipient_txs"), F.col("outputs"), pct)})
+    order = Window.partitionBy("deposit").orderBy(F.desc("score"), "paid_at", "payment")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("deposit", "payment", "rank", "score", F.round("discount_pct", 6).alias("discount_pct"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import stamped
+
 HIGH = 3
 #: Fixed vocabularies: spellings in imported files and what they mean, and the headers that name each field.
 CATEGORY_ALIASES = {
@@ -106,7 +108,7 @@ def coerced(rows: DataFrame, source: str, default_confidence: int = 2, default_m
         F.when(field("address").isNull(), "no address").when(field("label").isNull(), "no label").when(sure.isNull() | ~sure.between(0, 4), "bad confidence")
         .when(method.isNull(), "bad method").when(when.isNotNull() & moment.isNull(), "bad date").when(place.isNotNull() & ~place.rlike(CHAIN_ID), "bad chain")
     )
-    lowered = F.least(sure, F.lit(most_confidence)).cast("int")
+    lowered = stamped(sure, most_confidence).cast("int")
     return rows.select(
         field("address").alias("address"), field("label").alias("label"), place.alias("chain"), F.coalesce(_mapped(field("category"), CATEGORY_ALIASES), F.lit("unknown")).alias("category"),
         lowered.alias("confidence"), method.alias("method"), field("rationale").alias("rationale"), moment.alias("observed_at"), F.lit(source).alias("source"), problem.alias("problem"), *keep,
@@ -193,3 +195,10 @@ def evaluate(ledger: DataFrame, watches: list[tuple[str, str, Column]], since: i
     fired = F.filter(F.array(*[F.when(test, F.struct(F.lit(name).alias("watch"), F.lit(sev).alias("severity"), F.lit(order[sev]).alias("o"))) for name, sev, test in watches]), lambda x: x.isNotNull())
     rows = ledger.where((F.col("block") > since) & (F.col("block") <= until)).withColumn("e", F.explode(fired))
     return rows.select("e.watch", "e.severity", "block", "tx_hash", "log_index", "amount_raw").orderBy(F.col("e.o"), "block", "tx_hash", "watch")
+
+
+def memo_feeds(memos: DataFrame) -> DataFrame:
+    """Memos (address, signer, ...) of each address's history by who wrote them: its own, those that others signed and put
+    there, and who these are. Signers are compared exactly: some chains' addresses differ by case alone."""
+    own = F.col("signer") == F.col("address")
+    return memos.groupBy("address").agg(F.count_if(own).alias("own"), F.count_if(~F.coalesce(own, F.lit(False))).alias("injected"), F.array_sort(F.collect_set(F.when(~own, F.col("signer")))).alias("injectors"))

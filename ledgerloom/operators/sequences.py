@@ -34,7 +34,11 @@ def probes(rows: DataFrame, min_steps: int = 5, min_growth: int = 8, min_ratio:
     rises = (F.col("steps") >= min_steps) & (F.col("high") >= F.col("low") * min_growth)
     tests = F.col("later") >= F.col("opening") * min_ratio
     got = got.withColumn("kind", F.when(rises, "escalation").when(tests, "test_then_commit")).where("kind is not null")
-    return got.select("sender", "recipient", "asset", "symbol", "kind", F.when(F.col("kind") == "escalation", F.col("steps")).otherwise(F.lit(2)).cast("long").alias("steps"), F.when(F.col("kind") == "escalation", F.col("low")).otherwise(F.col("opening")).alias("from_raw"), F.when(F.col("kind") == "escalation", F.col("high")).otherwise(F.col("later")).alias("to_raw"))
+    got = got.select("sender", "recipient", "asset", "symbol", "kind", F.when(F.col("kind") == "escalation", F.col("steps")).otherwise(F.lit(2)).cast("long").alias("steps"), F.when(F.col("kind") == "escalation", F.col("low")).otherwise(F.col("opening")).alias("from_raw"), F.when(F.col("kind") == "escalation", F.col("high")).otherwise(F.col("later")).alias("to_raw"))
+    # a shape is medium evidence at most: where chance (1 in steps factorial) hardly makes it, or it reaches far
+    long = (F.col("kind") == "escalation") & (F.col("steps") >= min_steps + 2)
+    far = F.col("to_raw") >= F.col("from_raw") * min_ratio
+    return got.withColumn("confidence", F.when(long | (F.col("steps") >= 5) | far, 2).otherwise(1))
 
 
 def trail(ledger: DataFrame, share: float = 1e-6) -> DataFrame:

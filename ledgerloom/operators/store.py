@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RAW = "decimal(38,0)"
@@ -185,3 +185,23 @@ def unit_total(amounts: DataFrame) -> DataFrame:
     """Sum that refuses mixed units: null with mixed = true instead of a number that means nothing."""
     units = F.count_distinct("decimals", "symbol")
     return amounts.agg(F.when(units <= 1, F.sum("amount_raw")).cast(RAW).alias("total_raw"), (units > 1).alias("mixed"))
+
+
+def panels(ledger: DataFrame, claims: DataFrame) -> DataFrame:
+    """A case's dashboard as rows (panel, key, n, total_raw, first_ts, last_ts), two scans for all of it: the ledger by asset,
+    by chain and as a whole, the claims by category, by source, of low confidence and as a whole (grouping sets)."""
+    unit = F.concat_ws("|", "chain", F.coalesce("asset", F.lit("")), "symbol", F.col("decimals").cast("string"))
+    rows = ledger.select("chain", unit.alias("unit"), "amount_raw", "ts")
+    held = rows.groupingSets([("unit",), ("chain",), ()], "unit", "chain").agg(F.grouping_id("unit", "chain").alias("g"), F.count("*").alias("n"), F.sum("amount_raw").cast(RAW).alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    by_unit = F.col("g") == 1
+    money = held.select(F.when(by_unit, "asset").when(F.col("g") == 2, "chain").otherwise("ledger").alias("panel"), F.coalesce("unit", "chain", F.lit("")).alias("key"), "n", F.when(by_unit, F.col("total")).alias("total_raw"), "first_ts", "last_ts")
+    said = claims.select("category", "source", (F.col("confidence") <= 1).alias("low"))
+    counted = said.groupingSets([("category",), ("source",), ("low",), ()], "category", "source", "low").agg(F.grouping_id("category", "source", "low").alias("g"), F.count("*").alias("n"))
+    panel = F.create_map(*[F.lit(x) for x in (3, "category", 5, "source", 6, "low confidence", 7, "claims")])[F.col("g")]
+    said = counted.where("g <> 6 or low").select(panel.alias("panel"), F.coalesce("category", "source", F.lit("")).alias("key"), "n", F.lit(None).cast(RAW).alias("total_raw"), F.lit(None).cast("long").alias("first_ts"), F.lit(None).cast("long").alias("last_ts"))
+    return money.unionByName(said)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files that hold a table, in whatever store."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.sum("length")).first()[0] or 0

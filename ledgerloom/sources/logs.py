@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import topic_address
+from ..functions.scalar import abi_word, topic_address
 
 #: Fixed: the first topic of a token's transfer log.
 TRANSFER = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
+#: Fixed: the first topic of a mixing pool's withdrawal log.
+WITHDRAWAL = "0xe9e508bad6d4c3227e881ca19068f099da81b5164dd6d62b2eaf1e8bc6c34931"
 
 
 def hex_amount(data: Column) -> Column:
@@ -35,3 +37,37 @@ def value_movements(transactions: DataFrame, nested: DataFrame) -> DataFrame:
     native = ok.where("amount_raw > 0").select("tx_hash", F.lit(-1).alias("log_index"), "sender", "recipient", "amount_raw", F.lit(None).cast("string").alias("asset"))
     inner = nested.join(ok.select("tx_hash"), "tx_hash", "left_semi").select("tx_hash", "log_index", "sender", "recipient", "amount_raw", "asset")
     return native.unionByName(inner)
+
+
+def number(text: Column) -> Column:
+    """A log's number, written in hexadecimal (with 0x) or decimal digits, exact up to 38 digits; null for other text."""
+    return F.when(text.rlike("^0x"), hex_amount(text)).when(text.rlike(r"^\d{1,38}$"), text.try_cast("decimal(38,0)"))
+
+
+def withdrawals(logs: DataFrame) -> DataFrame:
+    """(pool, tx, block, idx, address) of withdrawal logs (tx_hash, log_index, address, topics, data, block; numbers as
+    text): the recipient is the last twenty bytes of the data's first word. A log that doesn't parse is none."""
+    rows = logs.where(F.lower(F.col("topics")[0]) == WITHDRAWAL).withColumns({"_word": abi_word(F.col("data"), 0), "_block": number(F.col("block")), "_at": number(F.coalesce("log_index", F.lit("0")))})
+    rows = rows.where(F.col("_word").rlike("^[0-9a-fA-F]{64}$") & F.col("_block").isNotNull() & F.col("_at").isNotNull())
+    return rows.select(F.lower("address").alias("pool"), F.col("tx_hash").alias("tx"), F.col("_block").cast("long").alias("block"), F.col("_at").cast("long").alias("idx"), topic_address(F.col("_word")).alias("address"))
+
+
+def paired_changes(changes: DataFrame, subjects: DataFrame, native: str) -> DataFrame:
+    """Balance changes of transactions as transfers of their subjects. changes: (tx, position, owner, coin, amount), signed;
+    subjects: (tx, subject, gas).
+
+    A subject's changes of a coin add up to a net one; what it paid for gas comes back to a native outflow first. A net
+    change that isn't zero is paired with each other owner of the opposite sign, once per owner and coin, at the owner's
+    first such change and its amount. `index` counts a transaction's transfers by the subject's first change of the coin,
+    then by the other's position (then amount and owner)."""
+    rows = changes.join(subjects, "tx")
+    own = rows.where("owner = subject").groupBy("tx", "subject", "coin").agg(F.sum("amount").alias("net"), F.min("position").alias("first"), F.max("gas").alias("gas"))
+    own = own.withColumn("net", F.when((F.col("coin") == native) & (F.col("net") < 0), F.col("net") + F.col("gas")).otherwise(F.col("net"))).where("net <> 0")
+    others = rows.where("owner <> subject and amount <> 0").join(own.select("tx", "coin", "net", "first"), ["tx", "coin"]).where("(amount > 0) = (net < 0)")
+    each = others.groupBy("tx", "subject", "coin", "owner", "first").agg(F.min(F.struct("position", F.abs("amount").alias("amount"))).alias("c"), F.max("net").alias("net"))
+    order = Window.partitionBy("tx").orderBy("first", "c.position", "c.amount", "owner")
+    out = F.col("net") < 0
+    return each.select(
+        "tx", (F.row_number().over(order) - 1).alias("index"), F.when(out, F.col("subject")).otherwise(F.col("owner")).alias("sender"), F.when(out, F.col("owner")).otherwise(F.col("subject")).alias("recipient"),
+        F.col("c.amount").alias("amount_raw"), F.when(F.col("coin") != native, F.col("coin")).alias("asset"), F.when(F.col("coin") == native, "native").otherwise("token").alias("kind"),
+    )
