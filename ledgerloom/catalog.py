@@ -897,3 +897,13 @@ def str03_runner_round(spark: SparkSession, d: str) -> DataFrame:
     at = spark.createDataFrame([("large", views.CHAIN, 300)], "watch string, chain string, block long")
     tests = [("large", "urgent", labels.amount_over(20000)), ("bought", "info", labels.amount_over(5000, ASSET))]
     return watches.run_once(views.ledger(spark, d), tests, at, limit=900)[0]
+
+
+@_query("WITH e AS (SELECT DISTINCT '0x' || lpad(lower(printf('%x', user_id)), 40, '0') AS deployer, CAST(props->>'k' AS BIGINT) % 9 * 50 AS nonce FROM events WHERE event_id % 3 = 0) SELECT deployer, CAST(nonce AS INTEGER) AS nonce FROM e WHERE nonce < 300")
+def g11_deployments(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts that users made with some nonces, found among all contracts by their first 300; some lie beyond."""
+    e = views.table(spark, d, "events")
+    account = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("user_id")), 40, "0"))
+    made = e.where("event_id % 3 = 0").select(account.alias("deployer"), (F.get_json_object("props", "$.k").cast("long") % 9 * 50).alias("nonce")).distinct()
+    contracts = made.select(scalar.created_address(F.col("deployer"), F.col("nonce")).alias("address"))
+    return clusters.deployments(e.select(account.alias("address")), contracts, 300).select("deployer", "nonce")

@@ -7,6 +7,7 @@ import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -182,10 +183,10 @@ def _round_constants() -> list[int]:
 _CONSTANTS = _round_constants()
 
 
-def _permuted(a: list[int]) -> list[int]:
-    """Keccak-f[1600] over 25 lanes (lane x + 5 y)."""
+def _permuted(a: list) -> list:
+    """Keccak-f[1600] over 25 lanes (lane x + 5 y): numbers, or arrays of 64-bit numbers for many states at once."""
 
-    def turn(v: int, n: int) -> int:
+    def turn(v: int | np.ndarray, n: int) -> int | np.ndarray:
         return (v << n | v >> 64 - n) & _LANE
 
     for constant in _CONSTANTS:
@@ -213,17 +214,40 @@ def keccak256(data: bytes) -> bytes:
     return b"".join(x.to_bytes(8, "little") for x in state[:4])
 
 
+def keccak256_of_all(messages: list[bytes]) -> np.ndarray:
+    """Keccak-256 of many messages at once: (messages, 32) bytes. The lanes of all states are 25 arrays, so the rounds run
+    once for each block that the longest message has, not once for each message."""
+    rate, n = 136, len(messages)
+    blocks = np.array([len(m) // rate + 1 for m in messages], np.int64)
+    state = [np.zeros(n, np.uint64) for _ in range(25)]
+    for k in range(int(blocks.max(initial=0))):
+        on = np.flatnonzero(blocks > k)
+        part = np.zeros((len(on), rate), np.uint8)
+        for row, i in enumerate(on.tolist()):
+            own = messages[i][k * rate : (k + 1) * rate]
+            part[row, : len(own)] = np.frombuffer(own, np.uint8)
+            if blocks[i] == k + 1:
+                part[row, len(own)] ^= 1
+                part[row, -1] ^= 0x80
+        lanes = part.view("<u8")
+        new = _permuted([s[on] ^ lanes[:, i] if i < rate // 8 else s[on] for i, s in enumerate(state)])
+        for s, v in zip(state, new, strict=True):
+            s[on] = v
+    return np.stack(state[:4], axis=1).astype("<u8").view(np.uint8).reshape(n, 32)
+
+
 def checksummed(raw: Column) -> Column:
     """A hex address in mixed case by its Keccak checksum (EIP-55); null for what isn't one."""
 
-    def one(t: str) -> str | None:
-        if not re.fullmatch(r"0x[0-9a-fA-F]{40}", t):
-            return None
-        body = t[2:].lower()
-        nibbles = keccak256(body.encode()).hex()
-        return "0x" + "".join(c.upper() if int(n, 16) > 7 else c for c, n in zip(body, nibbles, strict=False))
+    def run(given: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(given), index=given.index, dtype=object)
+        body = given[given.str.fullmatch("0x[0-9a-fA-F]{40}").fillna(False).astype(bool)].str[2:].str.lower()
+        digests = keccak256_of_all([x.encode() for x in body])
+        for at, text, d in zip(body.index, body, digests, strict=True):
+            out[at] = "0x" + "".join(c.upper() if n > "7" else c for c, n in zip(text, d.tobytes().hex(), strict=False))
+        return out
 
-    return F.pandas_udf(lambda s: s.map(one, na_action="ignore"), "string")(raw)
+    return F.pandas_udf(run, "string")(raw)
 
 
 def valid_checksum(raw: Column) -> Column:
@@ -331,20 +355,38 @@ def code_family(code: Column) -> Column:
     return F.when(F.length(F.regexp_replace(F.coalesce(code, F.lit("")), "^0x", "")) > 0, F.md5(code_body(code).cast("binary")))
 
 
-def created_address(deployer: Column, nonce: Column) -> Column:
-    """The address of the contract that an account creates with a nonce: Keccak of both, length-prefixed."""
+def keccak_hex(data: Column) -> Column:
+    """Keccak-256 of bytes as 64 hexadecimal digits, a whole batch at once; null stays."""
+
+    def run(given: pd.Series) -> pd.Series:
+        out, known = pd.Series([None] * len(given), index=given.index, dtype=object), given.dropna()
+        for at, d in zip(known.index, keccak256_of_all([bytes(x) for x in known]), strict=True):
+            out[at] = d.tobytes().hex()
+        return out
 
-    def one(account: str, n: int) -> str:
-        count = b"" if n == 0 else n.to_bytes((n.bit_length() + 7) // 8)
-        number = count if n and n < 0x80 else bytes([0x80 + len(count)]) + count
-        body = b"\x94" + bytes.fromhex(account.lower().removeprefix("0x")) + number
-        return "0x" + keccak256(bytes([0xC0 + len(body)]) + body)[12:].hex()
+    return F.pandas_udf(run, "string")(data)
 
-    def run(accounts: pd.Series, nonces: pd.Series) -> pd.Series:
-        good = accounts.str.fullmatch("0x[0-9a-fA-F]{40}").fillna(False) & nonces.notna()
-        return pd.Series([one(a, int(n)) if ok else None for a, n, ok in zip(accounts, nonces, good, strict=True)], dtype=object)
 
-    return F.pandas_udf(run, "string")(deployer, nonce)
+def _account(address: Column) -> Column:
+    """An account's 40 digits; null for what isn't one."""
+    return F.when(address.rlike("^0[xX][0-9a-fA-F]{40}$"), F.lower(F.substring(address, 3, 40)))
+
+
+def created_address(deployer: Column, nonce: Column) -> Column:
+    """The address of the contract that an account creates with a nonce: Keccak of both, length-prefixed (RLP); null for
+    what isn't an account or a negative nonce."""
+    digits = F.lower(F.hex(nonce.cast("long")))
+    digits = F.when(F.length(digits) % 2 == 1, F.concat(F.lit("0"), digits)).otherwise(digits)
+    number = F.when(nonce == 0, "80").when(nonce < 0x80, digits).otherwise(F.concat(F.lower(F.hex((F.lit(0x80) + F.length(digits) / 2).cast("long"))), digits))
+    body = F.concat(F.lit("94"), _account(deployer), number)
+    return F.concat(F.lit("0x"), F.right(keccak_hex(F.unhex(F.when(nonce >= 0, F.concat(F.lower(F.hex((F.lit(0xC0) + F.length(body) / 2).cast("long"))), body)))), F.lit(40)))
+
+
+def create2_address(deployer: Column, salt: Column, code_hash: Column) -> Column:
+    """The address of a contract created with a salt, from the hash of its code: Keccak of 255, account, salt and hash (the
+    latter two of 32 bytes, hexadecimal); null where one isn't of its length."""
+    word = lambda c: F.when(c.rlike("^(0[xX])?[0-9a-fA-F]{64}$"), F.right(c, F.lit(64)))
+    return F.concat(F.lit("0x"), F.right(keccak_hex(F.unhex(F.concat(F.lit("ff"), _account(deployer), word(salt), word(code_hash)))), F.lit(40)))
 
 
 def urls_in(text: Column) -> Column:

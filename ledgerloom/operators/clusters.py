@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import created_address
+from ..functions.scalar import create2_address, created_address
 from ..plans.session import cut
 from .ordered import carried_back, running_max_before, running_sum
 from .store import RAW
@@ -107,6 +107,13 @@ def deployments(deployers: DataFrame, contracts: DataFrame, search: int = 256) -
     return tried.join(contracts.select(F.lower("address").alias("contract")).distinct(), "contract").select("deployer", "nonce", "contract")
 
 
+def salted_deployments(factories: DataFrame, salts: DataFrame, contracts: DataFrame) -> DataFrame:
+    """(deployer, salt, contract): which of the contracts each factory (address) created with one of its salts (address,
+    salt, code_hash): a salt is chosen, so only known ones can be tried."""
+    tried = salts.join(factories.select("address").distinct(), "address").select(F.col("address").alias("deployer"), "salt", create2_address(F.col("address"), F.col("salt"), F.col("code_hash")).alias("contract"))
+    return tried.join(contracts.select(F.lower("address").alias("contract")).distinct(), "contract").select("deployer", "salt", "contract")
+
+
 def chain_presence(ledger: DataFrame) -> DataFrame:
     """(address, chains, first_block): on how many chains each address occurs, and which."""
     ends = ledger.select("chain", F.col("sender").alias("address")).union(ledger.select("chain", "recipient")).where("address is not null").distinct()

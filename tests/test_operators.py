@@ -407,6 +407,28 @@ def test_hashes_and_encodings(spark):
     assert one(scalar.coin_type, "0x2::sui::SUI") == ["0x" + "0" * 63 + "2::sui::SUI"]
 
 
+def test_hashes_of_whole_batches():
+    rng = random.Random(1)
+    messages = [b"", b"\x00", *(rng.randbytes(n) for n in (1, 134, 135, 136, 137, 271, 272, 273, 1000)), *(rng.randbytes(rng.randrange(400)) for _ in range(40))]
+    assert [x.tobytes() for x in scalar.keccak256_of_all(messages)] == [scalar.keccak256(m) for m in messages]
+    assert scalar.keccak256_of_all([]).shape == (0, 32)
+
+
+def test_contracts_made_with_a_salt(spark):
+    zero, code = "0x" + "0" * 64, "0xbc36789e7a1e281436464229828f817d6612f7b477d66591ff96a9e064bcc98a"
+    rows = [("0x" + "0" * 40, zero, code), ("0xdeadbeef" + "0" * 32, zero, code), ("0x00", zero, code), ("0x" + "0" * 40, "0x1", code)]
+    got = spark.createDataFrame(rows, "d string, s string, h string").select(scalar.create2_address(F.col("d"), F.col("s"), F.col("h"))).collect()
+    assert [r[0] for r in got] == ["0x4d1a2e2bb4f88f0250f26ffff098b0b30b26bf38", "0xb928f69bb1d91cd65274e3c79d8986362984fda3", None, None]
+    salts = spark.createDataFrame(rows[:2], "address string, salt string, code_hash string")
+    found = clusters.salted_deployments(salts, salts, spark.createDataFrame([(got[1][0].upper().replace("0X", "0x"),)], "address string")).collect()
+    assert [(r.deployer, r.contract) for r in found] == [(rows[1][0], got[1][0])]
+
+
+def test_bytes_of_a_table(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    assert store.stored_bytes(spark, str(tmp_path / "t")) >= sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+
+
 def test_contracts_of_a_deployer(spark):
     account, made = "0x6ac7ea33f8831ea9dcc53393aaa88b25a785dbf0", ["0xcd234a471b72ba2f1ccf0a70fcaba648a5eecd8d", "0x343c43a37d37dff08ae8c4a11544c718abb4fcf8"]
     contracts = spark.createDataFrame([(x,) for x in [*made, "0x" + "1" * 40]], "address string")
