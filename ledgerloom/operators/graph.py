@@ -35,7 +35,8 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_node: int = 10)
     for level in range(1, depth + 1):
         step = seen.where(F.col("level") == level - 1).join(ranked.where(F.col("r") <= per_node), F.col("node") == F.col("subject")).select(F.col("counterparty").alias("node")).distinct()
         fresh = step.join(seen, "node", "left_anti").withColumn("level", F.lit(level))
-        seen = cut(seen.unionByName(fresh))
+        old, seen = seen, cut(seen.unionByName(fresh))
+        release(old)
     over = ranked.groupBy(F.col("subject").alias("node")).agg((F.max("r") > per_node).alias("truncated"))
     return seen.join(over, "node", "left").select("node", "level", (F.col("level") < depth).alias("expanded"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
@@ -113,7 +114,9 @@ def layers(edges: DataFrame, seeds: DataFrame, most: int = 6) -> DataFrame:
         for k in range(1, most + 1):
             at = seen.where(F.col("layer") == sign * (k - 1))
             fresh = at.join(pairs, F.col("node") == F.col(here)).select(F.col(there).alias("node")).distinct().join(seen, "node", "left_anti").withColumn("layer", F.lit(sign * k))
-            seen = cut(seen.unionByName(fresh))
+            old, seen = seen, cut(seen.unionByName(fresh))
+            release(old)
+    release(pairs)
     return seen
 
 
@@ -208,6 +211,7 @@ def backward_walk(edges_in: DataFrame, subjects: DataFrame, hops: int = 4, servi
     roots = subjects.select(F.col("address").alias("root"), F.coalesce("asset", F.lit("")).alias("asset"))
     front = roots.select("root", "asset", F.col("root").alias("node"), F.lit(1.0).alias("share"))
     seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(-1).alias("hop"), F.lit(1.0).alias("share"), F.lit(None).cast("string").alias("stopped")))
+    last_fresh = None
     for hop in range(hops):
         reach = front.join(part, (F.col("node") == F.col("at")) & (F.col("asset") == F.col("of")))
         best = F.min_by(F.col("share") * F.col("part"), F.struct((-F.col("share")).alias("s"), F.col("node")))
@@ -219,6 +223,8 @@ def backward_walk(edges_in: DataFrame, subjects: DataFrame, hops: int = 4, servi
             unknown = F.col("known").isNull()
         last = F.lit("hop_limit" if hop == hops - 1 else None).cast("string")
         fresh = cut(fresh.select("root", "asset", "node", F.least(F.lit(1.0), "share").alias("share"), F.when(F.col("service"), "service").when(unknown, "unreachable").otherwise(last).alias("stopped")))
-        seen = cut(seen.unionByName(fresh.select("root", "node", F.lit(hop).alias("hop"), "share", "stopped")))
-        front = fresh.where("stopped is null").drop("stopped")
+        old, seen = seen, cut(seen.unionByName(fresh.select("root", "node", F.lit(hop).alias("hop"), "share", "stopped")))
+        release(old, *([last_fresh] if last_fresh is not None else []))
+        front, last_fresh = fresh.where("stopped is null").drop("stopped"), fresh
+    release(part, stops, *[x for x in (known, last_fresh) if x is not None])
     return seen.where("hop >= 0")
