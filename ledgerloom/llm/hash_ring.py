@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import release, stored
 
 RING = 65536
 VIRTUAL = 64
@@ -46,8 +46,9 @@ def ring_positions(nodes: DataFrame) -> DataFrame:
     return ends.unionByName(closing).select(F.explode(F.sequence("lo", "hi")).alias("pos"), "arc")
 
 
-def arc_pieces(nodes: DataFrame, per_arc: DataFrame, shards: int) -> DataFrame:
-    """(arc, pieces): which ranks of an arc go to which shard, and from which slot on. per_arc: (arc, n).
+def arc_pieces(nodes: DataFrame, per_arc: DataFrame, shards: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(arc, pieces): which ranks of an arc go to which shard, and from which slot on; and the tables that it reads, for
+    release. per_arc: (arc, n).
 
     Home documents first. A shard with room left offers it at its virtual nodes in equal parts. The overflow walks
     clockwise as a queue: from a point where nothing is under way, the k-th overflowing document takes the k-th free
@@ -64,7 +65,7 @@ def arc_pieces(nodes: DataFrame, per_arc: DataFrame, shards: int) -> DataFrame:
     nodes = nodes.withColumn("slot0", F.least(before("n", by_shard.orderBy("arc")), F.col("room"))).withColumn("home", F.least(F.col("n"), F.col("room") - F.col("slot0")))
     nodes = nodes.withColumn("used", F.sum("home").over(by_shard)).withColumn("over", F.col("n") - F.col("home"))
     free, k = F.col("room") - F.col("used"), F.row_number().over(by_shard.orderBy("arc"))
-    nodes = stored(nodes, "ring-homes")
+    nodes = homes = stored(nodes, "ring-homes")
     nodes = nodes.withColumn("offer", (F.floor(free / F.count("*").over(by_shard)) + F.when(k <= free % F.count("*").over(by_shard), 1).otherwise(0)).cast("long"))
     nodes = nodes.withColumn("queue", F.sum(F.col("over") - F.col("offer")).over(one.orderBy("arc").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     nodes = nodes.withColumn("calm", F.min(F.struct("queue", "arc")).over(one)["arc"])
@@ -81,7 +82,7 @@ def arc_pieces(nodes: DataFrame, per_arc: DataFrame, shards: int) -> DataFrame:
     at = F.col("source.home") + F.col("x") - F.col("source.from_")
     moved = marks.select(F.col("source.arc").alias("arc"), F.col("place.shard").alias("shard"), at.alias("lo"), (at + F.col("y") - F.col("x")).alias("hi"), (F.col("place.slot1") + F.col("x") - F.col("place.to_")).alias("slot"))
     own = nodes.where("home > 0").select("arc", "shard", F.lit(0).cast("long").alias("lo"), F.col("home").alias("hi"), F.col("slot0").alias("slot"))
-    return own.unionByName(moved).groupBy("arc").agg(F.collect_list(F.struct("shard", "lo", "hi", "slot")).alias("pieces"))
+    return own.unionByName(moved).groupBy("arc").agg(F.collect_list(F.struct("shard", "lo", "hi", "slot")).alias("pieces")), [homes, nodes]
 
 
 def assign(docs: DataFrame, shards: int = 16, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -98,8 +99,9 @@ def assign(docs: DataFrame, shards: int = 16, keep: tuple[str, ...] = ()) -> Dat
     nodes = stored(virtual_nodes(spark, shards), "ring-nodes")
     ring = ring_positions(nodes).join(counts, "pos").withColumn("offset", F.coalesce(F.sum("c").over(Window.partitionBy("arc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ring = stored(ring, "ring-positions")
-    pieces = arc_pieces(nodes, ring.groupBy("arc").agg(F.sum("c").alias("n")), shards)
+    pieces, tables = arc_pieces(nodes, ring.groupBy("arc").agg(F.sum("c").alias("n")), shards)
     plan = stored(ring.join(pieces, "arc").join(parts, "pos").select("pos", "part", (F.col("offset") + F.col("ahead")).alias("offset"), "pieces"), "ring-plan")
+    release(nodes, parts, ring, *tables)
     rank = F.row_number().over(Window.partitionBy("pos", "part").orderBy("_h", "doc_id", "text_crc32", "size")) - 1
     got = rows.withColumn("_r", rank).join(plan, ["pos", "part"]).withColumn("_r", F.col("_r") + F.col("offset"))
     got = got.withColumn("_p", F.filter("pieces", lambda x: (x["lo"] <= F.col("_r")) & (F.col("_r") < x["hi"]))[0])
