@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +33,24 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+#: Seconds between two sweeps at least.
+SWEEP_EVERY = 5.0
+_swept = [0.0]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Collect the driver's garbage. Spark deletes the shuffle files and broadcasts of finished steps only when the driver has
+    collected what refers to them, and a long chain of written tables leaves many plans behind."""
+    if time.monotonic() - _swept[0] > SWEEP_EVERY:
+        gc.collect()  # what Python holds of the JVM's objects goes first
+        spark._jvm.System.gc()
+        _swept[0] = time.monotonic()
+
+
 def release(*tables: DataFrame) -> None:
-    """Delete tables of `cut` that nothing reads any more."""
+    """Delete tables of `cut` that nothing reads any more, and what else is left of their making."""
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        sweep(tables[0].sparkSession)
