@@ -129,7 +129,7 @@ def j01_frontier(spark: SparkSession, d: str) -> DataFrame:
     return store.frontier(views.ledger(spark, d), views.expanded(spark, d))
 
 
-@_query()
+@_query("WITH RECURSIVE " + ", ".join((views.POOLS, "w AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY block, idx, tx) AS place FROM withdrawals)", "a AS (SELECT d.pool, d.tx, d.block, d.idx, count(w.tx) FILTER (WHERE (w.block, w.idx) <= (d.block, d.idx)) AS before, count(w.tx) FILTER (WHERE (w.block, w.idx) > (d.block, d.idx) AND w.block <= d.block + 100) AS n_set FROM deposits d LEFT JOIN w ON w.pool = d.pool GROUP BY ALL)", "k AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY block, idx, tx) AS n FROM a WHERE n_set BETWEEN 1 AND 5)", "r AS (SELECT pool, 0::BIGINT AS n, []::BIGINT[] AS taken, NULL::BIGINT AS choice FROM (SELECT DISTINCT pool FROM k) UNION ALL SELECT pool, n, CASE WHEN choice IS NULL THEN taken ELSE list_append(taken, choice) END, choice FROM (SELECT r.pool, k.n, taken, list_filter(range(before + 1, before + n_set + 1), lambda x: NOT list_contains(taken, x))[1] AS choice FROM r JOIN k ON r.pool = k.pool AND k.n = r.n + 1))")) + " SELECT k.pool, k.tx AS deposit, w.tx AS withdrawal, w.block - k.block AS gap, CAST(n_set AS INTEGER) AS anonymity_set, CASE WHEN n_set <= 1 THEN 'medium' WHEN n_set <= 3 THEN 'low' ELSE 'speculative' END AS confidence FROM r JOIN k ON r.pool = k.pool AND r.n = k.n JOIN w ON w.pool = k.pool AND w.place = r.choice")
 def j02_match_withdrawals(spark: SparkSession, d: str) -> DataFrame:
     return clusters.match_withdrawals(views.pool_events(spark, d, "purchase"), views.pool_events(spark, d, "signup"))
 
@@ -678,20 +678,20 @@ def w07_last_status(spark: SparkSession, d: str) -> DataFrame:
     return sequences.last_status(views.table(spark, d, "events"), "user_id", "event_id", "event_type")
 
 
-@_query(_with(views.LEDGER) + "SELECT tx_hash, amount_raw FROM ledger")
+@_query(_with(views.LEDGER) + "SELECT tx_hash, '0x' || lpad(lower(printf('%x', CAST(substr(sender, 2) AS BIGINT))), 40, '0') AS sender, '0x' || lpad(lower(printf('%x', CAST(substr(recipient, 2) AS BIGINT))), 40, '0') AS recipient, '0xabc' AS asset, amount_raw FROM ledger")
 def src21_decoded_logs(spark: SparkSession, d: str) -> DataFrame:
     rows = views.ledger(spark, d)
     topic = lambda c: F.concat(F.lit("0x"), F.lpad(F.hex(F.substring(c, 2, 20).cast("long")), 64, "0"))
     data = F.concat(F.lit("0x"), F.lpad(F.hex(F.col("amount_raw").cast("long")), 64, "0"))
     found = rows.select("chain", "tx_hash", "log_index", F.lit("0xABC").alias("address"), F.array(F.lit(logs.TRANSFER), topic("sender"), topic("recipient")).alias("topics"), data.alias("data"), "block")
-    return logs.transfers(found).select("tx_hash", "amount_raw")
+    return logs.transfers(found).select("tx_hash", "sender", "recipient", "asset", "amount_raw")
 
 
-@_query(_with(views.LEDGER) + "SELECT tx_hash, amount_raw FROM ledger WHERE block % 7 <> 0 AND amount_raw > 0 AND block % 3 = 0 UNION ALL SELECT tx_hash, amount_raw FROM ledger WHERE block % 7 <> 0 AND block % 3 = 0 AND kind = 'token'")
+@_query(_with(views.LEDGER) + "SELECT tx_hash, -1 AS log_index, sender, recipient, amount_raw FROM ledger WHERE block % 7 <> 0 AND amount_raw > 0 AND block % 3 = 0 UNION ALL SELECT tx_hash, 0, sender, recipient, amount_raw FROM ledger WHERE block % 7 <> 0 AND block % 3 = 0 AND kind = 'token'")
 def prd01_value_movements(spark: SparkSession, d: str) -> DataFrame:
     rows = views.ledger(spark, d)
     txs = rows.where("block % 3 = 0").select("tx_hash", "sender", "recipient", "amount_raw", (F.col("block") % 7 == 0).alias("reverted"))
-    return logs.value_movements(txs, rows.where("kind = 'token'")).select("tx_hash", "amount_raw")
+    return logs.value_movements(txs, rows.where("kind = 'token'")).select("tx_hash", "log_index", "sender", "recipient", "amount_raw")
 
 
 @_query(_with(views.LEDGER, views.CLAIMS, views.EXPANDED, *_SCREENED) + "SELECT 'eip155:1' AS chain, address, complete, n_exposures = 0 AND n_signals > 0 AS unattributed, complete AND n_exposures = 0 AND n_signals = 0 AS clean, round(least(1.0::DOUBLE, total), 6) AS total_share FROM screens")
