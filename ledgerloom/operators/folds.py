@@ -180,7 +180,12 @@ def _folded(ledger: DataFrame, seeds: DataFrame, policies: tuple[str, ...], open
                     out.append((pdf["chain"].iloc[0], pdf["asset"].iloc[0], address, policy, *map(Decimal, numbers)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in TAINT.split(", ")])
 
-    return _in_components(cut(rows)).groupBy(*KEYS, "part").applyInPandas(fold, TAINT)
+    # what one seed can reach hangs together through it, so only assets of several seeds are taken apart
+    rows, several = cut(rows), seeds.select("chain", F.coalesce("asset", F.lit("")).alias("asset"), "address").distinct().groupBy(*KEYS).count().where("count > 1").select(*KEYS)
+    parts = rows.join(several, [*KEYS], "left_anti").withColumn("part", F.lit(""))
+    if not several.isEmpty():
+        parts = parts.unionByName(_in_components(rows.join(several, [*KEYS], "left_semi")))
+    return parts.groupBy(*KEYS, "part").applyInPandas(fold, TAINT)
 
 
 def agreement(tainted: DataFrame, balances: DataFrame) -> DataFrame:

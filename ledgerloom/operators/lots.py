@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import cut, release
-from .ordered import running_min, running_sum
 from .store import RAW
 
 KEYS = ["chain", "asset"]
 ADDRESS = [*KEYS, "address"]
 #: Payments of an asset that one task resolves at once, about.
 EPOCH = 200_000
-_ORDER = ("id", "incoming")
+#: Ids in a bucket of running sums.
+BUCKET = 4096
 
 
 def _raw(value: Column) -> Column:
@@ -39,6 +39,8 @@ def transfers(ledger: DataFrame, epoch: int = EPOCH) -> DataFrame:
     rows = rows.select("chain", F.coalesce("asset", F.lit("")).alias("asset"), "sender", "recipient", _raw(F.col("amount_raw")).alias("amount"), F.coalesce("block", F.lit(0)).cast("long").alias("block"), F.coalesce("log_index", F.lit(0)).cast("long").alias("log_index"), "tx_hash")
     rows = rows.orderBy("block", "log_index", "tx_hash", "sender", "recipient", "amount").withColumn("id", F.monotonically_increasing_id())
     rows = cut(rows.drop("block", "log_index"), "payments")
+    if (rows.groupBy(*KEYS).count().agg(F.max("count")).first()[0] or 0) <= epoch:
+        return rows.withColumn("epoch", F.lit(0).cast("long"))  # one epoch holds all of any asset
     step = max(1, min(4096, epoch // 4))
     some = rows.groupBy(*KEYS, F.floor(F.col("id") / step).alias("_at")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*KEYS).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -77,13 +79,23 @@ def axes(paid: DataFrame, start: DataFrame | None = None, endless: DataFrame | N
     events = (out if endless is None else out.join(endless, ADDRESS, "left_anti")).unionByName(side("recipient", 1))
     if start is not None:
         events = events.unionByName(start.select(*ADDRESS, "id", F.lit(1).alias("incoming"), F.lit(-1).cast("long").alias("epoch"), "amount"))
-    zero = F.lit(0).cast(RAW)
-    for name, incoming in (("_ins", 1), ("_outs", 0)):
-        events = running_sum(events, ADDRESS, _ORDER, F.when(F.col("incoming") == incoming, F.col("amount")).otherwise(zero), name)
-    events = running_min(events, ADDRESS, _ORDER, F.col("_ins") - F.col("_outs"), "_least")
-    lacking = _raw(F.greatest(zero, -F.col("_least")))  # as far as the balance would have fallen below nothing
-    lo = F.when(F.col("incoming") == 1, F.col("_ins") - F.col("amount") + lacking).otherwise(F.col("_outs") - F.col("amount"))
-    return cut(events.select(*ADDRESS, "id", "incoming", "epoch", _raw(lo).alias("lo"), _raw(lo + F.col("amount")).alias("hi"), lacking.alias("lacking")), "axes")
+    # sums, and the least balance, inside buckets of ids, then what earlier buckets carry on: one pass for all three
+    zero, run = F.lit(0).cast(RAW), (Window.unboundedPreceding, 0)
+    part = lambda incoming: F.when(F.col("incoming") == incoming, F.col("amount")).otherwise(zero)
+    inside = Window.partitionBy(*ADDRESS, "_k").orderBy("id", "incoming").rowsBetween(*run)
+    own = events.withColumn("_k", F.floor(F.col("id") / BUCKET)).withColumns({"_in": F.sum(part(1)).over(inside), "_out": F.sum(part(0)).over(inside)})
+    own = cut(own.withColumn("_low", F.min(F.col("_in") - F.col("_out")).over(inside)), "axes-buckets")
+    before = Window.partitionBy(*ADDRESS).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = own.groupBy(*ADDRESS, "_k").agg(F.max("_in").alias("i"), F.max("_out").alias("o"), F.min("_low").alias("low"))
+    blocks = blocks.withColumns({c: F.coalesce(F.sum(c[1:]).over(before), zero) for c in ("_i", "_o")})
+    blocks = blocks.withColumn("_l", F.min(F.col("_i") - F.col("_o") + F.col("low")).over(before)).select(*ADDRESS, "_k", "_i", "_o", "_l")
+    got = own.join(blocks, [*ADDRESS, "_k"])
+    least = F.least("_l", F.col("_i") - F.col("_o") + F.col("_low"))
+    lacking = _raw(F.greatest(zero, -least))  # as far as the balance would have fallen below nothing
+    lo = F.when(F.col("incoming") == 1, F.col("_i") + F.col("_in") - F.col("amount") + lacking).otherwise(F.col("_o") + F.col("_out") - F.col("amount"))
+    out = cut(got.select(*ADDRESS, "id", "incoming", "epoch", _raw(lo).alias("lo"), _raw(lo + F.col("amount")).alias("hi"), lacking.alias("lacking")), "axes")
+    release(own)
+    return out
 
 
 def funding(axis: DataFrame) -> DataFrame:

@@ -49,11 +49,6 @@ def running_max_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str
     return _running(rows, keys, order, value, name, width, F.max, F.greatest, -1)
 
 
-def running_min(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, width: int = WIDTH) -> DataFrame:
-    """rows with the least `value` up to and with each of them in `order`."""
-    return _running(rows, keys, order, value, name, width, F.min, F.least, 0)
-
-
 def _running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, width: int, fold: Callable, both: Callable, end: int) -> DataFrame:
     marked = rows.withColumns({"_k": F.floor(F.col(order[0]) / width), "_v": value})
     across = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
