@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import catalog
 from ledgerloom.functions import scalar
-from ledgerloom.operators import case_graph, clusters, folds, graph, holders, labels, ordered, peel, risk, sequences, store, tokens
+from ledgerloom.operators import asof, case_graph, clusters, folds, graph, holders, labels, ordered, peel, risk, sequences, store, tokens
 from ledgerloom.plans import session, sql_surface, views
 from ledgerloom.sources import label_files, logs
 from ledgerloom.streaming import watches
@@ -465,3 +465,14 @@ def test_every_oracle_has_rows_somewhere(spark):
     """Queries whose answer on the smallest tables is empty would agree with any other empty answer."""
     for name in ("prd08_unknown_counterparty", "a30_pass_throughs", "r01_decisions"):
         assert catalog.queries()[name](spark, DIR).limit(1).count() == 1
+
+
+def test_payouts_by_evidence_in_a_calibrated_band(spark):
+    cases = spark.createDataFrame([(100.0, 97.0), (200.0, 195.0), (0.0, 1.0)], "expected double, paid double")
+    band = asof.calibrated_band(cases)
+    assert band == (2.25, 3.25) and asof.calibrated_band(cases.where("expected = 0")) == (0.0, 6.0)
+    ins = spark.createDataFrame([("d", 0, 1000.0)], "deposit string, at long, expected double")
+    outs = [("far", 400, 990.0, 20_000, 0, 2, False), ("service", 900, 972.0, 20_000, 1, 2, False), ("one-off", 500, 973.0, 2, 50, 3, False), ("change", 600, 972.0, 20_000, 0, 2, True), ("unknown", 700, 972.0, 50, None, 3, False)]
+    paid = spark.createDataFrame(outs, "payment string, paid_at long, paid double, payer_txs long, recipient_txs long, outputs int, is_change boolean")
+    got = [(r.payment, r.score) for r in asof.ranked_payouts(ins, paid, discount=band).orderBy("rank").collect()]
+    assert got == [("service", 11.5), ("unknown", 2.0), ("one-off", -1.0)]

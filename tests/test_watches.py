@@ -58,3 +58,17 @@ def test_replayed_and_late_blocks_fire_once(spark, tmp_path):
         assert ("small", "late", 6, 1) in batch(6)
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_windows_sessions_and_repeats(spark, tmp_path):
+    rows = [("t1", 0, "a", "X", 5, "2024-01-01 00:10:00"), ("t1", 0, "a", "X", 5, "2024-01-01 00:10:00"), ("t2", 0, "a", "X", 7, "2024-01-01 00:50:00"), ("t3", 1, "b", "X", 1, "2024-01-01 00:59:00"), ("t4", 0, "a", "Y", 2, "2024-01-01 03:00:00")]
+    given = spark.createDataFrame(rows, "tx_hash string, log_index int, sender string, asset string, amount_raw long, at string").withColumn("at", F.to_timestamp("at"))
+    given.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(given.schema).parquet(str(tmp_path / "in"))
+    watches.catch_up(watches.deduplicated(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    once = spark.read.parquet(str(tmp_path / "out"))
+    assert once.count() == 4
+    flows = {(r.from_.hour, r.asset): (int(r.total_raw), r.n) for r in watches.windowed_flows(once).collect()}
+    assert flows == {(0, "X"): (13, 3), (3, "Y"): (2, 1)}
+    sat = sorted((r.sender, r.from_.hour, r.from_.minute, r.n) for r in watches.sessions(once, "45 minutes").collect())
+    assert sat == [("a", 0, 10, 2), ("a", 3, 0, 1), ("b", 0, 59, 1)]
