@@ -34,7 +34,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 #: Seconds between two sweeps at least.
-SWEEP_EVERY = 1.0
+SWEEP_EVERY = 5.0
 _swept = [0.0]
 
 
