@@ -89,10 +89,10 @@ def properties(screens: DataFrame) -> DataFrame:
     return screens.select("chain", "address", "complete", (none & (F.col("n_signals") > 0)).alias("unattributed"), (F.col("complete") & none & (F.col("n_signals") == 0)).alias("clean"), F.round(total, 9).alias("total_share"))
 
 
-def shape_signals(ledger: DataFrame, forged: DataFrame | None = None, few: int = 20) -> DataFrame:
+def shape_signals(ledger: DataFrame, forged: DataFrame | Column | None = None, few: int = 20) -> DataFrame:
     """What an address's rows on a chain alone say: fresh (in and out, hardly used), consolidation (many payments in, few
-    out), probing (either end of a probe), impersonation (a forged asset touches it; forged: (chain, asset)), the names of
-    those that hold, and how many they are."""
+    out), probing (either end of a probe), impersonation (a forged asset touches it; forged: (chain, asset), or what holds
+    for forged transfers where one asset has both kinds), the names of those that hold, and how many they are."""
     rows = ledger.withColumns({"sender": _key(F.col("sender")), "recipient": _key(F.col("recipient"))})
     moves = sides(rows)
     counts = moves.groupBy("address").agg(F.count("*").alias("n"), F.count_if("outgoing").alias("outs"), F.count_if(~F.col("outgoing")).alias("ins"))
@@ -100,7 +100,8 @@ def shape_signals(ledger: DataFrame, forged: DataFrame | None = None, few: int =
     ends = ends.select(F.col("sender").alias("address")).union(ends.select("recipient")).distinct().withColumn("probing", F.lit(True))
     got = counts.join(ends, "address", "left")
     if forged is not None:
-        hit = moves.join(forged.select("chain", "asset").distinct(), ["chain", "asset"], "left_semi").select("address").distinct().withColumn("impersonation", F.lit(True))
+        touched = moves.where(forged) if isinstance(forged, Column) else moves.join(forged.select("chain", "asset").distinct(), ["chain", "asset"], "left_semi")
+        hit = touched.select("address").distinct().withColumn("impersonation", F.lit(True))
         got = got.join(hit, "address", "left")
     else:
         got = got.withColumn("impersonation", F.lit(False))
