@@ -166,6 +166,7 @@ def code_body(code: Column) -> Column:
 
 _ROUNDS, _LANE = 24, (1 << 64) - 1
 _ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+_VALUE = {c: k for k, c in enumerate(_ALPHABET)}
 
 
 def _round_constants() -> list[int]:
@@ -183,10 +184,10 @@ def _round_constants() -> list[int]:
 _CONSTANTS = _round_constants()
 
 
-def _permuted(a: list) -> list:
-    """Keccak-f[1600] over 25 lanes (lane x + 5 y): numbers, or arrays of 64-bit numbers for many states at once."""
+def _permuted(a: list[int]) -> list[int]:
+    """Keccak-f[1600] over 25 lanes (lane x + 5 y)."""
 
-    def turn(v: int | np.ndarray, n: int) -> int | np.ndarray:
+    def turn(v: int, n: int) -> int:
         return (v << n | v >> 64 - n) & _LANE
 
     for constant in _CONSTANTS:
@@ -201,6 +202,35 @@ def _permuted(a: list) -> list:
     return a
 
 
+def _turns() -> tuple[np.ndarray, np.ndarray]:
+    """Rho and pi at once: the lane that comes to each place, and by how much it is turned."""
+    source, by, x, y, held = np.zeros(25, np.int64), np.zeros(25, np.uint64), 1, 0, 1
+    for t in range(24):
+        x, y = y, (2 * x + 3 * y) % 5
+        source[x + 5 * y], by[x + 5 * y], held = held, (t + 1) * (t + 2) // 2 % 64, x + 5 * y
+    return source, by[:, None]
+
+
+_SOURCE, _LEFT = _turns()
+_RIGHT = (np.uint64(64) - _LEFT) % np.uint64(64)
+#: States permuted at once: what their lanes take stays near the processor.
+_STATES = 1024
+
+
+def _permuted_all(a: np.ndarray) -> np.ndarray:
+    """`_permuted` for (25, states) lanes."""
+    one, rest = np.uint64(1), np.uint64(63)
+    for constant in _CONSTANTS:
+        planes = a.reshape(5, 5, -1)
+        c = planes[0] ^ planes[1] ^ planes[2] ^ planes[3] ^ planes[4]
+        up = c[[1, 2, 3, 4, 0]]
+        a = (planes ^ (c[[4, 0, 1, 2, 3]] ^ (up << one | up >> rest))).reshape(25, -1)[_SOURCE]
+        b = (a << _LEFT | a >> _RIGHT).reshape(5, 5, -1)
+        a = (b ^ ~b[:, [1, 2, 3, 4, 0]] & b[:, [2, 3, 4, 0, 1]]).reshape(25, -1)
+        a[0] ^= np.uint64(constant)
+    return a
+
+
 def keccak256(data: bytes) -> bytes:
     """Keccak-256 with the original padding, as account chains use it."""
     rate = 136
@@ -214,26 +244,31 @@ def keccak256(data: bytes) -> bytes:
     return b"".join(x.to_bytes(8, "little") for x in state[:4])
 
 
+_RATE = 136
+
+
 def keccak256_of_all(messages: list[bytes]) -> np.ndarray:
-    """Keccak-256 of many messages at once: (messages, 32) bytes. The lanes of all states are 25 arrays, so the rounds run
-    once for each block that the longest message has, not once for each message."""
-    rate, n = 136, len(messages)
-    blocks = np.array([len(m) // rate + 1 for m in messages], np.int64)
-    state = [np.zeros(n, np.uint64) for _ in range(25)]
-    for k in range(int(blocks.max(initial=0))):
+    """Keccak-256 of many messages at once: (messages, 32) bytes. The lanes of many states are one array, so the rounds run
+    once for each block that the longest of them has, not once for each message."""
+    parts = [_keccak_of_some(messages[at : at + _STATES]) for at in range(0, len(messages), _STATES)]
+    return np.concatenate(parts) if parts else np.zeros((0, 32), np.uint8)
+
+
+def _keccak_of_some(messages: list[bytes]) -> np.ndarray:
+    n = len(messages)
+    sizes = np.fromiter(map(len, messages), np.int64, n)
+    blocks = sizes // _RATE + 1
+    state = np.zeros((25, n), np.uint64)
+    for k in range(int(blocks.max())):
         on = np.flatnonzero(blocks > k)
-        part = np.zeros((len(on), rate), np.uint8)
-        for row, i in enumerate(on.tolist()):
-            own = messages[i][k * rate : (k + 1) * rate]
-            part[row, : len(own)] = np.frombuffer(own, np.uint8)
-            if blocks[i] == k + 1:
-                part[row, len(own)] ^= 1
-                part[row, -1] ^= 0x80
-        lanes = part.view("<u8")
-        new = _permuted([s[on] ^ lanes[:, i] if i < rate // 8 else s[on] for i, s in enumerate(state)])
-        for s, v in zip(state, new, strict=True):
-            s[on] = v
-    return np.stack(state[:4], axis=1).astype("<u8").view(np.uint8).reshape(n, 32)
+        part = np.frombuffer(b"".join(messages[i][k * _RATE : (k + 1) * _RATE].ljust(_RATE, b"\0") for i in on.tolist()), np.uint8).reshape(-1, _RATE).copy()
+        last = np.flatnonzero(blocks[on] == k + 1)
+        part[last, sizes[on[last]] - k * _RATE] ^= 1
+        part[last, -1] ^= 0x80
+        now = state[:, on]
+        now[: _RATE // 8] ^= part.view("<u8").T
+        state[:, on] = _permuted_all(now)
+    return np.ascontiguousarray(state[:4].T).astype("<u8").view(np.uint8).reshape(n, 32)
 
 
 def checksummed(raw: Column) -> Column:
@@ -241,10 +276,14 @@ def checksummed(raw: Column) -> Column:
 
     def run(given: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(given), index=given.index, dtype=object)
-        body = given[given.str.fullmatch("0x[0-9a-fA-F]{40}").fillna(False).astype(bool)].str[2:].str.lower()
-        digests = keccak256_of_all([x.encode() for x in body])
-        for at, text, d in zip(body.index, body, digests, strict=True):
-            out[at] = "0x" + "".join(c.upper() if n > "7" else c for c, n in zip(text, d.tobytes().hex(), strict=False))
+        ok = given.str.fullmatch("0x[0-9a-fA-F]{40}").fillna(False).astype(bool).to_numpy()
+        body = [t[2:].lower().encode() for t in given[ok]]
+        if body:
+            digest = keccak256_of_all(body)[:, :20]
+            high = np.stack([digest >> 7, digest >> 3 & 1], axis=2).reshape(-1, 40)  # a letter is upper where its digit is above 7
+            text = np.frombuffer(b"".join(body), np.uint8).reshape(-1, 40)
+            mixed = (text - 32 * (high & (text >= ord("a")))).astype(np.uint8).tobytes().decode()
+            out[ok] = ["0x" + mixed[at : at + 40] for at in range(0, len(mixed), 40)]
         return out
 
     return F.pandas_udf(run, "string")(raw)
@@ -278,11 +317,11 @@ def hex_of_base58(raw: Column) -> Column:
     """The reverse; null where the check fails."""
 
     def one(t: str) -> str | None:
-        if not t or set(t) - set(_ALPHABET):
+        if not t or not _VALUE.keys() >= set(t):
             return None
         n = 0
         for c in t:
-            n = n * 58 + _ALPHABET.index(c)
+            n = n * 58 + _VALUE[c]
         if n >= 1 << 200:
             return None
         data = n.to_bytes(25)
@@ -359,10 +398,10 @@ def keccak_hex(data: Column) -> Column:
     """Keccak-256 of bytes as 64 hexadecimal digits, a whole batch at once; null stays."""
 
     def run(given: pd.Series) -> pd.Series:
-        out, known = pd.Series([None] * len(given), index=given.index, dtype=object), given.dropna()
-        for at, d in zip(known.index, keccak256_of_all([bytes(x) for x in known]), strict=True):
-            out[at] = d.tobytes().hex()
-        return out
+        out, known = np.full(len(given), None, object), given.notna().to_numpy()
+        digits = keccak256_of_all([bytes(x) for x in given[known]]).tobytes().hex()
+        out[known] = [digits[at : at + 64] for at in range(0, len(digits), 64)]
+        return pd.Series(out, index=given.index)
 
     return F.pandas_udf(run, "string")(data)
 
@@ -382,6 +421,34 @@ def created_address(deployer: Column, nonce: Column) -> Column:
     return F.concat(F.lit("0x"), F.right(keccak_hex(F.unhex(F.when(nonce >= 0, F.concat(F.lower(F.hex((F.lit(0xC0) + F.length(body) / 2).cast("long"))), body)))), F.lit(40)))
 
 
+def created_keys(deployer: Column, search: int) -> Column:
+    """For the nonces 0 .. search - 1 of an account: bytes 4 to 11 of each address that it creates, as a signed number: what
+    `address_number` gives for the address. Null for what isn't an account."""
+    numbers = [b"\x80" if n == 0 else bytes([n]) if n < 0x80 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8) for n in range(search)]
+    form = np.frombuffer(b"".join((bytes([0xC0 + 21 + len(x), 0x94]) + bytes(20) + x + b"\x01").ljust(_RATE - 1, b"\0") + b"\x80" for x in numbers), np.uint8).reshape(search, _RATE)
+    step = max(1, _STATES // max(1, search))
+
+    def run(given: pd.Series) -> pd.Series:
+        out = np.full(len(given), None, object)
+        known = np.flatnonzero(given.notna().to_numpy())
+        accounts = np.frombuffer(bytes.fromhex("".join(given.iloc[known])), np.uint8).reshape(-1, 1, 20)
+        for at in range(0, len(known), step):
+            some = np.repeat(form[None], len(accounts[at : at + step]), axis=0)
+            some[:, :, 2:22] = accounts[at : at + step]
+            state = np.zeros((25, some.shape[0] * search), np.uint64)
+            state[: _RATE // 8] = some.reshape(-1, _RATE).view("<u8").T
+            for i, keys in zip(known[at : at + step].tolist(), _permuted_all(state)[2].byteswap().view(np.int64).reshape(-1, search), strict=True):
+                out[i] = keys
+        return pd.Series(out, index=given.index)
+
+    return F.pandas_udf(run, "array<long>")(_account(deployer))
+
+
+def address_number(address: Column) -> Column:
+    """Bytes 4 to 11 of an address as a signed number; null for what isn't one."""
+    return F.conv(F.substring(_account(address), 9, 16), 16, -10).cast("long")
+
+
 def create2_address(deployer: Column, salt: Column, code_hash: Column) -> Column:
     """The address of a contract created with a salt, from the hash of its code: Keccak of 255, account, salt and hash (the
     latter two of 32 bytes, hexadecimal); null where one isn't of its length."""

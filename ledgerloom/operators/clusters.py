@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import create2_address, created_address
-from ..plans.session import cut
+from ..functions.scalar import address_number, create2_address, created_address, created_keys
+from ..plans.session import cut, spread
 from .ordered import carried_back, running_max_before, running_sum
 from .store import RAW
 
@@ -101,10 +101,12 @@ def contributors(ledger: DataFrame, target: str, subject: str, max_hops: int = 4
 
 def deployments(deployers: DataFrame, contracts: DataFrame, search: int = 256) -> DataFrame:
     """(deployer, nonce, contract): which of the contracts (address) each deployer (address) created, by its first
-    nonces."""
-    tried = deployers.select(F.col("address").alias("deployer")).distinct().withColumn("nonce", F.explode(F.sequence(F.lit(0), F.lit(search - 1))))
-    tried = tried.withColumn("contract", created_address(F.col("deployer"), F.col("nonce")))
-    return tried.join(contracts.select(F.lower("address").alias("contract")).distinct(), "contract").select("deployer", "nonce", "contract")
+    nonces. They meet by eight bytes of the address; what meets is compared whole."""
+    tried = spread(deployers.select(F.col("address").alias("deployer")).distinct(), "deployer").select("deployer", F.posexplode(created_keys(F.col("deployer"), search)).alias("nonce", "key"))
+    wanted = cut(contracts.select(F.lower("address").alias("contract")).distinct(), "contracts")  # else the join's filter on keys makes addresses twice
+    wanted = wanted.withColumn("key", address_number(F.col("contract")))
+    near = cut(tried.join(wanted.hint("merge"), "key").drop("key"), "near")  # stored, so that whole addresses are made of these only
+    return near.where(created_address(F.col("deployer"), F.col("nonce")) == F.col("contract"))
 
 
 def salted_deployments(factories: DataFrame, salts: DataFrame, contracts: DataFrame) -> DataFrame:
