@@ -2,16 +2,20 @@
 
 Under haircut and poison a payment depends on all that is held then, so transfers of an asset between addresses that are
 connected by them must be folded in order. Transfers that a seed's money can't reach are removed by joins first; what is left falls
-apart into connected components, and a component of a chain and asset is the unit of parallel work (`applyInPandas`).
+apart into connected components, and a component of a chain and asset is the unit of parallel work: its payments pass one task in
+order, a batch at a time, which keeps only what addresses hold.
 Amounts are Python integers inside the fold: exact at any size.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,37 +76,53 @@ TAINT = "chain string, asset string, address string, policy string, held decimal
 
 
 class _Queue:
-    """Lots [amount, dirty] in order, with their sums, so that a payment costs the lots it empties and no more."""
+    """Lots of an amount and its dirty part in order, with their sums, so that a payment costs the lots it empties and no
+    more. Neighbouring lots that are clean, or dirty throughout, are one: rounding sees no difference. Numbers are packed
+    while they fit 64 bits."""
 
-    __slots__ = ("dirty", "lots", "total")
+    __slots__ = ("bads", "dirty", "head", "sizes", "total")
 
     def __init__(self) -> None:
-        self.lots: deque[list[int]] = deque()
-        self.total = self.dirty = 0
+        self.sizes: array | list[int] = array("q")
+        self.bads: array | list[int] = array("q")
+        self.head = self.total = self.dirty = 0
 
     def append(self, amount: int, dirty: int) -> None:
-        self.lots.append([amount, dirty])
         self.total += amount
         self.dirty += dirty
+        if self.total >= 1 << 63 and isinstance(self.sizes, array):  # beyond 64 bits: plain numbers
+            self.sizes, self.bads = self.sizes.tolist(), self.bads.tolist()
+        if len(self.sizes) > self.head and (not dirty and not self.bads[-1] or dirty == amount and self.bads[-1] == self.sizes[-1]):
+            self.sizes[-1] += amount
+            self.bads[-1] += dirty
+        else:
+            self.sizes.append(amount)
+            self.bads.append(dirty)
 
     def spend(self, amount: int, policy: str) -> int:
         """Take an amount (at most what is held) from the front; how much of it counts as dirty. Under haircut the share of
         all that is held moves, rounded down, while each lot gives its own share, rounded down: the difference is lost to
         rounding. Under poison all of it is dirty if anything held is."""
         total, dirty, moved, left = self.total, self.dirty, 0, amount
-        while left and self.lots:
-            size, bad = self.lots[0]
+        sizes, bads, head = self.sizes, self.bads, self.head
+        while left and head < len(sizes):
+            size, bad = sizes[head], bads[head]
             part = min(left, size)
             gives = bad * part // size if policy == "haircut" else min(bad, part)
             moved += gives
             left -= part
             if part == size:
-                self.lots.popleft()
+                head += 1
                 self.dirty -= bad
             else:
-                self.lots[0] = [size - part, bad - gives]
+                sizes[head] = size - part
+                bads[head] = bad - gives
                 self.dirty -= gives
             self.total -= part
+        if head > 1024 and 2 * head > len(sizes):  # what is spent goes when it is most of the rows
+            del sizes[:head], bads[:head]
+            head = 0
+        self.head = head
         if policy == "haircut":
             return amount * dirty // total if total else 0
         return (amount if dirty else 0) if policy == "poison" else moved
@@ -112,8 +132,9 @@ class _Queue:
         clean money that arrives at a dirty address becomes so."""
         if policy == "poison":
             if dirty and self.dirty < self.total:
-                for lot in self.lots:
-                    lot[1] = lot[0]
+                self.sizes, self.bads, self.head = self.sizes[:0], self.bads[:0], 0
+                self.sizes.append(self.total)
+                self.bads.append(self.total)
                 self.dirty = self.total
             dirty = amount if dirty or self.dirty else 0
         dirty = min(dirty, amount)
@@ -121,32 +142,50 @@ class _Queue:
         return dirty
 
 
+class _Fold:
+    """What addresses hold after payments in order, under one policy."""
+
+    def __init__(self, seeds: dict[str, int | None], policy: str, opening: dict[str, int] | None = None) -> None:
+        self.policy = policy
+        self.endless = {a for a, amount in seeds.items() if amount is None}
+        self.held_by: dict[str, _Queue] = defaultdict(_Queue)
+        self.touched: dict[str, int] = {}
+        self.lacking: dict[str, int] = {}
+        for address, amount in (opening or {}).items():
+            if amount > 0:
+                self.held_by[address].append(amount, 0)
+        for address, amount in seeds.items():
+            if amount:
+                self.held_by[address].append(amount, amount)
+
+    def take(self, rows: Iterable[tuple[str, str, int]]) -> None:
+        held_by, touched, lacking, policy, endless = self.held_by, self.touched, self.lacking, self.policy, self.endless
+        for sender, recipient, amount in rows:
+            if sender in endless:
+                moved = amount
+            else:
+                held, moved, known = held_by.get(sender), 0, 0
+                if held is not None:
+                    known = min(amount, held.total)
+                    moved = held.spend(known, policy)
+                if amount > known:
+                    lacking[sender] = lacking.get(sender, 0) + amount - known
+            dirty = held_by[recipient].receive(amount, moved, policy)
+            if dirty:
+                touched[recipient] = touched.get(recipient, 0) + dirty
+
+    def result(self) -> dict[str, tuple[int, int, int]]:
+        held = {a: q.dirty for a, q in self.held_by.items()}
+        return {a: (held.get(a, 0), self.touched.get(a, 0), self.lacking.get(a, 0)) for a in {*held, *self.touched, *self.lacking}}
+
+
 def fold_taint(rows: list[tuple[str, str, int]], seeds: dict[str, int | None], policy: str, opening: dict[str, int] | None = None) -> dict[str, tuple[int, int, int]]:
     """{address: (tainted money held, tainted money that ever arrived, money spent beyond the known balance)} after
     (sender, recipient, amount) in order. A seed with an amount starts with one tainted lot behind its opening
     balance; a seed without one taints all it sends."""
-    held_by: dict[str, _Queue] = defaultdict(_Queue)
-    touched: dict[str, int] = {}
-    lacking: dict[str, int] = {}
-    for address, amount in (opening or {}).items():
-        if amount > 0:
-            held_by[address].append(amount, 0)
-    for address, amount in seeds.items():
-        if amount:
-            held_by[address].append(amount, amount)
-    for sender, recipient, amount in rows:
-        if sender in seeds and seeds[sender] is None:
-            moved = amount
-        else:
-            known = min(amount, held_by[sender].total)
-            moved = held_by[sender].spend(known, policy)
-            if amount > known:
-                lacking[sender] = lacking.get(sender, 0) + amount - known
-        dirty = held_by[recipient].receive(amount, moved, policy)
-        if dirty:
-            touched[recipient] = touched.get(recipient, 0) + dirty
-    held = {a: q.dirty for a, q in held_by.items()}
-    return {a: (held.get(a, 0), touched.get(a, 0), lacking.get(a, 0)) for a in {*held, *touched, *lacking}}
+    fold = _Fold(seeds, policy, opening)
+    fold.take(rows)
+    return fold.result()
 
 
 def _moves(rows: DataFrame) -> DataFrame:
@@ -169,23 +208,44 @@ def _folded(ledger: DataFrame, seeds: DataFrame, policies: tuple[str, ...], open
         if given is not None:
             rows = rows.unionByName(given.select("chain", F.coalesce("asset", F.lit("")).alias("asset"), F.col("address").alias("sender"), F.lit(None).cast("string").alias("recipient"), F.col("amount").cast("string").alias("amount"), F.lit(0).cast("long").alias("block"), F.lit(0).alias("log_index"), F.lit("").alias("tx_hash"), F.lit(kind).alias("kind")))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = {kind: {a: None if n is None or n != n else int(n) for a, n in zip(own["sender"], own["amount"], strict=True)} for kind in ("seed", "opening") for own in [pdf[pdf["kind"] == kind]]}
-        moves = pdf[pdf["kind"] == "move"].sort_values(["block", "log_index", "tx_hash"], kind="stable")
-        each = [(s, r, int(a)) for s, r, a in zip(moves["sender"], moves["recipient"], moves["amount"], strict=True)]
-        out = []
-        for policy in policies:
-            for address, numbers in fold_taint(each, start["seed"], policy, start["opening"]).items():
-                if numbers[0] or numbers[1]:
-                    out.append((pdf["chain"].iloc[0], pdf["asset"].iloc[0], address, policy, *map(Decimal, numbers)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TAINT.split(", ")])
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted rows of whole groups, a batch at a time: only what addresses hold is kept."""
+        group, start, folds = None, {}, []
+
+        def result() -> pd.DataFrame:
+            done = folds or [_Fold(start["seed"], p, start["opening"]) for p in policies]
+            out = [(*group[:2], address, f.policy, *map(Decimal, numbers)) for f in done for address, numbers in f.result().items() if numbers[0] or numbers[1]]
+            return pd.DataFrame(out, columns=[c.split()[0] for c in TAINT.split(", ")])
+
+        for pdf in frames:
+            kinds = [pdf[c].to_numpy() for c in (*KEYS, "part", "kind")]
+            cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in kinds], axis=0)) + 1).tolist(), len(pdf)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                at, kind = tuple(k[lo] for k in kinds[:3]), kinds[3][lo]
+                if at != group:
+                    if group is not None:
+                        yield result()
+                    group, start, folds = at, {"seed": {}, "opening": {}}, []
+                senders, amounts = pdf["sender"].iloc[lo:hi], pdf["amount"].iloc[lo:hi]
+                if kind != "move":
+                    start[kind].update({a: None if n is None or n != n else int(n) for a, n in zip(senders, amounts, strict=True)})
+                    continue
+                folds = folds or [_Fold(start["seed"], p, start["opening"]) for p in policies]
+                each = list(zip(senders.tolist(), pdf["recipient"].iloc[lo:hi].tolist(), map(int, amounts), strict=True))
+                for f in folds:
+                    f.take(each)
+        if group is not None:
+            yield result()
 
     # what one seed can reach hangs together through it, so only assets of several seeds are taken apart
     rows, several = cut(rows), seeds.select("chain", F.coalesce("asset", F.lit("")).alias("asset"), "address").distinct().groupBy(*KEYS).count().where("count > 1").select(*KEYS)
     parts = rows.join(several, [*KEYS], "left_anti").withColumn("part", F.lit(""))
     if not several.isEmpty():
         parts = parts.unionByName(_in_components(rows.join(several, [*KEYS], "left_semi")))
-    return parts.groupBy(*KEYS, "part").applyInPandas(fold, TAINT)
+    order = [*KEYS, "part", F.when(F.col("kind") == "move", "").otherwise(F.col("kind")).desc(), "block", "log_index", "tx_hash", "sender", "recipient", "amount"]
+    return parts.repartition(*KEYS, "part").sortWithinPartitions(*order).select(*KEYS, "part", "kind", "sender", "recipient", "amount").mapInPandas(fold, TAINT)
 
 
 def agreement(tainted: DataFrame, balances: DataFrame) -> DataFrame:

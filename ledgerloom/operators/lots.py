@@ -164,7 +164,8 @@ def taint(ledger: DataFrame, seeds: DataFrame, opening: DataFrame | None = None,
     """First in, first out taint by address and asset: tainted money held, tainted money that ever arrived, and money spent
     beyond what was known, for addresses that any reached. seeds: (chain, asset, address, amount or null for all it sends);
     opening: (chain, asset, address, amount)."""
-    paid = transfers(ledger, epoch)
+    touched = seeds.select(F.col("chain").alias("_c"), F.coalesce("asset", F.lit("")).alias("_a")).distinct()  # no other asset can be tainted
+    paid = transfers(ledger.join(touched, (F.col("chain") == F.col("_c")) & (F.coalesce("asset", F.lit("")) == F.col("_a")), "left_semi"), epoch)
     endless = seeds.where("amount is null").select("chain", F.coalesce("asset", F.lit("")).alias("asset"), "address").distinct()
     start = start_lots(seeds, opening)
     axis = axes(paid, start, endless)
