@@ -4,11 +4,10 @@ Assets are told by contract, never by symbol: the symbol is what a forger choose
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import scripts, skeleton
-from .store import sides
 
 #: Contracts that carry a symbol on a chain; none for native assets, which have no contract.
 CANONICAL = {
@@ -69,15 +68,23 @@ def trusted_assets(ledger: DataFrame, more: dict | None = None) -> DataFrame:
 def sightings(ledger: DataFrame, trusted: DataFrame) -> DataFrame:
     """Per (address, other): payments sent in trusted assets, claims of payments in others (a contract's author writes
     its logs), received, without value, all, and first and last moment."""
-    believed = trusted.select("chain", F.col("contract").alias("_contract"), F.lit(True).alias("_ok"))
-    marked = ledger.withColumn("_contract", F.lower(F.trim(F.coalesce("asset", F.lit(""))))).join(believed, ["chain", "_contract"], "left")
-    moves = sides(marked).where("other is not null and other <> address")
-    ok = F.coalesce("_ok", F.lit(False))
-    return moves.groupBy("address", "other").agg(
-        F.count_if(F.col("outgoing") & ok).alias("sent"), F.count_if(F.col("outgoing") & ~ok).alias("sent_untrusted"), F.count_if(~F.col("outgoing")).alias("received"),
-        F.count_if(F.col("amount_raw") == 0).alias("zero_value"), F.count("*").alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+    # a registry's contracts and native assets: few, and joined by hash each contract's transfers would be one task
+    believed = F.broadcast(trusted.select("chain", F.col("contract").alias("_contract"), F.lit(True).alias("_ok")))
+    moves = ledger.where("sender <> recipient").withColumn("_contract", F.lower(F.trim(F.coalesce("asset", F.lit(""))))).join(believed, ["chain", "_contract"], "left")
+    ok, up = F.coalesce("_ok", F.lit(False)), F.col("sender") < F.col("recipient")
+    # both directions of two addresses are one group, whose two readings are made of its counts afterwards
+    pairs = moves.groupBy(F.least("sender", "recipient").alias("a"), F.greatest("sender", "recipient").alias("b")).agg(
+        F.count_if(up & ok).alias("up"), F.count_if(up & ~ok).alias("up_untrusted"), F.count_if(~up & ok).alias("down"), F.count_if(~up & ~ok).alias("down_untrusted"),
+        F.count_if(F.col("amount_raw") == 0).alias("zero_value"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
 
+    def seen_by(address: str, other: str, out: str, back: str) -> Column:
+        return F.struct(F.col(address).alias("address"), F.col(other).alias("other"), F.col(out).alias("sent"), F.col(f"{out}_untrusted").alias("sent_untrusted"), (F.col(back) + F.col(f"{back}_untrusted")).alias("received"))
+
+    total = F.col("up") + F.col("up_untrusted") + F.col("down") + F.col("down_untrusted")
+    each = F.explode(F.array(seen_by("a", "b", "up", "down"), seen_by("b", "a", "down", "up"))).alias("s")
+    return pairs.select(each, "zero_value", total.alias("total"), "first_ts", "last_ts").select("s.*", "zero_value", "total", "first_ts", "last_ts")
+
 
 def lookalikes(seen: DataFrame, edges: int = 4) -> DataFrame:
     """Per address its counterparties that share their first and last `edges` digits: how many, how many of them it paid,
