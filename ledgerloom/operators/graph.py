@@ -167,15 +167,20 @@ def coinjoins(inputs: DataFrame, outputs: DataFrame, equal_outputs: int = 5, min
 def change_scores(inputs: DataFrame, outputs: DataFrame, tx_counts: DataFrame | None = None) -> DataFrame:
     """Which output is change, by fixed weights: +5 pays back an input, -1 a hardly used recipient, -2 a round amount,
     +2 the inputs' script type, +2 the single largest output; a single output is change."""
-    back = outputs.join(inputs.select("txid", "address").withColumn("_in", F.lit(True)), ["txid", "address"], "left")
-    use = outputs.groupBy("address").agg(F.count_distinct("txid").alias("seen")) if tx_counts is None else tx_counts
-    rows = back.join(use, "address", "left")
-    w = Window.partitionBy("txid")
-    script = outputs.groupBy("txid", "script").agg(F.count("*").alias("c")).groupBy("txid").agg(F.max_by("script", F.struct("c", "script")).alias("usual"))
-    rows = rows.join(script, "txid", "left").withColumn("top", F.max("amount").over(w)).withColumn("n_out", F.count("*").over(w))
+    # outputs, inputs and first uses of addresses are dealt by transaction once; what follows are windows inside transactions
+    rows = outputs.select("txid", "idx", "address", "amount", "script", F.lit(0).alias("_mark"))
+    rows = rows.unionByName(inputs.where("txid is not null and address is not null").select("txid", "address", F.lit(1).alias("_mark")), allowMissingColumns=True)
+    if tx_counts is None:  # an address of one transaction is hardly used there
+        use = outputs.where("address is not null").groupBy("address").agg(F.min("txid").alias("txid"), F.max("txid").alias("_last")).where("txid = _last").select("txid", "address")
+    else:
+        use = outputs.join(tx_counts.where("seen between 0 and 1"), "address", "left_semi").select("txid", "address")
+    rows = rows.unionByName(use.withColumn("_mark", F.lit(2)), allowMissingColumns=True).repartition("txid")
+    pair, like, w = Window.partitionBy("txid", "address"), Window.partitionBy("txid", "script"), Window.partitionBy("txid")
+    rows = rows.withColumns({"_in": F.max(F.col("_mark") == 1).over(pair), "_rare": F.max(F.col("_mark") == 2).over(pair)}).where("_mark = 0")
+    rows = rows.withColumn("_c", F.count("*").over(like)).withColumns({"usual": F.max(F.struct("_c", "script")).over(w)["script"], "top": F.max("amount").over(w), "n_out": F.count("*").over(w)})
     rows = rows.withColumn("n_top", F.sum((F.col("amount") == F.col("top")).cast("int")).over(w))
     score = (
-        F.when(F.col("_in"), 5).otherwise(0) + F.when(F.col("seen").between(0, 1), -1).otherwise(0) + F.when((F.col("amount") % 1000 == 0) & (F.col("amount") >= 1000), -2).otherwise(0)
+        F.when(F.col("_in"), 5).otherwise(0) + F.when(F.col("_rare"), -1).otherwise(0) + F.when((F.col("amount") % 1000 == 0) & (F.col("amount") >= 1000), -2).otherwise(0)
         + F.when(F.col("script") == F.col("usual"), 2).otherwise(0) + F.when((F.col("amount") == F.col("top")) & (F.col("n_top") == 1), 2).otherwise(0)
     )
     rows = rows.withColumn("score", score)
