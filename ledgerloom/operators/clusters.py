@@ -16,8 +16,8 @@ PAYMENT = "sender is not null and recipient is not null and sender <> recipient"
 
 def first_funders(ledger: DataFrame) -> DataFrame:
     """Per address the sender of its first payment by (block, log_index); self-payments don't fund."""
-    order = F.struct("block", "log_index", "tx_hash")
-    got = ledger.where(PAYMENT).groupBy(F.col("recipient").alias("address")).agg(F.min_by(F.struct("sender", "tx_hash", "block", "amount_raw"), order).alias("f"))
+    first = F.min(F.struct("block", "log_index", "tx_hash", "sender", "amount_raw"))  # the order and what it carries, each once
+    got = ledger.where(PAYMENT).groupBy(F.col("recipient").alias("address")).agg(first.alias("f"))
     return got.select("address", F.col("f.sender").alias("funder"), F.col("f.tx_hash").alias("tx_hash"), F.col("f.block").alias("block"), F.col("f.amount_raw").alias("amount_raw"))
 
 
@@ -53,16 +53,18 @@ def ancestry(funders: DataFrame, services: DataFrame | None = None, depth: int =
 
 def batch_funded(funders: DataFrame, blocks: int = 25, ratio: float = 0.9, service_degree: int | None = 50) -> DataFrame:
     """Pairs with the same first funder, within a few blocks, with nearly the same amount. Blocks are bucketed by the
-    window, so pairs are sought in neighbouring buckets only; services' addresses are left out first."""
+    window, so pairs are sought in neighbouring buckets only, the later one in its own and the one before; services' addresses
+    are left out first."""
     few = funders.where("amount_raw > 0")
     if service_degree is not None:
         few = few.join(funder_clusters(funders, service_degree).where("not service").select("funder"), "funder", "left_semi")
     a = few.withColumn("k", F.floor(F.col("block") / blocks))
-    b = few.withColumn("k", F.explode(F.array(F.floor(F.col("block") / blocks) - 1, F.floor(F.col("block") / blocks), F.floor(F.col("block") / blocks) + 1)))
-    got = a.alias("a").join(b.alias("b"), (F.col("a.funder") == F.col("b.funder")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.address") < F.col("b.address")))
+    b = few.withColumn("k", F.explode(F.array(F.floor(F.col("block") / blocks) - 1, F.floor(F.col("block") / blocks))))
+    later = (F.col("a.address") != F.col("b.address")) & (F.struct("a.block", "a.address") < F.struct("b.block", "b.address"))
+    got = a.alias("a").join(b.alias("b"), (F.col("a.funder") == F.col("b.funder")) & (F.col("a.k") == F.col("b.k")) & later)
     low, high = F.least("a.amount_raw", "b.amount_raw"), F.greatest("a.amount_raw", "b.amount_raw")
     near = (F.abs(F.col("a.block") - F.col("b.block")) <= blocks) & (low.cast("double") >= high.cast("double") * ratio)
-    return got.where(near).select(F.col("a.funder").alias("funder"), F.col("a.address").alias("a"), F.col("b.address").alias("b"))
+    return got.where(near).select(F.col("a.funder").alias("funder"), F.least("a.address", "b.address").alias("a"), F.greatest("a.address", "b.address").alias("b"))
 
 
 def deposit_addresses(ledger: DataFrame, services: DataFrame, max_senders: int = 5) -> DataFrame:

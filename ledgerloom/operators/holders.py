@@ -34,7 +34,8 @@ def holder_links(addresses: DataFrame, ledger: DataFrame, min_degree: int = 3, d
     outside = funding_graph(funders).join(wanted, F.col("funder") == F.col("member"), "left_anti")
     services = cut(outside.where(F.col("funded") >= bar).select(F.col("funder").alias("address")))
     rows = ledger.where("sender is not null and recipient is not null and sender <> recipient").select("sender", "recipient")
-    inside = rows.join(wanted, F.col("sender") == F.col("member"), "left_semi").join(wanted, F.col("recipient") == F.col("member"), "left_semi")
+    paying = cut(rows.join(wanted, F.col("sender") == F.col("member"), "left_semi").distinct())  # both kinds of links read it
+    inside = paying.join(wanted, F.col("recipient") == F.col("member"), "left_semi")
     found = [inside.select(F.least("sender", "recipient").alias("a"), F.greatest("sender", "recipient").alias("b"), F.lit("direct").alias("kind")).distinct()]
     up = ancestry(funders, services, max_depth).join(wanted, F.col("address") == F.col("member"), "left_semi")
     up = cut(up.join(services.select(F.col("address").alias("ancestor")), "ancestor", "left_anti"))
@@ -44,7 +45,7 @@ def holder_links(addresses: DataFrame, ledger: DataFrame, min_degree: int = 3, d
     found.append(_stars(shared.where("generation = 1"), "ancestor", "shared_funder"))
     found.append(_stars(shared, "ancestor", "common_ancestor"))
     deposits = deposit_addresses(ledger, services, max_senders).select(F.col("address").alias("recipient"))
-    paid = rows.join(deposits, "recipient", "left_semi").join(wanted, F.col("sender") == F.col("member"), "left_semi").select("recipient", F.col("sender").alias("member")).distinct()
+    paid = paying.join(deposits, "recipient", "left_semi").select("recipient", F.col("sender").alias("member"))
     found.append(_stars(paid, "recipient", "shared_deposit"))
     listed = funders.join(wanted, F.col("address") == F.col("member"), "left_semi")
     found.append(batch_funded(listed, batch_blocks, batch_ratio, None).select("a", "b", F.lit("batch_funded").alias("kind")))
