@@ -6,7 +6,7 @@ of their prefixes: in one global order of all shingles, linked sets share one of
 The order puts shingles of many documents last (passages, group texts), so that lists stay short; which ones those are
 is counted over all documents. The boundary between light and heavy is where the modelled rows are fewest.
 
-Lists are never expanded into all pairs: near_classes merges them into neighbourhoods and finds the classes. Before any
+Lists are split by bands of sizes, as sets of unlike sizes can't link. They are never expanded into all pairs: near_classes merges them into neighbourhoods and finds the classes. Before any
 text is read, sizes and a parity sketch must allow a link: every element that two sets don't share flips one of the
 sketch's bits, so a pair whose sketches differ in more bits than a link may differ in elements can't link.
 Identical sets are one class from the start, and only one text of each set is read after the first pass. So no link is
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pandas as pd
@@ -53,6 +53,15 @@ def may_link(a: int, b: int) -> bool:
     return DEN * min(a, b) >= NUM * max(a, b)
 
 
+#: Widths of the bands of sizes: sets that may link are in one band or in two neighbouring ones. A little wider than the
+#: threshold's ratio, so that rounding puts none further away.
+BAND = log(1.001 * DEN / NUM)
+
+
+def size_band(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / BAND).astype(np.int64)
+
+
 def subset_rows(n: int, light: int) -> int:
     """Subsets that a light set of n enumerates."""
     return sum(comb(n, least_overlap(n, b)) for b in range(1, light + 1) if may_link(n, b))
@@ -178,36 +187,45 @@ class _Order:
         return _keys(np.array(out, np.uint64), self.buckets)
 
 
-def _postings(texts: DataFrame, order: _Order, frequent: bool) -> DataFrame:
-    """Packed postings of rare shingles and subsets, or rows (key, ref, n) of frequent shingles."""
+def _postings(texts: DataFrame, order: _Order) -> DataFrame:
+    """Packed postings of rare shingles and subsets, and of frequent shingles."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, refs, sizes, held = [], [], [], 0
+        held: tuple[list[list[np.ndarray]], ...] = ([[], [], []], [[], [], []])  # rare, frequent: keys, refs, sizes
+        size = 0
 
-        def flush() -> pd.DataFrame:
-            if not frequent:
-                return _packed(keys, refs, sizes)
-            return pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "ref": np.concatenate(refs) if refs else np.zeros(0, np.int64), "n": np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)})
+        def flush() -> Iterator[pd.DataFrame]:
+            for frequent, (keys, refs, sizes) in enumerate(held):
+                yield _packed(keys, refs, sizes).assign(frequent=bool(frequent))
+                for x in (keys, refs, sizes):
+                    x.clear()
 
         for pdf in frames:
             for first, part in batches(pdf["text"], lower=True):
                 for ref, s in zip(pdf["ref"].iloc[first : first + len(part)], shingle_sets(part, WIDTH), strict=True):
-                    got = np.zeros(0, np.int64)
-                    if DEN * len(s) >= NUM * (order.light + 1):
-                        got = order.prefix(s)[int(frequent)]
-                    if len(s) <= order.light and not frequent:
-                        got = np.concatenate([got, order.subsets(s)])
-                    if len(got):
-                        keys.append(got)
-                        refs.append(np.full(len(got), ref, np.int64))
-                        sizes.append(np.full(len(got), len(s), np.int32))
-                        held += len(got)
-                if held > 1 << 19:
-                    yield flush()
-                    keys, refs, sizes, held = [], [], [], 0
-        yield flush()
-
-    return texts.mapInPandas(run, "key long, ref long, n long" if frequent else "bucket int, tokens binary, refs binary, sizes binary")
+                    found = order.prefix(s) if DEN * len(s) >= NUM * (order.light + 1) else (s[:0].view(np.int64),) * 2
+                    if len(s) <= order.light:
+                        found = np.concatenate([found[0], order.subsets(s)]), found[1]
+                    for got, (keys, refs, sizes) in zip(found, held, strict=True):
+                        if len(got):
+                            keys.append(got)
+                            refs.append(np.full(len(got), ref, np.int64))
+                            sizes.append(np.full(len(got), len(s), np.int32))
+                            size += len(got)
+                if size > 1 << 19:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return texts.mapInPandas(run, "bucket int, tokens binary, refs binary, sizes binary, frequent boolean")
+
+
+def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Packed postings as rows (key, ref, n)."""
+    for pdf in frames:
+        for bucket, tokens, refs, sizes in zip(pdf["bucket"], pdf["tokens"], pdf["refs"], pdf["sizes"], strict=True):
+            key = np.frombuffer(tokens, np.uint32).astype(np.int64) | int(bucket) << 32
+            yield pd.DataFrame({"key": key, "ref": np.frombuffer(refs, np.int64), "n": np.frombuffer(sizes, np.int32).astype(np.int64)})
 
 
 LISTS = "lid long, ref long, n long"
@@ -232,7 +250,12 @@ def _short_lists(pdf: pd.DataFrame) -> pd.DataFrame:
     t, r, n = t[new], r[new], n[new]
     if not len(t):
         return pd.DataFrame({"lid": np.zeros(0, np.int64), "ref": r, "n": n.astype(np.int64)})
-    at = np.flatnonzero(np.diff(t.astype(np.int64), prepend=-1))
+    # each list falls into those of two neighbouring bands of sizes; a set is in both of its band's
+    t = t.astype(np.int64) << 8 | size_band(n)
+    t, r, n = np.concatenate([t, t + 1]), np.tile(r, 2), np.tile(n, 2)
+    order = np.lexsort((r, t))
+    t, r, n = t[order], r[order], n[order]
+    at = np.flatnonzero(np.diff(t, prepend=-1))
     size = np.diff(np.append(at, len(t)))
     sign = np.add.reduceat(_mix(r.view(np.uint64)), at).view(np.int64)
     _, first = np.unique(sign, return_index=True)
@@ -252,14 +275,16 @@ def candidate_lists(texts: DataFrame, sets: DataFrame) -> DataFrame:
     top = counted.orderBy(F.desc("df"), "key").limit(MOST_FREQUENT).toPandas()  # bounded: 8 MB of keys
     light = boundary(small, 1 + float((top["df"].astype(float) ** 2).sum()) / max(1.0, total))
     order = _Order(top["key"].to_numpy(np.int64), buckets, light)
-    short = _postings(texts, order, False).groupBy("bucket").applyInPandas(_short_lists, LISTS)
-    if not len(top):
-        return stored_in_small_batches(short.dropDuplicates(["lid", "ref"]), "lists")
-    long = stored_in_small_batches(_postings(texts, order, True).dropDuplicates(["key", "ref"]), "frequent-postings")
+    postings = stored_in_small_batches(_postings(texts, order), "postings")
+    short = postings.where("not frequent").drop("frequent").groupBy("bucket").applyInPandas(_short_lists, LISTS)
+    long = postings.where("frequent").drop("frequent").mapInPandas(_rows, "key long, ref long, n long").dropDuplicates(["key", "ref"])
+    rows = long = stored_in_small_batches(long, "frequent-postings")
+    band = F.floor(F.ln("n") / BAND).cast("int")  # as in _short_lists
+    long = long.select(F.explode(F.array(*[F.xxhash64("key", band + k) for k in (0, 1)])).alias("key"), "ref", "n")
     kinds = long.groupBy("key").agg(F.bit_xor(F.xxhash64("ref")).alias("lid"), F.count("*").alias("c")).where("c > 1").groupBy("lid").agg(F.min("key").alias("key"))
     whole = long.join(kinds.hint("merge"), "key").select("lid", "ref", "n")
     lists = stored_in_small_batches(short.unionByName(whole).dropDuplicates(["lid", "ref"]), "lists")
-    release(long)
+    release(postings, rows, counted)
     return lists
 
 

@@ -3,8 +3,8 @@
 What operators on shingle sets share: documents told apart by (id, text), one text of each different set, exact verification
 on whole sets, and classes from lists. A list's pivot is its least member; all lists with one pivot are merged into that
 pivot's neighbourhood, which is compared with the pivot first. Verified links merge members into classes. Then some members
-of each neighbourhood, about equally many however large it is, meet those of other classes. What is left meets in pairs:
-members of different classes of a neighbourhood, at least one of them outside the largest class. Before any text is read,
+of each neighbourhood, about equally many however large it is, meet those of other classes. What is left meets in pairs (in a large
+neighbourhood block by block): members of different classes of a neighbourhood, at least one of them outside the largest class. Before any text is read,
 sizes and sketches must allow a link. Classes grow step by step: new links are first contracted to the classes they join,
 so later rounds see the few that cross. Joins inside the loops are merge joins by hint: small tables then don't pile up as
 broadcasts on the driver.
@@ -27,8 +27,12 @@ from .base import WORD_PATTERN, release, shingle_sets, stored, stored_in_small_b
 
 #: Members of a neighbourhood that meet all others before what is left meets in pairs.
 PIVOTS = 16
+#: Neighbourhoods of more members than this meet in blocks of so many members by so many others.
+DENSE, BLOCK, OTHERS = 64, 1024, 1 << 14
 #: Bytes of shingle sets that a verifying task keeps at hand.
 KEPT_SETS = 16 << 20
+#: Maps of 32768 bits each that say which texts pairs name.
+MAPS = 256
 #: 64-bit words of a set's parity sketch.
 SKETCH_WORDS = 32
 
@@ -93,6 +97,17 @@ def one_text_each(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return matching(docs.select("doc_id", "text"), first, sets).select("ref", "text")
 
 
+def may_be_named(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts (ref, text) that pairs (a, b) name, and by chance some others: bits of all ends of pairs go to all tasks, a
+    fixed size however many pairs there are, so that texts which no pair needs aren't shuffled."""
+    width = 32768
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("ref")).select(F.pmod("ref", F.lit(MAPS * width)).alias("at"))
+    maps = ends.groupBy(F.expr(f"at div {width}").alias("map")).agg(F.bitmap_construct_agg(F.expr(f"at % {width}")).alias("bits"))
+    told = texts.withColumn("at", F.pmod("ref", F.lit(MAPS * width))).withColumn("map", F.expr(f"at div {width}")).join(F.broadcast(maps), "map")
+    byte = f"cast(conv(hex(substring(bits, cast(at % {width} div 8 + 1 as int), 1)), 16, 10) as int)"
+    return told.where(f"bit_get({byte}, cast(at % 8 as int)) = 1").select(*texts.columns)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(a, b, both, either) of pairs (a, b): exact sizes of intersection and union."""
 
@@ -120,6 +135,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 either.append(len(x) + len(y) - both[-1])
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "both": np.array(both, np.int64), "either": np.array(either, np.int64)})
 
+    texts = may_be_named(texts, pairs)
     b = pairs.join(texts.select(F.col("ref").alias("b"), F.col("text").alias("tb")), "b")
     return b.join(texts.select(F.col("ref").alias("a"), F.col("text").alias("ta")), "a").mapInPandas(run, "a long, b long, both long, either long")
 
@@ -164,6 +180,33 @@ def joined_classes(classes: DataFrame | None, links: DataFrame, name: str) -> Da
     return out
 
 
+def met_in_blocks(rows: DataFrame, link: Link) -> DataFrame:
+    """Pairs (a, b) of rows (a, ref, n, comp, minor, members, words): those of different classes of a neighbourhood, one side
+    at least outside its largest class, that sizes and sketches allow. A neighbourhood's members are dealt to blocks, each of
+    which meets the others block by block (numpy inside tasks), so no task has more than one block's share of it."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf[~pdf["x"]].sort_values("n", kind="stable")
+        x, ref, n, comp = pdf[pdf["x"]], *(y[c].to_numpy(np.int64) for c in ("ref", "n", "comp"))
+        major, words = ~y["minor"].to_numpy(bool), np.array([*y["words"]], np.int64).reshape(len(y), -1).view(np.uint64)  # of signed numbers numpy counts the bits without sign
+        found = []
+        for own, size, mine, sketch in zip(x["ref"], x["n"], x["comp"], x["words"], strict=True):
+            lo, hi = np.searchsorted(100 * n, link.percent * size), np.searchsorted(link.percent * n, 100 * size, side="right")
+            differ = np.bitwise_count(words[lo:hi] ^ np.asarray(sketch, np.int64).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            near = (100 + link.percent) * differ <= (100 - link.percent) * (n[lo:hi] + size)
+            near &= (comp[lo:hi] != mine) & (major[lo:hi] | (ref[lo:hi] > own))
+            found += [(min(own, other), max(own, other)) for other in ref[lo:hi][near].tolist()]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    blocks, others = (F.ceil(F.col("members") / size).cast("int") for size in (BLOCK, OTHERS))
+    each, part = F.sequence(F.lit(0), blocks - 1), F.sequence(F.lit(0), others - 1)
+    x = rows.where("minor").withColumns({"x": F.lit(True), "i": F.pmod(F.xxhash64("ref"), blocks).cast("int")}).withColumn("j", F.explode(part))
+    y = rows.withColumns({"x": F.lit(False), "j": F.pmod(F.xxhash64("ref", F.lit(1)), others).cast("int")}).withColumn("i", F.explode(each))
+    # a number that is asked for isn't merged by adaptive execution, which sees few bytes where there is much to compare
+    both = x.unionByName(y).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "i", "j")
+    return both.groupBy("a", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def linked_classes(lists: DataFrame, sets: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
     """(ref, comp) of all sets that link with another one: the classes of all links between different sets. lists: a stored
     table (lid, ref) in which two linked sets are together at least once; it is released. sets: (ref, n, sketches), rows of
@@ -207,7 +250,8 @@ def linked_classes(lists: DataFrame, sets: DataFrame, texts: DataFrame, link: Li
     # one side is outside the neighbourhood's largest class; of two such sides each pair comes once
     left = stored(open_rows(rest.select("a", "ref", "n", "pivot", *link.sketch)), "open-2")
     release(around, rest)
-    last = meet(left.where("minor"), left, "not (xpivot or ypivot) and (not yminor or xref < yref)")
+    few, dense = left.where(f"members <= {DENSE}"), left.where(f"members > {DENSE} and not pivot")
+    last = meet(few.where("minor"), few, "not (xpivot or ypivot) and (not yminor or xref < yref)").unionByName(met_in_blocks(dense, link))
     classes = joined_classes(classes, checked(last, "links-3"), "classes-3")
     release(left, own)
     return classes
